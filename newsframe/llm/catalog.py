@@ -19,6 +19,19 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import known_licenses, scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_records
+
+    sharded = shard_records(_table(spark, sf_dir, "documents").select("doc_id", "text"), [1.0] * 24)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import encode
 
@@ -47,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op7_decontamination, op9_ngram_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op5_sharding, op6_byte_bpe, op7_decontamination, op9_ngram_join, op10_token_counts)}
 
 #: A-Z to a-z and no other letter, for DuckDB.
 _ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
