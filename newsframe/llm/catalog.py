@@ -25,6 +25,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"), known_licenses(spark))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit_language_model, predict_language
+    from .sampling import fold
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(documents.filter(fold(F.col("doc_id"), 3) != 1))
+    return predict_language(documents.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_records
 
@@ -48,6 +57,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality_model, score_quality
+    from .sampling import fold
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality_model(documents, _table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 4) != 2))
+    return score_quality(documents.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
@@ -60,7 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op5_sharding, op6_byte_bpe, op7_decontamination, op9_ngram_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op5_sharding, op6_byte_bpe, op7_decontamination, op8_quality, op9_ngram_join, op10_token_counts)}
 
 #: A-Z to a-z and no other letter, for DuckDB.
 _ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
