@@ -34,6 +34,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(documents.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "text"), model).drop("text")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_search import nearest_neighbours
+
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_records
 
@@ -78,7 +84,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op5_sharding, op6_byte_bpe, op7_decontamination, op8_quality, op9_ngram_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_language_id, op4_nearest_neighbours, op5_sharding, op6_byte_bpe, op7_decontamination, op8_quality, op9_ngram_join, op10_token_counts)}
 
 #: A-Z to a-z and no other letter, for DuckDB.
 _ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -31,7 +31,7 @@ WORD_BUCKETS = 1 << 14
 BINS = 16
 FACTORS = 8
 SAMPLE = 3000
-EPOCHS = 12
+EPOCHS = 8
 THRESHOLD = 0.7
 
 _IN_WORD = byte_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
@@ -112,7 +112,7 @@ def _weights(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, x
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.03, decay: float = 1e-5) -> FactorisationMachine:
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, decay: float = 1e-2) -> FactorisationMachine:
     """By Adam on the logistic loss, batches of 64 in a fixed order."""
     dice = np.random.default_rng(7)
     model = FactorisationMachine(0.0, np.zeros(FEATURES, np.float32), dice.normal(0, 0.05, (FEATURES, FACTORS)).astype(np.float32))
