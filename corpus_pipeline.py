@@ -1,16 +1,72 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: language ID, quality, near duplicates, decontamination, encoding. Each stage works on what the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from newsframe.llm.byte_bpe import encode
+from newsframe.llm.catalog import tokenizer
+from newsframe.llm.decontamination import mark_contamination
+from newsframe.llm.language_id import UNDETERMINED, fit_language_model, predict_language
+from newsframe.llm.ngram_join import jaccard_components
+from newsframe.llm.quality import fit_quality_model, score_quality
+from newsframe.llm.sampling import fold
+from newsframe.llm.session import prepare, stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A language's regression is brought from -1..1 to 0..1; below this no language fits.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have letters and fit one of the languages learnt from the labelled ones."""
+    model = fit_language_model(docs.filter(fold(F.col("doc_id"), 3) != 1))
+    found = predict_language(docs.select(COLUMNS), model)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of label 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(F.col("doc_id"), 4) != 2)
+    return score_quality(docs.select(COLUMNS), fit_quality_model(docs, labels)).filter("predicted = 1").select(COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id. Rows without a doc_id stay."""
+    found = jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(found, "doc_id", "left_anti").select(COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without their spans of benchmark text."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    marked = mark_contamination(docs.select(COLUMNS), benchmark, cleaned="cleaned").select("doc_id", F.col("cleaned").alias("text"), "lang", "source")
+    return marked.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and whether they decode to the text."""
+    encoded = encode(docs.select("doc_id", "lang", "source", "text", F.coalesce("text", F.lit("")).alias("given")), tokenizer("byte_bpe_multi_50k.tiktoken"), outputs=("ids", "decoded"))
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.col("given").cast("binary")).alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("encoding", encoding_stage),
+]
+
+#: Two stages apply fitted models, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents after all stages; each stage's result is cut off from what made it."""
+    """documents after all stages; each stage's result is written to the shared folder and read again."""
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

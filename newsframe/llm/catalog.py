@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -60,7 +60,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import encode
 
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode(documents, _tokenizer("byte_bpe_multi_50k.tiktoken"), outputs=("ids_text", "decoded"))
+    encoded = encode(documents, tokenizer("byte_bpe_multi_50k.tiktoken"), outputs=("ids_text", "decoded"))
     return encoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -90,7 +90,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
-    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
+    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_language_id, op4_nearest_neighbours, op5_sharding, op6_byte_bpe, op7_decontamination, op8_quality, op9_ngram_join, op10_token_counts)}

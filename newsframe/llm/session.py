@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder: lost executors don't make Spark compute it again."""
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again."""
+    spark = df.sparkSession
+    prepare(spark)
+    df.write.parquet(path := f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)
