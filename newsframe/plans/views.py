@@ -97,3 +97,23 @@ RUNS = """runs AS (SELECT event_id, 's' || (user_id % 16) AS job, ts, CASE WHEN
   CASE event_type WHEN 'view' THEN '[STATUS:finding:' || user_id || ']' WHEN 'click' THEN '[STATUS:extracting:' || event_id || ']' WHEN 'purchase' THEN 'Inserted new article' WHEN 'error' THEN 'Error: failed' ELSE 'PROGRESS 3 10' END AS line, value FROM events)"""
 
 VECTORS = "vectors AS (SELECT vec_id, vec_id % 120 AS asset_id, embedding::DOUBLE[] AS v, label, 0.5::DOUBLE + (vec_id % 5) / 10.0::DOUBLE AS confidence FROM embeddings)"
+
+
+def clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clusters and members: components of vectors with cosine 0.40 and above; vec_id stands for an article's id."""
+    from ..operators.clustering import assemble, similarity_clusters
+
+    return assemble(similarity_clusters(vectors(spark, sf_dir), 0.40), articles(spark, sf_dir))
+
+
+CLUSTERS = f"""{ARTICLES}, {VECTORS},
+  pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.v, y.v) AS score FROM vectors x JOIN vectors y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.4),
+  ends AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+  reach AS (SELECT a, b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON r.b = e.a),
+  comps AS (SELECT a AS article_id, min(b) AS cluster_id FROM reach GROUP BY a),
+  members AS (SELECT cluster_id, article_id, content_length, source_site, row_number() OVER (PARTITION BY cluster_id ORDER BY content_length DESC, article_id) = 1 AS is_primary FROM comps JOIN articles ON id = article_id),
+  event_clusters AS (SELECT m.cluster_id, CASE WHEN length(p.headline) > 100 THEN left(p.headline, 100) || '...' ELSE p.headline END AS cluster_name, p.id AS primary_article_id, m.article_count, m.event_date,
+    coalesce(nullif(trim(p.category), ''), 'Unknown') AS category, m.tags, 'active' AS status
+    FROM (SELECT cluster_id, count(*) AS article_count, min(published_at)::DATE AS event_date, arg_min(article_id, (-c.content_length, article_id)) AS primary_id,
+      array_to_string(list_sort(list_distinct(flatten(list(list_filter(list_transform(string_split(tags, ','), lambda x: trim(x)), lambda x: x <> ''))))), ', ') AS tags
+      FROM comps JOIN articles c ON id = article_id GROUP BY cluster_id) m JOIN articles p ON p.id = m.primary_id)"""
