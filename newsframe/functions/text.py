@@ -45,11 +45,11 @@ def text_hash(text: Column) -> Column:
 
 def tags(text: Column) -> Column:
     """The parts between commas, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\n+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def duration(seconds: Column) -> Column:
