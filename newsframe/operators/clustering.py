@@ -37,7 +37,7 @@ def assemble(members: DataFrame, articles: DataFrame, status: str = "active") ->
     all members' tags in order, the date is the earliest."""
     own = articles.select(F.col("id").alias("article_id"), "headline", "content_length", "published_at", "category", "tags", "source_site")
     rows = members.join(own, "article_id")
-    tags = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.transform(F.split("tags", ","), F.trim), lambda x: x != "")))))
+    tags = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.transform(F.split("tags", ","), lambda x: F.trim(x)), lambda x: x != "")))))
     clusters = rows.groupBy("cluster_id").agg(
         F.min_by(F.struct("article_id", "headline", "category"), F.struct(-F.col("content_length"), "article_id")).alias("p"),
         F.count(F.lit(1)).alias("article_count"),

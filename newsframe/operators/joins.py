@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
+from ..sources.checkpoints import cut
 
 #: Keywords of one block of a match.
 KEYWORD_BLOCK = 500
@@ -162,6 +163,25 @@ def simhash(rows: DataFrame, key: Column, text: Column, bits: int = 60) -> DataF
     return rows.select(key.alias("id"), hashes.alias("hs")).select("id", F.coalesce(fp, F.lit(0)).alias("fp"))
 
 
+def keep_first_near(fingerprints: DataFrame, key: str = "id", fingerprint: str = "fp", below: int = 6) -> DataFrame:
+    """Rows of which no kept earlier row is near: going by key, a row stays unless a row that stays is fewer than `below` bits away.
+
+    Only rows with a near earlier one are undecided. In each round those of which a near earlier row stays are dropped, and those of which all near earlier rows are
+    dropped stay; the first undecided one is decided in any round, chains in as many rounds as they have links.
+    """
+    firsts = fingerprints.groupBy(fingerprint).agg(F.min(key).alias(key))  # of equal fingerprints no other row can stay
+    pairs = cut(hamming_pairs(firsts, below=below, key=key, fingerprint=fingerprint).select("a", "b"))
+    kept = cut(firsts.select(F.col(key).alias("id")).join(pairs.select(F.col("b").alias("id")), "id", "left_anti"))
+    while True:
+        dropped = pairs.join(kept.select(F.col("id").alias("a")), "a", "left_semi").select("b").distinct()
+        open_pairs = cut(pairs.join(dropped, "b", "left_anti").join(kept.select(F.col("id").alias("b")), "b", "left_anti").join(dropped.select(F.col("b").alias("a")), "a", "left_anti"))
+        undecided = pairs.select("b").distinct().join(dropped, "b", "left_anti").join(kept.select(F.col("id").alias("b")), "b", "left_anti")
+        staying = cut(undecided.join(open_pairs.select("b"), "b", "left_anti").select(F.col("b").alias("id")))
+        if staying.isEmpty():
+            return kept
+        kept = cut(kept.unionByName(staying))
+
+
 def cluster_detail(clusters: DataFrame, members: DataFrame, articles: DataFrame) -> DataFrame:
     """A row a cluster, its members nested: primary first, then the longest, then by id."""
     own = articles.select(F.col("id").alias("article_id"), "headline", "content_length")

@@ -65,10 +65,14 @@ def rechecked(rows: DataFrame) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_runs(table(spark, sf_dir, "events"))
+
+
+def as_runs(events: DataFrame) -> DataFrame:
     """events as a log of jobs."""
     e = F.col("event_type")
     line = F.when(e == "view", F.concat(F.lit("[STATUS:finding:"), F.col("user_id").cast("string"), F.lit("]"))).when(e == "click", F.concat(F.lit("[STATUS:extracting:"), F.col("event_id").cast("string"), F.lit("]"))).when(e == "purchase", "Inserted new article").when(e == "error", "Error: failed").otherwise("PROGRESS 3 10")
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("s"), (F.col("user_id") % 16).cast("string")).alias("job"), "ts", F.when(e == "error", "error").otherwise("ok").alias("outcome"), line.alias("line"), "value")
+    return events.select("event_id", F.concat(F.lit("s"), (F.col("user_id") % 16).cast("string")).alias("job"), "ts", F.when(e == "error", "error").otherwise("ok").alias("outcome"), line.alias("line"), "value")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
