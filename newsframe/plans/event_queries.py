@@ -24,7 +24,7 @@ def s1_articles(spark, sf_dir):
     return articles(spark, sf_dir).select("id", "headline", "source_url", "tags", "processing_count")
 
 
-@query("SELECT job AS scraper, event_type AS category, max(runs.ts) AS ts FROM runs JOIN events e USING (event_id) GROUP BY ALL", RUNS)
+@query("SELECT job AS scraper, event_type AS category, date_trunc('second', max(runs.ts)) AS ts FROM runs JOIN events e USING (event_id) GROUP BY ALL", RUNS)
 def s2_watermarks(spark, sf_dir):
     kinds = table(spark, sf_dir, "events").select("event_id", "event_type")
     marks = runs(spark, sf_dir).join(kinds, "event_id").groupBy("job", "event_type").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("t"))
@@ -115,7 +115,7 @@ def v4_refined(spark, sf_dir):
     found = C.similarity_clusters(vectors(spark, sf_dir), 0.40)
     content = articles(spark, sf_dir).select(F.col("id").alias("article_id"), "content")
     v = vectors(spark, sf_dir).select(F.col("vec_id").alias("article_id"), "v")
-    return C.refine(found.join(content, "article_id").join(v, "article_id"), 0.42)
+    return C.refine(found.join(content, "article_id").join(v, "article_id"), 0.30)
 
 
 @query()

@@ -11,7 +11,9 @@ from ..functions import urls as U
 from .registry import query
 from .views import ARTICLES, CATEGORIES, RUNS, articles, categories, runs, table
 
-_TS = F.col("published_at")
+def _ts():
+    return F.col("published_at")
+
 
 
 def _bengali(text):
@@ -19,16 +21,16 @@ def _bengali(text):
 
 
 def _month(names):
-    return F.element_at(F.array(*(F.lit(n) for n in names)), F.month(_TS))
+    return F.element_at(F.array(*(F.lit(n) for n in names)), F.month(_ts()))
 
 
 def _written(form: str):
     """A publication time as a site writes it."""
-    day = F.concat_ws(" ", F.date_format(_TS, "dd"), _month(D.MONTHS), F.date_format(_TS, "yyyy"))
-    half = F.when(F.hour(_TS) >= 12, "পিএম").otherwise("এএম")
-    other_half = F.when(F.hour(_TS) >= 12, "অপরাহ্ন").otherwise("পূর্বাহ্ন")
-    twelve, full = F.date_format(_TS, "hh:mm"), F.date_format(_TS, "HH:mm")
-    weekday = F.element_at(F.array(*(F.lit(w) for w in D.WEEKDAYS)), F.dayofweek(_TS) % 7 + 1)
+    day = F.concat_ws(" ", F.date_format(_ts(), "dd"), _month(D.MONTHS), F.date_format(_ts(), "yyyy"))
+    half = F.when(F.hour(_ts()) >= 12, "পিএম").otherwise("এএম")
+    other_half = F.when(F.hour(_ts()) >= 12, "অপরাহ্ন").otherwise("পূর্বাহ্ন")
+    twelve, full = F.date_format(_ts(), "hh:mm"), F.date_format(_ts(), "HH:mm")
+    weekday = F.element_at(F.array(*(F.lit(w) for w in D.WEEKDAYS)), F.dayofweek(_ts()) % 7 + 1)
     return {
         "f3": _bengali(F.concat(F.lit("প্রকাশ: "), day, F.lit(", "), twelve, F.lit(" "), half)),
         "f4": _bengali(F.concat(day, F.lit(", "), full)),
@@ -39,9 +41,9 @@ def _written(form: str):
         "f9": _bengali(F.when(F.col("id") % 2 == 0, F.concat(full, F.lit(", "), day)).otherwise(F.concat(day, F.lit(", "), full))),
         "f10": _bengali(F.concat(weekday, F.lit(", "), day)),
         "f11": _bengali(F.concat(weekday, F.lit(", "), day, F.lit(", "), twelve, F.lit(" "), half)),
-        "f12": F.concat(F.lit("Publish : "), F.date_format(_TS, "dd"), F.lit(" "), F.initcap(F.substring(_month(D.ENGLISH_MONTHS), 1, 3)), F.date_format(_TS, " yyyy, hh:mm a"), F.lit(" Update : later")),
-        "f13": F.concat(F.date_format(_TS, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+06:00")),
-        "f14": F.date_format(_TS, "yyyy-MM-dd HH:mm:ss"),
+        "f12": F.concat(F.lit("Publish : "), F.date_format(_ts(), "dd"), F.lit(" "), F.initcap(F.substring(_month(D.ENGLISH_MONTHS), 1, 3)), F.date_format(_ts(), " yyyy, hh:mm a"), F.lit(" Update : later")),
+        "f13": F.concat(F.date_format(_ts(), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+06:00")),
+        "f14": F.date_format(_ts(), "yyyy-MM-dd HH:mm:ss"),
     }[form]
 
 
