@@ -31,9 +31,9 @@ from .session import prepare
 from .textarrays import chunks
 
 #: Words that a Python worker keeps with their ids; beyond, it starts anew.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 400_000
 #: Words that one recursive query takes.
-WORDS_A_QUERY = 40_000
+WORDS_A_QUERY = 20_000
 LONG_PIECE = 256
 
 _NEIGHBOURS = "lead(tok) OVER (PARTITION BY w ORDER BY p) AS nxt, lead(p) OVER (PARTITION BY w ORDER BY p) AS after"
@@ -84,7 +84,7 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         made = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, rank = (pa.array(x, pa.int64()) for x in zip(*made, strict=True))
         self._table("merges", "l::BIGINT << 32 | r0 AS ab, r::INTEGER AS r", l=left, r0=right, r=rank)

@@ -31,7 +31,7 @@ from .session import prepare
 from .textarrays import LOWER, byte_table, chunks, word_hashes, word_spans
 
 WINDOW = 10
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE = 8
 BLOCK_WORDS = 1_000_000
 

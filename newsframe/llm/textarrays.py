@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in pieces of about so many bytes; a longer text is one piece.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -61,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = -(-n // (1 << 20)) << 20
         for i, base in enumerate((_BASE, _BASE_INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
