@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..operators import joins as J
 from ..operators import reports as A
 from ..operators import vector_search as V
 from ..sources import readers as S
+from ..sources.checkpoints import shared_folder
 from ..streaming import monitor as T
 from .registry import query
 from .table_queries import MATCHES
@@ -67,6 +69,28 @@ def s7_indexed_slugs(spark, sf_dir):
     return S.indexed_slugs(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), a.alias("payload")), "news")
 
 
+@query("SELECT event_id, user_id, event_type FROM events")
+def s8_log_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    lines = T.read_files(spark, f"{sf_dir}/events.parquet", schema).select("event_id", "user_id", "event_type")
+    return spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{T.run_to_end(lines)}/batch=*")
+
+
+@query()
+def s9_assets(spark, sf_dir):
+    """The Parquet files of the tables' folder, by name and length."""
+    return S.assets(spark, sf_dir, ("parquet",)).select(F.regexp_extract("path", "([^/]+/)?[^/]+$", 0).alias("name"), "length")
+
+
+@query("SELECT job, n, run FROM (SELECT job, count(*) AS n FROM runs GROUP BY 1), (VALUES (1), (2)) AS v(run)", RUNS)
+def s12_append_log(spark, sf_dir):
+    counts = runs(spark, sf_dir).groupBy("job").agg(F.count(F.lit(1)).alias("n"))
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    for run in (1, 2):
+        S.append_log(counts.withColumn("run", F.lit(run)), path)
+    return spark.read.schema("job string, n long, run int").parquet(path)
+
+
 @query("SELECT count(*) AS groups, round(avg(n), 6) AS avg_size, min(n) AS min_size, max(n) AS max_size FROM (SELECT count(*) AS n FROM members GROUP BY cluster_id)", CLUSTERS)
 def a9_cluster_stats(spark, sf_dir):
     return A.group_sizes(clusters(spark, sf_dir)[1], "cluster_id")
@@ -111,11 +135,10 @@ def v5_acceptance(spark, sf_dir):
 
 @query()
 def v4_refined(spark, sf_dir):
-    """Members that stay after greedy refinement (order decides; checked against a model in the tests)."""
+    """Members that stay after greedy refinement, with the label as text (order decides; checked against a model in the tests)."""
     found = C.similarity_clusters(vectors(spark, sf_dir), 0.40)
-    content = articles(spark, sf_dir).select(F.col("id").alias("article_id"), "content")
-    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("article_id"), "v")
-    return C.refine(found.join(content, "article_id").join(v, "article_id"), 0.30)
+    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("article_id"), "v", F.concat(F.lit("label "), F.col("label").cast("string")).alias("content"))
+    return C.refine(found.join(v, "article_id"), 0.42)
 
 
 @query()
@@ -251,11 +274,21 @@ def v18_index_build(spark, sf_dir):
     return J.keep_first_near(J.simhash(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text")))
 
 
+def _article_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "documents").schema
+    headline = F.substring(F.split("text", "\n", 2)[0], 1, 120)
+    return T.read_files(spark, f"{sf_dir}/documents.parquet", schema).select(F.col("doc_id").alias("id"), headline.alias("headline"), F.col("text").alias("content"))
+
+
 @query("SELECT * FROM matches WHERE article_id > 20", ARTICLES, KEYWORD_ROWS, MATCHES)
 def t1_keyword_monitor(spark, sf_dir):
-    schema = table(spark, sf_dir, "documents").schema
-    stream = T.read_files(spark, f"{sf_dir}/documents.parquet", schema).select(F.col("doc_id").alias("id"), F.substring(F.split("text", "\n", 2)[0], 1, 120).alias("headline"), F.col("text").alias("content"))
-    return T.monitor_keywords(stream, keywords(spark), 20)
+    return T.monitor_keywords(_article_stream(spark, sf_dir), keywords(spark), 20)
+
+
+@query("SELECT * FROM matches WHERE article_id > (SELECT max(id) - 100 FROM articles)", ARTICLES, KEYWORD_ROWS, MATCHES)
+def t2_replay(spark, sf_dir):
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
+    return T.monitor_keywords(_article_stream(spark, sf_dir), keywords(spark), max(0, last - 100))
 
 
 @query("SELECT count(*) AS attempts, count(*) FILTER (article_id % 2 = 1) AS inserted FROM matches WHERE article_id > (SELECT max(id) - 200 FROM articles)", ARTICLES, KEYWORD_ROWS, MATCHES)
