@@ -30,7 +30,7 @@ from .pretokens import find_pretokens
 from .session import prepare
 from .textarrays import chunks
 
-#: Words that a Python worker keeps with their ids; beyond, it starts anew.
+#: Words that a task keeps with their ids; beyond, it starts anew.
 KEPT_WORDS = 400_000
 #: Words that one recursive query takes.
 WORDS_A_QUERY = 20_000
@@ -129,11 +129,16 @@ class Codec:
             out[k] = text
         return out
 
+    def forget(self) -> None:
+        """Give back the memory of words: a Python worker outlives its task and serves other operators."""
+        self.ids, self.decoded = {}, {}
+        for name in ("base", "tokens", "long_pieces", "sequences"):
+            self.con.execute(f"DROP TABLE IF EXISTS {name}")
+
     def learn(self, words: set[str]) -> None:
         """Encode and decode the words that were not met before."""
         if len(self.ids) + len(words) > KEPT_WORDS:
-            self.ids.clear()
-            self.decoded.clear()
+            self.forget()
         new = [(w, w.encode()) for w in words if w not in self.ids]
         for w, b in new:
             if b in self.ranks:  # a piece that is a token is not split
@@ -162,6 +167,19 @@ def _ids_array(text: bytes) -> list[int]:
     return list(map(int, text.split(b","))) if text else []
 
 
+def _encoded(own: Codec, texts: list[str], outputs: tuple[str, ...]) -> dict[str, list]:
+    found = [find_pretokens(t) for t in texts]
+    own.learn(set().union(*found))
+    pieces = [list(map(own.ids.__getitem__, words)) for words in found]
+    ids = [b",".join(p) for p in pieces]
+    out = {"n_tokens": [x.count(b",") + 1 if x else 0 for x in ids], "ids_text": ids}
+    if "decoded" in outputs:
+        out["decoded"] = [b"".join(map(own.decoded.__getitem__, p)) for p in pieces]
+    if "ids" in outputs:
+        out["ids"] = list(map(_ids_array, ids))
+    return out
+
+
 def encode(documents: DataFrame, path: str, text: str = "text", outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
     """documents with n_tokens and the outputs asked for: ids (array), ids_text (decimals joined by commas), decoded (bytes
     that the ids decode to)."""
@@ -176,20 +194,14 @@ def encode(documents: DataFrame, path: str, text: str = "text", outputs: tuple[s
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in it:
-            texts = batch.column(len(keep))
-            for first, last, _, _ in chunks(texts):
-                found = [find_pretokens(t) for t in texts.slice(first, last - first).to_pylist()]
-                own.learn(set().union(*found))
-                pieces = [list(map(own.ids.__getitem__, words)) for words in found]
-                ids = [b",".join(p) for p in pieces]
-                out = {"n_tokens": [x.count(b",") + 1 if x else 0 for x in ids], "ids_text": ids}
-                if "decoded" in outputs:
-                    out["decoded"] = [b"".join(map(own.decoded.__getitem__, p)) for p in pieces]
-                if "ids" in outputs:
-                    out["ids"] = list(map(_ids_array, ids))
-                kept = batch.slice(first, last - first).columns[: len(keep)]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[x], kinds[x][1]) for x in added)], names=[*keep, *added])
+        try:
+            for batch in it:
+                for first, last, _, _ in chunks(texts := batch.column(len(keep))):
+                    out = _encoded(own, texts.slice(first, last - first).to_pylist(), outputs)
+                    kept = batch.slice(first, last - first).columns[: len(keep)]
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[x], kinds[x][1]) for x in added)], names=[*keep, *added])
+        finally:
+            own.forget()
 
     return frame.mapInArrow(batches, schema)
 
