@@ -29,7 +29,7 @@ from .session import cut, prepare
 
 DIMENSIONS = 8
 CONFIDENCE = 0.97
-LEAF = 64
+LEAF = 256
 #: Rows of a shard and queries of a block.
 SHARD = 4096
 BLOCK = 16_384
