@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
@@ -128,27 +129,28 @@ def approx_similar_pairs(vectors: DataFrame, threshold: float, vec_id: str = "ve
     return pairs.filter((F.col("a") < F.col("b")) & (F.col("score") >= threshold))
 
 
-def hamming_pairs(fingerprints: DataFrame, bits: int = 60, below: int = 6, key: str = "id", fingerprint: str = "fp") -> DataFrame:
+def hamming_pairs(fingerprints: DataFrame, bits: int = 60, below: int = 6, key: str = "id", fingerprint: str = "fp", together: int | None = None) -> DataFrame:
     """(a, b, distance) with a < b and fewer than `below` bits apart.
 
-    The bits are cut into `below` bands: a pair that close has an equal band. Each pair is checked in its first equal band only. Equal
-    fingerprints are one row while bands are joined and come apart afterwards as links to their smallest key, so that copies make no square.
+    The bits are cut into below - 1 + together bands: a pair that close agrees in `together` of them at least, so each choice of so many bands
+    is a key of an equi-join. More bands together make longer keys and fewer pairs to look at, at more keys a row; by default as many as keep
+    the rows that agree by chance on a key below a hundred. Equal fingerprints are one row in that join and come apart afterwards as links to
+    their smallest key, so that copies make no square.
     """
-    width = -(-bits // below)
-    distinct = fingerprints.groupBy(fingerprint).agg(F.min(key).alias(key)).select(F.col(key).alias("id"), F.col(fingerprint).alias("fp"))
-    band = lambda i: F.shiftright("fp", i * width).bitwiseAND((1 << width) - 1)
-    banded = distinct.select("id", "fp", F.posexplode(F.array(*(band(i) for i in range(below)))).alias("i", "band"))
-    left, right = banded.alias("l"), banded.alias("r")
+    firsts = fingerprints.groupBy(fingerprint).agg(F.min(key).alias("id")).withColumnRenamed(fingerprint, "fp")
+    if together is None:
+        n = firsts.count()
+        together = next((m for m in range(1, 5) if n < 100 << (bits * m // (below - 1 + m))), 5)
+    bands = below - 1 + together
+    edges = [bits * k // bands for k in range(bands + 1)]
+    masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(bands), together)]
+    keyed = firsts.select("id", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("i", "band"))
+    left, right = keyed.alias("l"), keyed.alias("r")
     distance = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp")))
-    earlier = [(F.col("l.i") > i) & (F.shiftright("l.fp", i * width).bitwiseAND((1 << width) - 1) == F.shiftright("r.fp", i * width).bitwiseAND((1 << width) - 1)) for i in range(below)]
-    seen = earlier[0]
-    for e in earlier[1:]:
-        seen = seen | e
-    met = left.join(right, (F.col("l.i") == F.col("r.i")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (distance < below) & ~seen)
-    near = met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance"))
-    first = F.min(key).over(Window.partitionBy(fingerprint))
-    copies = fingerprints.select(F.col(key).alias("b"), first.alias("a")).filter("a < b").select("a", "b", F.lit(0).alias("distance"))
-    return near.unionByName(copies)
+    met = left.join(right, (F.col("l.i") == F.col("r.i")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (distance < below))
+    near = met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance")).distinct()
+    copies = fingerprints.select(F.col(key).alias("b"), F.col(fingerprint).alias("fp")).join(firsts.withColumnRenamed("id", "a"), "fp").filter("a < b")
+    return near.unionByName(copies.select("a", "b", F.lit(0).alias("distance")))
 
 
 def simhash(rows: DataFrame, key: Column, text: Column, bits: int = 60) -> DataFrame:

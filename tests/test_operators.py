@@ -48,7 +48,8 @@ def test_hamming_bands_lose_no_pair(spark):
     want = {(a, b, (x ^ y).bit_count()) for a, x in firsts for b, y in firsts if a < b and (x ^ y).bit_count() < 6}
     want |= {(distinct[fp], i, 0) for i, fp in rows if distinct[fp] != i}
     frame = spark.createDataFrame(rows, "id long, fp long")
-    assert {tuple(r) for r in joins.hamming_pairs(frame).collect()} == want
+    for together in (None, 2, 3):
+        assert {tuple(r) for r in joins.hamming_pairs(frame, together=together).collect()} == want
     kept = []
     for i, fp in rows:
         if all((fp ^ y).bit_count() >= 6 for _, y in kept):
