@@ -124,4 +124,51 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_chat_format": _OP1, "op7_decontamination": _OP7}
+_OP9 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, shingle FROM (SELECT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.r < b.r GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM ends UNION SELECT reach.x, ends.y FROM reach JOIN ends ON reach.y = ends.x),
+first AS (SELECT reach.x AS r, min(d.doc_id) AS m FROM reach JOIN d ON d.r = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN first USING (r)
+"""
+
+_KEY = "coalesce('k' || doc_id, 'null')"
+
+
+def _shard_sql(shards: int) -> str:
+    """The shard with the least cost, as DuckDB takes the least of structs."""
+    costs = (f"{{'cost': -ln((('0x' || md5('{i}/' || {_KEY})[:13])::BIGINT + 0.5) / {16**13}.0::DOUBLE), 'shard': {i}}}" for i in range(shards))
+    return f"list_aggregate([{', '.join(costs)}], 'min').shard"
+
+
+_OP5 = f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT range::BIGINT AS i FROM range(256)))),
+hexes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sharded AS (SELECT doc_id, length(h) // 2 + 8 AS size, md5({_KEY}) AS digest,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32,
+  {_shard_sql(24)} AS shard, {_shard_sql(25)} AS grown_shard FROM hexes, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY digest, size, text_crc32) - 1 AS slot, grown_shard FROM sharded
+"""
+
+
+def _licence_sql() -> str:
+    from .license_scan import EQUIVALENT, KNOWN
+
+    plain = "regexp_replace(text, '(?im)^[\\s/*#;.%-]*(?:\\(c\\)|©|copyright\\b[^\\n]*(?:\\(c\\)|©|[0-9]{4}))[^\\n]*$', ' ', 'g')"
+    plain = f"' ' || regexp_replace(lower({plain}), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
+    for spelling, kept in EQUIVALENT:
+        plain = f"replace({plain}, '{f' {spelling} '.replace(' ', '  ')[1:-1]}', ' {kept} ')"
+    plain = f"trim(replace({plain}, '  ', ' '))"
+    quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in KNOWN)
+    return f"""
+WITH known AS (SELECT min(license_id) AS license_id, sha256(p) AS text_digest FROM (SELECT license_id, {plain} AS p FROM (VALUES {quoted}) AS k(license_id, text)) GROUP BY 2),
+d AS (SELECT doc_id, {plain} AS p FROM documents)
+SELECT doc_id, CASE WHEN p <> '' THEN sha256(p) END AS text_digest, license_id FROM d LEFT JOIN known ON text_digest = sha256(p)
+"""
+
+
+ORACLES: dict[str, str] = {"op1_chat_format": _OP1, "op2_license_scan": _licence_sql(), "op5_sharding": _OP5, "op7_decontamination": _OP7, "op9_ngram_join": _OP9}

@@ -35,7 +35,7 @@ KNOWN = (
     ("Fair", "Usage of the works is permitted provided that this instrument is retained with the works, so that any entity that uses the works is notified of this instrument. DISCLAIMER: THE WORKS ARE WITHOUT WARRANTY."),
 )
 
-_COPYRIGHT_LINE = r"(?im)^[\s/*#;.%-]*(?:\(c\)|©|copyright\b(?=[^\n]*(?:\(c\)|©|\d{4})))[^\n]*$"
+_COPYRIGHT_LINE = r"(?im)^[\s/*#;.%-]*(?:\(c\)|©|copyright\b[^\n]*(?:\(c\)|©|[0-9]{4}))[^\n]*$"
 
 
 def normalised(text: Column) -> Column:
