@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, unit
+from ..sources.checkpoints import cut
+from .graph import components
+from .joins import similar_pairs
 from .windows import best_per_key, second_entity_best
 
 #: Queries of one search that the plan holds as literals.
@@ -54,6 +57,22 @@ def target_assets(vectors: DataFrame, score: Column, least: float) -> DataFrame:
     return vectors.join(best, "asset_id").filter(F.col("vec_id") != F.col("target_id"))
 
 
+def merge_groups(members: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """(vec_id, group_id) after groups whose mean vectors have cosine `threshold` or more are joined, again and again until none are.
+
+    members: vec_id, group_id, v. Each round joins all such groups at once, so that the order of groups doesn't matter; a merged group has the smallest number.
+    """
+    members = cut(members.select("vec_id", "group_id", "v"))
+    while True:
+        parts = members.select("group_id", F.posexplode(unit(F.col("v"))).alias("i", "x")).groupBy("group_id", "i").agg(F.avg("x").alias("m"))
+        means = parts.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
+        pairs = cut(similar_pairs(means, threshold, "group_id", "v"))
+        if pairs.isEmpty():
+            return members.select("vec_id", "group_id")
+        roots = components(pairs.select("a", "b")).withColumnRenamed("node", "group_id")
+        members = cut(members.join(roots, "group_id", "left").select("vec_id", F.coalesce("root", "group_id").alias("group_id"), "v"))
+
+
 def co_occurrence(others: DataFrame, groups: DataFrame, near: float = 0.95) -> DataFrame:
     """Groups of vectors that come with the target in two assets or more: vectors, assets, the representative with the highest target score; numbered by assets.
 

@@ -246,6 +246,15 @@ def v14_groups(spark, sf_dir):
     return C.similarity_clusters(others, 0.35).select(F.col("article_id").alias("vec_id"), F.col("cluster_id").alias("group_id"))
 
 
+@query()
+def v14_merged_groups(spark, sf_dir):
+    """The groups after those with near mean vectors are joined (iterative; checked against a model in the tests)."""
+    q = F.array(*(F.lit(x) for x in _chosen(spark, sf_dir, "vec_id = 0")[0][0]))
+    others = V.target_assets(vectors(spark, sf_dir), cosine(F.col("v"), q), 0.0)
+    groups = C.similarity_clusters(others, 0.35).select(F.col("article_id").alias("vec_id"), F.col("cluster_id").alias("group_id"))
+    return V.merge_groups(groups.join(others.select("vec_id", "v"), "vec_id"), 0.5)
+
+
 @query()
 def v15_co_occurrence(spark, sf_dir):
     """Groups that come with the target in two assets or more (greedy within a group; checked against a model in the tests)."""

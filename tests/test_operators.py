@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsframe.functions import dates, text, urls
-from newsframe.operators import clustering, filters, graph, joins, windows
+from newsframe.operators import clustering, filters, graph, joins, vector_search, windows
 from newsframe.streaming import monitor
 
 
@@ -88,6 +88,41 @@ def test_retry_stream_equals_table(spark, tmp_path):
     assert sorted(tuple(r)[:3] for r in spark.read.parquet(out).collect()) == want
 
 
+def test_merged_groups_against_a_model(spark):
+    import numpy as np
+
+    dice = np.random.default_rng(4)
+    centres = dice.normal(size=(5, 8))
+    vectors = [(i, int(i % 15), (centres[i % 5] + dice.normal(size=8) * 0.5).tolist()) for i in range(60)]
+    group = {i: g for i, g, _ in vectors}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in vectors}
+    while True:
+        names = sorted(set(group.values()))
+        means = {g: np.mean([unit[i] for i in group if group[i] == g], axis=0) for g in names}
+        near = [(a, b) for a in names for b in names if a < b and means[a] @ means[b] / (np.linalg.norm(means[a]) * np.linalg.norm(means[b])) >= 0.8]
+        if not near:
+            break
+        root = {g: g for g in names}
+        for _ in names:
+            for a, b in near:
+                root[a] = root[b] = min(root[a], root[b])
+        group = {i: root[g] for i, g in group.items()}
+    got = vector_search.merge_groups(spark.createDataFrame(vectors, "vec_id long, group_id long, v array<double>"), 0.8)
+    assert {r["vec_id"]: r["group_id"] for r in got.collect()} == group and len(set(group.values())) < 15
+
+
+def test_approximate_pairs_find_near_ones(spark):
+    import numpy as np
+
+    dice = np.random.default_rng(5)
+    base = dice.normal(size=(40, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + dice.normal(size=base.shape) * 0.02]))]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    exact = {(r["a"], r["b"]) for r in joins.similar_pairs(frame, 0.95, block=16).collect()}
+    found = {(r["a"], r["b"]) for r in joins.approx_similar_pairs(frame, 0.95).collect()}
+    assert found <= exact and len(found) >= 0.9 * len(exact) > 0
+
+
 DATES = [
     (dates.date_first_marked, "প্রকাশ: ০৯ জানুয়ারি ২০২৬, ০৩:৩৫ পিএম", datetime(2026, 1, 9, 15, 35)),
     (dates.date_first_marked, "০৯ জানুয়ারি ২০২৬, ১২:০৫ এএম", datetime(2026, 1, 9, 0, 5)),
