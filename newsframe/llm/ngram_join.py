@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .session import cut, prepare
 from .textarrays import LOWER, byte_table, chunks, mix, word_hashes, word_spans
 
@@ -282,22 +283,6 @@ def block_edges(sets: DataFrame) -> DataFrame:
     return met.groupBy("anchor", "i", "j").applyInArrow(_search_block, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that can be reached, for every node with an edge."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("root").alias("b")).filter("a > b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("root"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).unionByName(least.select("a", F.col("root").alias("b")))
-        small = cut(small.filter("a > b").distinct())
-        same = small.count() == edges.count() and small.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = small
-        if same:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
 def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of documents."""
     spark = documents.sparkSession
@@ -307,6 +292,8 @@ def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     rows = cut(frame.mapInArrow(_documents, "doc_id bigint, n_shingles bigint, key bigint"))
     sets = cut(candidate_sets(frame.select("text"), partitions))
     roots = components(block_edges(sets)).withColumnRenamed("node", "key")
-    rows = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    smallest = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(smallest, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # rows meet their component once, by their set: copies are one row until then
+    least = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
+    least = least.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
+    return rows.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import checkpoints
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -22,19 +23,18 @@ def prepare(spark: SparkSession) -> None:
     paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         context.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsframe-"))
+    checkpoints.shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder: lost executors don't make Spark compute it again."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpoints.cut(df)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
     prepare(spark)
-    df.write.parquet(path := f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}")
+    df.write.parquet(path := f"{checkpoints.shared_folder(spark)}/{uuid.uuid4().hex}")
     return spark.read.schema(df.schema).parquet(path)
