@@ -70,11 +70,19 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], the same wherever a word stands."""
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """64-bit hashes of data[start:end], the same wherever a word stands. Works through CHUNK_BYTES (or one longer word) at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        base = starts[a]
+        z = max(a + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
+        part, first, last = data[base : ends[z - 1]], starts[a:z] - base, ends[a:z] - base
+        up, down = _power(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        out[a:z] = mix((sums[last] - sums[first]) * down[first])
+        a = z
+    return out
 
 
 def byte_table(allowed) -> np.ndarray:

@@ -265,3 +265,15 @@ def test_prefix_tree(spark, partitions):
 def test_shingles_of_odd_texts():
     sets = list(ngram_join.shingle_sets(pa.array(["a b c d e", "A B C D E f", "a b", "a b c d e a b c d e", None])))
     assert [len(s) for s in sets] == [1, 2, 1, 5, 0] and sets[0][0] in sets[1] and sets[0][0] in sets[3]
+
+
+def test_word_hashes_do_not_depend_on_place_or_pieces(monkeypatch):
+    from newsframe.llm import textarrays
+
+    text = np.frombuffer(b"one two three one " + b"x" * 500 + b" two one", np.uint8)
+    starts = np.array([0, 4, 8, 14, 18, 519, 523])
+    ends = np.array([3, 7, 13, 17, 518, 522, 526])
+    whole = textarrays.word_hashes(text, starts, ends)
+    monkeypatch.setattr(textarrays, "CHUNK_BYTES", 16)
+    assert (textarrays.word_hashes(text, starts, ends) == whole).all()
+    assert whole[0] == whole[3] == whole[6] and whole[1] == whole[5] and len(set(whole.tolist())) == 4
