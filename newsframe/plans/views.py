@@ -7,10 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.workers import importable
+
 KEYWORDS = ((1, "the ", 1), (2, "tion ", 1), (3, "anbleing", 1), (4, "keit", 1), (5, "ción", 1), (6, "eaux", 1), (7, "worthless", 1), (8, "pathetic", 0), (9, "license", 1), (10, "token", 0))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
