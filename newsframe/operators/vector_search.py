@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, unit
 from ..sources.checkpoints import cut
 from .graph import components
-from .joins import similar_pairs
+from .joins import BLOCK, similar_pairs
 from .windows import best_per_key, second_entity_best
 
 #: Queries of one search that the plan holds as literals.
@@ -51,6 +51,33 @@ def fused_score(v: Column, queries: list[tuple[list[float], float]], method: str
     return {"average": average, "max": largest, "hybrid": 0.7 * average + 0.3 * largest}[method]
 
 
+def _unrolled_dot(a: Column, b: Column, length: int) -> Column:
+    """dot() of vectors of a known length as one compiled expression, a balanced sum; null where one is shorter."""
+    terms = [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(length)]
+    while len(terms) > 1:
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
+def set_scores(vectors: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """vectors with `score`: 0.7 of the cosine to the mean of all queries and 0.3 of the largest cosine to one of them; no rows without queries.
+
+    queries (v) are a table of any size: the mean is one row, and blocks of queries meet blocks of vectors in a join, of which the largest cosine of each row is kept by
+    partial aggregation. The work is the number of vectors by the number of distinct queries.
+    """
+    rows = cut(vectors.filter("v IS NOT NULL").withColumn("row", F.monotonically_increasing_id()))
+    asked = cut(queries.select("v").filter("v IS NOT NULL"))
+    distinct = cut(asked.distinct())
+    n, m = (max(1, -(-t.count() // block)) for t in (rows, distinct))
+    length = (distinct.select(F.max(F.size("v"))).first()[0]) or 1
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    dealt = rows.select("row", unit(F.col("v")).alias("v"), F.pmod(F.xxhash64("row"), F.lit(n)).alias("i")).withColumn("j", each(m))
+    met = distinct.select(unit(F.col("v")).alias("q"), F.pmod(F.xxhash64("v"), F.lit(m)).alias("j")).withColumn("i", each(n))
+    found = dealt.join(met.hint("merge"), ["i", "j"]).groupBy("row").agg(F.max(_unrolled_dot(F.col("v"), F.col("q"), length)).alias("largest"))
+    scored = rows.join(found, "row").join(F.broadcast(mean_vector(asked)), F.lit(True))
+    return scored.select(*vectors.columns, (0.7 * cosine(F.col("v"), F.col("mean")) + 0.3 * F.col("largest")).alias("score"))
+
+
 def target_assets(vectors: DataFrame, score: Column, least: float) -> DataFrame:
     """Vectors beside the best one in assets whose best one reaches `least` (columns of vectors, target_score)."""
     best = best_assets(vectors, score, least).select("asset_id", F.col("vec_id").alias("target_id"), F.col("score").alias("target_score"))

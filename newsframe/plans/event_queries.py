@@ -222,10 +222,22 @@ def v11_fused_search(spark, sf_dir):
     return V.best_assets(vectors(spark, sf_dir), score, 0.15)
 
 
+def _label_search(spark, sf_dir, condition):
+    rows = vectors(spark, sf_dir)
+    scored = V.set_scores(rows.select("vec_id", "asset_id", "v"), rows.filter(condition))
+    return V.best_assets(scored, F.col("score"), 0.15)
+
+
 @query(f"SELECT arg_min(vec_id, (-score, vec_id)) AS vec_id, asset_id, max(score) AS score FROM ({_fused('q.label = 3 AND q.vec_id < 60', 0)}) GROUP BY asset_id HAVING max(score) >= 0.15", VECTORS, _MEAN.format("label = 3 AND vec_id < 60").replace("confidence AS w", "1.0::DOUBLE AS w"))
 def v12_label_search(spark, sf_dir):
-    queries = [(v, 1.0) for v, _ in _chosen(spark, sf_dir, "label = 3 AND vec_id < 60")]
-    return V.best_assets(vectors(spark, sf_dir), V.fused_score(F.col("v"), queries), 0.15)
+    """By the label's vectors with vec_id < 60; v12_whole_label takes all of them."""
+    return _label_search(spark, sf_dir, "label = 3 AND vec_id < 60")
+
+
+@query(f"SELECT arg_min(vec_id, (-score, vec_id)) AS vec_id, asset_id, max(score) AS score FROM ({_fused('q.label = 3', 0)}) GROUP BY asset_id HAVING max(score) >= 0.15", VECTORS, _MEAN.format("label = 3").replace("confidence AS w", "1.0::DOUBLE AS w"))
+def v12_whole_label(spark, sf_dir):
+    """By every stored vector of the label."""
+    return _label_search(spark, sf_dir, "label = 3")
 
 
 _SCORED = "scored AS (SELECT vec_id, asset_id, v, round(list_cosine_similarity(v, (SELECT v FROM vectors WHERE vec_id = 0)), 4) AS score FROM vectors)"

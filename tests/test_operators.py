@@ -165,3 +165,18 @@ def test_empty_and_null_inputs(spark):
     assert clustering.similarity_clusters(empty, 0.5).count() == 0
     nulls = spark.createDataFrame([(None, None, None)], "headline string, published string, content string")
     assert nulls.select(filters.reject_reason(F.col("headline"), F.col("published"), F.col("content"))).first()[0] == "headline"
+
+
+def test_a_query_set_larger_than_a_plan_holds(spark):
+    import numpy as np
+
+    dice = np.random.default_rng(2)
+    queries = dice.normal(size=(vector_search.MOST_QUERIES + 200, 4)).tolist()
+    rows = [(i % 50, i % 7, v) for i, v in enumerate(dice.normal(size=(90, 4)).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, asset_id long, v array<double>")
+    got = vector_search.set_scores(frame, spark.createDataFrame([(q,) for q in [*queries, queries[0]]], "v array<double>"), block=64).collect()
+    q, v = np.array([*queries, queries[0]]), np.array([r[2] for r in rows])
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    want = 0.7 * unit(v) @ unit(q.mean(axis=0)) + 0.3 * (unit(v) @ unit(q).T).max(axis=1)
+    assert sorted((r["vec_id"], r["asset_id"], round(r["score"], 9)) for r in got) == sorted((a, b, round(s, 9)) for (a, b, _), s in zip(rows, want.tolist(), strict=True))
+    assert vector_search.set_scores(frame, frame.limit(0)).collect() == []
