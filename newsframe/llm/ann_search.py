@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by low-dimensional stable projections in a kd-tree, with a chi-square stopping test.
 
 Vectors are projected to DIMENSIONS numbers by one Gaussian matrix (2-stable: a projected squared distance over the true one is
-chi-square distributed with DIMENSIONS degrees of freedom). The rows are dealt by a hash of their id into shards, each with a kd-tree over
+chi-square distributed with DIMENSIONS degrees of freedom). The rows are dealt by a hash of id and vector into shards, each with a kd-tree over
 its projected points. A query takes points in order of projected distance, leaf by leaf, verifies their true distances in double precision,
 and stops when a point that beat its k-th best so far would, with probability CONFIDENCE, have been projected nearer than what comes next.
 The shards' nearest are merged by query.
@@ -11,7 +11,8 @@ in blocks of at most BLOCK queries: the query set is stated, and each shard keep
 needs no fitting.
 
 Null, zero-length and all-zero vectors, those with null or non-finite components and those of another length than most take no part, as queries
-or candidates; nor do rows with a null id. Ties go to the smaller id. Rows of one id are candidates each. With fewer candidates all are returned.
+or candidates; nor do rows with a null id. Ties go to the smaller id. Equal rows are one candidate; rows of one id with different vectors are candidates each, of
+which those at one distance are one result. With fewer candidates all are returned.
 Columns but the two named ones are not looked at.
 """
 
@@ -129,7 +130,7 @@ class StableIndex:
             if len(best) == self.k:
                 points, distances = points[distances <= best[-1][0]], distances[distances <= best[-1][0]]
             found = [(d, i) for d, p in zip(distances.tolist(), points.tolist(), strict=True) for i in self.ids[p].tolist() if i != query_id]
-            best = heapq.nsmallest(self.k, [*best, *found])
+            best = heapq.nsmallest(self.k, {*best, *found})
         return best
 
 
@@ -159,10 +160,10 @@ def usable_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str
 def nearest_neighbours(embeddings: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", confidence: float = CONFIDENCE) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest that each query finds. is_query: from the id column to a condition."""
     prepare(embeddings.sparkSession)
-    rows = cut(usable_vectors(embeddings, vec_id, embedding))
+    rows = cut(usable_vectors(embeddings, vec_id, embedding).distinct())
     queries = rows.filter(is_query(F.col("id")))
     shards, blocks = max(1, -(-rows.count() // SHARD)), max(1, -(-queries.count() // BLOCK))
-    hashed = F.xxhash64("id")
+    hashed = F.xxhash64("id", "v")
     dealt = rows.withColumn("shard", F.pmod(hashed, F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("block", F.pmod(hashed, F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     found = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(_search_shard(k, quantile(confidence)), "query_id long, score double, vec_id long")

@@ -203,6 +203,17 @@ def test_rendezvous_law(spark):
     assert all(r["shard"] == brute_shard(f"k{r['doc_id']}", 7) and r["grown_shard"] == brute_shard(f"k{r['doc_id']}", 8) for r in got)
 
 
+def test_repeated_rows_leave_room_for_neighbours(spark):
+    dice = np.random.default_rng(12)
+    near = [(i, v) for i, v in enumerate(dice.normal(size=(40, 6)).tolist())]
+    query = (100, [0.0, 0.0, 0.0, 0.0, 0.0, 0.01])
+    rows = [query] * 30 + [(200, [0.01, 0.0, 0.0, 0.0, 0.0, 0.0])] * 100 + [(300, [x, 0.02, 0.0, 0.0, 0.0, 0.01]) for x in (-0.02, 0.02)] + near
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann_search.nearest_neighbours(frame, lambda i: i == 100, k=10, confidence=0.999999).orderBy("rank").collect()
+    want = sorted({(round(math.dist(v, query[1]), 9), i) for i, v in rows if i != 100})[:10]
+    assert [(round(r["score"], 9), r["vec_id"]) for r in got] == want and [r["rank"] for r in got] == list(range(1, 11))
+
+
 def test_licenses(spark):
     mit = license_scan.KNOWN[4][1]
     rows = [(1, "Released under the MIT Licence!"), (2, None), (3, ""), (4, "Copyright (c) 2020 A. Person\n\n" + mit.upper()), (5, "© 2019 x\n/* " + license_scan.KNOWN[5][1] + " */"), (6, "some prose"), (1, "  released UNDER the mit license "), (7, "Copyright 2020 nobody")]
