@@ -33,9 +33,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id. Rows without a doc_id stay."""
-    found = jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(found, "doc_id", "left_anti").select(COLUMNS)
+    """Of each group of linked rows one, that with the smallest doc_id (none: after all others); rows without words are in no group and stay.
+
+    Rows, not ids, are linked and kept, so repeated, shared and missing ids make no difference. Row numbers are written, as reading again may deal rows otherwise.
+    """
+    rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    groups = jaccard_components(rows, doc_id="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = groups.join(rows.select("row", "doc_id"), "row").groupBy("group").agg(first.alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
