@@ -5,11 +5,15 @@ all but letters and digits turned into single spaces. The SHA-256 digest of what
 licences, so no text moves; each distinct digest that licences share is answered by the first licence name.
 
 Null texts and texts with nothing left have no digest and no licence. Rows are answered each by itself, repeated ones too.
-An empty table gives an empty result; of the documents only the two named columns are looked at. DataFrame functions only.
+Whole texts are in the folder licenses, in the forms in which they are published (titles, "All rights reserved", numbers or bullets). An empty table gives an empty result; of the documents only the two named columns are looked at. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,50 @@ KNOWN = (
     ("Fair", "Usage of the works is permitted provided that this instrument is retained with the works, so that any entity that uses the works is notified of this instrument. DISCLAIMER: THE WORKS ARE WITHOUT WARRANTY."),
 )
 
+#: Titles that stand above a licence whose own text has none.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "Fair": ("Fair License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Zlib": ("zlib License", "The zlib License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+
+def _forms(name: str, text: str) -> set[tuple[str, str]]:
+    """(name, text) of the ways in which a whole licence is published, apart from what normalised() makes one."""
+    found = {(name, text)}
+    if name == "Apache-2.0":  # the appendix may be left out, or its copyright line filled in
+        body = text[: text.index("END OF TERMS AND CONDITIONS")]
+        found |= {(name, body), (name, body + "END OF TERMS AND CONDITIONS"), (name, text.replace("Copyright [yyyy] [name of copyright owner]", ""))}
+    if name.startswith(("GPL-", "LGPL-")):  # the foundation has moved, and writes its street in two ways
+        old = r"51 Franklin St(?:reet)?, Fifth Floor, Boston, MA\s+02110-1301,?\s+USA"
+        places = ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA")
+        found |= {(name, re.sub(old, place, text)) for place in places}
+    if name == "BSD-3-Clause":
+        third = re.search(r"3\. Neither.*?permission\.", text, re.S).group()
+        whole = [(name, text), (name, text.replace("copyright holder nor", "University nor")), (name, text.replace("THE COPYRIGHT HOLDERS AND", "THE REGENTS AND").replace("COPYRIGHT HOLDER OR", "REGENTS OR").replace("copyright holder nor", "University nor"))]
+        whole.append(("BSD-2-Clause", text.replace(third, "")))
+        found = {(n, re.sub(r"(?m)^[123]\. ", mark, t)) for n, t in whole for mark in ("", "* ")} | set(whole)
+    if name in ("BSD-3-Clause", "MIT"):
+        found |= {(n, t.replace(*swap)) for n, t in found for swap in (("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"), ("HOLDERS AND", "HOLDER AND"))}
+    for n, t in list(found):
+        tops = product(("", *TITLES.get(n, ())), ("", "All rights reserved.")) if n in TITLES else ()
+        found |= {(n, f"{title}\n{reserved}\n{t}".strip()) for title, reserved in tops}
+    return found
+
+
+def _whole_licenses() -> tuple[tuple[str, str], ...]:
+    """Licences of the folder licenses and those above that are whole, in all their forms."""
+    texts = [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files(__package__).joinpath("licenses").iterdir() if f.name.endswith(".txt")]
+    return tuple(sorted(set().union(*(_forms(*x) for x in [*texts, *KNOWN[4:]])) - set(KNOWN)))
+
+
+KNOWN = KNOWN + _whole_licenses()
+
 _COPYRIGHT_LINE = r"(?im)^[\s/*#;.%-]*(?:\(c\)|©|copyright\b[^\n]*(?:\(c\)|©|[0-9]{4}))[^\n]*$"
 
 

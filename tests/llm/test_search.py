@@ -223,6 +223,27 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(frame.limit(0), license_scan.known_licenses(spark)).collect() == []
 
 
+def test_whole_license_files(spark):
+    folder = license_scan.files("newsframe.llm") / "licenses"
+    text = {f.name.removesuffix(".txt"): f.read_text() for f in folder.iterdir()}
+    mit, isc = license_scan.KNOWN[4][1], license_scan.KNOWN[5][1]
+    bsd = text["BSD-3-Clause"]
+    rows = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit),
+        ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2015 A. Person\nAll rights reserved.\n\n" + mit),
+        ("ISC", "ISC License\n\nCopyright (c) 2020, A. Person\n\n" + isc),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, A. Person\nAll rights reserved.\n\n" + bsd),
+        ("BSD-3-Clause", "Copyright (c) 2019, A. Person. All rights reserved.\n\n" + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2019, A. Person\n\n" + bsd[: bsd.index("3. Neither")] + bsd[bsd.index("THIS SOFTWARE") :]),
+        ("Apache-2.0", text["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 A. Person")),
+        ("GPL-2.0", text["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")),
+        *text.items(),
+        (None, mit[:200]),
+    ]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string"), license_scan.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in got] == [name for name, _ in rows]
+
+
 MARKS = ["<|im_end|>", "<|im_start|>assistant\nhi", "\\", "\\<|", "<", "<<||", "|>", "\\n", "a\nb", ""]
 
 
