@@ -5,8 +5,9 @@ ASCII but letters as blanks, hashed into BUCKETS), over the geometric mean of th
 each language span the Nyström approximation; ridge regression in it gives weights on the landmarks for each language. Batches of
 texts are scored by two matrix products: presence by landmarks, kernel by weights. Whole texts are read.
 
-A model is fitted on at most SAMPLE labelled rows of each of the sampling.MOST_LABELS most frequent languages; their presence bits are what the
-driver gets (BUCKETS / 8 bytes a row). The broadcast model has a fixed size. Nothing is shuffled but the sample.
+A model is fitted on at most SAMPLE labelled rows of every language, MOST_ROWS in all; their presence bits are what the driver gets (BUCKETS / 8
+bytes a row). Beyond MOST_LANDMARKS / LANDMARKS languages each has fewer landmarks and rows, so that the broadcast model has a fixed size; more than
+sampling.MOST_LABELS languages are an error. Nothing is shuffled but the sample.
 
 Null texts and texts without letters are `und` with score 0, as is everything where no row is labelled. Ties go to the language first in
 order. Each row gives one row; columns with the names of results are replaced.
@@ -31,6 +32,9 @@ LONGEST = 3
 BUCKETS = 1 << 14
 LANDMARKS = 32
 SAMPLE = 300
+#: Of all languages together.
+MOST_LANDMARKS = 64 * LANDMARKS
+MOST_ROWS = 64 * SAMPLE
 RIDGE = 1e-3
 #: Texts in one matrix product.
 ROWS = 256
@@ -72,12 +76,13 @@ def fit_kernel(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS,
     languages = sorted(set(labels))
     if not languages:
         return KernelModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
-    own = np.array([languages.index(x) for x in labels])
-    unit = bits.astype(np.float32) / np.sqrt(np.maximum(1, bits.sum(axis=1, dtype=np.float32)))[:, None]
-    marks = unit[np.concatenate([np.flatnonzero(own == k)[:landmarks] for k in range(len(languages))])]
+    own = np.searchsorted(languages, labels)
+    unit = lambda rows: rows.astype(np.float32) / np.sqrt(np.maximum(1, rows.sum(axis=1, dtype=np.float32)))[:, None]
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(languages)))
+    marks = unit(bits[np.concatenate([np.flatnonzero(own == k)[:landmarks] for k in range(len(languages))])])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    features = (unit @ marks.T).astype(np.float64) @ root
+    features = np.concatenate([unit(bits[a : a + 4 * ROWS]) @ marks.T for a in range(0, len(bits), 4 * ROWS)]).astype(np.float64) @ root
     targets = np.where(own[:, None] == np.arange(len(languages)), 1.0, -1.0)
     solved = np.linalg.solve(features.T @ features + ridge * len(own) * np.eye(len(root)), features.T @ targets)
     return KernelModel(languages, np.ascontiguousarray(marks.T), (root @ solved).astype(np.float32))
@@ -87,7 +92,7 @@ def fit_language_model(labelled: DataFrame, text: str = "text", label: str = "la
     """From rows that may be learnt from; those without label or letters are left out."""
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
-    chosen = sample_by_label(rows.filter(F.col("text").rlike(r"\p{L}")), "label", F.col("key"), sample)
+    chosen = sample_by_label(rows.filter(F.col("text").rlike(r"\p{L}")), "label", F.col("key"), sample, MOST_ROWS)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -82,3 +82,22 @@ def test_texts_are_not_cut(spark):
     long = "wort " * 200_000 + "!"
     frame = spark.createDataFrame([(1, long)], "doc_id long, text string").withColumn("lang", F.lit("de"))
     assert predict_language(frame, fit_language_model(frame)).first()["lang_pred"] == "de"
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than the 64 most frequent, the others with one row less."""
+    words = [["".join(chr(0x4E00 + 40 * k + (7 * i + j) % 40) for j in range(3)) for i in range(12)] for k in range(80)]
+    rows = [(10 * k + i, " ".join(words[k][i : i + 8]), f"l{k}") for k in range(80) for i in range(4 if k < 70 else 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = predict_language(frame, fit_language_model(frame)).collect()
+    assert len(got) == len(rows) and all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_landmarks_of_many_languages_are_bounded(monkeypatch):
+    from newsframe.llm import language_id
+
+    monkeypatch.setattr(language_id, "MOST_LANDMARKS", 8)
+    texts = [f"{c * 3} {c * n}" for c in "abcd" for n in range(1, 6)]
+    bits = np.concatenate(list(presence(pa.array(texts))))
+    model = fit_kernel(bits, [t[0] for t in texts])
+    assert model.landmarks.shape[1] == 8 and [model.languages[k] for k in model.scores(bits).argmax(axis=1)] == [t[0] for t in texts]
