@@ -2,13 +2,18 @@
 
 Spark deals out the texts; a Python worker splits its texts into pre-tokens, and a DuckDB database in that worker encodes
 those it has not met yet. A recursive query starts from one row per byte (word, position, token); each round joins
-adjacent tokens to the merge table and contracts every word's leftmost pair of least rank, until no pair joins. Decoding
-joins a word's ids to the vocabulary and puts the pieces together by an ordered aggregation. A text's ids and bytes are
-those of its pre-tokens one after another. No shuffle; a task holds one Arrow batch and a bounded table of words.
+adjacent tokens to the merge table and contracts every word's leftmost pair of least rank, until no pair joins. A text's
+ids are those of its pre-tokens one after another. Decoding starts from the ids alone: they are joined to the vocabulary
+and put together by an ordered aggregation. No shuffle; a task holds one piece of its texts and a bounded table of words.
 
-Pieces over LONG_PIECE bytes take the same query one round at a time with every pair of the least rank contracted in a
-round (the leftmost of overlapping ones first), which gives the same tokens: a pair that a merge makes never ranks below
-that merge. A recursive query would keep the rows of all its rounds, the square of the length.
+Words over CUT_PIECE bytes are first cut where no token of the vocabulary, as it stands in the word, reaches across: no merge
+does either, so the two sides don't meet. That makes short words of the runs of scripts without spaces.
+
+A recursive query keeps the rows of all its rounds, the square of a piece's length. So pieces that are still over LONG_PIECE bytes are
+contracted by the same rule with a query for each round, which keeps the last round only and does several steps of the rule at
+once: of the pairs of least rank it takes those from the left (overlapping ones in turn) up to the first that makes a pair of a lower
+rank with a neighbour. Up to there the leftmost pair of least rank is always the next of them, so the steps are those of the rule
+for any merge table, also one where a part ranks below the whole.
 
 Null text counts as empty (no ids, empty bytes). Repeated rows are encoded each; an empty table gives an empty result;
 columns of the input with the names of result columns are replaced.
@@ -18,10 +23,12 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,127 +37,209 @@ from .pretokens import find_pretokens
 from .session import prepare
 from .textarrays import chunks
 
+#: Texts that are encoded together, in bytes; a longer text is taken alone.
+TEXT_BYTES = 3 << 20
 #: Words that a task keeps with their ids; beyond, it starts anew.
-KEPT_WORDS = 400_000
-#: Words that one recursive query takes.
-WORDS_A_QUERY = 20_000
-LONG_PIECE = 256
-
-_NEIGHBOURS = "lead(tok) OVER (PARTITION BY w ORDER BY p) AS nxt, lead(p) OVER (PARTITION BY w ORDER BY p) AS after"
-
+KEPT_WORDS = 500_000
+CUT_PIECE = 32
+LONG_PIECE = 1024
+#: Rows that a recursive query keeps at most: half of the sum of its words' squared lengths.
+QUERY_ROWS = 3_000_000
+#: Ids that one query decodes, and ids in one of its groups; longer sequences are decoded group by group.
+DECODED_IDS = 400_000
+GROUP_IDS = 50_000
+
+#: A row is one number k, so that a sort takes little: word, position in it (20 bits), token (17 bits).
+_WORD, _POSITION, _TOKEN = "({0} >> 37)", "(({0} >> 17) & 1048575)", "({0} & 131071)"
+_w, _p, _t = (x.format("k") for x in (_WORD, _POSITION, _TOKEN))
+_w1, _p1, _t1 = (x.format("n") for x in (_WORD, _POSITION, _TOKEN))
+
+#: b is a word's least (rank, position, position after): rank is the pair's token as well.
 ENCODE = f"""
 WITH RECURSIVE s AS (
-  SELECT w, p, tok, 0 AS step, {_NEIGHBOURS} FROM base
+  SELECT k, lead(k) OVER (ORDER BY k) AS n, 0 AS step FROM base
   UNION ALL
-  SELECT *, {_NEIGHBOURS} FROM (
-    SELECT s.w, s.p, CASE WHEN s.p = best.p THEN best.r ELSE s.tok END AS tok, step + 1 AS step
+  SELECT k, lead(k) OVER (ORDER BY k) AS n, step FROM (
+    SELECT CASE WHEN {_p} = ((b >> 20) & 1048575) THEN k - {_t} + (b >> 40) ELSE k END AS k, step + 1 AS step
     FROM s JOIN (
-      SELECT w, min(r) AS r, arg_min(p, r::BIGINT << 32 | p) AS p, arg_min(after, r::BIGINT << 32 | p) AS after
-      FROM s JOIN merges ON ab = (tok::BIGINT << 32 | nxt) GROUP BY w) best ON s.w = best.w
-    WHERE s.p <> best.after)
+      SELECT {_w} AS w, min((r << 40) + ({_p} << 20) + {_p1}) AS b
+      FROM s JOIN merges ON ab = ({_t} << 17) + {_t1} WHERE {_w} = {_w1} GROUP BY {_w}) best ON {_w} = w
+    WHERE {_p} <> (b & 1048575))
 )
-SELECT w, p, tok FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step)
+SELECT {_w}::INTEGER AS w, {_t}::INTEGER AS tok
+FROM s JOIN (SELECT {_w} AS w, max(step) AS step FROM s GROUP BY {_w}) last ON {_w} = last.w AND s.step = last.step
+ORDER BY k
 """
 
-ONE_ROUND = f"""
+ONE_ROUND = """
 CREATE OR REPLACE TABLE next_round AS
-WITH n AS (SELECT *, {_NEIGHBOURS} FROM long_pieces),
-r AS (SELECT n.*, m.r, min(m.r) OVER (PARTITION BY w) AS least, row_number() OVER (PARTITION BY w ORDER BY p) AS i
-      FROM n LEFT JOIN merges m ON m.ab = (n.tok::BIGINT << 32 | n.nxt)),
-h AS (SELECT *, coalesce(r = least, false) AS hit, row_number() OVER (PARTITION BY w, coalesce(r = least, false) ORDER BY i) AS k FROM r),
-t AS (SELECT *, hit AND row_number() OVER (PARTITION BY w, hit, i - k ORDER BY i) % 2 = 1 AS take FROM h),
-d AS (SELECT *, lag(take, 1, false) OVER (PARTITION BY w ORDER BY i) AS taken FROM t)
-SELECT w, p, CASE WHEN take THEN r ELSE tok END AS tok FROM d WHERE NOT taken
+WITH n AS (SELECT w, p, tok, lead(tok) OVER o AS nxt, lead(tok, 2) OVER o AS right_of, lag(tok) OVER o AS left_of, row_number() OVER o AS i
+           FROM long_pieces WINDOW o AS (PARTITION BY w ORDER BY p)),
+r AS (SELECT n.*, m.r, min(m.r) OVER (PARTITION BY w) AS least FROM n LEFT JOIN merges m ON m.ab = (n.tok::BIGINT << 17) + n.nxt),
+h AS (SELECT *, coalesce(r = least, false) AS hit, row_number() OVER (PARTITION BY w, coalesce(r = least, false) ORDER BY i) AS nth FROM r),
+t AS (SELECT *, hit AND row_number() OVER (PARTITION BY w, hit, i - nth ORDER BY i) % 2 = 1 AS take FROM h),
+a AS (SELECT *, CASE WHEN lag(take, 2, false) OVER (PARTITION BY w ORDER BY i) THEN r ELSE left_of END AS beside FROM t),
+e AS (SELECT a.*, min(i) FILTER (take AND (x.r < a.r OR y.r < a.r)) OVER (PARTITION BY w) AS stop FROM a
+      LEFT JOIN merges x ON x.ab = (a.beside::BIGINT << 17) + a.r LEFT JOIN merges y ON y.ab = (a.r::BIGINT << 17) + a.right_of),
+d AS (SELECT w, p, i, tok, r, least, take AND i <= coalesce(stop, i) AS take FROM e),
+g AS (SELECT *, lag(take, 1, false) OVER (PARTITION BY w ORDER BY i) AS taken FROM d)
+SELECT w, p, CASE WHEN take THEN r::INTEGER ELSE tok END AS tok, least IS NULL AS done FROM g WHERE NOT taken
 """
 
-#: The ids of each word, and the bytes that they decode to. The pieces are written as hexadecimal digits, as bytes that are
-#: no UTF-8 can't be aggregated as text.
-GATHER = """
-SELECT string_agg(name, ',' ORDER BY p) AS ids, unhex(string_agg(piece, '' ORDER BY p)) AS text
-FROM tokens JOIN vocabulary USING (tok) GROUP BY w ORDER BY w
-"""
+#: Pieces are written with one character for each byte, as bytes that are no UTF-8 can't be aggregated as text.
+DECODE = "SELECT k, string_agg(piece, '' ORDER BY p) AS text FROM sequences JOIN vocabulary USING (tok) GROUP BY k ORDER BY k"
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=out[1:])
+    return out
 
-DECODE = """
-SELECT k, unhex(string_agg(piece, '' ORDER BY p)) AS text
-FROM (SELECT k, unnest(ids) AS tok, generate_subscripts(ids, 1) AS p FROM sequences) JOIN vocabulary USING (tok)
-GROUP BY k ORDER BY k
-"""
+
+def _ragged(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... lengths[i] numbers, for each i."""
+    at = _starts(lengths)
+    return np.repeat(first - at[:-1], lengths) + np.arange(at[-1])
 
 
 class Codec:
-    """A vocabulary of ranks in a DuckDB database of its own, and the words met so far."""
+    """A vocabulary of ranks in a DuckDB database of its own, and the words met so far by number."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        made = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        left, right, rank = (pa.array(x, pa.int64()) for x in zip(*made, strict=True))
-        self._table("merges", "l::BIGINT << 32 | r0 AS ab, r::INTEGER AS r", l=left, r0=right, r=rank)
-        self._table("vocabulary", "tok::INTEGER AS tok, tok::VARCHAR AS name, hex(piece) AS piece", tok=pa.array(self.ranks.values()), piece=pa.array(self.ranks, pa.binary()))
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-
-    def _table(self, name: str, select: str, **columns) -> None:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(ranks.values()) >= 1 << 17:
+            raise ValueError("ids of more than 17 bits")
+        self.tokens, self.longest = frozenset(ranks), max(map(len, ranks))
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        made = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        left, right, rank = np.array(made, np.int64).reshape(-1, 3).T
+        self._table("merges", ab=(left << 17) + right, r=rank)
+        self._table("vocabulary", tok=pa.array(ranks.values(), pa.int32()), piece=pa.array([t.decode("latin-1") for t in ranks]))
+        self.forget()
+
+    def _table(self, name: str, **columns) -> None:
         self.con.register("given", pa.table(columns))
-        self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT {select} FROM given")
+        self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given").fetchall()
         self.con.unregister("given")
 
-    def _base(self, name: str, words: list[bytes]) -> None:
+    def _one_byte_rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        return np.repeat(np.arange(len(words)), lengths), _ragged(np.zeros(len(words), np.int64), lengths), self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+
+    def _recursive(self, words: list[bytes]) -> pa.Table:
+        w, p, tok = self._one_byte_rows(words)
+        self._table("base", k=(w << 37) + (p << 17) + tok)
+        return self.con.sql(ENCODE).to_arrow_table()
+
+    def _by_rounds(self, words: list[bytes]) -> pa.Table:
+        w, p, tok = self._one_byte_rows(words)
+        self._table("long_pieces", w=w.astype(np.int32), p=p.astype(np.int32), tok=tok.astype(np.int32))
+        self.con.execute("CREATE OR REPLACE TABLE finished (w INTEGER, p INTEGER, tok INTEGER)").fetchall()
+        left = len(w)
+        while left:
+            for statement in (ONE_ROUND, "INSERT INTO finished SELECT w, p, tok FROM next_round WHERE done", "CREATE OR REPLACE TABLE long_pieces AS SELECT w, p, tok FROM next_round WHERE NOT done"):
+                self.con.execute(statement).fetchall()
+            ((left,),) = self.con.execute("SELECT count(*) FROM long_pieces").fetchall()
+        return self.con.sql("SELECT w, tok FROM finished ORDER BY w, p").to_arrow_table()
+
+    def _cut(self, word: bytes) -> list[bytes]:
+        """word in parts that no merge can join."""
+        n = len(word)
+        reach, cuts = 0, [0]
+        for i in range(n):
+            if i >= reach and i:
+                cuts.append(i)
+            reach = max(reach, next((i + k for k in range(min(self.longest, n - i), 1, -1) if word[i : i + k] in self.tokens), 0))
+        return [word[a:z] for a, z in zip(cuts, [*cuts[1:], n], strict=True)]
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has."""
+        long = [i for i, w in enumerate(words) if len(w) > CUT_PIECE]
+        if not long:
+            return self._encode_parts(words)
+        parts = [self._cut(words[i]) for i in long]
+        distinct = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(parts)), len(words))}
+        is_long, n_parts = np.zeros(len(words), bool), np.ones(len(words), np.int64)
+        is_long[long], n_parts[long] = True, list(map(len, parts))
+        ids, counts = self._encode_parts([b"" if cut else w for w, cut in zip(words, is_long.tolist(), strict=True)] + list(distinct))
+        numbers = np.repeat(np.arange(len(words)), n_parts)
+        numbers[np.repeat(is_long, n_parts)] = [distinct[p] for p in chain.from_iterable(parts)]
+        own = counts[numbers]
+        return ids[_ragged(_starts(counts)[:-1][numbers], own)], np.diff(_starts(own)[_starts(n_parts)])
+
+    def _encode_parts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        p = (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        self._table(name, "w, p, tok", w=w, p=p, tok=self.bytes[np.frombuffer(b"".join(words), np.uint8)])
-
-    def encode_words(self, words: list[bytes], long: bool = False) -> Iterator[tuple[bytes, bytes]]:
-        """Of each word its ids, as decimal numbers joined by commas, and the bytes that they decode to."""
-        if long:
-            self._base("long_pieces", words)
-            left, before = len(words) and -1, 0
-            while left != before:
-                before = left
-                self.con.execute(ONE_ROUND)
-                self.con.execute("DROP TABLE long_pieces; ALTER TABLE next_round RENAME TO long_pieces")
-                (left,) = self.con.execute("SELECT count(*) FROM long_pieces").fetchone()
-            self.con.execute("CREATE OR REPLACE TABLE tokens AS SELECT * FROM long_pieces")
-        else:
-            self._base("base", words)
-            self.con.execute(f"CREATE OR REPLACE TABLE tokens AS {ENCODE}")
-        got = self.con.sql(GATHER).to_arrow_table()
-        return zip(map(str.encode, got["ids"].to_pylist()), got["text"].to_pylist(), strict=True)
-
-    def decode_sequences(self, sequences: pa.ListArray) -> list[bytes]:
-        """The bytes of each list of ids; of an empty one, none."""
-        self._table("sequences", "k, ids", k=pa.array(range(len(sequences)), pa.int32()), ids=sequences)
-        got = self.con.sql(DECODE).to_arrow_table()
-        out = [b""] * len(sequences)
-        for k, text in zip(got["k"].to_pylist(), got["text"].to_pylist(), strict=True):
-            out[k] = text
-        return out
+        order = np.argsort(lengths > LONG_PIECE, kind="stable")  # the long ones last
+        short = int((lengths <= LONG_PIECE).sum())
+        cost = np.cumsum(lengths[order] ** 2 // 2)
+        at = 0
+        while at < len(words):
+            if at < short:
+                end = min(short, max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + QUERY_ROWS, "right"))))
+            else:
+                end = max(at + 1, at + int(np.searchsorted(np.cumsum(lengths[order[at:]]), DECODED_IDS, "right")))
+            own = [words[i] for i in order[at:end].tolist()]
+            got = self._recursive(own) if at < short else self._by_rounds(own)
+            ids.append(got["tok"].to_numpy())
+            counts[order[at:end]] = np.bincount(got["w"].to_numpy(), minlength=len(own))
+            at = end
+        flat, first = np.concatenate(ids), np.zeros(len(words), np.int64)
+        first[order] = _starts(counts[order])[:-1]
+        return flat[_ragged(first, counts)], counts
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """The bytes of sequences of ids that lie one after another; of an empty one, none."""
+        groups = -(-lengths // GROUP_IDS)
+        sizes = np.full(int(groups.sum()), GROUP_IDS, np.int64)
+        last = np.cumsum(groups)[groups > 0] - 1
+        sizes[last] = (lengths - (groups - 1) * GROUP_IDS)[groups > 0]
+        texts: list[bytes] = []
+        at, ends, a = 0, np.cumsum(sizes), 0
+        while a < len(sizes):
+            z = max(a + 1, int(np.searchsorted(ends, at + DECODED_IDS, "right")))
+            own = ids[at : ends[z - 1]]
+            self._table("sequences", k=np.repeat(np.arange(z - a, dtype=np.int32), sizes[a:z]), p=np.arange(len(own), dtype=np.int32), tok=own)
+            texts += [t.encode("latin-1") for t in self.con.sql(DECODE).to_arrow_table()["text"].to_pylist()]
+            at, a = int(ends[z - 1]), z
+        if len(texts) != len(sizes):
+            raise ValueError("ids that are not in the vocabulary")
+        if int(groups.max(initial=0)) <= 1 and len(texts) == len(lengths):
+            return texts
+        first = _starts(groups).tolist()
+        return [b"".join(texts[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
 
     def forget(self) -> None:
         """Give back the memory of words: a Python worker outlives its task and serves other operators."""
-        self.ids, self.decoded = {}, {}
-        for name in ("base", "tokens", "long_pieces", "sequences"):
-            self.con.execute(f"DROP TABLE IF EXISTS {name}")
+        self.numbers: dict[str, int] = {}
+        self.ids, self.counts, self.names = np.zeros(0, np.int32), np.zeros(0, np.int64), pa.array([], pa.string())
+        for name in ("base", "long_pieces", "next_round", "finished", "sequences"):
+            self.con.execute(f"DROP TABLE IF EXISTS {name}").fetchall()
 
     def learn(self, words: set[str]) -> None:
-        """Encode and decode the words that were not met before."""
-        if len(self.ids) + len(words) > KEPT_WORDS:
+        """Encode the words that were not met before."""
+        if len(self.numbers) + len(words) > KEPT_WORDS:
             self.forget()
-        new = [(w, w.encode()) for w in words if w not in self.ids]
-        for w, b in new:
-            if b in self.ranks:  # a piece that is a token is not split
-                self.ids[w] = ids = str(self.ranks[b]).encode()
-                self.decoded[ids] = b
-        parts = [x for x in new if x[0] not in self.ids]
-        for long, group in enumerate(([x for x in parts if len(x[1]) <= LONG_PIECE], [x for x in parts if len(x[1]) > LONG_PIECE])):
-            for i in range(0, len(group), WORDS_A_QUERY):
-                own = group[i : i + WORDS_A_QUERY]
-                for (w, _), (ids, text) in zip(own, self.encode_words([b for _, b in own], bool(long)), strict=True):
-                    self.ids[w] = ids
-                    self.decoded[ids] = text
+        new = [w for w in words if w not in self.numbers]
+        if not new:
+            return
+        ids, counts = self.encode_words([w.encode() for w in new])
+        names = pc.binary_join(pa.ListArray.from_arrays(pa.array(_starts(counts), pa.int32()), pa.array(ids).cast(pa.string())), ",")
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        self.ids, self.counts, self.names = np.append(self.ids, ids), np.append(self.counts, counts), pa.concat_arrays([self.names, names])
+
+    def encode(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Of each text its ids as decimals joined by commas; all ids one after another; how many each text has."""
+        found = [find_pretokens(t) for t in texts]
+        self.learn(set().union(*found))
+        at = _starts(np.fromiter(map(len, found), np.int64, len(found)))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(found)), np.int64, at[-1])
+        counts = self.counts[numbers]
+        flat = self.ids[_ragged(_starts(self.counts)[:-1][numbers], counts)]
+        decimals = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), self.names.take(pa.array(numbers))), ",")
+        return decimals, flat, np.diff(_starts(counts)[at])
 
 
 _loaded: dict[str, Codec] = {}
@@ -163,43 +252,30 @@ def codec(path: str) -> Codec:
     return _loaded[path]
 
 
-def _ids_array(text: bytes) -> list[int]:
-    return list(map(int, text.split(b","))) if text else []
-
-
-def _encoded(own: Codec, texts: list[str], outputs: tuple[str, ...]) -> dict[str, list]:
-    found = [find_pretokens(t) for t in texts]
-    own.learn(set().union(*found))
-    pieces = [list(map(own.ids.__getitem__, words)) for words in found]
-    ids = [b",".join(p) for p in pieces]
-    out = {"n_tokens": [x.count(b",") + 1 if x else 0 for x in ids], "ids_text": ids}
-    if "decoded" in outputs:
-        out["decoded"] = [b"".join(map(own.decoded.__getitem__, p)) for p in pieces]
-    if "ids" in outputs:
-        out["ids"] = list(map(_ids_array, ids))
-    return out
-
-
 def encode(documents: DataFrame, path: str, text: str = "text", outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
     """documents with n_tokens and the outputs asked for: ids (array), ids_text (decimals joined by commas), decoded (bytes
     that the ids decode to)."""
-    kinds = {"n_tokens": (T.LongType(), pa.int64()), "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "ids_text": (T.StringType(), pa.string()), "decoded": (T.BinaryType(), pa.binary())}
+    kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_text": T.StringType(), "decoded": T.BinaryType()}
     added = ["n_tokens", *outputs]
     prepare(documents.sparkSession)
     keep = [c for c in documents.columns if c.lower() not in (text.lower(), *added)]
     frame = documents.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
     schema = frame.drop("__text").schema
     for name in added:
-        schema = schema.add(name, kinds[name][0])
+        schema = schema.add(name, kinds[name])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         try:
             for batch in it:
-                for first, last, _, _ in chunks(texts := batch.column(len(keep))):
-                    out = _encoded(own, texts.slice(first, last - first).to_pylist(), outputs)
-                    kept = batch.slice(first, last - first).columns[: len(keep)]
-                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[x], kinds[x][1]) for x in added)], names=[*keep, *added])
+                for first, last, _, _ in chunks(texts := batch.column(len(keep)), TEXT_BYTES):
+                    decimals, flat, counts = own.encode(texts.slice(first, last - first).to_pylist())
+                    out = {"n_tokens": pa.array(counts, pa.int64()), "ids_text": decimals}
+                    if "ids" in outputs:
+                        out["ids"] = pa.ListArray.from_arrays(pa.array(_starts(counts), pa.int32()), pa.array(flat, pa.int32()))
+                    if "decoded" in outputs:
+                        out["decoded"] = pa.array(own.decode(flat, counts), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns[: len(keep)], *(out[x] for x in added)], names=[*keep, *added])
         finally:
             own.forget()
 
@@ -215,8 +291,9 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", output: str = "decoded
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            lists = batch.column(at)
-            done = codec(path).decode_sequences(lists.cast(pa.list_(pa.int32())))
+            lists = batch.column(at).cast(pa.list_(pa.int32()))
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            done = codec(path).decode(lists.flatten().to_numpy(zero_copy_only=False), lengths)
             valid = lists.is_valid().to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x if ok else None for x, ok in zip(done, valid, strict=True)], pa.binary())], names=[*keep, output])
 
