@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from newsframe.llm import ann_search, chat_format, decontamination, license_scan, ngram_join, sharding
 
@@ -55,12 +56,43 @@ def brute_components(rows):
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [4_000_000, 500])
-def test_join_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, hot_sets, bucket", [(4_000_000, 16, 4_000_000), (500, 2, 200)])
+def test_join_equals_brute_force(spark, monkeypatch, block, hot_sets, bucket):
+    """In one block and bucket, and with many of them and every shingle of two sets or more in a task hot."""
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
     rows = list(enumerate(made_texts()))
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert {tuple(r) for r in ngram_join.jaccard_components(frame).collect()} == brute_components(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("key", F.lit("own")).withColumn("hot", F.lit(1))
+    assert {tuple(r) for r in ngram_join.jaccard_components(frame, hot_sets=hot_sets, bucket_shingles=bucket).collect()} == brute_components(rows)
+
+
+def test_join_of_very_long_texts(spark):
+    dice = random.Random(6)
+    long = [str(dice.randrange(10**6)) for _ in range(60_000)]
+    other = long[:30_000] + ["new"] + long[30_001:]
+    rows = [(3, " ".join(long)), (1, " ".join(other)), (2, " ".join(long[:40_000]))]
+    got = {tuple(r) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and {r[2] for r in got if r[0] != 2} == {1}
+
+
+def test_blocks_links_are_components():
+    """Components of a block are those of all its links, whichever sets are searched."""
+    dice = random.Random(9)
+    sets, sizes = [], []
+    for group in range(12):
+        base = dice.sample(range(1000 * group, 1000 * group + 300), 100)
+        for _ in range(dice.randrange(1, 30)):
+            base = [x if dice.random() > 0.05 else dice.randrange(1000 * group, 1000 * group + 300) for x in base]
+            sets.append(np.array(sorted({*base, 10**6}), np.uint64))
+    sizes = np.array([len(s) for s in sets])
+    order = dice.sample(range(len(sets)), len(sets))
+    sets, sizes = [sets[i] for i in order], sizes[order]
+    root = list(range(len(sets)))
+    index = ngram_join.DivideSkip(sets, sizes)
+    for i in range(len(sets)):
+        for j in index.search(i).tolist():
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    assert ngram_join.block_links(sets, sizes).tolist() == root
 
 
 def test_join_edges(spark):
