@@ -1,15 +1,15 @@
 """Benchmark decontamination by an FM-index over each shard of the training texts.
 
 Words are runs of ASCII digits, letters (A-Z in lower case) and bytes from 0x80; a window is WINDOW consecutive words of a
-benchmark item (an item of fewer words is one window). A shard is some SHARD_BYTES of the texts of one partition. In it
-every word gets its number in the benchmark's vocabulary; other words can't be part of an occurrence, so the runs between
-them that are as long as the shortest window are what is indexed: their Burrows-Wheeler transform in a wavelet matrix, with
-the positions of every SAMPLE-th suffix. All windows are searched backward at once, a step of each at a time, with ranks from
+benchmark item (an item of fewer words is one window). A shard is some SHARD_BYTES of the texts of one partition. Its words are
+numbered by its own vocabulary and indexed once, whole, whatever the benchmark is: their Burrows-Wheeler transform in a wavelet matrix, with
+the positions of every SAMPLE-th suffix. Windows of which the shard has every word are searched backward together, a step of each at a time, with ranks from
 the wavelet matrix; the occurrences are located by walking to a sampled suffix; a document's hit words that stand together are one
 removal span.
 
 The texts are not shuffled. The benchmark is the stated query set: it is taken in blocks of about BLOCK_WORDS words, each
-broadcast by itself (some 20 bytes a word), and each shard's index meets block after block, so that no memory grows with the benchmark.
+broadcast by itself (some 20 bytes a word). A shard's index meets block after block, of which a worker holds one at a time; those that don't
+fit in Spark's memory it keeps on disk.
 
 Null text has no words. An item with a null id counts under the empty name; rows of one item id are one item. Empty tables,
 texts without words and benchmarks without words give no hits. Each row of documents gives one row; its columns are kept except those
@@ -54,14 +54,14 @@ class Windows:
             hashes.append(own)
             firsts.append(first[1:] + firsts[-1][-1])
         self.vocabulary, words = np.unique(np.concatenate(hashes), return_inverse=True)
-        self.words = words.astype(np.int32) + 1  # 0 is whatever the benchmark doesn't have
+        self.words = words.astype(np.int32)
         first = np.concatenate(firsts)
         lengths = np.diff(first)
         count = np.where(lengths == 0, 0, np.maximum(1, lengths - window + 1))
         item = np.repeat(np.arange(len(count)), count)
         start = np.repeat(first[:-1], count) + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
         length = np.minimum(window, lengths)[item]
-        columns = [np.where(k < length, self.words[np.minimum(start + k, len(self.words) - 1)], 0) if len(start) else start for k in range(window)]
+        columns = [np.where(k < length, self.words[np.minimum(start + k, len(self.words) - 1)], -1) if len(start) else start for k in range(window)]
         order = np.lexsort(columns[::-1])
         same = np.all([c[order][1:] == c[order][:-1] for c in columns], axis=0) if len(order) else np.zeros(0, bool)
         at = np.flatnonzero(np.append(True, ~same)[: len(order)])
@@ -69,10 +69,6 @@ class Windows:
         self.items, self.items_at = item[order].astype(np.int32), np.append(at, len(order))
         self.names = names
 
-    @property
-    def shortest(self) -> int:
-        return int(self.length.min()) if len(self.length) else 0
-
 
 class WaveletMatrix:
     """Symbols level by level from their highest bit; rank() counts a symbol before a position."""
@@ -102,27 +98,34 @@ class WaveletMatrix:
         return at - self.begin[symbol]
 
 
+def _suffix_order(text: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by prefix doubling of those that are still equal; each 0 differs from all others, so that no comparison goes beyond one."""
+    ends = np.flatnonzero(text == 0)
+    rank = text.astype(np.int64) + len(ends)
+    rank[ends] = np.arange(len(ends))
+    order = np.argsort(rank, kind="stable")
+    first = np.append(True, rank[order[1:]] != rank[order[:-1]])[: len(order)]
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))  # from here on, where its group begins
+    width, equal = 1, order[~(first & np.append(first[1:], True))]
+    while len(equal):
+        equal = equal[np.argsort(rank[equal] * (len(text) + 1) + rank[equal + width], kind="stable")]
+        old, follow, at = rank[equal], rank[equal + width], np.arange(len(equal))
+        group = np.append(True, old[1:] != old[:-1])
+        part = group | np.append(True, follow[1:] != follow[:-1])
+        begin = np.maximum.accumulate(np.where(group, at, 0))
+        order[old + at - begin] = equal
+        rank[equal] = old + np.maximum.accumulate(np.where(part, at, 0)) - begin
+        equal = equal[~(part & np.append(part[1:], True))]
+        width *= 2
+    return order
+
+
 class FMIndex:
     """Over runs of symbols from 1 on, each ended by a 0 of its own."""
 
     def __init__(self, text: np.ndarray, highest: int):
         n = len(text)
-        ends = np.flatnonzero(text == 0)
-        rank = text.astype(np.int64) + len(ends)
-        rank[ends] = np.arange(len(ends))
-        width = 1
-        order = np.argsort(rank, kind="stable")
-        while True:  # prefix doubling; the ends differ, so no comparison goes beyond one
-            follow = np.full(n, -1, np.int64)
-            follow[: n - width] = rank[width:]
-            key = rank * (n + highest + 2) + follow + 1
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            new = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
-            rank[order] = new
-            if new[-1] == n - 1:
-                break
-            width *= 2
+        order = _suffix_order(text)
         bwt = text[order - 1]
         self.matrix = WaveletMatrix(bwt, max(1, int(highest).bit_length()))
         self.bwt, self.n = bwt, n
@@ -158,31 +161,37 @@ class FMIndex:
         return self.positions[self.nth[rows]] + steps
 
 
-def occurrences(hashes: np.ndarray, first: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and the numbers of the words where they begin, in texts whose words begin at first[i]."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(windows.start) or not len(hashes):
-        return none
-    at = np.minimum(np.searchsorted(windows.vocabulary, hashes), len(windows.vocabulary) - 1)
-    known = windows.vocabulary[at] == hashes
-    starts = known.copy()
-    starts[1:] &= ~known[:-1]
-    heads = first[:-1][first[1:] > first[:-1]]
-    starts[heads] = known[heads]
-    ends = known.copy()
-    ends[:-1] &= ~known[1:]
-    ends[heads[1:] - 1] = known[heads[1:] - 1]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    long = ends - starts >= windows.shortest
-    starts, lengths = starts[long], (ends - starts)[long]
-    if not len(starts):
-        return none
-    words = np.repeat(starts - np.append(0, np.cumsum(lengths + 1)[:-1]), lengths + 1) + np.arange((lengths + 1).sum())
-    text = (at[np.minimum(words, len(at) - 1)] + 1).astype(np.int32)
-    text[np.cumsum(lengths + 1) - 1] = 0
-    index = FMIndex(text, len(windows.vocabulary))
-    ids, low, high = index.search(windows.words, windows.start, windows.length)
-    return np.repeat(ids, high - low), words[index.locate(low, high)]
+class Shard:
+    """The words of some texts, of which text i has those from first[i] on, and their index."""
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray):
+        self.vocabulary, words = np.unique(hashes, return_inverse=True)
+        self.first, n = first, len(first) - 1
+        text = np.zeros(len(words) + n, np.int32)
+        text[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(first))] = words + 1
+        self.index = FMIndex(text, len(self.vocabulary)) if n else None
+
+    def occurrences(self, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, the texts that they are in, and the numbers of the words where they begin."""
+        none = np.zeros(0, np.int64)
+        if not len(windows.start) or not len(self.vocabulary):
+            return none, none, none
+        at = np.minimum(np.searchsorted(self.vocabulary, windows.vocabulary), len(self.vocabulary) - 1)
+        symbols = np.where(self.vocabulary[at] == windows.vocabulary, at + 1, 0)[windows.words]
+        missing = np.append(0, np.cumsum(symbols == 0))
+        some = np.flatnonzero(missing[windows.start + windows.length] == missing[windows.start])
+        ids, low, high = self.index.search(symbols, windows.start[some], windows.length[some])
+        places = self.index.locate(low, high)
+        texts = np.searchsorted(self.first[1:] + np.arange(1, len(self.first)), places, "right")
+        return np.repeat(some[ids], high - low), texts, places - texts
+
+
+def _held(block: Broadcast) -> Windows:
+    """The block's windows, without the worker keeping them once they are done with."""
+    windows = block.value
+    if hasattr(block, "_value"):
+        del block._value
+    return windows
 
 
 def _shard(data: np.ndarray, offsets: np.ndarray, blocks: list[Broadcast]):
@@ -191,12 +200,12 @@ def _shard(data: np.ndarray, offsets: np.ndarray, blocks: list[Broadcast]):
     n = len(first) - 1
     marks = np.zeros(len(hashes) + 1, np.int64)
     names: list[set[str]] = [set() for _ in range(n)]
+    shard = Shard(hashes, first)
     for block in blocks:
-        windows = block.value
-        ids, at = occurrences(hashes, first, windows)
+        windows = _held(block)
+        ids, doc, at = shard.occurrences(windows)
         np.add.at(marks, at, 1)
         np.add.at(marks, at + windows.length[ids], -1)
-        doc = np.searchsorted(first, at, "right") - 1
         pairs = np.unique(doc.astype(np.int64) * (len(windows.start) + 1) + ids)
         for d, w in zip(*(x.tolist() for x in np.divmod(pairs, len(windows.start) + 1)), strict=True):
             names[d].update(windows.names[i] for i in windows.items[windows.items_at[w] : windows.items_at[w + 1]].tolist())

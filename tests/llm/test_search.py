@@ -157,6 +157,32 @@ def test_decontamination_equals_brute_force(spark, block_words):
         assert len(words_of(row["cleaned"])) == row["n_words"] - row["n_hit"]
 
 
+def test_decontamination_of_empty_tables_and_very_long_texts(spark):
+    dice = random.Random(3)
+    words = [f"w{dice.randrange(5000)}" for _ in range(150_000)]
+    text = " ".join(words)
+    documents = spark.createDataFrame([(1, text, "old"), (2, "", "old"), (3, None, "old"), (4, "w1 " * 30, "old"), (4, "w1 " * 30, "old")], "doc_id long, text string, n_words string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    got = decontamination.mark_contamination(documents, none).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], len(r["item_ids"]), len(r["spans"])) for r in got) == [(1, 150_000, 0, 0, 0), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0), (4, 30, 0, 0, 0), (4, 30, 0, 0, 0)]
+    items = spark.createDataFrame([(1, " ".join(words[70_000:70_040])), (2, "... !"), (3, None), (4, "w1 " * 12)], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontamination.mark_contamination(documents, items).collect()}
+    assert (found[1]["n_hit"], found[1]["item_ids"]) == (40, ["1"]) and (found[4]["n_hit"], found[4]["item_ids"]) == (30, ["4"])
+    begin = len(" ".join(words[:70_000])) + 1
+    assert [tuple(s) for s in found[1]["spans"]] == [(begin, begin + len(" ".join(words[70_000:70_040])))]
+    assert decontamination.mark_contamination(documents.limit(0), items).collect() == []
+
+
+def test_suffix_order():
+    dice = np.random.default_rng(1)
+    for n, kinds in ((1, 1), (40, 2), (400, 2), (400, 50)):
+        text = dice.integers(0, kinds + 1, n).astype(np.int32)
+        text[-1] = 0
+        ends = np.cumsum(text == 0)
+        key = lambda i: [(0, int(ends[j])) if text[j] == 0 else (1, int(text[j])) for j in range(i, n)]
+        assert decontamination._suffix_order(text).tolist() == sorted(range(n), key=key)
+
+
 def test_fm_index_locates_all(spark):
     dice = np.random.default_rng(2)
     text = dice.integers(1, 4, 500).astype(np.int32)
