@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from newsframe.llm import ann_search, chat_format, decontamination, license_scan, ngram_join, sharding
+from newsframe.llm import ann_search, catalog, chat_format, decontamination, license_scan, ngram_join, sharding
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -224,6 +224,41 @@ def test_neighbours(spark):
     assert len(few) == 3
 
 
+def brute_nearest(ids, vectors, queries, k=10):
+    """Ids of each query's k nearest, ties to the smaller id."""
+    out = {}
+    for q in queries:
+        distance = np.sqrt(((vectors - vectors[ids == q][0]) ** 2).sum(axis=1))
+        out[q] = [int(i) for i in ids[np.lexsort((ids, distance))] if i != q][:k]
+    return out
+
+
+def test_recall_on_the_embeddings(spark, monkeypatch):
+    """The registered query, and the same with many cells, against brute force over the whole table."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, vectors = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(np.float64)
+    want = brute_nearest(ids, vectors, [q for q in ids.tolist() if q % 100 == 0])
+    for cell in (4096, 100):
+        monkeypatch.setattr(ann_search, "CELL", cell)
+        got = catalog.op4_nearest_neighbours(spark, "/root/testdata/sf0.1").collect()
+        assert len(got) == 10 * len(want)
+        assert sum(r["vec_id"] in want[r["query_id"]] for r in got) / len(got) >= 0.95
+
+
+def test_cells_part_the_space():
+    dice = np.random.default_rng(6)
+    points = dice.normal(size=(5000, 8))
+    points[:2000] = points[0]
+    cells = ann_search.Cells(points, 37)
+    where = cells.find(points)
+    assert 30 <= len(cells.lows) <= 37 and len(np.unique(where[:2000])) == 1
+    assert ((points >= cells.lows[where]) & (points <= cells.highs[where])).all()
+    clustered = np.repeat(dice.normal(size=(40, 8)) * 100, 100, axis=0) + dice.normal(size=(4000, 8)) * 0.01
+    cells = ann_search.Cells(clustered, 40)
+    assert np.mean([len(cells.within(p, 1.0)) for p in clustered[::50]]) < 4
+    assert len(cells.within(clustered[0], math.inf)) == len(cells.lows)
+
+
 def test_chi_square():
     assert abs(float(ann_search.chi_square(ann_search.quantile(0.97))) - 0.97) < 1e-9
     draws = (np.random.default_rng(1).standard_normal((100_000, 8)) ** 2).sum(axis=1)
