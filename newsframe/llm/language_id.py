@@ -9,7 +9,11 @@ A model is fitted on at most SAMPLE labelled rows of every language, MOST_ROWS i
 bytes a row). Beyond MOST_LANDMARKS / LANDMARKS languages each has fewer landmarks and rows, so that the broadcast model has a fixed size; more than
 sampling.MOST_LABELS languages are an error. Nothing is shuffled but the sample.
 
-Null texts and texts without letters are `und` with score 0, as is everything where no row is labelled. Ties go to the language first in
+Whether a text fits the language found is another question, as each text is nearest to some language: `fits` asks for the share of the text's n-grams that the
+language's landmarks have (FIT_PRIOR counted in addition, so that a few n-grams decide nothing), and compares it to FIT_MARGIN of what all but one in a hundred of the
+language's own labelled rows have (of a landmark, in the others).
+
+Null texts and texts without letters are `und` with score 0 and don't fit, as is everything where no row is labelled. Ties go to the language first in
 order. Each row gives one row; columns with the names of results are replaced.
 """
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,8 @@ SAMPLE = 300
 MOST_LANDMARKS = 64 * LANDMARKS
 MOST_ROWS = 64 * SAMPLE
 RIDGE = 1e-3
+FIT_PRIOR = 8
+FIT_MARGIN = 0.9
 #: Texts in one matrix product.
 ROWS = 256
 UNDETERMINED = "und"
@@ -65,27 +72,46 @@ class KernelModel:
     languages: list[str]
     landmarks: np.ndarray  # BUCKETS x landmarks, each column scaled by the root of its number of n-grams
     weights: np.ndarray  # landmarks x languages
+    owners: np.ndarray  # the language of each landmark
+    least_fit: np.ndarray  # of each language
 
     def scores(self, bits: np.ndarray) -> np.ndarray:
         size = np.sqrt(np.maximum(1, bits.sum(axis=1, dtype=np.float32)))
         return (bits.astype(np.float32) @ self.landmarks / size[:, None]) @ self.weights
 
+    @cached_property
+    def known(self) -> np.ndarray:
+        """Buckets x languages: whether a landmark of the language has the n-gram."""
+        return np.stack([(self.landmarks[:, self.owners == k] > 0).any(axis=1) for k in range(len(self.languages))], axis=1).astype(np.float32)
+
+    def fit(self, bits: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """The share of each text's n-grams that a language has."""
+        own = (bits.astype(np.float32) @ self.known)[np.arange(len(bits)), language]
+        return (own + FIT_PRIOR) / (bits.sum(axis=1) + FIT_PRIOR)
+
 
 def fit_kernel(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
     """From presence bits and labels; the first rows of each label are its landmarks."""
     languages = sorted(set(labels))
     if not languages:
-        return KernelModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32))
+        return KernelModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.int64), np.zeros(0))
     own = np.searchsorted(languages, labels)
     unit = lambda rows: rows.astype(np.float32) / np.sqrt(np.maximum(1, rows.sum(axis=1, dtype=np.float32)))[:, None]
     landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(languages)))
-    marks = unit(bits[np.concatenate([np.flatnonzero(own == k)[:landmarks] for k in range(len(languages))])])
+    chosen = np.concatenate([np.flatnonzero(own == k)[:landmarks] for k in range(len(languages))])
+    marks = unit(bits[chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     features = np.concatenate([unit(bits[a : a + 4 * ROWS]) @ marks.T for a in range(0, len(bits), 4 * ROWS)]).astype(np.float64) @ root
     targets = np.where(own[:, None] == np.arange(len(languages)), 1.0, -1.0)
     solved = np.linalg.solve(features.T @ features + ridge * len(own) * np.eye(len(root)), features.T @ targets)
-    return KernelModel(languages, np.ascontiguousarray(marks.T), (root @ solved).astype(np.float32))
+    model = KernelModel(languages, np.ascontiguousarray(marks.T), (root @ solved).astype(np.float32), own[chosen], np.zeros(len(languages)))
+    for k in range(len(languages)):
+        mine = np.flatnonzero(own == k)
+        times = bits[chosen[own[chosen] == k]].sum(axis=0)  # landmarks with each n-gram; a landmark is not asked about its own
+        shares = [(int((times[b] > (i in chosen)).sum()) + FIT_PRIOR) / (int(b.sum()) + FIT_PRIOR) for i, b in zip(mine.tolist(), bits[mine], strict=True)]
+        model.least_fit[k] = FIT_MARGIN * np.quantile(shares, 0.01)
+    return model
 
 
 def fit_language_model(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> KernelModel:
@@ -105,13 +131,13 @@ def fit_language_model(labelled: DataFrame, text: str = "text", label: str = "la
 
 
 def predict_language(documents: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:
-    """documents with lang_pred and score (the best language's regression, from -1 to 1, brought to 0 to 1)."""
+    """documents with lang_pred, score (the best language's regression, from -1 to 1, brought to 0 to 1) and fits."""
     spark = documents.sparkSession
     prepare(spark)
-    keep = [c for c in documents.columns if c.lower() not in ("lang_pred", "score")]
+    keep = [c for c in documents.columns if c.lower() not in ("lang_pred", "score", "fits")]
     words = F.col(f"`{text}`").cast("string")
     frame = documents.select(*(F.col(f"`{c}`") for c in keep), F.when(words.rlike(r"\p{L}"), words).alias("__text"))
-    schema = frame.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = frame.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("fits", "boolean")
     sent = spark.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +145,14 @@ def predict_language(documents: DataFrame, model: KernelModel, text: str = "text
         names = np.array([*own.languages, UNDETERMINED], object)
         for batch in it:
             texts = batch.column(len(keep))
-            if own.languages:
-                found = np.concatenate([np.zeros((0, len(own.languages))), *map(own.scores, presence(texts))])
-                best, score = found.argmax(axis=1), np.clip((found.max(axis=1, initial=-1) + 1) / 2, 0, 1)
-            else:
-                best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+            best, score, fits = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
+            at = 0
+            for bits in presence(texts) if own.languages else ():
+                found, here = own.scores(bits), slice(at, at := at + len(bits))
+                best[here], score[here] = found.argmax(axis=1), np.clip((found.max(axis=1) + 1) / 2, 0, 1)
+                fits[here] = own.fit(bits, best[here]) >= own.least_fit[best[here]]
             none = texts.is_null().to_numpy(zero_copy_only=False) | (not own.languages)
-            best[none], score[none] = len(own.languages), 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names[best].tolist(), pa.string()), pa.array(score.astype(np.float64))], names=[*keep, "lang_pred", "score"])
+            best[none], score[none], fits[none] = len(own.languages), 0.0, False
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(fits)], names=[*keep, "lang_pred", "score", "fits"])
 
     return frame.mapInArrow(batches, schema)

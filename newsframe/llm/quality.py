@@ -10,7 +10,7 @@ A model is fitted on at most SAMPLE labelled rows of each label, whose features
 WORD_BUCKETS a row). The broadcast model has a fixed size. Labels are sampled first; that bounded sample of keys is broadcast to find its texts.
 
 Null text is scored as empty: no words, all statistics in their first bin. Without labels every score is 0.5. Each row gives one row; columns
-with the names of results are replaced. Of rows with one key one is learnt from.
+with the names of results are replaced. Of rows with one key that with the least features is learnt from.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def fit_quality_model(documents: DataFrame, labels: DataFrame, text: str = "text
                 packed += [flat[a:b].tobytes() for a, b in zip((ends - counts - STATISTICS).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["key", "label", "features"])
 
-    got = rows.mapInArrow(batches, rows.select("key", "label").schema.add("features", "binary")).dropDuplicates(["key"]).toArrow().sort_by("key")
+    got = rows.mapInArrow(batches, rows.select("key", "label").schema.add("features", "binary")).groupBy("key").agg(F.min(F.struct("label", "features")).alias("r")).select("key", "r.*").toArrow().sort_by("key")
     return fit_machine([np.frombuffer(x, np.int32) for x in got.column("features").to_pylist()], np.array(got.column("label").to_pylist(), np.float32))
 
 

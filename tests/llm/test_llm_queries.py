@@ -1,11 +1,19 @@
 """The registered queries of this package against their SQL, and the pipeline's stages."""
 
+import base64
+
+import public_tokenizers as P
 import pytest
+import tiktoken
 
 import corpus_pipeline
 from newsframe.llm.catalog import ORACLES, QUERIES
+from newsframe.llm.language_id import fit_language_model, predict_language
+from newsframe.llm.quality import fit_quality_model, score_quality
+from newsframe.llm.sampling import fold
 
 from ..oracle import connection, same
+from .test_search import brute_components, brute_spans
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -25,6 +33,38 @@ def test_pipeline(spark, sf_dir):
     assert all(r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in got)
 
 
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """The models' verdicts are asked for a row at a time; everything after them is worked out here."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit_language_model(docs.filter(fold(docs["doc_id"], 3) != 1))
+    first = predict_language(docs, model).filter("lang_pred <> 'und' AND fits").select(docs.columns).persist()
+    second = score_quality(first, fit_quality_model(first, labels.filter(fold(labels["doc_id"], 4) != 2))).filter("score >= 0.7").collect()
+    text = {r["doc_id"]: r["text"] for r in second}
+    left = {i: text[i] for i, _, root in brute_components(list(text.items())) if i == root}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for i, t in left.items():
+        for a, b in reversed(brute_spans(t, items)):
+            t = t[:a] + t[b:]
+        want[i] = library.encode_ordinary(t)
+    assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
+    assert 0 < len(want) < len(text) < first.count() + 1
+
+
+def test_language_stage_leaves_out_what_fits_no_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    german = docs.filter("lang = 'de'").withColumn("doc_id", docs["doc_id"] + 10_000).withColumn("lang", docs["source"].substr(1, 0)).selectExpr("doc_id", "text", "nullif(lang, '') AS lang", "source", "n_chars")
+    other = spark.createDataFrame([(20_000, "Это совсем другой язык и другая письменность, которой здесь нет", None, "s", 60), (20_001, "これは学習されていない言語の文章です。日本語です", None, "s", 24)], docs.schema)
+    learnt = docs.filter("lang <> 'de'")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, learnt.unionByName(german).unionByName(other), sf_dir).collect()}
+    assert not kept & {20_000, 20_001}
+    clean = {r["doc_id"] for r in learnt.filter("text rlike '\\\\p{L}'").collect()}
+    assert len(clean & kept) >= 0.98 * len(clean) and len(kept - clean) <= 0.1 * german.count()
+
+
 def test_stages_take_empty_tables_and_nulls(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     nulls = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, None)], docs.schema)

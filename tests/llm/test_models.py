@@ -93,6 +93,70 @@ def test_every_language_is_learnt(spark):
     assert len(got) == len(rows) and all(r["lang"] == r["lang_pred"] for r in got)
 
 
+def grams(text):
+    """Hashed n-grams of a text, one at a time."""
+    data = [b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode()]
+    found = set()
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            code = 0
+            for b in data[i : i + n]:
+                code = (code * 256 + b) % 2**32
+            found.add(((code ^ (n << 29) % 2**32) * 0x9E3779B1 % 2**32) >> 18)
+    return found
+
+
+def test_language_against_brute_force(spark):
+    """The whole operator over the smallest table: kernels by sets, the regression in the landmarks' span solved by least squares."""
+    sf = "/root/testdata/sf0.001"
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    learnt = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] and any(c.isalpha() for c in r["text"] or "")]
+    order = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.xxhash64("doc_id")).collect()}
+    chosen = []
+    for lang in sorted({r["lang"] for r in learnt}):
+        own = sorted((r for r in learnt if r["lang"] == lang), key=lambda r: (order[r["doc_id"]], r["doc_id"]))[:300]
+        chosen += sorted(own, key=lambda r: r["doc_id"])
+    languages = sorted({r["lang"] for r in chosen})
+    sets = {r["doc_id"]: grams(r["text"]) for r in rows if r["text"]}
+    kernel = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a]) * len(sets[b])) ** 0.5
+    marks = [r["doc_id"] for lang in languages for r in [r for r in chosen if r["lang"] == lang][:32]]
+    among = np.array([[kernel(a, b) for b in marks] for a in marks])
+    seen = np.array([[kernel(r["doc_id"], b) for b in marks] for r in chosen])
+    targets = np.array([[1.0 if r["lang"] == lang else -1.0 for lang in languages] for r in chosen])
+    weights = np.linalg.lstsq(seen.T @ seen + 1e-3 * len(chosen) * among, seen.T @ targets, rcond=None)[0]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op3_language_id(spark, sf).collect()}
+    for r in rows:
+        if any(c.isalpha() for c in r["text"] or ""):
+            values = np.array([kernel(r["doc_id"], b) for b in marks]) @ weights
+            assert got[r["doc_id"]][0] == languages[int(values.argmax())]
+            assert abs(got[r["doc_id"]][1] - min(1.0, (values.max() + 1) / 2)) < 0.02
+
+
+def test_quality_against_brute_force(spark):
+    """Scores of the registered query from the fitted model's numbers, features and pairs one at a time."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    model = fit_quality_model(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in op8_quality(spark, sf).collect()}
+    for r in docs.collect():
+        ((flat, counts),) = features(pa.array([r["text"] or ""]))
+        weights = [1 / max(1, counts[0]) ** 0.5] * int(counts[0]) + [1.0] * STATISTICS
+        assert len(flat) == len(weights)
+        total = model.bias + sum(float(model.linear[f]) * w for f, w in zip(flat, weights, strict=True))
+        vectors = model.factors[flat].astype(np.float64) * np.array(weights)[:, None]
+        gram = vectors @ vectors.T
+        total += (gram.sum() - np.trace(gram)) / 2
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-total))) < 1e-3
+
+
+def test_repeated_keys_are_determined(spark):
+    rows = [(1, "first text of the key"), (1, "second text of the key"), (2, "bad bad bad"), (2, "bad bad bad")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int")
+    models = [fit_quality_model(spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n), labels) for step, n in ((1, 1), (-1, 3))]
+    assert (models[0].linear == models[1].linear).all() and models[0].bias == models[1].bias
+
+
 def test_landmarks_of_many_languages_are_bounded(monkeypatch):
     from newsframe.llm import language_id
 

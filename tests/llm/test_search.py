@@ -138,6 +138,20 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(found)
 
 
+def brute_spans(text, items):
+    """Where the runs of hit words begin and end in the text."""
+    words = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER)))
+    own, hit = [m.group() for m in words], set()
+    for _, item in items:
+        w = words_of(item)
+        n = min(10, len(w))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            hit.update(j for i in range(len(own) - n + 1) if own[i : i + n] == w[k : k + n] for j in range(i, i + n))
+    first = [i for i in sorted(hit) if i - 1 not in hit]
+    last = [i for i in sorted(hit) if i + 1 not in hit]
+    return [(words[a].start(), words[b].end()) for a, b in zip(first, last, strict=True)]
+
+
 @pytest.mark.parametrize("block_words", [1_000_000, 20])
 def test_decontamination_equals_brute_force(spark, block_words):
     dice = random.Random(6)
