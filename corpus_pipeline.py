@@ -15,15 +15,13 @@ from newsframe.llm.sampling import fold
 from newsframe.llm.session import prepare, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A language's regression is brought from -1..1 to 0..1; below this no language fits.
-LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have letters and fit one of the languages learnt from the labelled ones."""
+    """Documents that have letters and fit the language found, of those learnt from the labelled ones."""
     model = fit_language_model(docs.filter(fold(F.col("doc_id"), 3) != 1))
     found = predict_language(docs.select(COLUMNS), model)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(COLUMNS)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & F.col("fits")).select(COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
