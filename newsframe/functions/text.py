@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks that close a headline without belonging to it.
-TRAILING_MARKS = r"[।|,;:\-–—\s]+$"
+#: Marks that close a headline without belonging to it, as most sites have it, as one has it that keeps a dollar sign, and as one has it that
+#: takes a few and then blanks.
+TRAILING_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~।"
+TRAILING_MARKS_NO_DOLLAR = "!\"#%&'()*+,-./:;<=>?@[\\]^_`{|}~।"
+FEW_TRAILING_MARKS = "।!?.,:;'\""
+#: What a log line says of an article that was inserted or updated, of success and (besides 'error' in any case) of failure, and the states of a job.
+INSERTED_TOKENS = ("✓ Inserted new article", "Inserted new article id", "[OK] Inserted new article", "Inserted new article (id", "[OK] Inserted new article (ID:")
+UPDATED_TOKENS = ("✓ Updated existing article", "Updating existing article", "[OK] Updated existing article", "Updated existing article (id")
+SUCCESS_TOKENS = ("✓ Successfully processed", "✓ SUCCESS")
+FAILURE_TOKENS = ("Failed to scrape", "✗")
+STATES = ("finding", "extracting", "waiting")
 
 
 def normalized(text: Column) -> Column:
@@ -14,8 +27,9 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def without_trailing_marks(text: Column) -> Column:
-    return F.regexp_replace(text, TRAILING_MARKS, "")
+def without_trailing_marks(text: Column, marks: str = TRAILING_MARKS, then_trimmed: bool = False) -> Column:
+    kept = F.regexp_replace(text, "[" + re.sub(r"([\[\]\\^&-])", r"\\\1", marks) + r"]+\z", "")
+    return F.regexp_replace(kept, r"^\s+|\s+$", "") if then_trimmed else kept
 
 
 def without_last_word(text: Column) -> Column:
@@ -53,19 +67,23 @@ def paragraphs(text: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """'45s', '3m 20s' or '2h 5m'."""
+    """'45s', '3m 20s' or '2h 5m'; a second part of 0 is left out."""
     s = F.floor(seconds)
     part = lambda x, unit: F.concat(x.cast("string"), F.lit(unit))
-    return F.when(s < 60, part(s, "s")).when(s < 3600, F.concat(part(F.floor(s / 60), "m "), part(s % 60, "s"))).otherwise(F.concat(part(F.floor(s / 3600), "h "), part(F.floor(s % 3600 / 60), "m")))
+    both = lambda x, a, y, b: F.concat(part(x, a), F.when(y > 0, F.concat(F.lit(" "), part(y, b))).otherwise(""))
+    return F.when(s < 60, part(s, "s")).when(s < 3600, both(F.floor(s / 60), "m", s % 60, "s")).otherwise(both(F.floor(s / 3600), "h", F.floor(s % 3600 / 60), "m"))
+
+
+_STATUS = r"\[STATUS:(" + "|".join(STATES) + r"):(.+?)\]"
 
 
 def status_state(line: Column) -> Column:
-    """The state of a '[STATUS:state:detail]' line, null for others."""
-    return F.nullif(F.regexp_extract(line, r"\[STATUS:([^:\]]+)(?::([^\]]*))?\]", 1), F.lit(""))
+    """The state of a '[STATUS:state:detail]' line, null for others and for states that are none of STATES."""
+    return F.nullif(F.regexp_extract(line, _STATUS, 1), F.lit(""))
 
 
 def status_detail(line: Column) -> Column:
-    return F.nullif(F.regexp_extract(line, r"\[STATUS:([^:\]]+):([^\]]*)\]", 2), F.lit(""))
+    return F.nullif(F.regexp_extract(line, _STATUS, 2), F.lit(""))
 
 
 def progress(line: Column) -> Column:
@@ -75,14 +93,24 @@ def progress(line: Column) -> Column:
 
 
 def log_flags(line: Column) -> Column:
-    """What a log line tells; one line may tell of an insert and of success."""
-    low = F.lower(line)
-    return F.struct(low.contains("inserted").alias("inserted"), low.contains("updated").alias("updated"), low.rlike("success|inserted|updated").alias("success"), low.rlike("error|failed|exception").alias("error"))
+    """What a log line tells. processed: an insert or update counts one, success one more; a line may tell of both."""
+    any_of = lambda tokens: reduce(or_, (line.contains(t) for t in tokens))
+    inserted, updated, success = any_of(INSERTED_TOKENS), any_of(UPDATED_TOKENS), any_of(SUCCESS_TOKENS)
+    error = F.lower(line).contains("error") | any_of(FAILURE_TOKENS)
+    return F.struct(inserted.alias("inserted"), updated.alias("updated"), success.alias("success"), error.alias("error"), ((inserted | updated).cast("int") + success.cast("int")).alias("processed"))
+
 
+def word_set(text: Column, lower: bool = False) -> Column:
+    """Distinct runs of anything but blanks; none for null."""
+    return F.array_distinct(F.filter(F.split(F.coalesce(F.lower(text) if lower else text, F.lit("")), r"\s+"), lambda w: w != ""))
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Distinct words in common over all distinct words; 0 where neither has any."""
-    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))
-    x, y = words(a), words(b)
+
+def overlap(x: Column, y: Column) -> Column:
+    """Of two word sets those in common over all; 0 where neither has any."""
     both = F.size(F.array_union(x, y))
     return F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / both)
+
+
+def jaccard(a: Column, b: Column, lower: bool = False) -> Column:
+    """Distinct words in common over all distinct words, as they are written; 0 where neither has any."""
+    return overlap(word_set(a, lower), word_set(b, lower))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The eight divisions of location labels.
-DIVISIONS = ("dhaka", "chattogram", "rajshahi", "khulna", "barishal", "sylhet", "rangpur", "mymensingh")
+DIVISIONS = ("dhaka", "chittagong", "sylhet", "rajshahi", "khulna", "barisal", "rangpur", "mymensingh")
 
 
 def canonical_url(href: Column, base: str, host: str | None = None, prefix: str = "/", numeric_end: bool = False) -> Column:
@@ -62,34 +62,41 @@ def clean_image_url(url: Column) -> Column:
     return F.regexp_replace(plain, r"^(https?://[^/]+/)https?:/{1,2}[^/]+/", "$1")
 
 
-def location_fixed(label: Column) -> Column:
-    """'country/division/district/upazila' by position."""
-    parts = F.split(label, "/")
-    at = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit(""))
-    return F.struct(at(1).alias("division"), at(2).alias("district"), at(3).alias("upazilla"))
+def _location(division: Column, district: Column, upazilla: Column) -> Column:
+    return F.struct(division.alias("division"), district.alias("district"), upazilla.alias("upazilla"))
 
 
-def location_scan(label: Column, divisions: Sequence[str] = DIVISIONS) -> Column:
-    """The first known division among the parts and what follows; without a district the division stands for it."""
-    parts = F.transform(F.split(F.lower(label), "/"), lambda x: F.trim(x))
-    known = F.filter(F.transform(F.array(*(F.array_position(parts, d) for d in divisions)), lambda p: p.cast("int")), lambda p: p > 0)
-    at = F.array_min(known)
-    division, district, upazilla = (F.when(at.isNotNull(), F.nullif(F.get(parts, at - 1 + k), F.lit(""))) for k in range(3))
-    return F.struct(division.alias("division"), F.coalesce(district, division).alias("district"), upazilla.alias("upazilla"))
+def location_fixed(label: Column, prefix: str) -> Column:
+    """'<prefix>-division-district[-upazilla]' by position; null for labels of another beginning or without division and district."""
+    parts = F.split(label, "-")
+    division, district, upazilla = (F.nullif(F.get(parts, F.lit(prefix.count("-") + 1 + k)), F.lit("")) for k in range(3))
+    return F.when(label.startswith(prefix) & division.isNotNull() & district.isNotNull(), _location(division, district, upazilla))
 
 
 def location_known(label: Column, divisions: Sequence[str] = DIVISIONS) -> Column:
-    """A division only where the first part is one; what follows as district and upazila."""
-    parts = F.split(F.lower(label), "/")
-    ok = F.get(parts, F.lit(0)).isin(list(divisions))
-    at = lambda i: F.when(ok, F.nullif(F.get(parts, F.lit(i)), F.lit("")))
-    return F.struct(at(0).alias("division"), at(1).alias("district"), at(2).alias("upazilla"))
-
-
-def level_label(path: Column, marker: str = "country-news") -> Column:
-    """What the last segment of a path names: Division, District, Upazila below the marker, else Section or a level."""
-    at = F.array_position(path, marker)
-    depth = (F.size(path) - at).cast("int")
-    below = F.when(depth == 0, "Country").when(depth == 1, "Division").when(depth == 2, "District").when(depth == 3, "Upazila").otherwise(F.concat(F.lit("Level "), depth.cast("string")))
-    plain = F.when(F.size(path) <= 1, "Section").otherwise(F.concat(F.lit("Level "), F.size(path).cast("string")))
-    return F.when(at > 0, below).otherwise(plain)
+    """'site-division-district[-upazilla]', all that follows the district being the upazilla; null for fewer than three parts and for unknown divisions."""
+    parts = F.split(label, "-")
+    rest = F.when(F.size(parts) > 3, F.array_join(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), "-"))
+    return F.when((F.size(parts) >= 3) & F.get(parts, F.lit(1)).isin(list(divisions)), _location(F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), rest))
+
+
+def location_scan(label: Column, divisions: Sequence[str] = DIVISIONS, marker: str = "country") -> Column:
+    """In labels with the marker the first known division among the parts, the next part as district (else the division) and what follows as upazilla; in lower case."""
+    parts = F.split(F.lower(label), "-")
+    at = F.array_min(F.filter(F.array(*(F.array_position(parts, d) for d in divisions)), lambda p: p > 0)).cast("int")
+    division, district, first = (F.nullif(F.get(parts, at - 1 + k), F.lit("")) for k in range(3))
+    rest = F.when(first.isNotNull(), F.array_join(F.slice(parts, at + 2, F.greatest(F.size(parts) - at - 1, F.lit(0))), "-"))
+    return F.when(F.lower(label).contains(marker) & at.isNotNull(), _location(division, F.coalesce(district, division), rest))
+
+
+#: Names of the levels below the marker, and of the depths elsewhere.
+MARKED_LEVELS = ("Main Category", "Division", "District", "Upazilla", "Area")
+LEVELS = ("Root", "Main Category", "Sub-Category", "Sub-Sub Category", "Deep Category")
+
+
+def level_label(path: Column, label: Column, marker: str = "country-news") -> Column:
+    """What the last segment of a path names: by its depth below the marker where the path has it, else by the depth of the label's parts between hyphens."""
+    name = lambda names, depth: F.element_at(F.array(*(F.lit(n) for n in names)), F.least(depth, F.lit(len(names) - 1)) + 1)
+    below = (F.size(path) - F.array_position(path, marker)).cast("int")
+    marked = F.when(F.element_at(path, -1) == marker, MARKED_LEVELS[0]).otherwise(name(MARKED_LEVELS, below))
+    return F.when(F.array_contains(path, marker), marked).otherwise(name(LEVELS, F.size(F.split(label, "-")) - 1))

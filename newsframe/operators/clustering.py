@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import truncated
+from ..functions.text import overlap as overlap_of
+from ..functions.text import text_hash, truncated, word_set
 from ..functions.vectors import cosine
+from ..sources.readers import append_log
+from .filters import recent_window
 from .graph import components
+from .greedy import DROPPED, OPEN, TAKEN, taken_greedily
 from .joins import similar_pairs
 
-#: When a candidate joins an accepted member, by cosine and by the share of words in common.
+#: When a candidate joins an accepted member, by cosine and by the share of headline words in common.
 SURE_COSINE = 0.93
 OVERLAP_RULES = ((0.10, None), (0.60, 0.75), (0.35, 0.80))
+#: Fixed values: (least cosine, least overlap, verdict), the first that holds.
+VERDICTS = ((0.80, 0.12, "PASS"), (0.68, 0.40, "PASS (headline)"), (0.92, 0.0, "PASS (content)"))
+#: Texts that an encoder gets at once.
+ENCODED_AT_ONCE = 32
 
 
 def accepted(score: Column, overlap: Column, threshold: float) -> Column:
@@ -25,6 +35,14 @@ def accepted(score: Column, overlap: Column, threshold: float) -> Column:
     return rules
 
 
+def verdict(score: Column, overlap: Column) -> Column:
+    """What a pair's cosine and headline overlap come to when encoders are compared."""
+    found = F.lit("FAIL")
+    for least_score, least_overlap, name in reversed(VERDICTS):
+        found = F.when((score >= least_score) & (overlap >= least_overlap), name).otherwise(found)
+    return found
+
+
 def similarity_clusters(vectors: DataFrame, threshold: float) -> DataFrame:
     """(cluster_id, article_id): DBSCAN with two members at least, where every point with a neighbour is a core point: the components of the pairs with
     cosine >= threshold, named by their smallest id. Others are noise and left out."""
@@ -55,51 +73,79 @@ def with_similarity_to_primary(members: DataFrame, clusters: DataFrame, vectors:
     return members.join(v, "article_id").join(primary, "cluster_id").withColumn("similarity_to_primary", F.round(cosine(F.col("v"), F.col("pv")), 4)).drop("v", "pv")
 
 
-def _words(text: str | None) -> set[str]:
-    return set((text or "").lower().split())
+def coverage(clusters: DataFrame, members: DataFrame, least: int = 3) -> DataFrame:
+    """How the sources of each active cluster with `least` members or more tell of it: rank by length, source, length, similarity to the primary, whether it is that."""
+    wanted = clusters.filter((F.col("status") == "active") & (F.col("article_count") >= least)).select("cluster_id")
+    order = Window.partitionBy("cluster_id").orderBy(F.desc("content_length"), "article_id")
+    return members.join(wanted, "cluster_id", "left_semi").withColumn("rank", F.row_number().over(order)).select("cluster_id", "rank", "article_id", "source_site", "content_length", "similarity_to_primary", "is_primary")
 
 
 def refine(candidates: DataFrame, threshold: float = 0.80) -> DataFrame:
-    """Members (cluster_id, article_id) that stay: from the longest content on, each candidate is compared to all accepted ones; the nearest decides by cosine and by the words they share.
+    """Members (cluster_id, article_id) that stay. The one with the longest content (ties: the first) is in; then by position each candidate is compared to all members
+    taken so far, and the nearest of them (cosine above 0, ties: the first) decides by cosine and by the headline words in common, as they are written.
 
-    candidates: cluster_id, article_id, content, v. Order decides, so a cluster is worked on in one group; clusters are components over a
-    high similarity and stay small. Of clusters left with one member none stays.
+    candidates: cluster_id, article_id (in one cluster), headline, content_length, position (whole numbers), v; those without v are left out. Of clusters left with one member none stays.
     """
+    rows = candidates.filter("v IS NOT NULL")
+    primary = rows.groupBy("cluster_id").agg(F.min_by("article_id", F.struct(-F.col("content_length"), "position")).alias("primary"))
+    is_primary = F.col("article_id") == F.col("primary")
+    placed = rows.join(primary, "cluster_id").select(F.col("cluster_id").alias("group"), F.col("article_id").alias("id"), F.when(is_primary, F.lit(-(1 << 62))).otherwise(F.col("position")).alias("place"), "v", F.when(is_primary, TAKEN).otherwise(OPEN).alias("status"))
+    words = rows.select(F.col("article_id").alias("id"), word_set(F.col("headline")).alias("words"))
+
+    def decide(found: DataFrame) -> DataFrame:
+        settled = found.filter(F.col("other_status").isNull() | (F.col("other_status") == TAKEN))
+        both = settled.join(words, "id").join(words.select(F.col("id").alias("other"), F.col("words").alias("their")), "other", "left")
+        shared = F.when(F.col("their").isNotNull(), overlap_of(F.col("words"), F.col("their"))).otherwise(0.0)
+        return both.select("id", F.when(accepted(F.coalesce("score", F.lit(0.0)), shared, threshold), TAKEN).otherwise(DROPPED).alias("status"))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(n=group["content"].fillna("").str.len()).sort_values(["n", "article_id"], ascending=[False, True])
-        taken: list[tuple] = []
-        for row in group.itertuples():
-            best, near = 0.0, None
-            length = sum(x * x for x in row.v) ** 0.5 or 1.0
-            for other in taken:
-                score = sum(x * y for x, y in zip(row.v, other[1], strict=True)) / (length * other[2])
-                if score > best:
-                    best, near = score, other
-            words = _words(row.content)
-            if taken:
-                union = words | near[3] if near else set()
-                overlap = len(words & near[3]) / len(union) if union else 0.0
-                ok = best >= SURE_COSINE or any(overlap >= o and best >= (threshold if s is None else s) for o, s in OVERLAP_RULES)
-            if not taken or ok:
-                taken.append((row.article_id, row.v, length, words))
-        ids = [t[0] for t in taken] if len(taken) > 1 else []
-        return pd.DataFrame({"cluster_id": [group["cluster_id"].iloc[0]] * len(ids), "article_id": ids})
-
-    schema = T.StructType().add("cluster_id", candidates.schema["cluster_id"].dataType).add("article_id", candidates.schema["article_id"].dataType)
-    return candidates.select("cluster_id", "article_id", "content", "v").groupBy("cluster_id").applyInPandas(one, schema)
-
-
-def embed_texts(rows: DataFrame, text: str = "text", features: int = 256) -> DataFrame:
-    """rows with `embedding`: hashed words weighted by inverse document frequency and brought to length 1; callers with an encoder of their own put its column here."""
+    taken = rows.select("cluster_id", "article_id").join(taken_greedily(placed, decide).withColumnRenamed("id", "article_id"), "article_id", "left_semi")
+    whole = taken.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("cluster_id")
+    return taken.join(whole, "cluster_id", "left_semi").select("cluster_id", "article_id")
+
+
+def full_run(articles: DataFrame, vectors: DataFrame, as_of: datetime, hours: int, folder: str, threshold: float = 0.80, refine_threshold: float | None = None, model: str = "own") -> tuple[DataFrame, DataFrame]:
+    """Clusters and members of the articles of the last hours, written over those of an earlier run in folder; a row about the run is added to folder/history.
+
+    vectors: vec_id (an article's id), v, from embed_texts() or the caller's encoder. Articles without one take no part.
+    """
+    spark = articles.sparkSession
+    window = recent_window(articles, as_of, hours)
+    found = similarity_clusters(vectors.join(window.select(F.col("id").alias("vec_id")), "vec_id", "left_semi"), threshold)
+    newest = -F.unix_micros(F.col("published_at").cast("timestamp"))
+    own = window.select(F.col("id").alias("article_id"), "headline", "content_length", newest.alias("position"))
+    members = refine(found.join(own, "article_id").join(vectors.select(F.col("vec_id").alias("article_id"), "v"), "article_id"), refine_threshold or threshold)
+    clusters, listed = assemble(members, articles)
+    for name, rows in (("clusters", clusters), ("members", listed)):
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+    clusters, listed = (spark.read.schema(rows.schema).parquet(f"{folder}/{name}") for name, rows in (("clusters", clusters), ("members", listed)))
+    run = clusters.agg(F.count(F.lit(1)).alias("clusters_created"), F.coalesce(F.sum("article_count"), F.lit(0)).alias("articles_clustered"))
+    about = run.select(F.lit(as_of.isoformat(" ")).cast("timestamp_ntz").alias("run_date"), F.lit(hours).alias("time_window_hours"), F.lit(threshold).alias("similarity_threshold"), F.lit(model).alias("model_used"), F.lit("completed").alias("status"), "clusters_created", "articles_clustered")
+    append_log(about, f"{folder}/history")
+    return clusters, listed
+
+
+def embed_texts(rows: DataFrame, text: str = "text", features: int = 256, encoder: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> DataFrame:
+    """rows with `embedding` and `text_hash`. By default hashed words weighted by inverse document frequency and brought to length 1; an encoder gets ENCODED_AT_ONCE
+    texts at a time (null: empty) and gives their vectors."""
+    hashed = rows.withColumn("text_hash", text_hash(F.coalesce(text, F.lit(""))))
+    if encoder is not None:
+
+        def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                done: list = []
+                for a in range(0, len(batch), ENCODED_AT_ONCE):
+                    done += [[float(x) for x in v] for v in encoder(batch[a : a + ENCODED_AT_ONCE].tolist())]
+                yield pd.Series(done, dtype=object)
+
+        return hashed.withColumn("embedding", F.pandas_udf(encoded, "array<double>")(F.coalesce(text, F.lit("")))).select(*rows.columns, "embedding", "text_hash")
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = rows.withColumn("__words", F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
+    words = hashed.withColumn("__words", F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
     counted = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features).transform(words)
     weighted = IDF(inputCol="__tf", outputCol="__idf").fit(counted).transform(counted)
     unit = Normalizer(inputCol="__idf", outputCol="__unit").transform(weighted)
-    return unit.withColumn("embedding", vector_to_array("__unit")).select(*rows.columns, "embedding")
+    return unit.withColumn("embedding", vector_to_array("__unit")).select(*rows.columns, "embedding", "text_hash")
 
 
 def to_embed(articles: DataFrame, stored: DataFrame, model: str, text: Column) -> DataFrame:

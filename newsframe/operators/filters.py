@@ -15,7 +15,7 @@ NOT_AVAILABLE = "Not Available"
 FAILED_HEADLINE = "Failed to scrape"
 MOST_ATTEMPTS = 10
 #: Words in the addresses of images that are no article image.
-NO_IMAGE_WORDS = ("logo", "icon", "banner", "advert", "placeholder", "default", "sprite")
+NO_IMAGE_WORDS = ("logo", "icon", "avatar", "sprite", "banner", "ad-", "advertisement")
 
 
 def contains(column: Column, part: str) -> Column:
@@ -83,9 +83,9 @@ def recent_window(rows: DataFrame, as_of: datetime, hours: int, cap: int | None
 
 
 def category_label(category: Column, section: Column) -> Column:
-    """A readable category: a numeric one gives way to the section, an empty one to the section or 'Uncategorized'."""
-    trimmed, own = F.trim(category), F.trim(section)
-    return F.when(trimmed.rlike("^[0-9]+$"), own).when(F.coalesce(trimmed, F.lit("")) == "", F.coalesce(F.nullif(own, F.lit("")), F.lit("Uncategorized"))).otherwise(trimmed)
+    """A readable category: a numeric one gives way to the section, an empty one to the section or 'Uncategorized'; an empty section gives way to the number."""
+    trimmed, own = F.trim(category), F.nullif(F.trim(section), F.lit(""))
+    return F.when(trimmed.rlike("^[0-9]+$"), F.coalesce(own, trimmed)).when(F.coalesce(trimmed, F.lit("")) == "", F.coalesce(own, F.lit("Uncategorized"))).otherwise(trimmed)
 
 
 def reject_reason(headline: Column, published: Column, content: Column, least_content: int = 20) -> Column:
@@ -100,8 +100,7 @@ def retry_action(status: Column, attempts: Column, most: int = MOST_ATTEMPTS) ->
 
 def is_asset_url(url: Column) -> Column:
     """An address that may be an article's image."""
-    low = F.lower(url)
-    return F.coalesce(~low.startswith("data:") & (F.length(low) >= 20) & ~low.rlike("|".join(NO_IMAGE_WORDS)), F.lit(False))
+    return F.coalesce(~url.startswith("data:") & (F.length(url) >= 20) & ~F.lower(url).rlike("|".join(NO_IMAGE_WORDS)), F.lit(False))
 
 
 def url_day(url: Column) -> Column:
@@ -114,3 +113,11 @@ def by_status(rows: DataFrame, status: str = "all", site: str | None = None) ->
     """Categories that are all, active or disabled, of one site or any."""
     kept = rows if status == "all" else rows.filter(F.col("is_active") == int(status == "active"))
     return kept.filter(F.col("site") == site) if site else kept
+
+
+def enabled(keywords: DataFrame) -> DataFrame:
+    return keywords.filter("is_active = 1")
+
+
+def unread(matches: DataFrame) -> DataFrame:
+    return matches.filter("is_read = 0")

@@ -156,16 +156,16 @@ def hamming_pairs(fingerprints: DataFrame, bits: int = 60, below: int = 6, key:
 def simhash(rows: DataFrame, key: Column, text: Column, bits: int = 60) -> DataFrame:
     """(id, fp) of each row: bit i is set if more distinct words of the lower-cased text have it set than not. No text or no words: 0.
 
-    Words are exploded and counted by an aggregation that combines within a task: three bits to a number, in fields of 20 bits. bits is a multiple of
-    12, 60 at most.
+    Words are exploded and counted by an aggregation that combines within a task: two bits to a number, in fields of 31 bits (no text has 2^31 words). bits is a
+    multiple of 4, 60 at most.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), key.alias("id"), words.alias("words"))
     word = numbered.select("row", "id", F.explode_outer("words").alias("w"))
     hashed = word.select("row", "id", F.conv(F.substring(F.md5("w"), 1, bits // 4), 16, 10).cast("long").alias("h"))
-    field = lambda i: F.shiftleft(F.shiftright("h", i).bitwiseAND(F.lit(1).cast("long")), 20 * (i % 3))
-    counted = hashed.groupBy("row", "id").agg(F.count("h").alias("n"), *(F.sum(field(k) + field(k + 1) + field(k + 2)).alias(f"s{k}") for k in range(0, bits, 3)))
-    more = lambda i: 2 * F.shiftright(f"s{i - i % 3}", 20 * (i % 3)).bitwiseAND((1 << 20) - 1) > F.col("n")
+    field = lambda i: F.shiftleft(F.shiftright("h", i).bitwiseAND(F.lit(1).cast("long")), 31 * (i % 2))
+    counted = hashed.groupBy("row", "id").agg(F.count("h").alias("n"), *(F.sum(field(k) + field(k + 1)).alias(f"s{k}") for k in range(0, bits, 2)))
+    more = lambda i: 2 * F.shiftright(f"s{i - i % 2}", 31 * (i % 2)).bitwiseAND(F.lit((1 << 31) - 1).cast("long")) > F.col("n")
     fp = reduce(lambda a, b: a + b, (F.when(more(i), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(bits)))
     return counted.select("id", fp.alias("fp"))
 

@@ -34,6 +34,17 @@ def by_day(rows: DataFrame, column: str = "published_at") -> DataFrame:
     return rows.groupBy(F.to_date(column).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def created_since(rows: DataFrame, column: str, since: datetime) -> DataFrame:
+    """How many rows are not older than a time."""
+    return rows.filter(F.col(column) >= F.lit(since.isoformat(" ")).cast("timestamp_ntz")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def matches_by_source(matches: DataFrame, articles: DataFrame) -> DataFrame:
+    """How many matches the articles of each source have."""
+    own = articles.select(F.col("id").alias("article_id"), "source_site")
+    return matches.join(own, "article_id").groupBy("source_site").agg(F.count(F.lit(1)).alias("match_count"))
+
+
 def by_source_category(rows: DataFrame, merge_labels: bool = False) -> DataFrame:
     """Counts by source and category label. The raw columns are what is grouped by, so that a label can come twice, unless merge_labels."""
     label = category_label(F.col("category"), F.col("section"))

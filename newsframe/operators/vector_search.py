@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, unit
 from ..sources.checkpoints import cut
 from .graph import components
-from .joins import BLOCK, similar_pairs
+from .greedy import DROPPED, OPEN, TAKEN, taken_greedily
+from .joins import BLOCK, keep_first_near, similar_pairs
 from .windows import best_per_key, second_entity_best
 
 #: Queries of one search that the plan holds as literals.
@@ -103,22 +104,17 @@ def merge_groups(members: DataFrame, threshold: float = 0.35) -> DataFrame:
 def co_occurrence(others: DataFrame, groups: DataFrame, near: float = 0.95) -> DataFrame:
     """Groups of vectors that come with the target in two assets or more: vectors, assets, the representative with the highest target score; numbered by assets.
 
-    groups: (vec_id, group_id). One vector an asset counts (the best target score, ties by vec_id); of a group's vectors nearer than `near` to an earlier one none counts.
+    groups: (vec_id, group_id). An asset's first vector (by vec_id) counts for it; a group's vectors that are nearer than `near` to an earlier one that counts don't.
     """
-    import pandas as pd
+    one = others.join(groups, "vec_id").groupBy("group_id", "asset_id").agg(F.min_by(F.struct("vec_id", "target_score", "v"), "vec_id").alias("r")).select("group_id", "asset_id", "r.*")
+    one = cut(one)
+    rows = one.select(F.col("group_id").alias("group"), F.col("vec_id").alias("id"), F.col("vec_id").alias("place"), "v", F.lit(OPEN).alias("status"))
 
-    one = others.join(groups, "vec_id").groupBy("group_id", "asset_id").agg(F.min_by(F.struct("vec_id", "target_score", "v"), F.struct(-F.col("target_score"), "vec_id")).alias("r")).select("group_id", "asset_id", "r.*")
+    def decide(found: DataFrame) -> DataFrame:
+        status = F.when(F.col("taken_score") > near, DROPPED).when(F.coalesce(F.col("score") <= near, F.lit(True)), TAKEN)
+        return found.select("id", status.alias("status"))
 
-    def distinct(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for row in group.sort_values(["target_score", "vec_id"], ascending=[False, True]).itertuples():
-            length = sum(x * x for x in row.v) ** 0.5 or 1.0
-            if all(sum(x * y for x, y in zip(row.v, k[1], strict=True)) / (length * k[2]) <= near for k in kept):
-                kept.append((row, row.v, length))
-        rows = [k[0] for k in kept]
-        return pd.DataFrame({"group_id": [r.group_id for r in rows], "asset_id": [r.asset_id for r in rows], "vec_id": [r.vec_id for r in rows], "target_score": [r.target_score for r in rows]})
-
-    kept = one.groupBy("group_id").applyInPandas(distinct, "group_id long, asset_id long, vec_id long, target_score double")
+    kept = one.join(taken_greedily(rows, decide).withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
     counted = kept.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_assets"), F.min_by("vec_id", F.struct(-F.col("target_score"), "vec_id")).alias("representative"))
     return counted.filter("n_assets >= 2").orderBy(F.desc("n_assets"), "group_id")
 
@@ -145,3 +141,17 @@ def unprocessed(all_items: DataFrame, processed: DataFrame, key: str) -> DataFra
 
 def index_metadata(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.count(F.lit(1)).alias("n_vectors"), F.count_distinct("asset_id").alias("n_assets"))
+
+
+def build_index(items: DataFrame, index: DataFrame, processed: DataFrame, below: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, processed, metadata) after the items that were not processed yet: those whose fingerprint is not near that of an earlier one are added, all are marked.
+
+    items and index: id, fp; new items have larger ids than those in the index. metadata: items processed now, added, skipped as near copies, and the size of the index.
+    """
+    new = cut(unprocessed(items, processed, "id").select("id", "fp"))
+    stays = keep_first_near(index.select("id", "fp").unionByName(new), below=below)
+    added = cut(new.join(stays, "id", "left_semi"))
+    whole = index.select("id", "fp").unionByName(added)
+    one = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    counts = one(new, "n_new").join(F.broadcast(one(added, "n_added")), F.lit(True)).join(F.broadcast(one(whole, "n_index")), F.lit(True))
+    return whole, processed.select("id").unionByName(new.select("id")), counts.withColumn("n_skipped", F.col("n_new") - F.col("n_added"))

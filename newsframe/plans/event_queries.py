@@ -17,8 +17,8 @@ from ..sources import readers as S
 from ..sources.checkpoints import shared_folder
 from ..streaming import monitor as T
 from .registry import query
-from .table_queries import MATCHES
-from .views import ARTICLES, CLUSTERS, KEYWORD_ROWS, RUNS, VECTORS, articles, as_runs, clusters, keywords, runs, table, vectors
+from .table_queries import FINGERPRINTS, MATCHES
+from .views import ARTICLES, CLUSTERS, KEYWORD_ROWS, RUNS, VECTORS, articles, as_of, as_runs, clusters, keywords, runs, table, vectors
 
 
 @query("SELECT id, headline, source_url, tags, processing_count FROM articles", ARTICLES)
@@ -34,10 +34,10 @@ def s2_watermarks(spark, sf_dir):
     return S.watermark_rows(states)
 
 
-@query("SELECT DISTINCT job, CASE job WHEN 's1' THEN 60 WHEN 's2' THEN 300 ELSE 600 END AS seconds FROM runs", RUNS)
+@query("SELECT DISTINCT job, CASE job WHEN 's1' THEN 60 WHEN 's2' THEN 300 WHEN 's4' THEN 900 ELSE 600 END AS seconds FROM runs", RUNS)
 def s3_cycle_seconds(spark, sf_dir):
     config = F.lit('{"global_cycle_time": null, "scrapers": {"s1": 60, "s2": 300, "s3": null}}')
-    return runs(spark, sf_dir).select("job").distinct().select("job", S.cycle_seconds(config, F.col("job")).alias("seconds"))
+    return runs(spark, sf_dir).select("job").distinct().select("job", S.cycle_seconds(config, F.col("job"), own_defaults={"s2": 120, "s4": 900, "s5": 0}).alias("seconds"))
 
 
 @query("SELECT page_id, url, length(html)::INTEGER AS n FROM pages")
@@ -107,6 +107,12 @@ def a8_match_stats(spark, sf_dir):
     return found.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("article_id") % 2 == 0).alias("unread"))
 
 
+@query("SELECT source_site, count(*) AS match_count FROM matches JOIN articles ON id = article_id GROUP BY 1", ARTICLES, KEYWORD_ROWS, MATCHES)
+def a8_matches_by_source(spark, sf_dir):
+    rows = articles(spark, sf_dir)
+    return A.matches_by_source(J.keyword_matches(rows, keywords(spark)), rows)
+
+
 @query("SELECT cluster_id, cluster_name, primary_article_id, article_count, event_date, category, tags, status FROM event_clusters", CLUSTERS)
 def v6_assembly(spark, sf_dir):
     """Also A18 to A20: tags, date and primary of each cluster."""
@@ -124,28 +130,47 @@ def v7_similarity_to_primary(spark, sf_dir):
     return C.with_similarity_to_primary(m, c, vectors(spark, sf_dir)).select("cluster_id", "article_id", "similarity_to_primary")
 
 
-@query("""SELECT a, b, score >= 0.93 OR (score >= 0.45 AND j >= 0.10) OR (j >= 0.60 AND score >= 0.75) OR (j >= 0.35 AND score >= 0.80) AS accepted
-  FROM (SELECT a, b, score, len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) AS j FROM pairs JOIN t x ON x.id = a JOIN t y ON y.id = b)""", CLUSTERS, "t AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda w: w <> '')) AS w FROM articles)")
+_HEADLINE_WORDS = "words AS (SELECT id, list_distinct(list_filter(string_split_regex(headline, '\\s+'), lambda w: w <> '')) AS w FROM articles)"
+_OVERLAP = "CASE WHEN len(x.w) + len(y.w) = 0 THEN 0.0 ELSE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) END"
+
+
+@query(f"""SELECT a, b, score >= 0.93 OR (score >= 0.45 AND j >= 0.10) OR (j >= 0.60 AND score >= 0.75) OR (j >= 0.35 AND score >= 0.80) AS accepted
+  FROM (SELECT a, b, score, {_OVERLAP} AS j FROM pairs JOIN words x ON x.id = a JOIN words y ON y.id = b)""", CLUSTERS, _HEADLINE_WORDS)
 def v5_acceptance(spark, sf_dir):
     own = articles(spark, sf_dir)
     pairs = J.similar_pairs(vectors(spark, sf_dir), 0.40)
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("content").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("content").alias("y")), "b")
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("headline").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("headline").alias("y")), "b")
     return both.select("a", "b", C.accepted(F.col("score"), X.jaccard(F.col("x"), F.col("y")), 0.45).alias("accepted"))
 
 
-@query()
-def v4_refined(spark, sf_dir):
-    """Members that stay after greedy refinement, with the label as text (order decides; checked against a model in the tests)."""
+#: The members of each cluster in the order of refinement, with the cosine and the overlap to all of them; and one step after the other.
+_ORDERED = """ordered AS (SELECT cluster_id, article_id, v, w, row_number() OVER (PARTITION BY cluster_id ORDER BY first DESC, published_at DESC, id DESC)::INTEGER AS n
+    FROM (SELECT c.cluster_id, c.article_id, x.v, s.w, a.id, a.published_at, row_number() OVER (PARTITION BY c.cluster_id ORDER BY a.content_length DESC, a.published_at DESC, a.id DESC) = 1 AS first
+      FROM comps c JOIN articles a ON a.id = c.article_id JOIN vectors x ON x.vec_id = c.article_id JOIN words s ON s.id = a.id)),
+  sides AS (SELECT x.cluster_id, x.n, list(list_cosine_similarity(x.v, y.v) ORDER BY y.n) AS score, list(""" + _OVERLAP + """ ORDER BY y.n) AS share FROM ordered x JOIN ordered y ON x.cluster_id = y.cluster_id GROUP BY ALL),
+  steps AS (SELECT cluster_id, n, [1] AS taken FROM sides WHERE n = 1 UNION ALL
+    SELECT cluster_id, n, CASE WHEN best >= 0.93 OR (best >= 0.42 AND j >= 0.10) OR (j >= 0.60 AND best >= 0.75) OR (j >= 0.35 AND best >= 0.80) THEN list_append(taken, n) ELSE taken END AS taken
+    FROM (SELECT *, CASE WHEN best > 0 THEN share[taken[list_position(near, best)]] ELSE 0 END AS j FROM (SELECT t.cluster_id, s.n, taken, share, list_transform(taken, lambda i: score[i]) AS near, greatest(0.0, list_max(list_transform(taken, lambda i: score[i]))) AS best FROM steps t JOIN sides s ON s.cluster_id = t.cluster_id AND s.n = t.n + 1))),
+  refined AS (SELECT cluster_id, article_id FROM (SELECT cluster_id, arg_max(taken, n) AS taken FROM steps GROUP BY 1) t JOIN ordered o USING (cluster_id) WHERE len(taken) >= 2 AND list_contains(taken, o.n))"""
+
+
+def _to_refine(spark, sf_dir):
+    own = articles(spark, sf_dir).select(F.col("id").alias("article_id"), "headline", "content_length", (-F.col("id")).alias("position"))  # later articles have larger ids
     found = C.similarity_clusters(vectors(spark, sf_dir), 0.40)
-    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("article_id"), "v", F.concat(F.lit("label "), F.col("label").cast("string")).alias("content"))
-    return C.refine(found.join(v, "article_id"), 0.42)
+    return found.join(own, "article_id").join(vectors(spark, sf_dir).select(F.col("vec_id").alias("article_id"), "v"), "article_id")
 
 
-@query()
+@query("SELECT cluster_id, article_id FROM refined", CLUSTERS, _HEADLINE_WORDS, _ORDERED)
+def v4_refined(spark, sf_dir):
+    """Members that stay after greedy refinement."""
+    return C.refine(_to_refine(spark, sf_dir), 0.42)
+
+
+@query("SELECT doc_id, 256::INTEGER AS n, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, sha256(coalesce(text, '')) AS text_hash FROM documents")
 def v1_embedded(spark, sf_dir):
-    """Hashed and weighted words of each article as a vector: its length and first numbers."""
+    """Hashed and weighted words of each article as a vector: its size and length, and the hash of its text."""
     done = C.embed_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", F.size("embedding").alias("n"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+    return done.select("doc_id", F.size("embedding").alias("n"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), "text_hash")
 
 
 @query("SELECT id, CASE WHEN id % 5 = 0 THEN 'new' ELSE 'changed' END AS why FROM articles WHERE id % 5 IN (0, 1)", ARTICLES)
@@ -156,19 +181,14 @@ def v2_to_embed(spark, sf_dir):
     return C.to_embed(rows, stored, "small", text).select("id", "why")
 
 
-@query()
+@query("SELECT m.cluster_id, count(*) AS article_count, min(published_at)::DATE AS event_date, 1::BIGINT AS runs, (SELECT count(DISTINCT cluster_id) FROM refined) AS clusters_created FROM refined m JOIN articles a ON a.id = m.article_id GROUP BY 1", CLUSTERS, _HEADLINE_WORDS, _ORDERED)
 def v8_full_run(spark, sf_dir):
-    """Window, embedding, components, refinement and assembly of the articles of the last days."""
-    from ..operators.filters import recent_window
-    from .views import as_of
-
+    """Window (all the time there is), components, refinement, assembly, clusters written over the old ones, and the log of the run."""
     rows = articles(spark, sf_dir)
-    window = recent_window(rows, as_of(rows), 24 * 10)
-    embedded = C.embed_texts(window.select("id", "content"), "content").select(F.col("id").alias("vec_id"), F.col("embedding").alias("v"))
-    found = C.similarity_clusters(embedded, 0.80)
-    content = window.select(F.col("id").alias("article_id"), "content")
-    members = C.refine(found.join(content, "article_id").join(embedded.withColumnRenamed("vec_id", "article_id"), "article_id"))
-    return C.assemble(members, rows)[0]
+    folder = f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}"
+    found, _ = C.full_run(rows, vectors(spark, sf_dir).select("vec_id", "v"), as_of(rows), 24 * 365 * 1000, folder, 0.40, 0.42)
+    log = spark.read.parquet(f"{folder}/history").agg(F.count(F.lit(1)).alias("runs"), F.max("clusters_created").alias("clusters_created"))
+    return found.select("cluster_id", "article_count", "event_date").join(F.broadcast(log), F.lit(True))
 
 
 @query("SELECT cluster_id, cluster_name, article_count FROM event_clusters WHERE article_count >= 3 AND lower(cluster_name) LIKE '%the%'", CLUSTERS)
@@ -176,6 +196,22 @@ def v9_cluster_search(spark, sf_dir):
     return clusters(spark, sf_dir)[0].filter((F.col("article_count") >= 3) & F.lower("cluster_name").contains("the")).select("cluster_id", "cluster_name", "article_count")
 
 
+@query("""SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY content_length DESC, article_id) AS rank, article_id, source_site, content_length, is_primary, round(list_cosine_similarity(x.v, p.v), 4) AS similarity_to_primary
+  FROM members m JOIN event_clusters c USING (cluster_id) JOIN vectors x ON x.vec_id = article_id JOIN vectors p ON p.vec_id = primary_article_id WHERE c.article_count >= 3""", CLUSTERS)
+def v9_coverage(spark, sf_dir):
+    c, m = clusters(spark, sf_dir)
+    return C.coverage(c, C.with_similarity_to_primary(m, c, vectors(spark, sf_dir)))
+
+
+@query(f"""SELECT a, b, CASE WHEN score >= 0.80 AND j >= 0.12 THEN 'PASS' WHEN j >= 0.40 AND score >= 0.68 THEN 'PASS (headline)' WHEN score >= 0.92 THEN 'PASS (content)' ELSE 'FAIL' END AS verdict
+  FROM (SELECT x.id AS a, y.id AS b, {_OVERLAP} AS j, (x.id % 4) / 4.0::DOUBLE + 0.25 AS score FROM words x JOIN words y ON y.id = x.id + 1)""", ARTICLES, _HEADLINE_WORDS)
+def v10_verdicts(spark, sf_dir):
+    """Verdicts on articles that follow each other, with scores as an encoder might give them and the overlap of their headlines."""
+    words = articles(spark, sf_dir).select(F.col("id").alias("a"), X.word_set(F.col("headline")).alias("x"))
+    both = words.withColumn("b", F.col("a") + 1).join(words.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+    return both.select("a", "b", C.verdict((F.col("a") % 4) / 4 + 0.25, X.overlap(F.col("x"), F.col("y"))).alias("verdict"))
+
+
 @query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 4) AS full_score, round(list_cosine_similarity(x.v[1:32], y.v[1:32]), 4) AS half_score FROM vectors x JOIN vectors y ON y.vec_id = x.vec_id + 1", VECTORS)
 def v10_encoders(spark, sf_dir):
     v = vectors(spark, sf_dir).select("vec_id", "v")
@@ -267,13 +303,22 @@ def v14_merged_groups(spark, sf_dir):
     return V.merge_groups(groups.join(others.select("vec_id", "v"), "vec_id"), 0.5)
 
 
-@query()
+_ANY_OTHERS = "others AS (SELECT s.vec_id, s.asset_id, s.v, t.top AS target_score FROM scored s JOIN (SELECT asset_id, arg_min(vec_id, (-score, vec_id)) AS best, max(score) AS top FROM scored GROUP BY 1 HAVING max(score) >= 0.0) t USING (asset_id) WHERE s.vec_id <> t.best)"
+
+
+@query("""SELECT g.group_id, count(*) AS n_assets, arg_min(vec_id, (-target_score, vec_id)) AS representative
+  FROM (SELECT group_id, arg_max(taken, n) AS taken FROM steps GROUP BY 1) g JOIN ordered o USING (group_id) WHERE list_contains(taken, o.n) GROUP BY 1 HAVING count(*) >= 2""", VECTORS, _SCORED, _ANY_OTHERS,
+       "ends AS (SELECT x.vec_id AS a, y.vec_id AS b FROM others x JOIN others y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.35)", "reach AS (SELECT a, b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON r.b = e.a)",
+       """ordered AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY vec_id)::INTEGER AS n FROM (SELECT group_id, asset_id, min(vec_id) AS vec_id FROM (SELECT a AS vec_id, least(a, min(b)) AS group_id FROM reach GROUP BY a) JOIN others USING (vec_id) GROUP BY ALL) JOIN (SELECT vec_id, v, target_score FROM others) USING (vec_id)),
+  sides AS (SELECT x.group_id, x.n, list(list_cosine_similarity(x.v, y.v) ORDER BY y.n) AS score FROM ordered x JOIN ordered y USING (group_id) GROUP BY ALL),
+  steps AS (SELECT group_id, n, [1] AS taken FROM sides WHERE n = 1 UNION ALL
+    SELECT t.group_id, s.n, CASE WHEN list_max(list_transform(taken, lambda i: score[i])) > 0.3 THEN taken ELSE list_append(taken, s.n) END AS taken FROM steps t JOIN sides s ON s.group_id = t.group_id AND s.n = t.n + 1)""")
 def v15_co_occurrence(spark, sf_dir):
-    """Groups that come with the target in two assets or more (greedy within a group; checked against a model in the tests)."""
+    """Groups that come with the target in two assets or more; near copies count once, here from a cosine of 0.3 on, so that there are some."""
     q = F.array(*(F.lit(x) for x in _chosen(spark, sf_dir, "vec_id = 0")[0][0]))
     others = V.target_assets(vectors(spark, sf_dir), cosine(F.col("v"), q), 0.0)
     groups = C.similarity_clusters(others, 0.35).select(F.col("article_id").alias("vec_id"), F.col("cluster_id").alias("group_id"))
-    return V.co_occurrence(others, groups)
+    return V.co_occurrence(others, groups, 0.3)
 
 
 @query("SELECT vec_id, max(s) AS score, CASE WHEN max(s) >= 0.2 THEN arg_min('L' || q, (-s, q)) END AS label FROM (SELECT x.vec_id, q.vec_id AS q, round(list_cosine_similarity(x.v, q.v), 4) AS s FROM vectors x, vectors q WHERE q.vec_id < 5) GROUP BY 1", VECTORS)
@@ -289,10 +334,31 @@ def v17_pair_search(spark, sf_dir):
     return V.pair_search(vectors(spark, sf_dir), cosine(F.col("v"), a), cosine(F.col("v"), b), 0.1, 20)
 
 
-@query()
+#: 60-bit fingerprints, and row after row whether it is near to one that stays.
+_GREEDY = """numbered AS (SELECT doc_id AS id, coalesce(fp, 0) AS fp, row_number() OVER (ORDER BY doc_id)::INTEGER AS n FROM documents LEFT JOIN fingerprints ON id = doc_id),
+  steps AS (SELECT 1 AS n, [fp] AS kept, [id] AS ids FROM numbered WHERE n = 1 UNION ALL
+    SELECT s.n + 1, CASE WHEN near THEN kept ELSE list_append(kept, fp) END, CASE WHEN near THEN ids ELSE list_append(ids, id) END
+    FROM (SELECT s.n, kept, ids, x.id, x.fp, len(list_filter(kept, lambda k: bit_count(xor(k, x.fp)) < 6)) > 0 AS near FROM steps s JOIN numbered x ON x.n = s.n + 1) s)"""
+
+
+def _fingerprints(spark, sf_dir):
+    return J.simhash(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+
+
+@query("SELECT unnest(ids) AS id FROM steps WHERE n = (SELECT count(*) FROM numbered)", FINGERPRINTS, _GREEDY)
 def v18_index_build(spark, sf_dir):
-    """Documents that are not near-duplicates of an earlier one by fingerprint (greedy; checked against a model in the tests)."""
-    return J.keep_first_near(J.simhash(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text")))
+    """Documents that are not near-duplicates of an earlier one by fingerprint."""
+    nothing = spark.createDataFrame([], "id long, fp long")
+    index, _, _ = V.build_index(_fingerprints(spark, sf_dir), nothing, nothing)
+    return index.select("id")
+
+
+@query("SELECT count(*) AS n_new, (SELECT len(ids) FROM steps WHERE n = (SELECT count(*) FROM numbered)) AS n_added, count(*) - (SELECT len(ids) FROM steps WHERE n = (SELECT count(*) FROM numbered)) AS n_skipped, (SELECT len(ids) FROM steps WHERE n = (SELECT count(*) FROM numbered)) AS n_index, count(*) AS n_processed FROM numbered", FINGERPRINTS, _GREEDY)
+def v18_index_counts(spark, sf_dir):
+    """What the build tells of itself, and how many are marked as processed."""
+    nothing = spark.createDataFrame([], "id long, fp long")
+    _, processed, counts = V.build_index(_fingerprints(spark, sf_dir), nothing, nothing)
+    return counts.join(F.broadcast(processed.agg(F.count(F.lit(1)).alias("n_processed"))), F.lit(True))
 
 
 def _article_stream(spark, sf_dir):
@@ -325,19 +391,36 @@ def t4_past_marks(spark, sf_dir):
     return T.past_marks(runs(spark, sf_dir), F.broadcast(marks), "job", datetime(2024, 1, 25)).select("event_id", "job")
 
 
+@query("SELECT DISTINCT job, CASE WHEN job IN (SELECT job FROM runs WHERE outcome = 'error') THEN TIMESTAMP '2024-01-30' ELSE TIMESTAMP '2024-01-20' END AS mark FROM runs", RUNS)
+def t4_new_marks(spark, sf_dir):
+    """The jobs that took part in a cycle get its start as mark, the others keep theirs."""
+    rows = runs(spark, sf_dir)
+    marks = rows.select("job", F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'").alias("mark")).distinct()
+    return T.new_marks(marks, rows.filter("outcome = 'error'"), "job", datetime(2024, 1, 30))
+
+
 @query("SELECT event_id FROM runs WHERE ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-11 12:00:00'", RUNS)
 def t5_window(spark, sf_dir):
     return runs(spark, sf_dir).filter(T.in_window(F.col("ts"), datetime(2024, 1, 10), datetime(2024, 1, 10) + timedelta(hours=36))).select("event_id")
 
 
+@query("""SELECT event_id, greatest_time AS effective FROM (SELECT event_id, CASE WHEN ts > m AND ts <= e THEN ts WHEN modified > m AND modified <= e THEN modified END AS greatest_time
+  FROM (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + INTERVAL 2 DAYS END AS modified, TIMESTAMP '2024-01-10' AS m, TIMESTAMP '2024-01-14 12:00:00' AS e FROM events)) WHERE greatest_time IS NOT NULL""")
+def t6_late_updates(spark, sf_dir):
+    """Of a stream the rows that were published or, failing that, modified in the window; a later update of a known key is taken as well."""
+    stream = T.read_files(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    stream = stream.withColumn("modified", F.when(F.col("event_id") % 3 != 0, F.col("ts") + F.expr("INTERVAL 2 DAYS")))
+    taken = T.late_updates(stream, "event_id", "ts", "modified", datetime(2024, 1, 10), datetime(2024, 1, 14, 12), "60 days").select("event_id", F.col("effective").cast("timestamp_ntz").alias("effective"))
+    return spark.read.schema("event_id long, effective timestamp_ntz").parquet(f"{T.run_to_end(taken)}/batch=*")
+
+
 @query("SELECT DISTINCT user_id FROM events")
-def t6_t7_stream_dedup(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    stream = T.late_updates(T.read_files(spark, f"{sf_dir}/events.parquet", schema), "user_id", "ts", "60 days").select("user_id")
+def t7_stream_dedup(spark, sf_dir):
+    stream = T.first_of_key(T.read_files(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema), "user_id", "ts", "60 days").select("user_id")
     return spark.read.schema("user_id long").parquet(f"{T.run_to_end(stream)}/batch=*")
 
 
-@query("SELECT job, count(*) AS lines, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (line LIKE 'Inserted%') AS inserted, arg_max(line, (ts, event_id)) AS latest FROM runs GROUP BY 1", RUNS)
+@query("SELECT job, count(*) AS lines, count(*) FILTER (line LIKE 'Error%' OR line LIKE '✗%') AS errors, sum(CASE WHEN line LIKE '✓ SUCCESS%' THEN 2 WHEN line LIKE '✓ Inserted%' OR line LIKE '[OK] Updated%' THEN 1 ELSE 0 END)::BIGINT AS processed, arg_max(line, (ts, event_id)) AS latest FROM runs GROUP BY 1", RUNS)
 def t8_job_counters(spark, sf_dir):
     batch = runs(spark, sf_dir)
     schema = table(spark, sf_dir, "events").schema
@@ -349,11 +432,26 @@ def t8_job_counters(spark, sf_dir):
     return counted.filter(F.col("batch") == last).select(T.job_counters(batch).columns)
 
 
-@query("""SELECT key, CASE WHEN f <= 10 THEN f ELSE least(n, 10) END::INTEGER AS attempts, CASE WHEN f <= 10 THEN 'success' WHEN n >= 10 THEN 'exhausted' ELSE 'retry' END AS state
-  FROM (SELECT key, min(i) FILTER (ok) AS f, max(i) AS n FROM (SELECT key, ok, row_number() OVER (PARTITION BY key ORDER BY position) AS i FROM (SELECT 'u' || user_id AS key, event_id AS position, event_type = 'purchase' AS ok FROM events)) GROUP BY 1)""")
+_RETRIES = """SELECT key, CASE WHEN f <= 10 THEN f ELSE least(n, 10) END::INTEGER AS attempts, CASE WHEN f <= 10 THEN 'success' WHEN n >= 10 THEN 'exhausted' ELSE 'retry' END AS state
+  FROM (SELECT key, min(i) FILTER (ok) AS f, max(i) AS n FROM (SELECT key, ok, row_number() OVER (PARTITION BY key ORDER BY position) AS i FROM (SELECT 'u' || user_id AS key, event_id AS position, event_type = 'purchase' AS ok FROM events)) GROUP BY 1)"""
+
+
+def _attempts(events):
+    return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("position"), (F.col("event_type") == "purchase").alias("ok"))
+
+
+@query(_RETRIES)
 def t9_retry_states(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("position"), (F.col("event_type") == "purchase").alias("ok"))
-    return T.retry_table(rows)
+    return T.retry_table(_attempts(table(spark, sf_dir, "events")))
+
+
+@query(_RETRIES)
+def t9_retry_stream(spark, sf_dir):
+    """The same by state over a stream: the last state of each key."""
+    stream = T.read_files(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    out = T.run_to_end(T.retry_states(_attempts(stream)), mode="update")
+    told = spark.read.schema("key string, attempts int, state string, batch int").option("basePath", out).parquet(f"{out}/batch=*")
+    return told.groupBy("key").agg(F.max_by(F.struct("attempts", "state"), "batch").alias("r")).select("key", "r.*")
 
 
 @query("SELECT vec_id FROM vectors WHERE vec_id % 7 = 0", VECTORS)

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as P
 from ..operators import reports as A
+from ..operators.joins import keyword_matches
 from .registry import query
-from .views import ARTICLES, CATEGORIES, RUNS, articles, as_of, categories, runs, table
+from .table_queries import MATCHES
+from .views import ARTICLES, CATEGORIES, KEYWORD_ROWS, RUNS, articles, as_of, categories, keywords, runs, table
 
-LABEL = """CASE WHEN regexp_full_match(trim(category), '[0-9]+') THEN trim(section)
+#: A numeric category gives the section, else itself.
+LABEL = """CASE WHEN regexp_full_match(trim(category), '[0-9]+') THEN coalesce(nullif(trim(section), ''), trim(category), 'Uncategorized')
   WHEN coalesce(trim(category), '') = '' THEN coalesce(nullif(trim(section), ''), 'Uncategorized') ELSE trim(category) END"""
 
 
@@ -33,10 +36,17 @@ for _name, _days in (("today", "t::DATE AND t::DATE"), ("yesterday", "t::DATE -
     query(f"SELECT id, published_at FROM articles, now_ WHERE published_at::DATE BETWEEN {_days}", ARTICLES)(_preset(_name))
 
 
-@query("SELECT id, published_at FROM articles, now_ WHERE published_at >= t - INTERVAL 7 DAYS", ARTICLES)
-def p3_listed_week(spark, sf_dir):
-    rows = articles(spark, sf_dir)
-    return rows.filter(P.listed_within(F.col("published_at"), "week", as_of(rows))).select("id", "published_at")
+def _listed(name):
+    def run(spark, sf_dir):
+        rows = articles(spark, sf_dir)
+        return rows.filter(P.listed_within(F.col("published_at"), name, as_of(rows))).select("id", "published_at")
+
+    run.__name__ = f"p3_listed_{name}"
+    return run
+
+
+for _name, _since in (("today", "published_at::DATE = t::DATE"), ("yesterday", "published_at::DATE = t::DATE - 1"), ("week", "published_at >= t - INTERVAL 7 DAYS"), ("month", "published_at >= t - INTERVAL 30 DAYS")):
+    query(f"SELECT id, published_at FROM articles, now_ WHERE {_since}", ARTICLES)(_listed(_name))
 
 
 @query("SELECT id, published_at FROM articles WHERE published_at::DATE BETWEEN DATE '2024-01-03' AND DATE '2024-01-10'", ARTICLES)
@@ -94,14 +104,27 @@ def p13_retry(spark, sf_dir):
     return articles(spark, sf_dir).select("id", P.retry_action(F.col("scraping_status"), F.col("processing_count")).alias("action"))
 
 
-@query("SELECT page_id, url FROM pages WHERE NOT starts_with(lower(url), 'data:') AND length(url) >= 20 AND NOT regexp_matches(lower(url), 'logo|icon|banner|advert|placeholder|default|sprite')")
+#: Of the seven words that make an address no article image, each third page has one in it.
+_ASSET = "CASE WHEN page_id % 3 = 0 THEN url || '/' || ['LOGO', 'icons', 'avatar', 'sprite', 'top-banner', 'ad-1', 'advertisement', 'default'][page_id % 8 + 1] || '.png' WHEN page_id % 7 = 1 THEN 'data:image/png;base64,AAAA' ELSE url END"
+
+
+@query(f"SELECT page_id, asset FROM (SELECT page_id, {_ASSET} AS asset FROM pages) WHERE NOT starts_with(asset, 'data:') AND length(asset) >= 20 AND NOT (contains(lower(asset), 'logo') OR contains(lower(asset), 'icon') OR contains(lower(asset), 'avatar') OR contains(lower(asset), 'sprite') OR contains(lower(asset), 'banner') OR contains(lower(asset), 'ad-') OR contains(lower(asset), 'advertisement'))")
 def p14_asset_url(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter(P.is_asset_url(F.col("url"))).select("page_id", "url")
+    i = F.col("page_id")
+    word = F.element_at(F.array(*(F.lit(w) for w in ("LOGO", "icons", "avatar", "sprite", "top-banner", "ad-1", "advertisement", "default"))), (i % 8 + 1).cast("int"))
+    asset = F.when(i % 3 == 0, F.concat("url", F.lit("/"), word, F.lit(".png"))).when(i % 7 == 1, "data:image/png;base64,AAAA").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", asset.alias("asset")).filter(P.is_asset_url(F.col("asset")))
+
+
+@query("SELECT id, keyword FROM keywords WHERE is_active = 1", KEYWORD_ROWS)
+def p15_active_keywords(spark, sf_dir):
+    return P.enabled(keywords(spark)).select("id", "keyword")
 
 
-@query("SELECT id, scraping_status FROM articles WHERE scraping_status = 'Failed' AND processing_count < 5", ARTICLES)
-def p15_flags(spark, sf_dir):
-    return articles(spark, sf_dir).filter("scraping_status = 'Failed' AND processing_count < 5").select("id", "scraping_status")
+@query("SELECT keyword_id, article_id FROM matches WHERE article_id % 2 = 0", ARTICLES, KEYWORD_ROWS, MATCHES)
+def p15_unread_matches(spark, sf_dir):
+    found = keyword_matches(articles(spark, sf_dir), keywords(spark)).withColumn("is_read", (F.col("article_id") % 2).cast("int"))
+    return P.unread(found).select("keyword_id", "article_id")
 
 
 @query("SELECT id, site, is_active FROM categories WHERE is_active = 0 AND site = 'building'", CATEGORIES)
@@ -193,6 +216,12 @@ def a12_recent_days(spark, sf_dir):
     return A.by_day(rows.filter(F.col("ts") >= F.lit((last - timedelta(days=7)).isoformat(" ")).cast("timestamp_ntz")), "ts")
 
 
+@query("SELECT count(*) AS n FROM runs WHERE ts >= (SELECT max(ts) FROM runs) - INTERVAL 24 HOURS", RUNS)
+def a12_last_day(spark, sf_dir):
+    rows = runs(spark, sf_dir)
+    return A.created_since(rows, "ts", rows.agg(F.max("ts")).first()[0] - timedelta(hours=24))
+
+
 @query("SELECT event_id, job, ts, outcome FROM runs ORDER BY ts DESC, event_id DESC LIMIT 1", RUNS)
 def a13_latest_run(spark, sf_dir):
     top = F.max_by(F.struct("event_id", "job", "ts", "outcome"), F.struct("ts", "event_id")).alias("r")

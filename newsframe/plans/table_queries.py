@@ -226,14 +226,14 @@ def u3_ordered_union(spark, sf_dir):
     return W.first_of_each(found.unionByName(listed), "source_site", "p")
 
 
-_WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: w <> ''))"
+_WORDS = "list_distinct(list_filter(string_split_regex({}, '\\s+'), lambda w: w <> ''))"
 
 
 @query(f"SELECT a.id, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS jaccard FROM t a JOIN t b ON b.id = a.id + 1", ARTICLES, f"t AS (SELECT id, {_WORDS.format('content')} AS w FROM articles)")
 def u4_jaccard(spark, sf_dir):
-    rows = articles(spark, sf_dir).select("id", "content")
-    after = rows.select((F.col("id") - 1).alias("id"), F.col("content").alias("other"))
-    return rows.join(after, "id").select("id", F.round(X.jaccard(F.col("content"), F.col("other")), 6).alias("jaccard"))
+    rows = articles(spark, sf_dir).select("id", X.word_set(F.col("content")).alias("words"))
+    after = rows.select((F.col("id") - 1).alias("id"), F.col("words").alias("other"))
+    return rows.join(after, "id").select("id", F.round(X.overlap(F.col("words"), F.col("other")), 6).alias("jaccard"))
 
 
 @query("SELECT id, CASE WHEN id % 4 = 0 THEN 'new ' || headline ELSE headline END AS headline FROM articles WHERE id % 6 <> 0 OR id % 4 = 0", ARTICLES)
@@ -260,6 +260,23 @@ def m2_delete(spark, sf_dir):
     return M.delete(_matches(spark, sf_dir), keywords(spark).filter("id = 1").select(F.col("id").alias("keyword_id")), "keyword_id")
 
 
+@query("SELECT id FROM articles WHERE id <> 7", ARTICLES)
+def m2_delete_one(spark, sf_dir):
+    rows = articles(spark, sf_dir).select("id")
+    return M.delete(rows, spark.createDataFrame([(7,)], "id long"), "id")
+
+
+@query("SELECT id FROM articles WHERE id NOT IN (SELECT item_id * 3 FROM benchmark)", ARTICLES)
+def m2_delete_list(spark, sf_dir):
+    return M.delete(articles(spark, sf_dir).select("id"), table(spark, sf_dir, "benchmark").select((F.col("item_id") * 3).alias("id")), "id")
+
+
+@query("SELECT id FROM articles WHERE false", ARTICLES)
+def m2_delete_all(spark, sf_dir):
+    rows = articles(spark, sf_dir).select("id")
+    return M.delete(rows, rows, "id")
+
+
 @query("SELECT id, CASE WHEN site = 'building' THEN 1 - is_active ELSE is_active END AS is_active FROM categories", CATEGORIES)
 def m3_toggle(spark, sf_dir):
     return M.toggle(categories(spark, sf_dir), F.col("site") == "building").select("id", "is_active")

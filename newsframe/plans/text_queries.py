@@ -94,9 +94,23 @@ def f16_normalized(spark, sf_dir):
     return articles(spark, sf_dir).select("id", X.normalized(F.col("content")).alias("v"))
 
 
-@query("SELECT id, regexp_replace(headline, '[।|,;:\\-–—\\s]+$', '') AS v FROM articles", ARTICLES)
+#: Headlines with marks behind them: all kinds, a dollar sign among others, a blank before or after.
+_MARKED = "headline || ['!?', '।', '$.', ' !', '. ', ')\"', ':–', ''][id % 8 + 1]"
+
+
+def _marked():
+    tail = F.element_at(F.array(*(F.lit(t) for t in ("!?", "।", "$.", " !", ". ", ')"', ":–", ""))), (F.col("id") % 8 + 1).cast("int"))
+    return F.concat("headline", tail)
+
+
+@query(f"SELECT id, rtrim({_MARKED}, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~।') AS v, rtrim({_MARKED}, '!\"#%&''()*+,-./:;<=>?@[\\]^_`{{|}}~।') AS kept_dollar FROM articles", ARTICLES)
 def f17_trailing_marks(spark, sf_dir):
-    return articles(spark, sf_dir).select("id", X.without_trailing_marks(F.col("headline")).alias("v"))
+    return articles(spark, sf_dir).select("id", X.without_trailing_marks(_marked()).alias("v"), X.without_trailing_marks(_marked(), X.TRAILING_MARKS_NO_DOLLAR).alias("kept_dollar"))
+
+
+@query(f"SELECT id, regexp_replace(rtrim({_MARKED}, '।!?.,:;''\"'), '^\\s+|\\s+$', '', 'g') AS v FROM articles", ARTICLES)
+def f17_few_trailing_marks(spark, sf_dir):
+    return articles(spark, sf_dir).select("id", X.without_trailing_marks(_marked(), X.FEW_TRAILING_MARKS, True).alias("v"))
 
 
 @query("SELECT id, array_to_string(w[1:len(w) - 1], ' ') AS v FROM (SELECT id, string_split_regex(regexp_replace(regexp_replace(headline, '^ +', ''), ' +$', ''), '\\s+') AS w FROM articles)", ARTICLES)
@@ -135,12 +149,37 @@ def f27_image_urls(spark, sf_dir):
     return articles(spark, sf_dir).select("id", U.clean_image_url(og).alias("cleaned"), U.without_query_keys(keyed, ["auto"], {"q": "70", "w": "100"}).alias("keyed"))
 
 
-@query("SELECT id, d AS division, CASE WHEN id % 2 = 0 THEN 'x' || id % 9 ELSE d END AS district FROM (SELECT id, ['dhaka', 'sylhet', 'khulna'][id % 3 + 1] AS d FROM articles)", ARTICLES)
-def f29_locations(spark, sf_dir):
-    division = F.element_at(F.array(F.lit("Dhaka"), F.lit("Sylhet"), F.lit("Khulna")), (F.col("id") % 3 + 1).cast("int"))
-    label = F.concat(F.lit("country/"), division, F.when(F.col("id") % 2 == 0, F.concat(F.lit("/x"), (F.col("id") % 9).cast("string"))).otherwise(""))
-    found = U.location_scan(label)
-    return articles(spark, sf_dir).select("id", found["division"].alias("division"), found["district"].alias("district"))
+#: Labels of sections in the forms that three kinds of sites write: by position, with a known division second, with one anywhere behind a marker.
+_LABEL_SQL = "label AS (SELECT id, ['one-country-news', 'two', 'three-country-x', 'three-world'][id % 4 + 1] || ['-dhaka', '-Sylhet', '-khulna', '-nowhere', ''][id % 5 + 1] || ['-gazipur', ''][id % 2 + 1] || ['', '-a', '-a-b'][id % 3 + 1] AS l FROM articles)"
+
+
+def _labels(spark, sf_dir):
+    pick = lambda *texts: F.element_at(F.array(*(F.lit(t) for t in texts)), (F.col("id") % len(texts) + 1).cast("int"))
+    label = F.concat(pick("one-country-news", "two", "three-country-x", "three-world"), pick("-dhaka", "-Sylhet", "-khulna", "-nowhere", ""), pick("-gazipur", ""), pick("", "-a", "-a-b"))
+    return articles(spark, sf_dir).select("id", label.alias("l"))
+
+
+def _place(found):
+    return [found[c].alias(c) for c in ("division", "district", "upazilla")]
+
+
+_DIVISION_LIST = "['dhaka', 'chittagong', 'sylhet', 'rajshahi', 'khulna', 'barisal', 'rangpur', 'mymensingh']"
+
+
+@query("SELECT id, CASE WHEN ok THEN p[4] END AS division, CASE WHEN ok THEN p[5] END AS district, CASE WHEN ok THEN p[6] END AS upazilla FROM (SELECT id, p, starts_with(l, 'one-country-news') AND len(p) >= 5 AS ok FROM (SELECT id, l, string_split(l, '-') AS p FROM label))", ARTICLES, _LABEL_SQL)
+def f29_location_by_position(spark, sf_dir):
+    return _labels(spark, sf_dir).select("id", *_place(U.location_fixed(F.col("l"), "one-country-news")))
+
+
+@query(f"SELECT id, CASE WHEN ok THEN p[2] END AS division, CASE WHEN ok THEN p[3] END AS district, CASE WHEN ok AND len(p) > 3 THEN array_to_string(p[4:], '-') END AS upazilla FROM (SELECT id, p, len(p) >= 3 AND list_contains({_DIVISION_LIST}, p[2]) AS ok FROM (SELECT id, string_split(l, '-') AS p FROM label))", ARTICLES, _LABEL_SQL)
+def f29_location_known_division(spark, sf_dir):
+    return _labels(spark, sf_dir).select("id", *_place(U.location_known(F.col("l"))))
+
+
+@query(f"""SELECT id, p[i] AS division, coalesce(p[i + 1], p[i]) AS district, CASE WHEN p[i + 2] <> '' THEN array_to_string(p[i + 2:], '-') END AS upazilla
+  FROM (SELECT id, p, CASE WHEN contains(lower(l), 'country') THEN list_min(list_filter(range(1, len(p) + 1), lambda i: list_contains({_DIVISION_LIST}, p[i]))) END AS i FROM (SELECT id, l, string_split(lower(l), '-') AS p FROM label))""", ARTICLES, _LABEL_SQL)
+def f29_location_scan(spark, sf_dir):
+    return _labels(spark, sf_dir).select("id", *_place(U.location_scan(F.col("l"))))
 
 
 @query("SELECT id, len(list_filter(list_transform(string_split(tags, ','), lambda x: trim(x)), lambda x: x <> ''))::INTEGER AS n, len(list_filter(list_transform(string_split_regex(content, '\\n+'), lambda x: trim(x)), lambda x: x <> ''))::INTEGER AS p FROM articles", ARTICLES)
@@ -148,14 +187,21 @@ def f30_f31_tags_paragraphs(spark, sf_dir):
     return articles(spark, sf_dir).select("id", F.size(X.tags(F.col("tags"))).alias("n"), F.size(X.paragraphs(F.col("content"))).alias("p"))
 
 
-@query("SELECT id, 'Upazila' AS level FROM categories", CATEGORIES)
+@query("""SELECT id, CASE WHEN id % 4 = 3 THEN ['Root', 'Main Category', 'Sub-Category', 'Sub-Sub Category', 'Deep Category', 'Deep Category'][id % 6 + 1]
+  ELSE ['Main Category', 'Division', 'District', 'Upazilla', 'Area', 'Area'][id % 6 + 1] END AS level FROM categories""", CATEGORIES)
 def f32_level(spark, sf_dir):
-    return categories(spark, sf_dir).select("id", U.level_label(U.path_segments(F.col("category_url"))).alias("level"))
+    """Paths of up to five segments below the marker, and without it labels of as many parts."""
+    i = F.col("id")
+    deep = F.concat(U.path_segments(F.col("category_url")), F.array(F.lit("x"), F.lit("y")))
+    path = F.when(i % 4 == 3, F.array(F.lit("world"), F.lit("news"))).otherwise(F.slice(deep, F.lit(1), (i % 6 + 1).cast("int")))
+    label = F.array_join(F.array_repeat(F.lit("part"), (i % 6 + 1).cast("int")), "-")
+    return categories(spark, sf_dir).select("id", U.level_label(path, label).alias("level"))
 
 
-@query("SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' END AS v FROM (SELECT event_id, (event_id * 7)::BIGINT AS s FROM runs)", RUNS)
+@query("""SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || (s % 60) || 's' ELSE '' END
+  ELSE (s // 3600) || 'h' || CASE WHEN s % 3600 >= 60 THEN ' ' || (s % 3600 // 60) || 'm' ELSE '' END END AS v FROM (SELECT event_id, (event_id * 10)::BIGINT AS s FROM runs)""", RUNS)
 def f33_duration(spark, sf_dir):
-    return runs(spark, sf_dir).select("event_id", X.duration(F.col("event_id") * 7).alias("v"))
+    return runs(spark, sf_dir).select("event_id", X.duration(F.col("event_id") * 10).alias("v"))
 
 
 @query("SELECT id, dayname(published_at) AS weekday, date_diff('day', DATE '2024-01-01', published_at::DATE)::INTEGER + 1 AS days FROM articles", ARTICLES)
@@ -163,11 +209,13 @@ def f34_weekday(spark, sf_dir):
     return articles(spark, sf_dir).select("id", F.date_format("published_at", "EEEE").alias("weekday"), (F.datediff("published_at", F.lit("2024-01-01").cast("date")) + 1).alias("days"))
 
 
-@query("""SELECT event_id, nullif(regexp_extract(line, 'STATUS:([^:\\]]+)', 1), '') AS state, nullif(regexp_extract(line, 'PROGRESS ([0-9]+) ([0-9]+)', 2), '')::INTEGER AS n,
-  line LIKE 'Inserted%' AS inserted, line LIKE 'Inserted%' AS success, line LIKE 'Error%' AS error FROM runs""", RUNS)
+@query("""SELECT event_id, CASE WHEN line LIKE '[STATUS:finding:%' THEN 'finding' WHEN line LIKE '[STATUS:extracting:%' THEN 'extracting' END AS state, nullif(regexp_extract(line, 'PROGRESS ([0-9]+) ([0-9]+)', 2), '')::INTEGER AS n,
+  line LIKE '✓ Inserted%' AS inserted, line LIKE '%Updated existing article%' AS updated, line LIKE '✓ SUCCESS%' AS success, line LIKE 'Error%' OR line LIKE '✗%' AS error,
+  CASE WHEN line LIKE '✓ SUCCESS%' THEN 2 WHEN line LIKE '✓ Inserted%' OR line LIKE '[OK] Updated%' THEN 1 ELSE 0 END::INTEGER AS processed FROM runs""", RUNS)
 def f35_f36_log_lines(spark, sf_dir):
     flags = X.log_flags(F.col("line"))
-    return runs(spark, sf_dir).select("event_id", X.status_state(F.col("line")).alias("state"), X.progress(F.col("line"))["n"].alias("n"), flags["inserted"].alias("inserted"), flags["success"].alias("success"), flags["error"].alias("error"))
+    told = [flags[c].alias(c) for c in ("inserted", "updated", "success", "error", "processed")]
+    return runs(spark, sf_dir).select("event_id", X.status_state(F.col("line")).alias("state"), X.progress(F.col("line"))["n"].alias("n"), *told)
 
 
 @query("SELECT event_id, (props->>'k')::INTEGER AS k FROM events")

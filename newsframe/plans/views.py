@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.workers import importable
 
+#: Lines of jobs on articles: inserted, updated, updated with success told beside it, none of them as it lacks the mark, failed.
+PURCHASE_LINES = ("✓ Inserted new article", "[OK] Updated existing article 5", "✓ SUCCESS: Updated existing article (id 5)", "Inserted new article", "✗ Failed to scrape")
+
 KEYWORDS = ((1, "the ", 1), (2, "tion ", 1), (3, "anbleing", 1), (4, "keit", 1), (5, "ción", 1), (6, "eaux", 1), (7, "worthless", 1), (8, "pathetic", 0), (9, "license", 1), (10, "token", 0))
 
 
@@ -74,7 +77,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_runs(events: DataFrame) -> DataFrame:
     """events as a log of jobs."""
     e = F.col("event_type")
-    line = F.when(e == "view", F.concat(F.lit("[STATUS:finding:"), F.col("user_id").cast("string"), F.lit("]"))).when(e == "click", F.concat(F.lit("[STATUS:extracting:"), F.col("event_id").cast("string"), F.lit("]"))).when(e == "purchase", "Inserted new article").when(e == "error", "Error: failed").otherwise("PROGRESS 3 10")
+    line = F.when(e == "view", F.concat(F.lit("[STATUS:finding:"), F.col("user_id").cast("string"), F.lit("]"))).when(e == "click", F.concat(F.lit("[STATUS:extracting:"), F.col("event_id").cast("string"), F.lit("]"))).when(e == "purchase", F.element_at(F.array(*(F.lit(x) for x in PURCHASE_LINES)), (F.col("event_id") % len(PURCHASE_LINES) + 1).cast("int"))).when(e == "error", "Error: failed").otherwise("PROGRESS 3 10")
     return events.select("event_id", F.concat(F.lit("s"), (F.col("user_id") % 16).cast("string")).alias("job"), "ts", F.when(e == "error", "error").otherwise("ok").alias("outcome"), line.alias("line"), "value")
 
 
@@ -100,8 +103,8 @@ KEYWORD_ROWS = "keywords AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}',
 
 RECHECKED = """rechecked AS (SELECT id, headline, CASE id % 10 WHEN 0 THEN replace(content, ' ', '  ') WHEN 1 THEN content || ' updated' WHEN 2 THEN '' ELSE content END AS content FROM articles)"""
 
-RUNS = """runs AS (SELECT event_id, 's' || (user_id % 16) AS job, ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS outcome,
-  CASE event_type WHEN 'view' THEN '[STATUS:finding:' || user_id || ']' WHEN 'click' THEN '[STATUS:extracting:' || event_id || ']' WHEN 'purchase' THEN 'Inserted new article' WHEN 'error' THEN 'Error: failed' ELSE 'PROGRESS 3 10' END AS line, value FROM events)"""
+RUNS = f"""runs AS (SELECT event_id, 's' || (user_id % 16) AS job, ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS outcome,
+  CASE event_type WHEN 'view' THEN '[STATUS:finding:' || user_id || ']' WHEN 'click' THEN '[STATUS:extracting:' || event_id || ']' WHEN 'purchase' THEN {list(PURCHASE_LINES)}[event_id % {len(PURCHASE_LINES)} + 1] WHEN 'error' THEN 'Error: failed' ELSE 'PROGRESS 3 10' END AS line, value FROM events)"""
 
 VECTORS = "vectors AS (SELECT vec_id, vec_id % 120 AS asset_id, embedding::DOUBLE[] AS v, label, 0.5::DOUBLE + (vec_id % 5) / 10.0::DOUBLE AS confidence FROM embeddings)"
 

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; sessions without one, as in tests, get a local folder."""
+    """The checkpoint folder of the session; local sessions without one, as in tests, get a local folder. On a cluster spark.checkpoint.dir has to name a shared one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsframe-"))
     return context.getCheckpointDir()
 
 

@@ -21,10 +21,12 @@ def watermark_rows(states: DataFrame, column: str = "state") -> DataFrame:
     return pairs.select("scraper", "category", F.try_to_timestamp("text", F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("ts"))
 
 
-def cycle_seconds(config: Column, scraper: Column, default: int = DEFAULT_CYCLE) -> Column:
-    """A scraper's own time, else the global one, else the default, from one JSON document."""
+def cycle_seconds(config: Column, scraper: Column, default: int = DEFAULT_CYCLE, own_defaults: dict[str, int] | None = None) -> Column:
+    """A scraper's own time, else the global one, from one JSON document; else the scraper's own default (none or 0: the general one)."""
     read = F.from_json(config, "global_cycle_time int, scrapers map<string,int>")
-    return F.coalesce(F.try_element_at(read["scrapers"], scraper), read["global_cycle_time"], F.lit(default))
+    known = {k: v for k, v in (own_defaults or {}).items() if v}
+    own = [F.try_element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), scraper)] if known else []
+    return F.coalesce(F.try_element_at(read["scrapers"], scraper), read["global_cycle_time"], *own, F.lit(default))
 
 
 def sitemap_entries(documents: DataFrame, cutoff: Column | None = None, cap: int = 200) -> DataFrame:

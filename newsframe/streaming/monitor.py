@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..functions.text import log_flags
 from ..operators.joins import keyword_matches
 from ..sources.checkpoints import shared_folder
 
@@ -81,16 +82,26 @@ def in_window(column: Column, mark: datetime, end: datetime, old_on_mark: bool =
     return ((column > at(mark)) if old_on_mark else (column >= at(mark))) & (column <= at(end))
 
 
-def late_updates(stream: DataFrame, key: str, time: str, lookback: str = "7 days") -> DataFrame:
+def first_of_key(stream: DataFrame, key: str, time: str, lookback: str = "7 days") -> DataFrame:
     """The stream without rows of a key that came within the lookback and without rows older than it."""
     stamped = stream.withColumn(time, F.col(time).cast("timestamp"))
     return stamped.withWatermark(time, lookback).dropDuplicatesWithinWatermark([key])
 
 
+def late_updates(stream: DataFrame, key: str, published: str, modified: str, mark: datetime, end: datetime, lookback: str = "7 days") -> DataFrame:
+    """Rows whose publication or, failing that, modification is in (mark, end], with that time as `effective`: a later update of a known key is taken like a new row.
+
+    Only the same update again (key and effective time, within the lookback) is left out. effective is a timestamp, as a watermark needs one.
+    """
+    at = [F.when(in_window(F.col(c), mark, end), F.col(c)) for c in (published, modified)]
+    stamped = stream.withColumn("effective", F.coalesce(*at).cast("timestamp")).filter("effective IS NOT NULL")
+    return stamped.withWatermark("effective", lookback).dropDuplicatesWithinWatermark([key, "effective"])
+
+
 def job_counters(rows: DataFrame) -> DataFrame:
-    """By job: lines, errors, inserts and the latest state; the same over a stream and over a table."""
-    line = F.lower("line")
-    return rows.groupBy("job").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if(line.contains("inserted")).alias("inserted"), F.max(F.struct("ts", "event_id", "line"))["line"].alias("latest"))
+    """By job: lines, errors, processed articles and the latest line; the same over a stream and over a table."""
+    told = rows.withColumn("told", log_flags(F.col("line")))
+    return told.groupBy("job").agg(F.count(F.lit(1)).alias("lines"), F.count_if("told.error").alias("errors"), F.sum("told.processed").alias("processed"), F.max(F.struct("ts", "event_id", "line"))["line"].alias("latest"))
 
 
 _RETRY = "key string, attempts int, state string"

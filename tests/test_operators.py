@@ -71,10 +71,202 @@ def test_until_consecutive_old(spark):
     assert got == sorted(want)
 
 
-def test_refinement_keeps_what_tells_of_one_event(spark):
-    rows = [(1, 10, "rain in the city floods many streets today", [1.0, 0.0]), (1, 11, "rain floods streets in the city", [0.95, 0.3]), (1, 12, "sun and sport", [0.7, 0.7]), (2, 20, "alone", [1.0, 0.0])]
-    got = clustering.refine(spark.createDataFrame(rows, "cluster_id long, article_id long, content string, v array<double>"))
-    assert sorted(r["article_id"] for r in got.collect()) == [10, 11]
+def plain_refinement(rows, threshold):
+    """(cluster, article) that stay; rows: cluster, article, headline, content length, position, vector."""
+    out = set()
+    unit = lambda v: [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v]
+    for cluster in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == cluster), key=lambda r: r[4])
+        primary = max(own, key=lambda r: r[3])
+        taken = [primary]
+        for r in own:
+            if r is primary:
+                continue
+            best, shared = 0.0, 0.0
+            for m in taken:
+                score = sum(x * y for x, y in zip(unit(r[5]), unit(m[5]), strict=True))
+                if score > best:
+                    a, b = set(r[2].split()), set(m[2].split())
+                    best, shared = score, len(a & b) / len(a | b) if a and b else 0.0
+            if best >= 0.93 or (best >= threshold and shared >= 0.10) or (shared >= 0.60 and best >= 0.75) or (shared >= 0.35 and best >= 0.80):
+                taken.append(r)
+        if len(taken) > 1:
+            out |= {(cluster, r[1]) for r in taken}
+    return out
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_refinement_against_a_model(spark, monkeypatch, block):
+    """Small groups in one block, one group over many blocks, copies, headlines without words."""
+    import numpy as np
+
+    from newsframe.operators import greedy
+
+    monkeypatch.setattr(greedy.taken_greedily, "__defaults__", (block,))
+    dice = np.random.default_rng(block)
+    rows, names = [], ["rain floods city", "Rain floods city streets", "city council meets", "sport today", ""]
+    for cluster, size in enumerate([70, *[5] * 12, 1]):
+        base = dice.normal(size=6)
+        for k in range(size):
+            v = base if k % 9 == 0 else base + dice.normal(size=6) * dice.choice([0.2, 0.6, 1.2])
+            rows.append((cluster, len(rows), names[int(dice.integers(5))], int(dice.integers(20, 60)), int(1000 - len(rows)), [float(x) for x in v]))
+    frame = spark.createDataFrame([*rows, (0, 5000, "no vector", 99, 0, None)], "cluster_id long, article_id long, headline string, content_length long, position long, v array<double>")
+    got = {tuple(r) for r in clustering.refine(frame, 0.8).collect()}
+    want = plain_refinement(rows, 0.8)
+    assert got == want and 20 < len(want) < len(rows)
+    assert clustering.refine(frame.limit(0)).collect() == []
+
+
+def test_co_occurrence_against_a_model(spark):
+    import numpy as np
+
+    dice = np.random.default_rng(8)
+    rows = []
+    for g in range(6):
+        base = dice.normal(size=5)
+        for _ in range(int(dice.integers(2, 14))):
+            rows.append((len(rows), int(dice.integers(0, 6)), [float(x) for x in base + dice.normal(size=5) * dice.choice([0.05, 0.9])], float(dice.integers(0, 5)), g))
+    want = {}
+    for g in range(6):
+        one = {}
+        for r in [r for r in rows if r[4] == g]:
+            one.setdefault(r[1], r)
+        kept = []
+        for r in sorted(one.values()):
+            unit = lambda v: np.array(v) / np.linalg.norm(v)
+            if all(unit(r[2]) @ unit(k[2]) <= 0.95 for k in kept):
+                kept.append(r)
+        if len(kept) > 1:
+            want[g] = (len(kept), min(kept, key=lambda r: (-r[3], r[0]))[0])
+    frame = spark.createDataFrame(rows, "vec_id long, asset_id long, v array<double>, target_score double, group_id long")
+    got = vector_search.co_occurrence(frame.drop("group_id"), frame.select("vec_id", "group_id")).collect()
+    assert {r["group_id"]: (r["n_assets"], r["representative"]) for r in got} == want and len(want) > 2
+    assert [r["n_assets"] for r in got] == sorted((r["n_assets"] for r in got), reverse=True)
+
+
+def test_index_is_built_in_steps(spark):
+    rows = [(1, 0), (2, 0b111), (3, 0b1111111), (4, 127 << 40), (5, (127 << 40) + 3), (6, 0b11111111111111)]
+    frame = spark.createDataFrame(rows, "id long, fp long")
+    nothing = frame.limit(0)
+    index, processed, counts = vector_search.build_index(frame.filter("id <= 3"), nothing, nothing)
+    assert {r["id"] for r in index.collect()} == {1, 3} and {r["id"] for r in processed.collect()} == {1, 2, 3}
+    index, processed, counts = vector_search.build_index(frame, index, processed)
+    assert {r["id"] for r in index.collect()} == {1, 3, 4, 6} and processed.count() == 6
+    assert counts.first().asDict() == {"n_new": 3, "n_added": 2, "n_index": 4, "n_skipped": 1}
+
+
+def test_an_encoder_of_the_caller(spark):
+    frame = spark.createDataFrame([(i, None if i == 3 else "w " * i) for i in range(80)], "id long, text string").repartition(2)
+    got = {r["id"]: r for r in clustering.embed_texts(frame, encoder=lambda texts: [[len(t), len(texts) <= 32] for t in texts]).collect()}
+    assert all(got[i]["embedding"] == [0.0 if i == 3 else 2.0 * i, 1.0] for i in range(80))
+    assert got[3]["text_hash"] == got[0]["text_hash"] != got[1]["text_hash"]
+
+
+def test_a_run_replaces_the_last_and_is_logged(spark, tmp_path):
+    as_of = datetime(2024, 1, 10)
+    rows = [(i, f"rain floods city {i % 2}", "c" * (50 + i), 50 + i, datetime(2024, 1, 1 + i), "s", "x", "a, b") for i in range(6)]
+    articles = spark.createDataFrame(rows, "id long, headline string, content string, content_length long, published_at timestamp_ntz, source_site string, category string, tags string")
+    vectors = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(6)], "vec_id long, v array<double>")
+    for hours, n in ((24 * 30, 6), (24 * 6, 3)):
+        found, members = clustering.full_run(articles, vectors, as_of, hours, str(tmp_path))
+        assert found.select("article_count").collect()[0][0] == n == members.count()
+    assert spark.read.parquet(str(tmp_path / "history")).count() == 2
+    assert clustering.full_run(articles.limit(0), vectors, as_of, 1, str(tmp_path))[0].collect() == []
+
+
+def test_assets_by_extension(spark, tmp_path):
+    from newsframe.sources import readers
+
+    (tmp_path / "below").mkdir()
+    for name in ("a.jpg", "b.PNG", "below/c.WebP", "below/d.jpeg", "e.gif", "jpg", "f.jpg.txt"):
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    got = {(r["path"].rsplit("/", 1)[1], r["length"]) for r in readers.assets(spark, str(tmp_path)).collect()}
+    assert got == {("a.jpg", 5), ("b.PNG", 5), ("c.WebP", 12), ("d.jpeg", 12)}
+
+
+def test_late_updates_are_taken(spark, tmp_path):
+    day = lambda n, h=0: datetime(2024, 1, n, h)
+    rows = [("a", day(2), None), ("a", day(2), day(3)), ("b", day(1), day(3, 5)), ("b", day(1), day(3, 5)), ("b", day(1), day(4)), ("c", day(1), day(9)), ("d", None, day(2, 1)), ("e", None, None), ("f", day(5), day(2))]
+    frame = spark.createDataFrame(rows, "key string, published timestamp_ntz, modified timestamp_ntz")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = monitor.late_updates(monitor.read_files(spark, str(tmp_path / "in"), frame.schema), "key", "published", "modified", day(1), day(5))
+    got = spark.read.parquet(monitor.run_to_end(stream)).collect()
+    assert sorted((r["key"], r["effective"]) for r in got) == [("a", day(2)), ("b", day(3, 5)), ("b", day(4)), ("d", day(2, 1)), ("f", day(5))]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from newsframe.sources import checkpoints
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        checkpoints.shared_folder(Session())
+
+
+LABELS = [("7", " ", "7"), ("7", "news", "news"), (" 12 ", None, "12"), ("", None, "Uncategorized"), (None, "  x ", "x"), (None, "", "Uncategorized"), (" a ", "x", "a"), ("7a", "x", "7a")]
+ASSETS = [("https://x.example/img/photo.jpg", True), ("https://x.example/AVATAR/photo.jpg", False), ("https://x.example/img/default.jpg", True), ("https://x.example/load-1.jpg", False), ("https://x.example/placeholder.jpg", True), ("data:image/png;base64,AAAAAAAA", False), ("https://x.ex/1.jpg", False), (None, False), ("", False)]
+HEADLINES = [("Headline!", "Headline", "Headline", "Headline"), ("a \"b\"", "a \"b", "a \"b", "a \"b"), ("costs 5$", "costs 5", "costs 5$", "costs 5$"), ("শেষ।।", "শেষ", "শেষ", "শেষ"), ("x - ", "x - ", "x - ", "x -"), ("[x]", "[x", "[x", "[x]"), ("x\\^-&", "x", "x", "x\\^-&"), ("?!", "", "", ""), ("a!\n", "a!\n", "a!\n", "a!")]
+DURATIONS = [(0, "0s"), (59, "59s"), (60, "1m"), (180, "3m"), (185, "3m 5s"), (3600, "1h"), (7200, "2h"), (7259, "2h"), (7260, "2h 1m"), (86399, "23h 59m")]
+LEVELS = [("country-news", "a", "Main Category"), ("x/country-news/dhaka", "a", "Division"), ("country-news/a/b", "a", "District"), ("country-news/a/b/c", "a", "Upazilla"), ("country-news/a/b/c/d", "a", "Area"), ("country-news/a/country-news", "a", "Main Category"), ("world", "one", "Root"), ("world", "one-two", "Main Category"), ("world", "a-b-c", "Sub-Category"), ("world", "a-b-c-d", "Sub-Sub Category"), ("world", "a-b-c-d-e-f", "Deep Category")]
+LINES = [
+    ("✓ Inserted new article id 5", (True, False, False, False, 1)),
+    ("[OK] Updated existing article", (False, True, False, False, 1)),
+    ("Updating existing article", (False, True, False, False, 1)),
+    ("Inserted new article (id 5) ✓ SUCCESS", (True, False, True, False, 2)),
+    ("Inserted new article", (False, False, False, False, 0)),
+    ("an exception, failed", (False, False, False, False, 0)),
+    ("Failed to scrape", (False, False, False, True, 0)),
+    ("ERROR: no", (False, False, False, True, 0)),
+    ("✗ no", (False, False, False, True, 0)),
+]
+PLACES = [
+    (lambda c: urls.location_fixed(c, "one-country-news"), "one-country-news-dhaka-gazipur-kaliakair", ("dhaka", "gazipur", "kaliakair")),
+    (lambda c: urls.location_fixed(c, "one-country-news"), "one-country-news-dhaka-gazipur", ("dhaka", "gazipur", None)),
+    (lambda c: urls.location_fixed(c, "one-country-news"), "one-country-news-dhaka", None),
+    (lambda c: urls.location_fixed(c, "one-country-news"), "two-country-news-dhaka-gazipur", None),
+    (urls.location_known, "two-dhaka-gazipur", ("dhaka", "gazipur", None)),
+    (urls.location_known, "two-chittagong-cox-s-bazar", ("chittagong", "cox", "s-bazar")),
+    (urls.location_known, "two-dhaka", None),
+    (urls.location_known, "two-Dhaka-gazipur", None),
+    (urls.location_known, "two-chattogram-x", None),
+    (urls.location_scan, "Three-Country-Barisal-Bhola-Char-Fasson", ("barisal", "bhola", "char-fasson")),
+    (urls.location_scan, "three-country-sylhet", ("sylhet", "sylhet", None)),
+    (urls.location_scan, "three-world-sylhet", None),
+    (urls.location_scan, "three-country-nowhere", None),
+]
+
+
+def test_values_as_the_sites_write_them(spark):
+    """Labels, image addresses, headlines, durations, levels and log lines, hand-made."""
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rows = table([r[:2] for r in LABELS], "a string, b string").select(filters.category_label(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in rows] == [r[2] for r in LABELS]
+    rows = table([(r[0],) for r in ASSETS], "a string").select(filters.is_asset_url(F.col("a"))).collect()
+    assert [r[0] for r in rows] == [r[1] for r in ASSETS]
+    kinds = text.without_trailing_marks(F.col("a")), text.without_trailing_marks(F.col("a"), text.TRAILING_MARKS_NO_DOLLAR), text.without_trailing_marks(F.col("a"), text.FEW_TRAILING_MARKS, True)
+    assert [tuple(r) for r in table([(r[0],) for r in HEADLINES], "a string").select(*kinds).collect()] == [r[1:] for r in HEADLINES]
+    rows = table([(r[0],) for r in DURATIONS], "a long").select(text.duration(F.col("a"))).collect()
+    assert [r[0] for r in rows] == [r[1] for r in DURATIONS]
+    rows = table([r[:2] for r in LEVELS], "a string, b string").select(urls.level_label(F.split("a", "/"), F.col("b"))).collect()
+    assert [r[0] for r in rows] == [r[2] for r in LEVELS]
+    rows = table([(r[0],) for r in LINES], "a string").select(text.log_flags(F.col("a"))).collect()
+    assert [tuple(r[0]) for r in rows] == [r[1] for r in LINES]
+    states = table([("[STATUS:finding:page 1]",), ("[STATUS:sleeping:x]",), ("[STATUS:waiting:a:b]",)], "a string").select(text.status_state(F.col("a")), text.status_detail(F.col("a"))).collect()
+    assert [tuple(r) for r in states] == [("finding", "page 1"), (None, None), ("waiting", "a:b")]
+
+
+@pytest.mark.parametrize("parse, label, want", PLACES)
+def test_locations(spark, parse, label, want):
+    got = spark.range(1).select(parse(F.lit(label))).first()[0]
+    assert (got and tuple(got)) == want
 
 
 def test_retry_stream_equals_table(spark, tmp_path):
@@ -154,8 +346,6 @@ def test_urls_and_locations(spark):
     assert one(urls.canonical_url(F.lit("mailto:a@b.c"), "https://x.example")) is None
     assert one(urls.item_id(F.lit("https://x.example/2024/01/news/77/some-slug"))) == "77"
     assert one(urls.clean_image_url(F.lit("https://a.b/https://a.b/og/x-fb.jpg?watermark=9"))) == "https://a.b/x.jpg"
-    assert tuple(one(urls.location_scan(F.lit("country/Sylhet")))) == ("sylhet", "sylhet", None)
-    assert tuple(one(urls.location_fixed(F.lit("country/dhaka/gazipur/sreepur")))) == ("dhaka", "gazipur", "sreepur")
     assert one(text.without_last_word(F.lit("one"))) == ""
 
 
