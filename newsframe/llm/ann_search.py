@@ -184,7 +184,7 @@ class StableIndex:
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 _FOUND = "query_id long, score double, vec_id long"
@@ -226,8 +226,9 @@ def _with_cells(frame: DataFrame, cells: Broadcast, limit: float) -> DataFrame:
 
 
 def usable_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, v as doubles) of the vectors that take part; of several lengths the most frequent one (the least of those)."""
-    vector = F.col(f"`{embedding}`").cast("array<double>")
+    """(id, v) of the vectors that take part, as floats if they are such, else as doubles; of several lengths the most frequent one (the least of those)."""
+    floats = embeddings.select(F.col(f"`{embedding}`")).schema[0].dataType == T.ArrayType(T.FloatType())
+    vector = F.col(f"`{embedding}`").cast("array<float>" if floats else "array<double>")
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = embeddings.select(F.col(f"`{vec_id}`").cast("long").alias("id"), vector.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(fine)
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -248,7 +249,7 @@ def nearest_neighbours(embeddings: DataFrame, is_query, k: int = 10, vec_id: str
     sample = points.select("v") if n <= SAMPLE else points.select("v").filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(SAMPLE / n * 0.9 * (1 << 30))).limit(SAMPLE)
     taken = _projected(sample)
     cells = spark.sparkContext.broadcast(Cells(taken, min(MOST_CELLS, -(-n // CELL))))
-    dealt = cut(_with_cells(points, cells, limit))
+    dealt = _with_cells(points, cells, limit)
     asked = cut(_with_cells(rows.filter(is_query(F.col("id"))), cells, limit).withColumnRenamed("cell", "home"))
     blocks = max(1, -(-asked.count() // BLOCK))
 

@@ -156,10 +156,12 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 
 
 def _licence_sql() -> str:
-    from .license_scan import EQUIVALENT, KNOWN
+    from .license_scan import ENDINGS, EQUIVALENT, KNOWN
 
     plain = "regexp_replace(text, '(?im)^[\\s/*#;.%-]*(?:\\(c\\)|©|copyright\\b[^\\n]*(?:\\(c\\)|©|[0-9]{4}))[^\\n]*$', ' ', 'g')"
     plain = f"' ' || regexp_replace(lower({plain}), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
+    for ending, kept in ENDINGS:
+        plain = f"regexp_replace({plain}, '{ending}', '{kept}', 'g')"
     for spelling, kept in EQUIVALENT:
         plain = f"replace({plain}, '{f' {spelling} '.replace(' ', '  ')[1:-1]}', ' {kept} ')"
     plain = f"trim(replace({plain}, '  ', ' '))"

@@ -27,6 +27,9 @@ from .session import cut, prepare
 
 START, END = "<|im_start|>", "<|im_end|>"
 _DIGEST = 16
+#: Conversations of one turn that a task joins, and the most turns that have more.
+HOT_NODE = 50_000
+MOST_HOT = 100_000
 
 
 def escaped(text: str) -> str:
@@ -178,10 +181,19 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["start", "end", "position", "attends", "text", "loss_start", "loss_end"])
 
 
-def read_conversations(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """conv_id, formatted text and its masked parts (still escaped), from the stream."""
+def read_conversations(nodes: DataFrame, members: DataFrame, hot: int = HOT_NODE) -> DataFrame:
+    """conv_id, formatted text and its masked parts (still escaped), from the stream.
+
+    Nodes of `hot` conversations or more (or, if there were over MOST_HOT of them, of so many more) are broadcast by number and copied as often as they fill `hot`, so
+    that a turn which a third of all conversations begin with is joined by many tasks.
+    """
     steps = members.select("conv_id", F.posexplode("nodes").alias("i", "start"))
-    found = steps.join(nodes.select("start", "text", "loss_start", "loss_end"), "start")
+    total = members.agg(F.coalesce(F.sum(F.size("nodes")), F.lit(0))).first()[0]
+    share = max(hot, -(-total // MOST_HOT))
+    copies = F.broadcast(steps.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= share).select("start", F.ceil(F.col("n") / share).alias("copies")))
+    dealt = steps.join(copies, "start", "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("conv_id", "i"), "copies"), F.lit(0))).drop("copies")
+    copied = nodes.select("start", "text", "loss_start", "loss_end").join(copies, "start", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    found = dealt.join(copied, ["start", "copy"])
     own = F.struct("i", "text", F.expr("substring(text, loss_start + 1, loss_end - loss_start)").alias("loss"))
     parts = found.groupBy("conv_id").agg(F.sort_array(F.collect_list(own)).alias("parts"))
     return parts.select("conv_id", F.array_join("parts.text", "").alias("formatted"), F.col("parts.loss").alias("masked"))

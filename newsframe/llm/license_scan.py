@@ -1,6 +1,6 @@
 """Licence scan by canonical digests: whole texts, normalised, looked up among the digests of known licences.
 
-Both sides are normalised alike: lower case, copyright lines and comment marks taken out, equivalent spellings made one,
+Both sides are normalised alike: lower case, copyright lines and comment marks taken out, equivalent spellings and endings made one,
 all but letters and digits turned into single spaces. The SHA-256 digest of what is left is hash-joined to the digests of the known
 licences, so no text moves; each distinct digest that licences share is answered by the first licence name.
 
@@ -20,7 +20,35 @@ from pyspark.sql import functions as F
 from .session import prepare
 
 #: Spellings that licence matching guidelines treat as the same, after lower-casing and punctuation is gone.
-EQUIVALENT = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("organisation", "organization"), ("favour", "favor"), ("merchantibility", "merchantability"), ("https", "http"))
+EQUIVALENT = (
+    ("acknowledgement", "acknowledgment"),
+    ("artefact", "artifact"),
+    ("calibre", "caliber"),
+    ("centre", "center"),
+    ("copyright owner", "copyright holder"),
+    ("fulfil", "fulfill"),
+    ("fulfilment", "fulfillment"),
+    ("https", "http"),
+    ("judgement", "judgment"),
+    ("merchantibility", "merchantability"),
+    ("non commercial", "noncommercial"),
+    ("per cent", "percent"),
+    ("practise", "practice"),
+    ("programme", "program"),
+    ("programmes", "programs"),
+    ("sub license", "sublicense"),
+    ("sub licence", "sublicense"),
+    ("whilst", "while"),
+    ("wilful", "willful"),
+)
+#: Endings that are spelt in two ways, as a word's pattern and what it becomes. Words that have only one spelling change alike on both sides.
+ENDINGS = (
+    (" ([a-z]{2,})is(e|ed|es|er|ing|ation|ations) ", " \\1iz\\2 "),
+    (" ([a-z]{3,})our(s|ed|ing|able|ably|ite)? ", " \\1or\\2 "),
+    (" (cancel|label|level|model|signal|travel)l(ed|ing) ", " \\1\\2 "),
+    (" (ana|cata|dia)logue ", " \\1log "),
+    (" ((?:sub)?lic|def|off)ence(d|s)? ", " \\1ense\\2 "),
+)
 
 #: Short texts of known licences and the notices that stand for longer ones.
 KNOWN = (
@@ -89,6 +117,8 @@ _COPYRIGHT_LINE = r"(?im)^[\s/*#;.%-]*(?:\(c\)|©|copyright\b[^\n]*(?:\(c\)|©|[
 def normalised(text: Column) -> Column:
     plain = F.regexp_replace(text, _COPYRIGHT_LINE, " ")
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))  # words share no space
+    for ending, kept in ENDINGS:
+        plain = F.regexp_replace(plain, ending, kept.replace("\\", "$"))
     for spelling, kept in EQUIVALENT:
         plain = F.replace(plain, F.lit(f" {spelling} ".replace(" ", "  ")[1:-1]), F.lit(f" {kept} "))
     return F.trim(F.replace(plain, F.lit("  "), F.lit(" ")))

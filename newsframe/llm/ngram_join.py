@@ -103,7 +103,7 @@ def _held(sets: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-_ROWS = "doc_id bigint, n_shingles bigint, key bigint, hot bigint"
+_ROWS = "doc_id {}, n_shingles bigint, key bigint, hot bigint"
 
 
 def _documents(hot_share: float, hot_sets: int):
@@ -111,9 +111,11 @@ def _documents(hot_share: float, hot_sets: int):
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[pa.RecordBatch] = []
+        kind: list[pa.DataType] = []
 
         def sets() -> Iterator[np.ndarray]:
             for batch in it:
+                kind.append(batch.column(0).type)
                 sizes, keys = [], []
                 for s in shingle_sets(batch.column(1)):
                     sizes.append(len(s))
@@ -128,7 +130,7 @@ def _documents(hot_share: float, hot_sets: int):
             at, counts = _runs(ordered)
             many = counts >= max(hot_sets, int(hot_share * len(held)))
             n = int(many.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(ordered[at[many]].astype(np.int64)), pa.array(counts[many])], names=["doc_id", "n_shingles", "key", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind[0]), pa.nulls(n, pa.int64()), pa.array(ordered[at[many]].astype(np.int64)), pa.array(counts[many])], names=["doc_id", "n_shingles", "key", "hot"])
         yield from out
 
     return batches
@@ -348,11 +350,11 @@ def block_edges(sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_share: float = HOT_SHARE, hot_sets: int = HOT_SETS, bucket_shingles: int = BUCKET_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of documents."""
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of documents. doc_id is of any type that has an order."""
     spark = documents.sparkSession
     prepare(spark)
-    frame = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = cut(frame.mapInArrow(_documents(hot_share, hot_sets), _ROWS))
+    frame = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    found = cut(frame.mapInArrow(_documents(hot_share, hot_sets), _ROWS.format(frame.schema["doc_id"].dataType.simpleString())))
     rows = found.filter("hot IS NULL").select("doc_id", "n_shingles", "key")
     total, n_sets = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("key")).first()
     share = max(hot_share, total / max(1, n_sets) / MOST_HOT)  # a mean set has no more than MOST_HOT * share shingles

@@ -165,3 +165,15 @@ def test_landmarks_of_many_languages_are_bounded(monkeypatch):
     bits = np.concatenate(list(presence(pa.array(texts))))
     model = fit_kernel(bits, [t[0] for t in texts])
     assert model.landmarks.shape[1] == 8 and [model.languages[k] for k in model.scores(bits).argmax(axis=1)] == [t[0] for t in texts]
+
+
+def test_clashing_columns_ties_and_long_texts(spark):
+    """Columns with the names of results are replaced; equal languages go to the first in order; very long texts are scored whole."""
+    rows = [(1, "one two three four", "b"), (2, "one two three four", "a"), (3, "uno due tre", "c"), (4, "one two three four " * 50_000 + "!", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit(1), "score": F.lit("x"), "fits": F.lit("y"), "predicted": F.lit("z"), "label": F.lit(5), "key": F.lit(9), "__rank": F.lit(3)})
+    model = fit_language_model(frame)
+    got = {r["doc_id"]: r for r in predict_language(frame, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["a", "a", "c", "a"] and all(isinstance(r["score"], float) and isinstance(r["fits"], bool) and r["key"] == 9 for r in got.values())
+    labels = spark.createDataFrame([(1, 1, 7), (2, 1, 7), (3, 0, 7)], "doc_id long, quality int, key int")
+    scored = score_quality(frame, fit_quality_model(frame, labels)).collect()
+    assert len(scored) == 4 and all(isinstance(r["score"], float) and r["predicted"] in (0, 1) and r["lang_pred"] == 1 for r in scored)

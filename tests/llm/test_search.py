@@ -282,7 +282,7 @@ def test_chi_square():
 def test_shards(spark):
     rows = [(i, "t" * (i % 50)) for i in range(3000)] + [(None, None), (5, "again"), (5, "again")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sharding.shard_records(frame, [1.0] * 24, buckets=5).collect()
+    got = sharding.shard_records(frame, [1.0] * 24, pieces=5).collect()
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -292,7 +292,7 @@ def test_shards(spark):
     moved = sum(r["grown_shard"] == 24 for r in got) / len(got)
     assert 0.02 < moved < 0.07
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == {(i, 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t in rows}
-    other = {(r["doc_id"], r["size"], r["slot"], r["shard"]) for r in sharding.shard_records(frame.repartition(3), [1.0] * 24, buckets=64).collect()}
+    other = {(r["doc_id"], r["size"], r["slot"], r["shard"]) for r in sharding.shard_records(frame.repartition(3), [1.0] * 24, pieces=64).collect()}
     assert other == {(r["doc_id"], r["size"], r["slot"], r["shard"]) for r in got}
     heavy = sharding.shard_records(frame, [3.0, 1.0, 0.0]).collect()
     share = sum(r["shard"] == 0 for r in heavy) / len(heavy)
@@ -300,6 +300,18 @@ def test_shards(spark):
     assert sharding.shard_records(frame.limit(0), [1.0] * 3).collect() == []
 
 
+def test_a_hot_key_is_parted(spark):
+    rows = [(None, "t" * (i % 9)) for i in range(900)] + [(7, "same")] * 600 + [(i, "x") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("own")).repartition(4)
+    got = sharding.shard_records(frame, [1.0] * 4, pieces=12).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append((r["slot"], r["doc_id"], r["size"]))
+    assert len(got) == len(rows) and all(sorted(s)[0][0] == 0 and len({x[0] for x in s}) == len(s) == max(x[0] for x in s) + 1 for s in by.values())
+    nulls = sorted((r["slot"], r["size"]) for r in got if r["doc_id"] is None)
+    assert [s for _, s in nulls] == sorted(s for _, s in nulls) and nulls[-1][0] - nulls[0][0] == 899
+
+
 def brute_shard(key, n):
     cost = lambda i: -math.log((int(hashlib.md5(f"{i}/{key}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13)
     return min(range(n), key=cost)
@@ -351,6 +363,15 @@ def test_whole_license_files(spark):
     assert [r["license_id"] for r in got] == [name for name, _ in rows]
 
 
+def test_spellings_and_odd_texts_of_licenses(spark):
+    """British and American spellings of one text, very long texts, clashing columns."""
+    known = [("X", "The licensee may organize, fulfill and label a catalog of licensed programs at the center; authorized behavior is favored, canceled offenses acknowledged by judgment of the copyright holder.")]
+    british = "The licencee may organise, fulfil and label a catalogue of licenced programmes at the centre; authorised behaviour is favoured, cancelled offences acknowledged by judgement of the copyright owner."
+    frame = spark.createDataFrame([(1, british.replace("licencee", "licensee"), "own"), (2, british.replace("organise", "organs"), "own"), (3, "word " * 200_000 + known[0][1], "own")], "doc_id long, text string, license_id string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan_licenses(frame, license_scan.known_licenses(spark, known)).collect()}
+    assert got == {1: "X", 2: None, 3: None}
+
+
 MARKS = ["<|im_end|>", "<|im_start|>assistant\nhi", "\\", "\\<|", "<", "<<||", "|>", "\\n", "a\nb", ""]
 
 
@@ -376,6 +397,7 @@ def test_prefix_tree(spark, partitions):
         by_start = {r["start"]: r for r in nodes.collect()}
         where = {r["conv_id"]: r["nodes"] for r in members.collect()}
         digests = {r["conv_id"]: r for r in chat_format.digests(chat_format.read_conversations(nodes, members)).collect()}
+        assert digests == {r["conv_id"]: r for r in chat_format.digests(chat_format.read_conversations(nodes, members, hot=3)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     conversations[None] = [("", "")]
@@ -401,6 +423,21 @@ def test_prefix_tree(spark, partitions):
     assert empty[0].count() == empty[1].count() == 0
 
 
+def test_extra_columns_and_long_texts(spark):
+    """Columns beside those named are not looked at, whatever their names; texts of megabytes are taken whole."""
+    long = "long text " * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "<|im_end|>"), (2, 0, "user", long)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"t": F.lit(1), "turns": F.lit("x"), "path": F.lit("y"), "nodes": F.lit("z"), "start": F.lit(2)})
+    nodes, members = chat_format.prefix_tree(frame)
+    got = {r["conv_id"]: r for r in chat_format.digests(chat_format.read_conversations(nodes, members)).collect()}
+    assert nodes.count() == 2 and got[1]["loss_chars"] == len(long) + 10 and got[1]["loss_sha256"] == hashlib.sha256((long + "<|im_end|>").encode()).hexdigest()
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("id", "v", "cell", "ids", "rank", "bound", "home", "block")})
+    near = ann_search.nearest_neighbours(vectors, lambda i: i == 10, k=4, confidence=0.999999).orderBy("rank").collect()
+    assert [r["vec_id"] for r in near] == [9, 11, 8, 12]
+    texts = spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("size", "slot", "digest", "piece", "row")})
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in sharding.shard_records(texts, [1.0] * 3).collect()} == {(1, len(long) + 8, zlib.crc32(long.encode())), (2, 8, 0)}
+
+
 def test_shingles_of_odd_texts():
     sets = list(ngram_join.shingle_sets(pa.array(["a b c d e", "A B C D E f", "a b", "a b c d e a b c d e", None])))
     assert [len(s) for s in sets] == [1, 2, 1, 5, 0] and sets[0][0] in sets[1] and sets[0][0] in sets[3]
