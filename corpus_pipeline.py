@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +31,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return score_quality(docs.select(COLUMNS), fit_quality_model(docs, labels)).filter("predicted = 1").select(COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with `file` and `number`, which name a row: of a table in files where it is, of anything else a number that is written with a copy, as reading again may deal
+    rows otherwise."""
+    try:
+        return docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("number"))
+    except AnalysisException:
+        return stored(docs.select(*COLUMNS, F.lit("").alias("file"), F.monotonically_increasing_id().alias("number")))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one, that with the smallest doc_id (none: after all others); rows without words are in no group and stay.
 
-    Rows, not ids, are linked and kept, so repeated, shared and missing ids make no difference. Row numbers are written, as reading again may deal rows otherwise.
+    Rows, not ids, are linked and kept, so repeated, shared and missing ids make no difference. The rows kept are written first, so that few of them are broadcast
+    to the texts.
     """
-    rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
-    groups = jaccard_components(rows, doc_id="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = groups.join(rows.select("row", "doc_id"), "row").groupBy("group").agg(first.alias("first")).select("first.row")
-    return rows.join(kept, "row", "left_semi").select(COLUMNS)
+    rows = _numbered(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "number")
+    groups = jaccard_components(rows.select(order.alias("row"), "text"), doc_id="row")
+    kept = stored(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id.file", "doc_id.number"))
+    return rows.join(kept, ["file", "number"], "left_semi").select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
