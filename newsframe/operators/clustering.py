@@ -43,10 +43,10 @@ def verdict(score: Column, overlap: Column) -> Column:
     return found
 
 
-def similarity_clusters(vectors: DataFrame, threshold: float) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, threshold: float, find: Callable[[DataFrame, float], DataFrame] = similar_pairs) -> DataFrame:
     """(cluster_id, article_id): DBSCAN with two members at least, where every point with a neighbour is a core point: the components of the pairs with
-    cosine >= threshold, named by their smallest id. Others are noise and left out."""
-    found = components(similar_pairs(vectors, threshold).select("a", "b"))
+    cosine >= threshold, named by their smallest id. Others are noise and left out. find=approx_similar_pairs is for tables that are too large for all pairs of blocks; it may miss pairs."""
+    found = components(find(vectors, threshold).select("a", "b"))
     return found.select(F.col("root").alias("cluster_id"), F.col("node").alias("article_id"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.text import normalized
 from ..sources.checkpoints import cut
 
-#: Keywords of one block of a match.
+#: Keywords that a plan holds as literals, and that are broadcast.
 KEYWORD_BLOCK = 500
+MOST_KEYWORDS = 1_000_000
 #: Vectors of one block of a similarity join.
 BLOCK = 2048
 
@@ -23,18 +24,39 @@ BLOCK = 2048
 def keyword_matches(articles: DataFrame, keywords: DataFrame) -> DataFrame:
     """(keyword_id, article_id) for each active keyword that headline and content contain in lower case.
 
-    The keywords are the query set, taken in blocks of KEYWORD_BLOCK that the plan holds as literals: each article is looked through once a block
-    and gives rows for its matches alone.
+    The keywords are the query set. Up to KEYWORD_BLOCK are literals of the plan; more, MOST_KEYWORDS at most, are broadcast and looked for together by an automaton.
+    Either way each article is looked through once and gives rows for its matches alone.
     """
-    active = keywords.filter("is_active = 1").select("id", F.lower("keyword").alias("keyword"))
-    blocks = max(1, -(-active.count() // KEYWORD_BLOCK))
+    active = [(r["id"], r["keyword"]) for r in keywords.filter("is_active = 1").select("id", F.lower("keyword").alias("keyword")).limit(MOST_KEYWORDS + 1).collect()]
     text = articles.select(F.col("id").alias("article_id"), F.lower(F.concat_ws(" ", "headline", "content")).alias("text"))
-    parts = []
-    for b in range(blocks):
-        own = active.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        hits = F.array_compact(F.array(*(F.when(F.col("text").contains(k["keyword"]), F.lit(k["id"])) for k in own))) if own else F.array().cast("array<bigint>")
-        parts.append(text.select(F.explode(hits).alias("keyword_id"), "article_id"))
-    return reduce(DataFrame.unionByName, parts)
+    if len(active) > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords; match them in parts")
+    if len(active) > KEYWORD_BLOCK:
+        return _automaton_matches(text, active)
+    hits = F.array_compact(F.array(*(F.when(F.col("text").contains(k), F.lit(i)) for i, k in active))) if active else F.array().cast("array<bigint>")
+    return text.select(F.explode(hits).alias("keyword_id"), "article_id")
+
+
+def _automaton_matches(text: DataFrame, keywords: list[tuple[int, str]]) -> DataFrame:
+    by_word: dict[str, list[int]] = {}
+    for i, word in keywords:
+        by_word.setdefault(word, []).append(i)
+    always = by_word.pop("", [])
+    sent = text.sparkSession.sparkContext.broadcast(by_word)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word, ids in sent.value.items():
+            automaton.add_word(word, ids)
+        automaton.make_automaton()
+        for batch in it:
+            found = [sorted({*always, *(i for _, ids in (automaton.iter(t) if sent.value else ()) for i in ids)}) for t in batch.column(1).to_pylist()]
+            ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), list(map(len, found)))
+            yield pa.RecordBatch.from_arrays([pa.array([i for f in found for i in f], pa.int64()), pa.array(ids)], names=["keyword_id", "article_id"])
+
+    return text.filter("article_id IS NOT NULL").mapInArrow(batches, "keyword_id long, article_id long")
 
 
 def match_listing(matches: DataFrame, keywords: DataFrame, articles: DataFrame) -> DataFrame:

@@ -264,16 +264,16 @@ def _label_search(spark, sf_dir, condition):
     return V.best_assets(scored, F.col("score"), 0.15)
 
 
-@query(f"SELECT arg_min(vec_id, (-score, vec_id)) AS vec_id, asset_id, max(score) AS score FROM ({_fused('q.label = 3 AND q.vec_id < 60', 0)}) GROUP BY asset_id HAVING max(score) >= 0.15", VECTORS, _MEAN.format("label = 3 AND vec_id < 60").replace("confidence AS w", "1.0::DOUBLE AS w"))
+@query(f"SELECT arg_min(vec_id, (-score, vec_id)) AS vec_id, asset_id, max(score) AS score FROM ({_fused('q.label = 3', 0)}) GROUP BY asset_id HAVING max(score) >= 0.15", VECTORS, _MEAN.format("label = 3").replace("confidence AS w", "1.0::DOUBLE AS w"))
 def v12_label_search(spark, sf_dir):
-    """By the label's vectors with vec_id < 60; v12_whole_label takes all of them."""
-    return _label_search(spark, sf_dir, "label = 3 AND vec_id < 60")
+    """By every stored vector of a label."""
+    return _label_search(spark, sf_dir, "label = 3")
 
 
-@query(f"SELECT arg_min(vec_id, (-score, vec_id)) AS vec_id, asset_id, max(score) AS score FROM ({_fused('q.label = 3', 0)}) GROUP BY asset_id HAVING max(score) >= 0.15", VECTORS, _MEAN.format("label = 3").replace("confidence AS w", "1.0::DOUBLE AS w"))
+@query(f"SELECT arg_min(vec_id, (-score, vec_id)) AS vec_id, asset_id, max(score) AS score FROM ({_fused('q.label = 7', 0)}) GROUP BY asset_id HAVING max(score) >= 0.15", VECTORS, _MEAN.format("label = 7").replace("confidence AS w", "1.0::DOUBLE AS w"))
 def v12_whole_label(spark, sf_dir):
-    """By every stored vector of the label."""
-    return _label_search(spark, sf_dir, "label = 3")
+    """The same for another label."""
+    return _label_search(spark, sf_dir, "label = 7")
 
 
 _SCORED = "scored AS (SELECT vec_id, asset_id, v, round(list_cosine_similarity(v, (SELECT v FROM vectors WHERE vec_id = 0)), 4) AS score FROM vectors)"

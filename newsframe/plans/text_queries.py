@@ -8,6 +8,7 @@ from ..functions import dates as D
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
+from ..sources.sites import SITES, extract_articles
 from .registry import query
 from .views import ARTICLES, CATEGORIES, RUNS, articles, categories, runs, table
 
@@ -297,6 +298,21 @@ def h9_fragment_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.body(F.col("html"), joint="\n\n").alias("text"))
 
 
+_NAMES = [part for part, _ in SITES]
+_SITE_LIST = ", ".join(f"'{part}'" for part in _NAMES)
+#: The page's paragraphs of more than 30 characters, in its article.
+_LONG = "array_to_string(list_filter(p, lambda x: length(x) >= 31), ' ')"
+
+
+@query(f"""SELECT page_id, CASE WHEN n = 'bd-pratidin' THEN 'bdpratidin' ELSE n END AS site, CASE n WHEN 'desh' THEN NULL WHEN 'kalbela' THEN rtrim(h, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~।') ELSE h END AS headline,
+  CASE WHEN n IN ('sangbad', 'amadershomoy', 'bdpratidin', 'bd-pratidin', 'mzamin', 'dhakatribune', 'janakantha') THEN nullif({_LONG}, '') END AS content
+  FROM (SELECT page_id, [{_SITE_LIST}][page_id % {len(_NAMES)} + 1] AS n, p, {_sql_text("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS h FROM paragraphs JOIN pages USING (page_id))""", _PARAGRAPHS)
+def h10_site_rules(spark, sf_dir):
+    """The pages as if of all the known sites in turn, by the rules of each."""
+    name = F.element_at(F.array(*(F.lit(n) for n in _NAMES)), (F.col("page_id") % len(_NAMES) + 1).cast("int"))
+    return extract_articles(table(spark, sf_dir, "pages").withColumn("source_site", F.concat(F.lit("the "), name))).select("page_id", "site", "headline", "content")
+
+
 @query("SELECT doc_id, CASE WHEN source LIKE '%src1%' THEN 'one' WHEN source LIKE '%src2%' THEN 'two' WHEN source LIKE '%src%' THEN 'rest' END AS site FROM documents")
 def h10_site(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", H.site_of(F.col("source"), [("src1", "one"), ("src2", "two"), ("src", "rest")]).alias("site"))

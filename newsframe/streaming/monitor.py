@@ -47,13 +47,10 @@ def monitor_keywords(articles: DataFrame, keywords: DataFrame, after: int = -1)
     target = f"{folder}/out"
 
     def insert_new(batch: DataFrame, number: int) -> None:
-        found = keyword_matches(batch, keywords).distinct()
-        if number:
-            earlier = spark.read.schema("keyword_id long, article_id long, batch int").option("basePath", target).parquet(target).filter(F.col("batch") < number)
-            found = found.join(earlier, ["keyword_id", "article_id"], "left_anti")
-        found.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        keyword_matches(batch, keywords).distinct().write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    run_to_end(articles.filter(F.col("id") > after), insert_new, folder=folder)
+    # an article is matched once: the state holds the ids that were seen, not the matches
+    run_to_end(articles.filter(F.col("id") > after).dropDuplicates(["id"]), insert_new, folder=folder)
     return spark.read.schema("keyword_id long, article_id long").parquet(f"{target}/batch=*")
 
 
@@ -123,14 +120,13 @@ def retry_states(stream: DataFrame, most: int = 10) -> DataFrame:
 
 
 def retry_table(rows: DataFrame, most: int = 10) -> DataFrame:
-    """The same over a table, by a fold of aggregates: the position of the first success decides."""
-    from pyspark.sql import Window
-
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("position")))
-    first = numbered.groupBy("key").agg(F.min(F.when(F.col("ok"), F.col("n"))).alias("first"), F.max("n").alias("n"))
-    good = F.coalesce(F.col("first") <= most, F.lit(False))
-    attempts = F.when(good, F.col("first")).otherwise(F.least("n", F.lit(most)))
-    return first.select("key", attempts.cast("int").alias("attempts"), F.when(good, "success").when(F.col("n") >= most, "exhausted").otherwise("retry").alias("state"))
+    """The same over a table: attempts up to the first success are counted by aggregates that combine before they are shuffled, so no key is sorted in one task."""
+    totals = rows.groupBy("key").agg(F.min(F.when(F.col("ok"), F.col("position"))).alias("success"), F.count(F.lit(1)).alias("n"))
+    upto = rows.join(totals.select("key", "success"), "key").groupBy("key").agg(F.count_if(F.col("position") <= F.col("success")).alias("nth"))
+    both = totals.join(upto, "key")
+    good = F.col("success").isNotNull() & (F.col("nth") <= most)
+    attempts = F.when(good, F.col("nth")).otherwise(F.least("n", F.lit(most)))
+    return both.select("key", attempts.cast("int").alias("attempts"), F.when(good, "success").when(F.col("n") >= most, "exhausted").otherwise("retry").alias("state"))
 
 
 def gate(rows: DataFrame, least: int) -> DataFrame:

@@ -357,6 +357,19 @@ def test_empty_and_null_inputs(spark):
     assert nulls.select(filters.reject_reason(F.col("headline"), F.col("published"), F.col("content"))).first()[0] == "headline"
 
 
+def test_many_keywords_are_matched_in_one_pass(spark):
+    words = [f"k{i}" for i in range(joins.KEYWORD_BLOCK + 100)] + ["k1", "Head", ""]
+    keywords = spark.createDataFrame([(i, w, int(i % 50 != 3)) for i, w in enumerate(words)], "id long, keyword string, is_active int")
+    texts = [("head K12", "k300 k5"), (None, "xk1y"), ("none", None), (None, None)]
+    articles = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, headline string, content string")
+    got = {tuple(r) for r in joins.keyword_matches(articles, keywords).collect()}
+    want = {(k, i) for i, t in enumerate(texts) for k, w in enumerate(words) if k % 50 != 3 and w.lower() in " ".join(x for x in t if x is not None).lower()}
+    assert got == want and len(want) > 8
+    few = keywords.filter("id < 50 OR id > 599")
+    assert {tuple(r) for r in joins.keyword_matches(articles, few).collect()} == {(k, i) for k, i in want if k < 50 or k > 599}
+    assert joins.keyword_matches(articles, keywords.limit(0)).collect() == []
+
+
 def test_a_query_set_larger_than_a_plan_holds(spark):
     import numpy as np
 
@@ -370,3 +383,36 @@ def test_a_query_set_larger_than_a_plan_holds(spark):
     want = 0.7 * unit(v) @ unit(q.mean(axis=0)) + 0.3 * (unit(v) @ unit(q).T).max(axis=1)
     assert sorted((r["vec_id"], r["asset_id"], round(r["score"], 9)) for r in got) == sorted((a, b, round(s, 9)) for (a, b, _), s in zip(rows, want.tolist(), strict=True))
     assert vector_search.set_scores(frame, frame.limit(0)).collect() == []
+
+
+PAGES = [
+    ("kalbela", '<h1>other</h1><h1 class="big details-title">Head!।</h1><div class="dtl_content_section"><p>short</p><p>a paragraph of more than twenty</p><p>another paragraph of that length</p></div><img src="/a/1.jpg"><img src="/a/2.jpg?x=1" class="img-fluid detailImg">', "Head", "a paragraph of more than twenty", "2.jpg?x=1"),
+    ("desh", '<h2 class="details-title">Head</h2><section class="dtl_content_section">All <b>the</b> text</section>', "Head", "All the text", None),
+    ("jugantor", '<h1>Head</h1><div class="desktopDetailBody"><script>x()</script><p>One</p><p>Two</p></div><figure class="f"><img alt="" src="https://x/y/3.png"></figure>', "Head", "One\nTwo", "3.png"),
+    ("jugantor", '<h1 class="my-3">Head</h1><div class="desktopDetailPhotoDiv"><img src="4.png"></div>', "Head", None, "4.png"),
+    ("ittefaq", '<h1 class="title mb">Head</h1><div class="content_detail_each_group"><p>One</p><p> </p><p>Two</p></div><meta property="og:image" content="https://x/5.jpg?w=1">', "Head", "One Two", "5.jpg"),
+    ("bdnews24", '<h1>Head</h1><div id="contentDetails"></div><div class="custombody"><p>Body</p></div><img class="img-responsive" src="6.jpg">', "Head", "Body", "6.jpg"),
+    ("prothomalo", '<h1>Head</h1><div class="x-story-element-text-y"><p>One</p></div><div class="story-element-text">Two</div><img src="7.jpg">', "Head", "One Two", "7.jpg"),
+    ("dhakapost", '<h1>Head</h1><div class="news-details-x"><p>One</p></div><img class="a w-full" src="https://cdn.dhakapost.com/media/imgAll/8.jpg">', "Head", "One", "8.jpg"),
+    ("dhakapost", '<h1>Head</h1><img class="w-full" src="https://other/8.jpg">', "Head", None, None),
+    ("jagonews24", '<h2>Head</h2><div class="content-details"><p>One</p></div><meta property="og:image" content="https://cdn.jagonews24.com/9.jpg">', "Head", "One", "9.jpg"),
+    ("samakal", '<h1>Head</h1><div class="dNewsDesc"><p>brief</p><p>a paragraph of more than twenty</p></div><div class="DNewsImg"><img src="lazy.gif" data-src="10.jpg"></div>', "Head", "a paragraph of more than twenty", "10.jpg"),
+    ("sangbad", '<h2 class="title">Head</h2><p>a paragraph of much more than thirty characters</p><img src="/images/1/main_image/11.jpg">', "Head", "a paragraph of much more than thirty characters", "11.jpg"),
+    ("amadershomoy", '<meta property="og:title" content="Head"><article><p>a paragraph of much more than thirty characters</p><p>short</p></article><img src="12.jpg">', "Head", "a paragraph of much more than thirty characters", "12.jpg"),
+    ("bd-pratidin", '<h1 class="card-title">Head</h1><article><p>a paragraph of much more than thirty characters</p></article><meta property="og:image" content="https://x/og/13.jpg">', "Head", "a paragraph of much more than thirty characters", "13.jpg"),
+    ("mzamin", '<h1>Head</h1><div class="content"><p>a paragraph of much more than thirty characters</p></div><img src="a.jpg"><img class="article-image" src="14.jpg">', "Head", "a paragraph of much more than thirty characters", "14.jpg"),
+    ("dhakatribune", '<h1>Head</h1><article class="jw_detail_content_holder x"><p>a paragraph of much more than thirty characters</p></article>', "Head", "a paragraph of much more than thirty characters", None),
+    ("janakantha", '<h1>Head</h1><article class="DDetailsContent"><p>a paragraph of much more than thirty characters</p></article><img class="TopImg" src="16.jpg">', "Head", "a paragraph of much more than thirty characters", "16.jpg"),
+    ("boishakhi", '<h1>Head</h1><div class="dtl_content_section"><p>a paragraph of much more than thirty characters</p></div><div class="dtl_img_section"><img src="17.jpg"></div>', "Head", "a paragraph of much more than thirty characters", "17.jpg"),
+    ("unknown", "<h1>Head</h1>", None, None, None),
+    ("kalbela", None, None, None, None),
+]
+
+
+def test_rules_of_the_sites(spark):
+    from newsframe.sources import sites
+
+    frame = spark.createDataFrame([(i, f"The {p[0]} online", p[1]) for i, p in enumerate(PAGES)], "page_id long, source_site string, html string")
+    got = sites.extract_articles(frame).orderBy("page_id").collect()
+    assert [(r["headline"], r["content"], r["image_name"]) for r in got] == [p[2:] for p in PAGES]
+    assert {s for _, s in sites.SITES} == set(sites.HEADLINES) == set(sites.BODIES) == set(sites.IMAGES)
