@@ -35,18 +35,18 @@ from pyspark.sql import types as T
 
 from .pretokens import find_pretokens
 from .session import prepare
-from .textarrays import chunks
+from .textarrays import chunks, give_back
 
 #: Texts that are encoded together, in bytes; a longer text is taken alone.
-TEXT_BYTES = 3 << 20
+TEXT_BYTES = 3 << 19
 #: Words that a task keeps with their ids; beyond, it starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 CUT_PIECE = 32
 LONG_PIECE = 1024
 #: Rows that a recursive query keeps at most: half of the sum of its words' squared lengths.
-QUERY_ROWS = 3_000_000
+QUERY_ROWS = 1_500_000
 #: Ids that one query decodes, and ids in one of its groups; longer sequences are decoded group by group.
-DECODED_IDS = 400_000
+DECODED_IDS = 200_000
 GROUP_IDS = 50_000
 
 #: A row is one number k, so that a sort takes little: word, position in it (20 bits), token (17 bits).
@@ -112,7 +112,7 @@ class Codec:
             raise ValueError("ids of more than 17 bits")
         self.tokens, self.longest = frozenset(ranks), max(map(len, ranks))
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         made = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, rank = np.array(made, np.int64).reshape(-1, 3).T
         self._table("merges", ab=(left << 17) + right, r=rank)
@@ -278,6 +278,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", outputs: tuple[s
                     yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns[: len(keep)], *(out[x] for x in added)], names=[*keep, *added])
         finally:
             own.forget()
+            give_back()
 
     return frame.mapInArrow(batches, schema)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import prepare
-from .textarrays import LOWER, byte_table, chunks, word_hashes, word_spans
+from .textarrays import LOWER, byte_table, chunks, giving_back, word_hashes, word_spans
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -262,7 +262,7 @@ def mark_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
                     out.append(pa.array(_without(data, offsets, begin, end, nulls[a:z]), pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=[*keep, *added])
 
-    return frame.mapInArrow(batches, schema)
+    return frame.mapInArrow(giving_back(batches), schema)
 
 
 def _without(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, end: np.ndarray, nulls: np.ndarray) -> list[bytes | None]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .sampling import sample_by_label
 from .session import prepare
-from .textarrays import chunks
+from .textarrays import chunks, giving_back
 
 LONGEST = 3
 BUCKETS = 1 << 14
@@ -155,4 +155,4 @@ def predict_language(documents: DataFrame, model: KernelModel, text: str = "text
             best[none], score[none], fits[none] = len(own.languages), 0.0, False
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(fits)], names=[*keep, "lang_pred", "score", "fits"])
 
-    return frame.mapInArrow(batches, schema)
+    return frame.mapInArrow(giving_back(batches), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .session import cut, prepare
-from .textarrays import LOWER, byte_table, chunks, mix, word_hashes, word_spans
+from .textarrays import LOWER, byte_table, chunks, give_back, giving_back, mix, word_hashes, word_spans
 
 WORDS = 5
 #: Shingles that one part of a block holds at most, about 8 bytes each.
@@ -47,7 +47,7 @@ BLOCK_SHINGLES = 4_000_000
 BUCKET_SHINGLES = 4_000_000
 MOST_BUCKETS = 1 << 18
 #: Shingles of sets that a task packs together, and keys of sets that it remembers having sent.
-HELD_SHINGLES = 1_500_000
+HELD_SHINGLES = 1_000_000
 SENT_KEYS = 500_000
 HOT_SHARE = 0.01
 MOST_HOT = 100_000
@@ -222,6 +222,7 @@ def _shared_lists(parts: int):
             own, counts = _runs(keys[a : a + n])
             _, *packed = _pack(b, keys[a : a + n][own], sizes[a : a + n][own], counts, hashes[a : a + n])
             rows.append((int(part[a]), *packed, lists[a : a + n].astype(np.uint32).tobytes()))
+        give_back()
         return pa.Table.from_batches([_batch(rows, _SHARED)])
 
     return bucket
@@ -247,6 +248,7 @@ def _candidate_sets(table: pa.Table) -> pa.Table:
         own = own[np.lexsort((hashes[own], lists[own]))]
         size = int(sizes[own[0]])
         rows.append((int(keys[own[0]].astype(np.int64)), size, n - -(-80 * size // 100) + 1, hashes[own].tobytes()))
+    give_back()
     return pa.Table.from_batches([_batch(rows, _SETS)])
 
 
@@ -331,7 +333,7 @@ def candidate_sets(texts: DataFrame, shingles: int, hot: np.ndarray, bucket_shin
     """Steps 2 and 3: sets that may have a link, with the hashes that they share. shingles: how many there are in all sets."""
     tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // (4 * bucket_shingles)))
     parts = max(tasks, min(MOST_BUCKETS, -(-shingles // bucket_shingles)))
-    packed = texts.mapInArrow(_postings(parts, parts, np.sort(hot)), _PACKED)
+    packed = texts.mapInArrow(giving_back(_postings(parts, parts, np.sort(hot))), _PACKED)
     shared = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_shared_lists(parts), _SHARED)
     return shared.repartition(tasks, "part").groupBy("part").applyInArrow(_candidate_sets, _SETS)
 
@@ -354,7 +356,7 @@ def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     spark = documents.sparkSession
     prepare(spark)
     frame = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = cut(frame.mapInArrow(_documents(hot_share, hot_sets), _ROWS.format(frame.schema["doc_id"].dataType.simpleString())))
+    found = cut(frame.mapInArrow(giving_back(_documents(hot_share, hot_sets)), _ROWS.format(frame.schema["doc_id"].dataType.simpleString())))
     rows = found.filter("hot IS NULL").select("doc_id", "n_shingles", "key")
     total, n_sets = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("key")).first()
     share = max(hot_share, total / max(1, n_sets) / MOST_HOT)  # a mean set has no more than MOST_HOT * share shingles

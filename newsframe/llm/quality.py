@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .sampling import sample_by_label
 from .session import prepare
-from .textarrays import LOWER, byte_table, chunks, word_hashes, word_spans
+from .textarrays import LOWER, byte_table, chunks, giving_back, word_hashes, word_spans
 
 WORD_BUCKETS = 1 << 14
 BINS = 16
@@ -177,4 +177,4 @@ def score_quality(documents: DataFrame, model: FactorisationMachine, text: str =
             score = np.concatenate([np.zeros(0), *(sent.value.scores(*x) for x in features(batch.column(len(keep))))])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return frame.mapInArrow(batches, schema)
+    return frame.mapInArrow(giving_back(batches), schema)
