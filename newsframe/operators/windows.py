@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import cut
+
 
 def best_per_key(rows: DataFrame, key: str, score: str, tie: str, least: float | None = None, limit: int | None = None) -> DataFrame:
     """The best row of each key (ties: the smallest `tie`), those at `least` and above, the best `limit` of them. By partial aggregation, not by a window."""
@@ -14,17 +16,36 @@ def best_per_key(rows: DataFrame, key: str, score: str, tie: str, least: float |
     return best.orderBy(F.desc(score), tie).limit(limit) if limit else best
 
 
-def until_consecutive_old(rows: DataFrame, group: str, order: str, old: Column, n: int = 3) -> DataFrame:
-    """New rows of each group before its n-th old one in a row. old null (no date): the row is kept and doesn't count either way."""
-    w = Window.partitionBy(group).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dated = rows.withColumn("__old", old)
-    news = F.count_if(F.col("__old") == F.lit(False)).over(upto)
-    marked = dated.withColumn("__island", news)
-    run = Window.partitionBy(group, "__island").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = marked.withColumn("__in_row", F.count_if(F.col("__old")).over(run))
-    ended = F.max((F.col("__in_row") >= n).cast("int")).over(upto)
-    return counted.withColumn("__ended", ended).filter("__ended = 0 AND NOT coalesce(__old, false)").drop("__old", "__island", "__in_row", "__ended")
+def until_consecutive_old(rows: DataFrame, group: str, order: str, old: Column, n: int = 3, pieces: int | None = None) -> DataFrame:
+    """New rows of each group before its n-th old one in a row. old null (no date): the row is kept and doesn't count either way.
+
+    The rows are dealt by ranges of group and order, so that a large group is many pieces. A piece tells with how many old ones in a row it ends and whether n come together
+    in it; a row for each piece of a group goes through a window that hands the count on to the next piece.
+    """
+    pieces = pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.withColumn("__old", old).repartitionByRange(pieces, group, order).withColumn("__piece", F.spark_partition_id()))
+    upto = Window.partitionBy(group, "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy(group, "__piece", "__island").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("__island", F.count_if(F.col("__old") == F.lit(False)).over(upto)).withColumn("__in_row", F.count_if(F.col("__old")).over(run))
+
+    first = F.col("__island") == 0
+    told = local.groupBy(group, "__piece").agg(
+        F.max("__island").alias("__news"),
+        F.max_by("__in_row", order).alias("__tail"),
+        F.coalesce(F.max(F.when(first, F.col("__in_row"))), F.lit(0)).alias("__lead"),
+        F.coalesce(F.max(F.when(~first, F.col("__in_row"))), F.lit(0)).alias("__most"),
+    )
+    by_piece = Window.partitionBy(group).orderBy("__piece")
+    told = told.withColumn("__since", F.sum((F.col("__news") > 0).cast("int")).over(by_piece))
+    told = told.withColumn("__out", F.sum("__tail").over(Window.partitionBy(group, "__since").orderBy("__piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    told = told.withColumn("__in", F.coalesce(F.lag("__out").over(by_piece), F.lit(0)))
+    ends = (F.col("__lead") + F.col("__in") >= n) | (F.col("__most") >= n)
+    told = told.withColumn("__over", F.coalesce(F.max(ends.cast("int")).over(by_piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    both = local.join(told.select(group, "__piece", "__in", "__over"), [group, "__piece"])
+    ended = F.max((F.col("__in_row") + F.when(first, F.col("__in")).otherwise(0) >= n).cast("int")).over(upto)
+    kept = both.withColumn("__ended", ended).filter("__over = 0 AND __ended = 0 AND NOT coalesce(__old, false)")
+    return kept.select(rows.columns)
 
 
 def first_of_each(rows: DataFrame, key: str, position: str) -> DataFrame:

@@ -71,6 +71,32 @@ def test_until_consecutive_old(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("pieces", [1, 3, 20])
+def test_consecutive_old_over_pieces(spark, pieces):
+    """A group over many pieces, runs that go on from one to the next, pieces of old rows only, groups that never end."""
+    import random
+
+    dice = random.Random(pieces)
+    groups = {
+        "long": [False] * 90 + [None if i % 3 else True for i in range(60)] + [False] * 30,
+        "never": [i % 3 != 2 for i in range(120)],
+        "old": [True] * 50,
+        **{f"g{k}": [dice.choice([True, False, None]) for _ in range(40)] for k in range(6)},
+    }
+    rows = [(g, i, f) for g, flags in groups.items() for i, f in enumerate(flags)]
+    want = []
+    for g, flags in groups.items():
+        streak = 0
+        for i, f in enumerate(flags):
+            streak = streak + 1 if f else 0 if f is False else streak
+            if streak >= 4:
+                break
+            if not f:
+                want.append((g, i))
+    got = windows.until_consecutive_old(spark.createDataFrame(rows, "g string, i int, old boolean"), "g", "i", F.col("old"), 4, pieces)
+    assert got.columns == ["g", "i", "old"] and sorted((r["g"], r["i"]) for r in got.collect()) == sorted(want)
+
+
 def plain_refinement(rows, threshold):
     """(cluster, article) that stay; rows: cluster, article, headline, content length, position, vector."""
     out = set()
