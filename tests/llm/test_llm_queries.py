@@ -76,12 +76,17 @@ def test_stages_take_empty_tables_and_nulls(spark, sf_dir):
                 assert out.columns == docs.columns
 
 
-def test_one_row_of_each_group_stays(spark, sf_dir):
+@pytest.mark.parametrize("most_bitmaps, in_files", [(25_000, False), (25_000, True), (0, True)])
+def test_one_row_of_each_group_stays(spark, sf_dir, monkeypatch, tmp_path, most_bitmaps, in_files):
+    monkeypatch.setattr(corpus_pipeline, "MOST_BITMAPS", most_bitmaps)
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
     near = text["a"].replace("a39", "other")
     rows = [(5, text["a"])] * 30 + [(7, near), (7, text["b"]), (None, text["a"]), (None, text["c"]), (None, text["c"]), (9, text["d"]), (8, text["d"]), (3, ""), (3, "")]
     frame = spark.createDataFrame([(i, t, "en", f"s{n}", len(t)) for n, (i, t) in enumerate(rows)], schema).repartition(3)
+    if in_files:
+        frame.write.parquet(str(tmp_path / "docs"))
+        frame = spark.read.schema(schema).parquet(str(tmp_path / "docs"))
     got = corpus_pipeline.near_duplicate_stage(spark, frame, sf_dir)
     want = [(5, text["a"]), (7, text["b"]), (None, text["c"]), (8, text["d"]), (3, ""), (3, "")]
     assert got.columns == corpus_pipeline.COLUMNS
