@@ -15,6 +15,8 @@ from newsframe.llm.quality import fit_quality_model, score_quality
 from newsframe.llm.sampling import fold
 from newsframe.llm.session import prepare, stored
 
+#: Bitmaps of kept rows that are broadcast.
+MOST_BITMAPS = 25_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -43,14 +45,20 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one, that with the smallest doc_id (none: after all others); rows without words are in no group and stay.
 
-    Rows, not ids, are linked and kept, so repeated, shared and missing ids make no difference. The rows kept are written first, so that few of them are broadcast
-    to the texts.
+    Rows, not ids, are linked and kept, so repeated, shared and missing ids make no difference. What is kept of each file is written as bitmaps, of 32,768 rows each;
+    up to MOST_BITMAPS they are broadcast (4 kB each), so that the texts stay where they are, beyond that the kept rows are joined.
     """
     rows = _numbered(docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "number")
     groups = jaccard_components(rows.select(order.alias("row"), "text"), doc_id="row")
-    kept = stored(groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id.file", "doc_id.number"))
-    return rows.join(kept, ["file", "number"], "left_semi").select(COLUMNS)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id.file", "doc_id.number")
+    place, bucket = F.bitmap_bit_position(F.col("number") + 1), F.bitmap_bucket_number(F.col("number") + 1).alias("bucket")
+    bitmaps = stored(kept.groupBy("file", bucket).agg(F.bitmap_construct_agg(place).alias("bits")))
+    if bitmaps.count() > MOST_BITMAPS:
+        return rows.join(kept, ["file", "number"], "left_semi").select(COLUMNS)
+    found = rows.withColumn("bucket", bucket).join(F.broadcast(bitmaps), ["file", "bucket"])
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1).select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
