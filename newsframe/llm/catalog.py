@@ -93,7 +93,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_language_id, op4_nearest_neighbours, op5_sharding, op6_byte_bpe, op7_decontamination, op8_quality, op9_ngram_join, op10_token_counts)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine_hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, label=label)
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"), (1, 2, 3)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_keys, prefix_trie, with_donated_turns
+
+    keys = conversation_keys(_table(spark, sf_dir, "conversations"))
+    own = F.col("conv_id")
+    nodes = prefix_trie(with_donated_turns(keys, own - own % 100, F.crc32(own.cast("string").cast("binary")) % 6, 5))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_language_id, op4_nearest_neighbours, op5_sharding, op6_byte_bpe, op7_decontamination, op8_quality, op9_ngram_join, op10_token_counts, op11_hard_negatives, op12_source_mix, op13_prefix_trie)}
 
 #: A-Z to a-z and no other letter, for DuckDB.
 _ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,11 +167,15 @@ def _shard_sql(shards: int) -> str:
     return f"list_aggregate([{', '.join(costs)}], 'min').shard"
 
 
+#: The table of crc32, and the checksum of a string of hexadecimal digits.
+_CRC = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT range::BIGINT AS i FROM range(256))))"
+_CRC_OF = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length({0}) // 2), lambda i: ('0x' || substr({0}, (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
 _OP5 = f"""
-WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT range::BIGINT AS i FROM range(256)))),
+WITH {_CRC},
 hexes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 sharded AS (SELECT doc_id, length(h) // 2 + 8 AS size, md5({_KEY}) AS digest,
-  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32,
+  {_CRC_OF.format("h")} AS text_crc32,
   {_shard_sql(24)} AS shard, {_shard_sql(25)} AS grown_shard FROM hexes, crc)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY digest, size, text_crc32) - 1 AS slot, grown_shard FROM sharded
 """
@@ -173,4 +199,42 @@ SELECT doc_id, CASE WHEN p <> '' THEN sha256(p) END AS text_digest, license_id F
 """
 
 
-ORACLES: dict[str, str] = {"op1_chat_format": _OP1, "op2_license_scan": _licence_sql(), "op5_sharding": _OP5, "op7_decontamination": _OP7, "op9_ngram_join": _OP9}
+_OP11 = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score QUALIFY rank <= 3
+"""
+
+_OP12 = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, ('0x' || md5('0/' || coalesce('k' || doc_id, 'null'))[:13])::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::BIGINT AS cap, [1.0::DOUBLE, 2.0, 3.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, sum(source_size) OVER ()::DOUBLE AS total, coalesce(sum(cap) OVER up, 0) AS clamped, sum(w) OVER () - coalesce(sum(w) OVER up, 0) AS open FROM s WINDOW up AS (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, cap * open <= w * (total - clamped) AS full_up FROM o),
+r AS (SELECT any_value(total) - coalesce(sum(cap) FILTER (full_up), 0) AS rest, sum(w) FILTER (NOT full_up) AS open FROM f),
+t AS (SELECT source, source_size, CASE WHEN full_up THEN cap ELSE rest * w / r.open END AS target FROM f, r),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, floor(target + 0.5)::BIGINT - whole * source_size - before)))::BIGINT AS taken, d.source
+FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d) d JOIN g ON g.source IS NOT DISTINCT FROM d.source
+"""
+
+_OP13 = f"""
+WITH {_CRC},
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, role, text FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS donor, ({_CRC_OF.format("hex(encode(conv_id::VARCHAR))")} % 6)::BIGINT AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+k AS (SELECT c.*, (SELECT count(*) FROM t WHERE t.conv_id = donor AND i <= h) AS given FROM c),
+r AS (SELECT k.conv_id, i AS d, role, text FROM k JOIN t ON t.conv_id = donor AND i <= h UNION ALL SELECT k.conv_id, given + i - h, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND i > h),
+p AS (SELECT conv_id, d, length(text) AS chars, sha256(string_agg(length(role) || ':' || role || ':' || length(text) || ':' || text, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM r),
+m AS (SELECT conv_id, 0 AS d, 0 AS chars, '' AS node, NULL AS up FROM c UNION ALL SELECT conv_id, d, chars, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY d), '') FROM p),
+own AS (SELECT node, any_value(d) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len_), '') AS ends FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS len_ FROM m) GROUP BY node),
+kids AS (SELECT up AS node, count(*) AS n FROM own WHERE up IS NOT NULL GROUP BY up),
+under AS (SELECT DISTINCT a.node AS top, b.node AS node FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (SELECT top, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (coalesce(kids.n, 0) = 0) AS n_leaves FROM under JOIN own USING (node) LEFT JOIN kids USING (node) GROUP BY top)
+SELECT own.conv_id, own.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, own.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, sha256(own.ends) AS ends_sha256
+FROM own LEFT JOIN own up ON up.node = own.up LEFT JOIN kids ON kids.node = own.node JOIN sums ON sums.top = own.node
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_format": _OP1, "op2_license_scan": _licence_sql(), "op5_sharding": _OP5, "op7_decontamination": _OP7, "op9_ngram_join": _OP9, "op11_hard_negatives": _OP11, "op12_source_mix": _OP12, "op13_prefix_trie": _OP13}
