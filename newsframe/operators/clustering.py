@@ -9,13 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import overlap as overlap_of
 from ..functions.text import text_hash, truncated, word_set
 from ..functions.vectors import cosine
 from ..sources.readers import append_log
 from .filters import recent_window
 from .graph import components
-from .greedy import DROPPED, OPEN, TAKEN, taken_greedily
+from .greedy import taken_greedily
 from .joins import similar_pairs
 
 #: When a candidate joins an accepted member, by cosine and by the share of headline words in common.
@@ -27,9 +26,9 @@ VERDICTS = ((0.80, 0.12, "PASS"), (0.68, 0.40, "PASS (headline)"), (0.92, 0.0, "
 ENCODED_AT_ONCE = 32
 
 
-def accepted(score: Column, overlap: Column, threshold: float) -> Column:
-    """Whether two articles tell of one event."""
-    rules = (score >= SURE_COSINE).cast("boolean")
+def accepted(score: Column | float, overlap: Column | float, threshold: float) -> Column | bool:
+    """Whether two articles tell of one event, of columns or of numbers."""
+    rules = score >= SURE_COSINE
     for least_overlap, least_score in OVERLAP_RULES:
         rules = rules | ((overlap >= least_overlap) & (score >= (threshold if least_score is None else least_score)))
     return rules
@@ -89,16 +88,13 @@ def refine(candidates: DataFrame, threshold: float = 0.80) -> DataFrame:
     rows = candidates.filter("v IS NOT NULL")
     primary = rows.groupBy("cluster_id").agg(F.min_by("article_id", F.struct(-F.col("content_length"), "position")).alias("primary"))
     is_primary = F.col("article_id") == F.col("primary")
-    placed = rows.join(primary, "cluster_id").select(F.col("cluster_id").alias("group"), F.col("article_id").alias("id"), F.when(is_primary, F.lit(-(1 << 62))).otherwise(F.col("position")).alias("place"), "v", F.when(is_primary, TAKEN).otherwise(OPEN).alias("status"))
-    words = rows.select(F.col("article_id").alias("id"), word_set(F.col("headline")).alias("words"))
+    place = F.when(is_primary, F.lit(-(1 << 62))).otherwise(F.col("position"))
+    placed = rows.join(primary, "cluster_id").select(F.col("cluster_id").alias("group"), F.col("article_id").alias("id"), place.alias("place"), "v", word_set(F.col("headline")).alias("words"), is_primary.alias("forced"))
 
-    def decide(found: DataFrame) -> DataFrame:
-        settled = found.filter(F.col("other_status").isNull() | (F.col("other_status") == TAKEN))
-        both = settled.join(words, "id").join(words.select(F.col("id").alias("other"), F.col("words").alias("their")), "other", "left")
-        shared = F.when(F.col("their").isNotNull(), overlap_of(F.col("words"), F.col("their"))).otherwise(0.0)
-        return both.select("id", F.when(accepted(F.coalesce("score", F.lit(0.0)), shared, threshold), TAKEN).otherwise(DROPPED).alias("status"))
+    def accept(score: float, overlap: float) -> bool:
+        return accepted(score, overlap, threshold)
 
-    taken = rows.select("cluster_id", "article_id").join(taken_greedily(placed, decide).withColumnRenamed("id", "article_id"), "article_id", "left_semi")
+    taken = rows.select("cluster_id", "article_id").join(taken_greedily(placed, accept).withColumnRenamed("id", "article_id"), "article_id", "left_semi")
     whole = taken.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("cluster_id")
     return taken.join(whole, "cluster_id", "left_semi").select("cluster_id", "article_id")
 

@@ -1,4 +1,4 @@
-"""Greedy choices along an order, in rounds: what becomes of a row depends on the earlier rows of its group that were taken."""
+"""Greedy choices along an order: whether a row is taken depends on the earlier rows of its group that were taken."""
 
 from __future__ import annotations
 
@@ -10,64 +10,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
-from ..sources.checkpoints import cut
+from ..sources.checkpoints import stored
+from ..sources.workers import importable
 from .joins import BLOCK
+from .windows import numbered
 
-OPEN, TAKEN, DROPPED = 0, 1, 2
+#: Whether a row is taken, by the cosine to the nearest earlier row of its group that was taken and the share of words in common with it (0 and 0 without one).
+Accept = Callable[[float, float], bool]
 
-_FOUND = "id bigint, score double, place bigint, other bigint, other_status int, taken_score double"
+_NEAREST = "id bigint, score double, place bigint, words array<string>"
+_VERDICT = "group bigint, id bigint, place bigint, v array<double>, words array<string>, taken boolean"
+_KINDS = {"bigint": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_()}
 
 
-def _nearest_in_block(_, asked: pa.Table, rows: pa.Table) -> pa.Table:
-    out = {name: [] for name in ("id", "score", "place", "other", "other_status", "taken_score")}
-    if asked.num_rows and rows.num_rows:
-        rows = rows.sort_by("place")
-        read = lambda t, c: t.column(c).to_numpy()
-        matrix = lambda t: np.array(t.column("v").to_pylist(), np.float64)
-        score = matrix(asked) @ matrix(rows).T
-        earlier = (read(asked, "group")[:, None] == read(rows, "group")) & (read(asked, "place")[:, None] > read(rows, "place"))
-        score[~earlier | (score <= 0)] = -1.0
-        best = score.argmax(axis=1)  # the first of equal ones
-        taken = np.where(read(rows, "status") == TAKEN, score, -1.0).max(axis=1)
-        some = np.flatnonzero(score[np.arange(len(best)), best] > 0)
-        best = best[some]
-        out = {"id": read(asked, "id")[some], "score": score[some, best], "place": read(rows, "place")[best], "other": read(rows, "id")[best], "other_status": read(rows, "status")[best], "taken_score": taken[some]}
-    kinds = pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()
-    return pa.table([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
+def _empty(schema: str) -> pa.Table:
+    return pa.schema([pa.field(name, _KINDS[kind]) for name, kind in (c.split() for c in schema.split(", "))]).empty_table()
 
 
-def nearest_earlier(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """For each open row (id): of the earlier rows of its group, taken or open, the nearest one (other, score, other_status; of equal ones the earliest), and the
-    largest cosine to a taken one; both are null or -1 where no cosine is above 0.
+def _matrix(table: pa.Table, column: str = "v") -> np.ndarray:
+    return np.array(table.column(column).to_pylist(), np.float64).reshape(table.num_rows, -1)
 
-    rows: group, id, place, v (of length 1), status. Small groups share a block of matrix products, large ones are cut into blocks that meet pairwise; each gives a row
-    for every open row, whatever the group's size.
-    """
-    sizes = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    packs = max(1, -(-rows.count() // block))
-    pack = F.when(F.col("parts") > 1, F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(packs)))
-    own = rows.join(sizes, "group").withColumn("large", F.col("parts") > 1).withColumn("pack", pack).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    asked = own.filter(F.col("status") == OPEN).withColumn("i", F.col("part")).withColumn("j", every)
-    met = own.withColumn("j", F.col("part")).withColumn("i", every)
-    keys = ["large", "pack", "i", "j"]
-    asked = asked.select(*keys, "group", "id", "place", "v").toDF(*keys, "group", "id", "place", "v")  # columns of its own, as both sides come from one table
-    found = asked.groupBy(keys).cogroup(met.select(*keys, "group", "id", "place", "v", "status").groupBy(keys)).applyInArrow(_nearest_in_block, _FOUND)
-    best = F.max_by(F.struct("score", "other", "other_status"), F.struct("score", -F.col("place"))).alias("b")
-    near = found.groupBy("id").agg(best, F.max("taken_score").alias("taken_score")).select("id", "b.*", "taken_score")
-    return own.filter(F.col("status") == OPEN).select("id").join(near, "id", "left")
-
-
-def taken_greedily(rows: DataFrame, decide: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
-    """(id) of the rows that are taken. rows: group, id (each once), place (its order in the group), v, status (TAKEN for those taken from the start, else OPEN).
-
-    decide gets what nearest_earlier() finds and gives (id, status) of rows that this settles: always if no earlier row is open. So the first open row of each group is
-    settled in any round; only ids and states are written in between.
+
+def _overlap(a: set[str], b: set[str]) -> float:
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def _choose(rows: pa.Table, accept: Accept) -> pa.Table:
+    """rows of one group, sorted here by place, with `taken`. Of equally near rows the earliest counts; those before the block (score, words of the nearest) are earlier than all in it."""
+    rows = rows.sort_by("place")
+    scores = (v := _matrix(rows)) @ v.T
+    words = [set(w or ()) for w in rows.column("words").to_pylist()]
+    before = [x or 0.0 for x in rows.column("score").to_pylist()]
+    their = rows.column("their").to_pylist()
+    forced = rows.column("forced").to_pylist()
+    taken = np.zeros(len(words), bool)
+    for i in range(len(words)):
+        best, with_words = before[i], set(their[i] or ())
+        if i and taken[:i].any():
+            near = np.where(taken[:i], scores[i, :i], -1.0)
+            if near[j := int(near.argmax())] > best:
+                best, with_words = float(near[j]), words[j]
+        taken[i] = forced[i] or accept(best, _overlap(words[i], with_words) if best > 0 else 0.0)
+    return rows.select(["group", "id", "place", "v", "words"]).append_column("taken", pa.array(taken))
+
+
+def _nearest(asked: pa.Table, taken: pa.Table) -> pa.Table:
+    """For each row asked the nearest of the taken ones with a cosine above 0, the earliest of equal ones."""
+    if not asked.num_rows or not taken.num_rows:
+        return _empty(_NEAREST)
+    taken = taken.sort_by("place")
+    scores = _matrix(asked) @ _matrix(taken).T
+    best = scores.argmax(axis=1)
+    some = np.flatnonzero(scores[np.arange(len(best)), best] > 0)
+    best = best[some]
+    return pa.table([asked.column("id").take(some).cast(pa.int64()), pa.array(scores[some, best]), taken.column("place").take(best).cast(pa.int64()), taken.column("words").take(best)], names=["id", "score", "place", "words"])
+
+
+def taken_greedily(rows: DataFrame, accept: Accept, block: int = BLOCK) -> DataFrame:
+    """(id) of the rows that are taken, going through each group by place; those that are `forced` always are.
+
+    rows: group, id (each once), place (whole numbers), v, words (array<string>), forced. Groups of `block` rows at most are settled in one task, many small ones together: one matrix of
+    cosines, then row by row. Larger groups are cut into blocks along the order and settled block after block, all large groups at once: the rows of a block meet those
+    taken in the blocks before, in a task for each two blocks, and are then settled with what they found. So rounds are the blocks of the largest group, however rows depend on each other;
+    each round writes what it took, and its plan starts from files.
     """
-    fixed = cut(rows.select(F.col("group").cast("long"), F.col("id").cast("long"), F.col("place").cast("long"), unit(F.col("v")).alias("v")))
-    states = cut(rows.select(F.col("id").cast("long"), "status"))
-    while not states.filter(F.col("status") == OPEN).isEmpty():
-        live = cut(fixed.join(states.filter(F.col("status") != DROPPED), "id"))
-        settled = decide(nearest_earlier(live, block)).select("id", F.col("status").alias("settled"))
-        states = cut(states.join(settled, "id", "left").select("id", F.coalesce("settled", "status").alias("status")))
-    return states.filter(F.col("status") == TAKEN).select("id")
+    importable(rows.sparkSession)
+    fixed = rows.select(F.col("group").cast("long"), F.col("id").cast("long"), F.col("place").cast("long"), unit(F.col("v").cast("array<double>")).alias("v"), F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.col("forced").alias("forced"))
+    sizes = fixed.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    sized = stored(fixed.join(sizes, "group"))
+    nothing = [F.lit(None).cast("double").alias("score"), F.lit(None).cast("array<string>").alias("their")]
+
+    def settled(of_one: pa.Table) -> pa.Table:
+        groups = of_one.column("group").to_numpy()
+        own = [_choose(of_one.take(np.flatnonzero(groups == g)), accept) for g in np.unique(groups)]
+        return pa.concat_tables(own) if own else _empty(_VERDICT)
+
+    small = sized.filter(F.col("n") <= block)
+    packs = max(1, -(-small.count() // block))
+    found = small.select(*fixed.columns, *nothing, F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack")).groupBy("pack").applyInArrow(settled, _VERDICT)
+    taken = [stored(found.filter("taken").select("id"))]
+
+    large = sized.filter(F.col("n") > block)
+    if not large.isEmpty():
+        placed = numbered(large.drop("n"), "number", F.col("place"), F.col("id"), group="group")
+        placed = stored(placed.withColumn("block", F.floor((F.col("number") - 1) / block)).drop("number"), "block")
+        earlier: DataFrame | None = None
+        for k in range(placed.agg(F.max("block")).first()[0] + 1):
+            own = placed.filter(F.col("block") == k).drop("block")
+            if earlier is not None:
+                met = earlier.select("group", "block").distinct().toDF("group", "block")  # columns of its own, as earlier comes in again below
+                asked = own.select("group", "id", "v").join(met, "group")
+                near = asked.groupBy("group", "block").cogroup(earlier.groupBy("group", "block")).applyInArrow(_nearest, _NEAREST)
+                best = near.groupBy("id").agg(F.max_by(F.struct("score", F.col("words").alias("their")), F.struct("score", -F.col("place"))).alias("b")).select("id", "b.*")
+                own = own.join(best, "id", "left")
+            else:
+                own = own.select("*", *nothing)
+            done = stored(own.groupBy("group").applyInArrow(settled, _VERDICT).filter("taken").drop("taken").withColumn("block", F.lit(k)))
+            taken.append(done.select("id"))
+            earlier = done if earlier is None else earlier.unionByName(done)
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, unit
-from ..sources.checkpoints import cut
+from ..sources.checkpoints import cut, stored
 from .graph import components
-from .greedy import DROPPED, OPEN, TAKEN, taken_greedily
+from .greedy import taken_greedily
 from .joins import BLOCK, keep_first_near, similar_pairs
 from .windows import best_per_key, second_entity_best
 
@@ -90,15 +90,15 @@ def merge_groups(members: DataFrame, threshold: float = 0.35) -> DataFrame:
 
     members: vec_id, group_id, v. Each round joins all such groups at once, so that the order of groups doesn't matter; a merged group has the smallest number.
     """
-    members = cut(members.select("vec_id", "group_id", "v"))
+    members = stored(members.select("vec_id", "group_id", "v"))
     while True:
         parts = members.select("group_id", F.posexplode(unit(F.col("v"))).alias("i", "x")).groupBy("group_id", "i").agg(F.avg("x").alias("m"))
         means = parts.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
-        pairs = cut(similar_pairs(means, threshold, "group_id", "v"))
+        pairs = stored(similar_pairs(means, threshold, "group_id", "v"))
         if pairs.isEmpty():
             return members.select("vec_id", "group_id")
         roots = components(pairs.select("a", "b")).withColumnRenamed("node", "group_id")
-        members = cut(members.join(roots, "group_id", "left").select("vec_id", F.coalesce("root", "group_id").alias("group_id"), "v"))
+        members = stored(members.join(roots, "group_id", "left").select("vec_id", F.coalesce("root", "group_id").alias("group_id"), "v"))
 
 
 def co_occurrence(others: DataFrame, groups: DataFrame, near: float = 0.95) -> DataFrame:
@@ -107,14 +107,9 @@ def co_occurrence(others: DataFrame, groups: DataFrame, near: float = 0.95) -> D
     groups: (vec_id, group_id). An asset's first vector (by vec_id) counts for it; a group's vectors that are nearer than `near` to an earlier one that counts don't.
     """
     one = others.join(groups, "vec_id").groupBy("group_id", "asset_id").agg(F.min_by(F.struct("vec_id", "target_score", "v"), "vec_id").alias("r")).select("group_id", "asset_id", "r.*")
-    one = cut(one)
-    rows = one.select(F.col("group_id").alias("group"), F.col("vec_id").alias("id"), F.col("vec_id").alias("place"), "v", F.lit(OPEN).alias("status"))
-
-    def decide(found: DataFrame) -> DataFrame:
-        status = F.when(F.col("taken_score") > near, DROPPED).when(F.coalesce(F.col("score") <= near, F.lit(True)), TAKEN)
-        return found.select("id", status.alias("status"))
-
-    kept = one.join(taken_greedily(rows, decide).withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
+    one = stored(one)
+    rows = one.select(F.col("group_id").alias("group"), F.col("vec_id").alias("id"), F.col("vec_id").alias("place"), "v", F.array().cast("array<string>").alias("words"), F.lit(False).alias("forced"))
+    kept = one.join(taken_greedily(rows, lambda score, _: score <= near).withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
     counted = kept.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_assets"), F.min_by("vec_id", F.struct(-F.col("target_score"), "vec_id")).alias("representative"))
     return counted.filter("n_assets >= 2").orderBy(F.desc("n_assets"), "group_id")
 

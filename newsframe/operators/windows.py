@@ -48,6 +48,22 @@ def until_consecutive_old(rows: DataFrame, group: str, order: str, old: Column,
     return kept.select(rows.columns)
 
 
+def numbered(rows: DataFrame, name: str, *order: Column, group: str | None = None, pieces: int | None = None) -> DataFrame:
+    """rows with their number in the order, from 1, overall or in their group: a global order in which no task has all rows of a group.
+
+    The rows are dealt by ranges of group and order into pieces, of which equal rows are in one; the pieces' counts, a row for each piece of a group, give the number before a piece, and rows are counted within it.
+    """
+    pieces = pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [group] if group else []
+    ranged = cut(rows.repartitionByRange(pieces, *keys, *order).withColumn("__piece", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__piece").orderBy(*order))
+    joined = ranged.withColumn("__within", within).join(offsets, [*keys, "__piece"])
+    return joined.select(*rows.columns, (F.col("__before") + F.col("__within")).alias(name))
+
+
 def first_of_each(rows: DataFrame, key: str, position: str) -> DataFrame:
     """Distinct by key; of equal ones the first by position."""
     return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), position).alias("r")).select("r.*")

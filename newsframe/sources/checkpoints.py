@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder, so that nothing before it is computed again."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, *partitions: str) -> DataFrame:
+    """df written as Parquet to that folder and read again: a plan of its own with the sizes of the files. checkpoint() keeps a plan's estimates, which loops multiply."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*partitions).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

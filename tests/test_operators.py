@@ -143,6 +143,42 @@ def test_refinement_against_a_model(spark, monkeypatch, block):
     assert clustering.refine(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("size", "block"), [(200, 2048), (200, 16), (20_000, 2048)])
+def test_long_chains_are_settled_block_by_block(spark, monkeypatch, size, block):
+    """Each row is near enough to the one before alone, so each verdict waits for the last: rounds are blocks, not rows."""
+    import numpy as np
+
+    from newsframe.operators import greedy
+
+    rounds: list[int] = []
+    own = greedy.stored
+    monkeypatch.setattr(greedy, "stored", lambda frame, *by: rounds.append(1) or own(frame, *by))
+    turn = 0.5  # cosine 0.878 to the row before, 0.540 to the one before that
+    angles = np.where(np.arange(size) % 1000 == 999, 2.0, turn).cumsum()  # a row far from all before it ends the chain for good
+    rows = [(7, i, i, [float(np.cos(a)), float(np.sin(a)), float(i // 1000) * 50], [], i == 0) for i, a in enumerate(angles)]
+    frame = spark.createDataFrame(rows, "group long, id long, place long, v array<double>, words array<string>, forced boolean").repartition(4)
+    got = sorted(r["id"] for r in greedy.taken_greedily(frame, lambda score, _: score >= 0.8, block).collect())
+    v = np.array([r[3] for r in rows])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    taken = [0]
+    for i in range(1, size):
+        if (v[taken] @ v[i]).max() >= 0.8:
+            taken.append(i)
+    assert got == taken and len(taken) > 100
+    assert len(rounds) <= 3 + -(-size // block)
+
+
+def test_numbers_along_an_order(spark):
+    rows = [(i % 3 if i % 5 else 0, (i * 37) % 101, i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "g int, x int, id int").repartition(7)
+    for pieces in (1, 5, 40):
+        got = [(r["n"], r["id"]) for r in windows.numbered(frame, "n", F.desc("x"), F.asc("id"), pieces=pieces).collect()]
+        assert sorted(got) == [(k, r[2]) for k, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[2])), 1)]
+    got = {(r["g"], r["n"]): r["id"] for r in windows.numbered(frame, "n", F.col("x"), F.col("id"), group="g").collect()}
+    want = {(g, k): r[2] for g in range(3) for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1)}
+    assert got == want
+
+
 def test_co_occurrence_against_a_model(spark):
     import numpy as np
 
