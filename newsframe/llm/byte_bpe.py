@@ -9,11 +9,12 @@ and put together by an ordered aggregation. No shuffle; a task holds one piece o
 Words over CUT_PIECE bytes are first cut where no token of the vocabulary, as it stands in the word, reaches across: no merge
 does either, so the two sides don't meet. That makes short words of the runs of scripts without spaces.
 
-A recursive query keeps the rows of all its rounds, the square of a piece's length. So pieces that are still over LONG_PIECE bytes are
-contracted by the same rule with a query for each round, which keeps the last round only and does several steps of the rule at
-once: of the pairs of least rank it takes those from the left (overlapping ones in turn) up to the first that makes a pair of a lower
-rank with a neighbour. Up to there the leftmost pair of least rank is always the next of them, so the steps are those of the rule
-for any merge table, also one where a part ranks below the whole.
+A recursive query keeps the rows of all its rounds, the square of a word's length. So parts that are still over LONG_PIECE bytes are encoded in chunks of CHUNK bytes by
+the same query, and put together by a rule that is exact for any merge table: if x alone ends with token t and y alone begins with token u, then xy has the tokens of x and those
+of y if and only if tu alone has the tokens t and u. (The pair contracted next is the least of all, so within x, within y and within tu the contractions of xy come in the order in which each has them
+alone, as long as none crosses the border; the first to cross it would join the last token in t to the first in u, and is the least of xy's pairs at a time at which it is the least of tu's as well.) Where two
+chunks don't fit, the tokens beside the border are encoded anew as one word, more of them until both its ends fit. All of these are short words, encoded together and each once; a chunk's end costs a few of them
+whatever the length of the part.
 
 Null text counts as empty (no ids, empty bytes). Repeated rows are encoded each; an empty table gives an empty result;
 columns of the input with the names of result columns are replaced.
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
@@ -42,13 +43,18 @@ TEXT_BYTES = 3 << 19
 #: Words that a task keeps with their ids; beyond, it starts anew.
 KEPT_WORDS = 300_000
 CUT_PIECE = 32
-LONG_PIECE = 1024
+LONG_PIECE = 128
+CHUNK = 64
+#: Chunks that are encoded together, and tokens beside a border that are encoded anew at first.
+CHUNKS, BESIDE = 8192, 3
 #: Rows that a recursive query keeps at most: half of the sum of its words' squared lengths.
 QUERY_ROWS = 1_500_000
 #: Ids that one query decodes, and ids in one of its groups; longer sequences are decoded group by group.
 DECODED_IDS = 200_000
 GROUP_IDS = 50_000
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
 #: A row is one number k, so that a sort takes little: word, position in it (20 bits), token (17 bits).
 _WORD, _POSITION, _TOKEN = "({0} >> 37)", "(({0} >> 17) & 1048575)", "({0} & 131071)"
 _w, _p, _t = (x.format("k") for x in (_WORD, _POSITION, _TOKEN))
@@ -71,21 +77,6 @@ FROM s JOIN (SELECT {_w} AS w, max(step) AS step FROM s GROUP BY {_w}) last ON {
 ORDER BY k
 """
 
-ONE_ROUND = """
-CREATE OR REPLACE TABLE next_round AS
-WITH n AS (SELECT w, p, tok, lead(tok) OVER o AS nxt, lead(tok, 2) OVER o AS right_of, lag(tok) OVER o AS left_of, row_number() OVER o AS i
-           FROM long_pieces WINDOW o AS (PARTITION BY w ORDER BY p)),
-r AS (SELECT n.*, m.r, min(m.r) OVER (PARTITION BY w) AS least FROM n LEFT JOIN merges m ON m.ab = (n.tok::BIGINT << 17) + n.nxt),
-h AS (SELECT *, coalesce(r = least, false) AS hit, row_number() OVER (PARTITION BY w, coalesce(r = least, false) ORDER BY i) AS nth FROM r),
-t AS (SELECT *, hit AND row_number() OVER (PARTITION BY w, hit, i - nth ORDER BY i) % 2 = 1 AS take FROM h),
-a AS (SELECT *, CASE WHEN lag(take, 2, false) OVER (PARTITION BY w ORDER BY i) THEN r ELSE left_of END AS beside FROM t),
-e AS (SELECT a.*, min(i) FILTER (take AND (x.r < a.r OR y.r < a.r)) OVER (PARTITION BY w) AS stop FROM a
-      LEFT JOIN merges x ON x.ab = (a.beside::BIGINT << 17) + a.r LEFT JOIN merges y ON y.ab = (a.r::BIGINT << 17) + a.right_of),
-d AS (SELECT w, p, i, tok, r, least, take AND i <= coalesce(stop, i) AS take FROM e),
-g AS (SELECT *, lag(take, 1, false) OVER (PARTITION BY w ORDER BY i) AS taken FROM d)
-SELECT w, p, CASE WHEN take THEN r::INTEGER ELSE tok END AS tok, least IS NULL AS done FROM g WHERE NOT taken
-"""
-
 #: Pieces are written with one character for each byte, as bytes that are no UTF-8 can't be aggregated as text.
 DECODE = "SELECT k, string_agg(piece, '' ORDER BY p) AS text FROM sequences JOIN vocabulary USING (tok) GROUP BY k ORDER BY k"
 
@@ -102,6 +93,37 @@ def _ragged(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(first - at[:-1], lengths) + np.arange(at[-1])
 
 
+def _prefix_tables(tokens: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 2 on the hashes of the tokens' beginnings of that length, sorted, and whether one is a whole token."""
+    data, lengths = np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens))
+    at = _starts(lengths)[:-1]
+    h = data[at].astype(np.uint64) + np.uint64(1)
+    tables = []
+    for n in range(2, int(lengths.max()) + 1):
+        keep = lengths >= n
+        at, lengths, h = at[keep], lengths[keep], h[keep] * _BASE + data[at[keep] + n - 1] + np.uint64(1)
+        table, number = np.unique(h, return_inverse=True)
+        tables.append((table, np.bincount(number, lengths == n, len(table)) > 0))
+    return tables
+
+
+def _reaches(data: np.ndarray, ends: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each byte how far the tokens reach that begin at it or before it, as they stand in its word (which ends at ends). Hashes that meet by chance reach too far, never too short."""
+    at = np.arange(len(data))
+    reach, h = at + 1, data.astype(np.uint64) + np.uint64(1)
+    for n, (table, whole) in enumerate(tables, 2):
+        inside = at + n <= ends[at]
+        at = at[inside]
+        if not len(at):
+            break
+        h = h[inside] * _BASE + data[at + n - 1] + np.uint64(1)
+        spot = np.minimum(np.searchsorted(table, h), len(table) - 1)
+        found = table[spot] == h
+        at, h, spot = at[found], h[found], spot[found]
+        reach[at[whole[spot]]] = at[whole[spot]] + n
+    return np.maximum.accumulate(reach)
+
+
 class Codec:
     """A vocabulary of ranks in a DuckDB database of its own, and the words met so far by number."""
 
@@ -110,7 +132,8 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         if max(ranks.values()) >= 1 << 17:
             raise ValueError("ids of more than 17 bits")
-        self.tokens, self.longest = frozenset(ranks), max(map(len, ranks))
+        self.pieces = {r: t for t, r in ranks.items()}
+        self.prefixes = _prefix_tables(list(ranks))
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         made = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
@@ -133,62 +156,110 @@ class Codec:
         self._table("base", k=(w << 37) + (p << 17) + tok)
         return self.con.sql(ENCODE).to_arrow_table()
 
-    def _by_rounds(self, words: list[bytes]) -> pa.Table:
-        w, p, tok = self._one_byte_rows(words)
-        self._table("long_pieces", w=w.astype(np.int32), p=p.astype(np.int32), tok=tok.astype(np.int32))
-        self.con.execute("CREATE OR REPLACE TABLE finished (w INTEGER, p INTEGER, tok INTEGER)").fetchall()
-        left = len(w)
-        while left:
-            for statement in (ONE_ROUND, "INSERT INTO finished SELECT w, p, tok FROM next_round WHERE done", "CREATE OR REPLACE TABLE long_pieces AS SELECT w, p, tok FROM next_round WHERE NOT done"):
-                self.con.execute(statement).fetchall()
-            ((left,),) = self.con.execute("SELECT count(*) FROM long_pieces").fetchall()
-        return self.con.sql("SELECT w, tok FROM finished ORDER BY w, p").to_arrow_table()
-
-    def _cut(self, word: bytes) -> list[bytes]:
-        """word in parts that no merge can join."""
-        n = len(word)
-        reach, cuts = 0, [0]
-        for i in range(n):
-            if i >= reach and i:
-                cuts.append(i)
-            reach = max(reach, next((i + k for k in range(min(self.longest, n - i), 1, -1) if word[i : i + k] in self.tokens), 0))
-        return [word[a:z] for a, z in zip(cuts, [*cuts[1:], n], strict=True)]
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has, by as many queries as QUERY_ROWS asks for."""
+        ids, counts = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
+        cost = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) ** 2 // 2)
+        at = 0
+        while at < len(words):
+            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + QUERY_ROWS, "right")))
+            got = self._recursive(words[at:end])
+            ids.append(got["tok"].to_numpy())
+            counts[at:end] = np.bincount(got["w"].to_numpy(), minlength=end - at)
+            at = end
+        return np.concatenate(ids), counts
+
+    def _cut(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The parts of words that no merge can join, one after another, and how many each word has."""
+        data = b"".join(words)
+        at = _starts(np.fromiter(map(len, words), np.int64, len(words)))
+        reach = _reaches(np.frombuffer(data, np.uint8), np.repeat(at[1:], np.diff(at)), self.prefixes)
+        first = np.r_[True, reach[:-1] <= np.arange(1, len(data))]
+        starts = np.flatnonzero(first)
+        parts = [data[a:z] for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(data)], strict=True)]
+        return parts, np.diff(np.searchsorted(starts, at))
+
+    def _stitched(self, parts: list[bytes]) -> list[np.ndarray]:
+        """The ids of long parts, each of chunks that are put together."""
+        known: dict[bytes, list[int]] = {}
+        pieces = self.pieces
+
+        def learn(words) -> None:
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            ids, counts = self._contract(new)
+            ends = _starts(counts).tolist()
+            known.update((w, ids[a:z].tolist()) for w, a, z in zip(new, ends[:-1], ends[1:], strict=True))
+
+        def ids_of(word: bytes) -> list[int]:
+            if word not in known:
+                learn([word])
+            return known[word]
+
+        def pair(t: int, u: int) -> bytes:
+            return pieces[t] + pieces[u]
+
+        def between(left: list[int], right: list[int], n: int, m: int) -> bytes:
+            return b"".join(map(pieces.__getitem__, left[-n:] + right[:m]))
+
+        outs: list[list[int]] = [[] for _ in parts]
+        every = ((i, part[a : a + CHUNK]) for i, part in enumerate(parts) for a in range(0, len(part), CHUNK))
+        while chunks := list(islice(every, CHUNKS)):
+            if len(known) > 8 * CHUNKS:
+                known.clear()
+            learn(c for _, c in chunks)
+            # what the borders will ask for if nothing reaches further than their own chunks, encoded together
+            open_ = [(known[x], known[y]) for (i, x), (j, y) in zip(chunks[:-1], chunks[1:], strict=True) if i == j]
+            n = BESIDE
+            while open_:
+                learn(pair(x[-1], y[0]) for x, y in open_)
+                open_ = [(x, y) for x, y in open_ if known[pair(x[-1], y[0])] != [x[-1], y[0]]]
+                learn(between(x, y, n, n) for x, y in open_)
+                ends = [(x, y, known[between(x, y, n, n)]) for x, y in open_]
+                learn(pair(*p) for x, y, z in ends for p in ([(x[-n - 1], z[0])] if len(x) > n else []) + ([(z[-1], y[n])] if len(y) > n else []))
+                fits = lambda t, u: known[pair(t, u)] == [t, u]
+                open_ = [(x, y) for x, y, z in ends if n < max(len(x), len(y)) and not ((len(x) <= n or fits(x[-n - 1], z[0])) and (len(y) <= n or fits(z[-1], y[n])))]
+                n *= 2
+            for i, chunk in chunks:
+                out, new = outs[i], known[chunk]
+                if not out or ids_of(pair(out[-1], new[0])) == [out[-1], new[0]]:
+                    out += new
+                    continue
+                n = m = BESIDE
+                while True:
+                    both = ids_of(between(out, new, n, m))
+                    left = len(out) <= n or ids_of(pair(out[-n - 1], both[0])) == [out[-n - 1], both[0]]
+                    right = len(new) <= m or ids_of(pair(both[-1], new[m])) == [both[-1], new[m]]
+                    if left and right:
+                        out[-n:] = both + new[m:]
+                        break
+                    n, m = (n if left else 2 * n), (m if right else 2 * m)
+        return [np.array(out, np.int32) for out in outs]
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and how many each has."""
         long = [i for i, w in enumerate(words) if len(w) > CUT_PIECE]
         if not long:
             return self._encode_parts(words)
-        parts = [self._cut(words[i]) for i in long]
-        distinct = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(parts)), len(words))}
+        parts, n_own = self._cut([words[i] for i in long])
+        distinct = {p: i for i, p in enumerate(dict.fromkeys(parts), len(words))}
         is_long, n_parts = np.zeros(len(words), bool), np.ones(len(words), np.int64)
-        is_long[long], n_parts[long] = True, list(map(len, parts))
+        is_long[long], n_parts[long] = True, n_own
         ids, counts = self._encode_parts([b"" if cut else w for w, cut in zip(words, is_long.tolist(), strict=True)] + list(distinct))
         numbers = np.repeat(np.arange(len(words)), n_parts)
-        numbers[np.repeat(is_long, n_parts)] = [distinct[p] for p in chain.from_iterable(parts)]
+        numbers[np.repeat(is_long, n_parts)] = list(map(distinct.__getitem__, parts))
         own = counts[numbers]
         return ids[_ragged(_starts(counts)[:-1][numbers], own)], np.diff(_starts(own)[_starts(n_parts)])
 
     def _encode_parts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(lengths > LONG_PIECE, kind="stable")  # the long ones last
+        order = np.argsort(lengths, kind="stable")  # words of like length together, the long ones last
         short = int((lengths <= LONG_PIECE).sum())
-        cost = np.cumsum(lengths[order] ** 2 // 2)
-        at = 0
-        while at < len(words):
-            if at < short:
-                end = min(short, max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + QUERY_ROWS, "right"))))
-            else:
-                end = max(at + 1, at + int(np.searchsorted(np.cumsum(lengths[order[at:]]), DECODED_IDS, "right")))
-            own = [words[i] for i in order[at:end].tolist()]
-            got = self._recursive(own) if at < short else self._by_rounds(own)
-            ids.append(got["tok"].to_numpy())
-            counts[order[at:end]] = np.bincount(got["w"].to_numpy(), minlength=len(own))
-            at = end
-        flat, first = np.concatenate(ids), np.zeros(len(words), np.int64)
+        ids, own = self._contract([words[i] for i in order[:short].tolist()])
+        stitched = self._stitched([words[i] for i in order[short:].tolist()])
+        counts, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        counts[order] = np.r_[own, np.fromiter(map(len, stitched), np.int64, len(stitched))]
         first[order] = _starts(counts[order])[:-1]
-        return flat[_ragged(first, counts)], counts
+        return np.concatenate([ids, *stitched])[_ragged(first, counts)], counts
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The bytes of sequences of ids that lie one after another; of an empty one, none."""
@@ -215,7 +286,7 @@ class Codec:
         """Give back the memory of words: a Python worker outlives its task and serves other operators."""
         self.numbers: dict[str, int] = {}
         self.ids, self.counts, self.names = np.zeros(0, np.int32), np.zeros(0, np.int64), pa.array([], pa.string())
-        for name in ("base", "long_pieces", "next_round", "finished", "sequences"):
+        for name in ("base", "sequences"):
             self.con.execute(f"DROP TABLE IF EXISTS {name}").fetchall()
 
     def learn(self, words: set[str]) -> None:

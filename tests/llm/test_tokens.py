@@ -81,11 +81,11 @@ def test_decoding_longer_than_a_group(library, monkeypatch):
     assert Codec(RANKS).decode(np.concatenate(ids).astype(np.int32), np.array(list(map(len, ids)))) == [t.encode() for t in texts]
 
 
-@pytest.mark.parametrize("cut, long", [(32, 1024), (8, 24), (10_000, 8)])
-def test_long_pieces_equal_the_library(library, monkeypatch, cut, long):
-    """The rule is one for all lengths, whichever query works on a piece and wherever it is cut."""
-    monkeypatch.setattr(byte_bpe, "CUT_PIECE", cut)
-    monkeypatch.setattr(byte_bpe, "LONG_PIECE", long)
+@pytest.mark.parametrize("cut, long, chunk", [(32, 128, 64), (8, 24, 11), (100_000, 8, 5)])
+def test_long_pieces_equal_the_library(library, monkeypatch, cut, long, chunk):
+    """Wherever a piece is cut and of whatever chunks it is put together."""
+    for name, value in (("CUT_PIECE", cut), ("LONG_PIECE", long), ("CHUNK", chunk), ("CHUNKS", 1000), ("BESIDE", 1 if chunk < 64 else 3)):
+        monkeypatch.setattr(byte_bpe, name, value)
     dice = random.Random(cut)
     tokens = [t.decode() for t in library.token_byte_values() if t.isalpha()]
     words = ["".join(dice.choice(tokens) for _ in range(dice.randrange(10, 60))) for _ in range(60)]
@@ -93,6 +93,16 @@ def test_long_pieces_equal_the_library(library, monkeypatch, cut, long):
     assert Codec(RANKS).encode(words)[0].to_pylist() == [",".join(map(str, library.encode_ordinary(w))) for w in words]
 
 
+def test_pieces_of_a_megabyte_equal_the_library(library):
+    dice = random.Random(9)
+    tokens = [t.decode() for t in library.token_byte_values() if t.isalpha()]
+    runs = ["ab" * 500_000, "a" * 1_000_003, "".join(chr(dice.randint(0x4E00, 0x9FFF)) for _ in range(340_000)), "".join(chr(dice.randint(0xE01, 0xE2E)) for _ in range(340_000)), "".join(dice.choice(tokens) for _ in range(100_000))]
+    own = Codec(RANKS)
+    for text in runs:
+        assert own.encode([text])[1].tolist() == library.encode_ordinary(text)
+        own.forget()
+
+
 def test_any_merge_table(monkeypatch, tmp_path):
     """Tables in which parts rank below the whole, against the rule one step at a time."""
 
@@ -113,9 +123,9 @@ def test_any_merge_table(monkeypatch, tmp_path):
         path = tmp_path / f"{n}.tiktoken"
         path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
         words = ["".join(dice.choice("abc") for _ in range(dice.randrange(1, 60))) for _ in range(120)]
-        for cut, long in ((32, 1024), (4, 2), (1000, 5)):
-            monkeypatch.setattr(byte_bpe, "CUT_PIECE", cut)
-            monkeypatch.setattr(byte_bpe, "LONG_PIECE", long)
+        for cut, long, chunk in ((32, 128, 64), (4, 2, 1), (1000, 5, 4)):
+            for name, value in (("CUT_PIECE", cut), ("LONG_PIECE", long), ("CHUNK", chunk), ("CHUNKS", 1000), ("BESIDE", 1)):
+                monkeypatch.setattr(byte_bpe, name, value)
             assert Codec(str(path)).encode(words)[0].to_pylist() == [",".join(map(str, plain(w.encode(), ranks))) for w in words]
 
 
