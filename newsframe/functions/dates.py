@@ -115,6 +115,7 @@ def first_valid(*candidates: Column) -> Column:
     return F.coalesce(*candidates)
 
 
-def effective_time(published: Column, modified: Column, since: Column) -> Column:
-    """The publication if it is in the window, else the modification."""
-    return F.when(published >= since, published).otherwise(F.coalesce(modified, published))
+def effective_time(published: Column, modified: Column, mark: Column, end: Column) -> Column:
+    """The publication if it is in the window, else the modification if that is, else null: the row is old. The window is (mark, end], without a mark the day of its end."""
+    within = lambda t: F.when(mark.isNull(), F.to_date(t) == F.to_date(end)).otherwise((t > mark) & (t <= end))
+    return F.when(within(published), published).when(within(modified), modified)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
-from ..sources.sites import SITES, extract_articles
+from ..sources.sites import BODIES, HEADLINES, SITES, extract_articles
 from .registry import query
 from .views import ARTICLES, CATEGORIES, RUNS, articles, categories, runs, table
 
@@ -85,7 +87,7 @@ def f1_f2_digits_months(spark, sf_dir):
 def f15_first_valid_date(spark, sf_dir):
     i = F.col("id")
     meta = F.when(i % 4 == 1, _written("f14")).otherwise("soon")
-    script = F.when(i % 4 == 2, F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"a": 1}, {"datePublished": "'), _written("f13"), F.lit('"}]}</script>'))).otherwise("")
+    script = F.when(i % 4 == 2, F.concat(F.lit('<script type="application/ld+json">{"broken": </script><script type="application/ld+json">[{"x": 1}, {"@graph": [' + '{"a": 1}, ' * 11 + '{"datePublished": "'), _written("f13"), F.lit('"}]}]</script>'))).otherwise("")
     text = F.when(i % 4 == 3, _written("f3")).otherwise("")
     return articles(spark, sf_dir).select("id", D.first_valid(D.meta_time(meta), D.iso_local(H.json_ld(script, "datePublished")), D.date_first_marked(text)).alias("parsed"))
 
@@ -224,10 +226,13 @@ def f37_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ts ELSE ts + INTERVAL 1 DAY END AS t FROM events")
+@query("""SELECT event_id, CASE WHEN CASE WHEN mark IS NULL THEN ts::DATE = until::DATE ELSE ts > mark AND ts <= until END THEN ts
+    WHEN CASE WHEN mark IS NULL THEN modified::DATE = until::DATE ELSE modified > mark AND modified <= until END THEN modified END AS t
+  FROM (SELECT event_id, ts, ts + INTERVAL 1 DAY AS modified, ts + to_hours([NULL, -1, 1, 48][event_id % 4 + 1]) AS mark, ts + to_hours([36, 2, 30, 60][event_id % 4 + 1]) AS until FROM events)""")
 def f40_effective_time(spark, sf_dir):
-    since = F.when(F.col("event_id") % 2 == 0, F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 HOUR"))
-    return table(spark, sf_dir, "events").select("event_id", D.effective_time(F.col("ts"), F.col("ts") + F.expr("INTERVAL 1 DAY"), since).alias("t"))
+    pick = lambda *values: F.element_at(F.array(*(F.lit(v).cast("int") for v in values)), (F.col("event_id") % 4 + 1).cast("int"))
+    after = lambda hours: F.col("ts") + F.make_dt_interval(F.lit(0), hours)
+    return table(spark, sf_dir, "events").select("event_id", D.effective_time(F.col("ts"), after(F.lit(24)), after(pick(None, -1, 1, 48)), after(pick(36, 2, 30, 60))).alias("t"))
 
 
 def _sql_text(x):
@@ -266,7 +271,7 @@ def h5_lead_image(spark, sf_dir):
     name = lambda kind: F.concat(F.lit(kind), F.col("page_id").cast("string"), F.lit(".jpg"))
     wrap = lambda a, kind, b: F.concat(F.lit(a), name(kind), F.lit(b), F.col("html"))
     k = F.col("page_id") % 4
-    page = F.when(k == 0, wrap('<meta property="og:image" content="', "og", '">')).when(k == 1, wrap('<script type="application/ld+json">[{"image": {"url": "', "ld", '"}}]</script>')).when(k == 2, wrap('<article><img class="x" data-src="', "late", '" src="y.gif"></article>')).otherwise(wrap('<p><img src="', "plain", '"></p>'))
+    page = F.when(k == 0, wrap('<meta property="og:image" content="', "og", '">')).when(k == 1, wrap('<script type="application/ld+json">[{}, {}, {}, {"@graph": [{"image": {"alt": "x"}}, {"image": {"url": "', "ld", '"}}]}]</script>')).when(k == 2, wrap('<article><img class="x" data-src="', "late", '" src="y.gif"></article>')).otherwise(wrap('<p><img src="', "plain", '"></p>'))
     return table(spark, sf_dir, "pages").select("page_id", H.lead_image(page).alias("image"))
 
 
@@ -281,8 +286,9 @@ def h6_tags(spark, sf_dir):
 def h7_json_ld(spark, sf_dir):
     field = F.concat(F.lit('"author": "by '), F.col("page_id").cast("string"), F.lit('"'))
     k = F.col("page_id") % 3
-    ld = F.when(k == 0, F.concat(F.lit("{"), field, F.lit("}"))).when(k == 1, F.concat(F.lit("[{"), field, F.lit("}]"))).otherwise(F.concat(F.lit('{"@graph": [{"x": 1}, {'), field, F.lit("}]}")))
-    page = F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>"), F.col("html"))
+    within = lambda a, b: F.concat(F.lit(a), field, F.lit(b))
+    ld = F.when(k == 0, within("{", "}")).when(k == 1, within('[{"x": 1}, {"x": 1}, {"x": 1}, {"x": 1}, {', "}]")).otherwise(within('{"@graph": [' + '{"author": {"name": "x"}}, ' * 12 + "{", "}]}"))
+    page = F.concat(F.lit('<script type="application/ld+json">not json</script><script type="application/ld+json">'), ld, F.lit("</script>"), F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", H.json_ld(page, "author").alias("author"))
 
 
@@ -313,6 +319,47 @@ def h10_site_rules(spark, sf_dir):
     return extract_articles(table(spark, sf_dir, "pages").withColumn("source_site", F.concat(F.lit("the "), name))).select("page_id", "site", "headline", "content")
 
 
+def _tag_of(selector: str) -> str:
+    """An opening tag that the selector of an element finds."""
+    tag, kind, name = re.fullmatch(r"([\w*]+)(?:([.#~])(.+))?", selector).groups()
+    attribute = {None: "", "#": f' id="{name}"'}.get(kind, f' class="{name} other"')
+    return f"<{'section' if tag == '*' else tag}{attribute}>"
+
+
+#: Before the first container there is an element that is none, and within it others of its own kind that close before its paragraphs begin; after it comes a paragraph that isn't in it.
+_MENU = '<div class="menu"><p>The menu of the site, a rather long line of words in it.</p></div>'
+_ASIDE, _AFTER = "<{0} class=\"aside\"><{0}>x</{0}></{0}>", "<p>Words after the end of the container, which don't belong to it at all.</p>"
+_OPEN = {site: _tag_of(BODIES[site][0].split()[0].replace("page", "article")) for site in HEADLINES}
+_HEAD = {site: _tag_of(HEADLINES[site].split()[0]) for site in HEADLINES}
+
+
+def _nested(site: str) -> tuple[str, str]:
+    """What stands before and after the paragraphs on a page of the site."""
+    kind, head = re.match(r"<(\w+)", _OPEN[site])[1], re.match(r"<(\w+)", _HEAD[site])[1]
+    before = f"{_HEAD[site]}<span>Head</span> line</{head}>{_MENU}{_OPEN[site]}" + _ASIDE.format(kind)
+    return before, f"</{kind}>{_AFTER}"
+
+
+_TAKEN = ", ".join(f"('{site}', '{taken}', {least}, '{_nested(site)[0].split(_OPEN[site])[1]}', {'page' in containers})" for site, (containers, taken, least) in BODIES.items())
+#: The paragraphs' page, for the sites that take those of the whole page if the containers have none.
+_PAGE = "'" + _MENU + "' || {} || '" + _AFTER.replace("'", "''") + "'"
+_LINES = "regexp_replace(regexp_replace(regexp_replace((aside || own), '<[^>]*>', chr(10), 'g'), '[ \\t\\r\\f]*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""SELECT page_id, site, 'Head line' AS headline, nullif(CASE taken WHEN 'first' THEN list_filter(p, lambda x: length(x) >= least)[1] WHEN 'text' THEN {_sql_text("(aside || own)")} WHEN 'each' THEN {_sql_text("(aside || own)")} WHEN 'lines' THEN {_LINES}
+    ELSE coalesce(nullif(array_to_string(list_filter(p, lambda x: length(x) >= least), ' '), ''), CASE WHEN page THEN array_to_string(list_filter(list_transform(regexp_extract_all({_PAGE.format("own")}, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {_sql_text("x")}), lambda x: length(x) >= least), ' ') END) END, '') AS content
+  FROM (SELECT page_id, own, list_filter(list_transform(regexp_extract_all(own, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {_sql_text("x")}), lambda x: x <> '') AS p,
+    [{", ".join(f"'{s}'" for s in HEADLINES)}][page_id % {len(HEADLINES)} + 1] AS site FROM (SELECT page_id, regexp_replace(regexp_extract({_CLEAN}, '(?is)<article[^>]*>(.*?)</article>', 1), '&[a-z#0-9]*;', '', 'g') AS own FROM pages)) JOIN (VALUES {_TAKEN}) AS t(site, taken, least, aside, page) USING (site)""")
+def h10_nested_pages(spark, sf_dir):
+    """The pages' paragraphs in the markup of each known site, in containers that have elements of their own kind within them."""
+    names = list(HEADLINES)
+    k = (F.col("page_id") % len(names) + 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), k)
+    inner = F.regexp_replace(F.regexp_extract(H.without_noise(F.col("html")), r"(?is)<article[^>]*>(.*?)</article>", 1), "&[a-z#0-9]*;", "")
+    page = F.concat(pick([_nested(s)[0] for s in names]), inner, pick([_nested(s)[1] for s in names]))
+    return extract_articles(table(spark, sf_dir, "pages").select("page_id", pick(names).alias("source_site"), page.alias("html"))).select("page_id", "site", "headline", "content")
+
+
 @query("SELECT doc_id, CASE WHEN source LIKE '%src1%' THEN 'one' WHEN source LIKE '%src2%' THEN 'two' WHEN source LIKE '%src%' THEN 'rest' END AS site FROM documents")
 def h10_site(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", H.site_of(F.col("source"), [("src1", "one"), ("src2", "two"), ("src", "rest")]).alias("site"))

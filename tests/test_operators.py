@@ -466,11 +466,43 @@ PAGES = [
     ("dhakatribune", '<h1>Head</h1><article class="jw_detail_content_holder x"><p>a paragraph of much more than thirty characters</p></article>', "Head", "a paragraph of much more than thirty characters", None),
     ("janakantha", '<h1>Head</h1><article class="DDetailsContent"><p>a paragraph of much more than thirty characters</p></article><img class="TopImg" src="16.jpg">', "Head", "a paragraph of much more than thirty characters", "16.jpg"),
     ("boishakhi", '<h1>Head</h1><div class="dtl_content_section"><p>a paragraph of much more than thirty characters</p></div><div class="dtl_img_section"><img src="17.jpg"></div>', "Head", "a paragraph of much more than thirty characters", "17.jpg"),
+    ("mzamin", '<h1>Head</h1><div class="article-content"><p>short</p></div><article><p>a paragraph of much more than thirty characters</p></article>', "Head", None, None),
+    ("sangbad", '<h1>Head</h1><img alt="no address"><img src="/images/x.jpg"><img src="/images/main_image/y.jpg"><meta property="og:image" content="z.jpg">', "Head", None, "z.jpg"),
+    ("desh", '<article class="details-title">Head <div>line</div></article>', "Head line", None, None),
     ("unknown", "<h1>Head</h1>", None, None, None),
     ("kalbela", None, None, None, None),
 ]
 
 
+def test_elements_end_at_their_own_tags(spark):
+    from newsframe.functions import html
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    page = F.lit('<p>0</p><div class="content"><div>a<DIV>q</div></div><p>b</p></DIV ><div>z</div><divider>')
+    div, content = r"(?i)<div\b[^>]*>", r'(?i)<div\b[^>]*\bclass="content"[^>]*>'
+    assert one(html.inside(page, content)) == "<div>a<DIV>q</div></div><p>b</p>"
+    assert one(html.paragraphs(page, (content,))) == ["b"]
+    assert one(html.every_inside(page, div)) == ["<div>a<DIV>q</div></div><p>b</p>", "a<DIV>q</div>", "q", "z"]
+    assert one(html.inside(page, r"(?i)<section\b[^>]*>")) is None and one(html.every_inside(page, r"(?i)<section\b[^>]*>")) == []
+    assert one(html.inside(F.lit("<div>a<div>b</div>"), div)) == "a<div>b</div>" and one(html.inside(F.lit("<div></div>"), div)) == ""
+    assert one(html.inside(F.lit(None).cast("string"), div)) is None
+
+
+def test_json_ld_of_any_shape(spark):
+    from newsframe.functions import html
+
+    def one(script, *fields):
+        return spark.range(1).select(html.json_ld(F.lit(f"<html>{script}"), *fields)).first()[0]
+
+    ld = lambda x: f'<script data-x="1" type="application/ld+json">{x}</script>'
+    graph = '{"@graph": [' + '{"a": 1}, ' * 12 + '{"datePublished": "2024-01-01", "image": {"url": "u"}}]}'
+    assert one(ld("not json") + ld(graph), "datePublished") == "2024-01-01"
+    assert one(ld(graph), "image.url", "image") == "u" and one(ld(graph), "image") is None
+    assert one(ld('[{}, 1, null, "x", {"author": "me"}, {"author": "you"}]'), "author") == "me"
+    assert one(ld('{"a": null}') + ld('{"a": 7}'), "a") == "7"
+    assert one(ld("{"), "a") is None and one(ld(""), "a") is None and one("", "a") is None
+
+
 def test_rules_of_the_sites(spark):
     from newsframe.sources import sites
 
