@@ -15,7 +15,7 @@ from ..sources.readers import append_log
 from .filters import recent_window
 from .graph import components
 from .greedy import taken_greedily
-from .joins import similar_pairs
+from .similarity import similar_links
 
 #: When a candidate joins an accepted member, by cosine and by the share of headline words in common.
 SURE_COSINE = 0.93
@@ -42,9 +42,9 @@ def verdict(score: Column, overlap: Column) -> Column:
     return found
 
 
-def similarity_clusters(vectors: DataFrame, threshold: float, find: Callable[[DataFrame, float], DataFrame] = similar_pairs) -> DataFrame:
+def similarity_clusters(vectors: DataFrame, threshold: float, find: Callable[[DataFrame, float], DataFrame] = similar_links) -> DataFrame:
     """(cluster_id, article_id): DBSCAN with two members at least, where every point with a neighbour is a core point: the components of the pairs with
-    cosine >= threshold, named by their smallest id. Others are noise and left out. find=approx_similar_pairs is for tables that are too large for all pairs of blocks; it may miss pairs."""
+    cosine >= threshold, named by their smallest id. Others are noise and left out. find=approx_similar_pairs is for tables without clusters that are too large for all pairs of blocks; it may miss pairs."""
     found = components(find(vectors, threshold).select("a", "b"))
     return found.select(F.col("root").alias("cluster_id"), F.col("node").alias("article_id"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import unit
 from ..sources.checkpoints import stored
 from ..sources.workers import importable
-from .joins import BLOCK
+from .similarity import BLOCK
 from .windows import numbered
 
 #: Whether a row is taken, by the cosine to the nearest earlier row of its group that was taken and the share of words in common with it (0 and 0 without one).

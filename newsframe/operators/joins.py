@@ -17,8 +17,6 @@ from ..sources.checkpoints import cut
 #: Keywords that a plan holds as literals, and that are broadcast.
 KEYWORD_BLOCK = 500
 MOST_KEYWORDS = 1_000_000
-#: Vectors of one block of a similarity join.
-BLOCK = 2048
 
 
 def keyword_matches(articles: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -106,37 +104,6 @@ def status_map(categories: DataFrame) -> DataFrame:
     return categories.groupBy("site").agg(F.map_from_entries(F.sort_array(F.collect_set(pair))).alias("status"))
 
 
-def _pairs_of(threshold: float):
-    def pairs(table: pa.Table) -> pa.Table:
-        side = np.array(table.column("side").to_pylist())
-        ids = np.array(table.column("id").to_pylist(), np.int64)
-        v = np.array(table.column("v").to_pylist(), np.float64)
-        length = np.sqrt((v * v).sum(axis=1))
-        v /= np.where(length == 0, 1, length)[:, None]
-        a, b = side <= 1, side >= 1  # 1: both sides, of a block with itself
-        score = v[a] @ v[b].T
-        i, j = np.nonzero(score >= threshold)
-        left, right = ids[a][i], ids[b][j]
-        keep = (left < right) if (side == 1).any() else np.ones(len(left), bool)
-        return pa.table({"a": pa.array(np.minimum(left, right)[keep]), "b": pa.array(np.maximum(left, right)[keep]), "score": pa.array(score[i, j][keep])})
-
-    return pairs
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, vec_id: str = "vec_id", v: str = "v", block: int = BLOCK) -> DataFrame:
-    """(a, b, score) with a < b and cosine >= threshold: exact, block by block as matrix products, and only what reaches the threshold becomes a row.
-
-    The work is the square of the number of vectors; approx_similar_pairs takes less where missing some is fine.
-    """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    n = max(1, -(-rows.count() // block))
-    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    i, j = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(i == j, 1).when(F.col("own") == i, 0).otherwise(2)
-    return met.select(i.alias("i"), j.alias("j"), side.alias("side"), "id", "v").groupBy("i", "j").applyInArrow(_pairs_of(threshold), "a long, b long, score double")
-
-
 def approx_similar_pairs(vectors: DataFrame, threshold: float, vec_id: str = "vec_id", v: str = "v", bucket_length: float = 0.5, tables: int = 8) -> DataFrame:
     """Like similar_pairs among those that random projections put in one bucket; scores are exact."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

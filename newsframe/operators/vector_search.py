@@ -9,7 +9,8 @@ from ..functions.vectors import cosine, unit
 from ..sources.checkpoints import cut, stored
 from .graph import components
 from .greedy import taken_greedily
-from .joins import BLOCK, keep_first_near, similar_pairs
+from .joins import keep_first_near
+from .similarity import BLOCK, similar_pairs
 from .windows import best_per_key, second_entity_best
 
 #: Queries of one search that the plan holds as literals.

@@ -12,6 +12,7 @@ from ..functions.vectors import cosine
 from ..operators import clustering as C
 from ..operators import joins as J
 from ..operators import reports as A
+from ..operators import similarity as P
 from ..operators import vector_search as V
 from ..sources import readers as S
 from ..sources.checkpoints import shared_folder
@@ -138,7 +139,7 @@ _OVERLAP = "CASE WHEN len(x.w) + len(y.w) = 0 THEN 0.0 ELSE len(list_intersect(x
   FROM (SELECT a, b, score, {_OVERLAP} AS j FROM pairs JOIN words x ON x.id = a JOIN words y ON y.id = b)""", CLUSTERS, _HEADLINE_WORDS)
 def v5_acceptance(spark, sf_dir):
     own = articles(spark, sf_dir)
-    pairs = J.similar_pairs(vectors(spark, sf_dir), 0.40)
+    pairs = P.similar_pairs(vectors(spark, sf_dir), 0.40)
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("headline").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("headline").alias("y")), "b")
     return both.select("a", "b", C.accepted(F.col("score"), X.jaccard(F.col("x"), F.col("y")), 0.45).alias("accepted"))
 

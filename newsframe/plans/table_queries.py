@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions.vectors import cosine, hamming, norm
 from ..operators import joins as J
 from ..operators import mutations as M
+from ..operators import similarity as S
 from ..operators import windows as W
 from .registry import query
 from .views import ARTICLES, CATEGORIES, CLUSTERS, KEYWORD_ROWS, RECHECKED, RUNS, VECTORS, articles, categories, clusters, keywords, rechecked, runs, table, vectors
@@ -62,7 +63,19 @@ def j7_keyword_matches(spark, sf_dir):
 
 @query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM vectors x JOIN vectors y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.35", VECTORS)
 def j8_similar_pairs(spark, sf_dir):
-    return J.similar_pairs(vectors(spark, sf_dir), 0.35).withColumn("score", F.round("score", 6))
+    return S.similar_pairs(vectors(spark, sf_dir), 0.35).withColumn("score", F.round("score", 6))
+
+
+_NEAR = "copies AS (SELECT vec_id, v FROM vectors UNION ALL SELECT vec_id + 1000000, list_concat([v[1] + 0.1 + (vec_id % 7) / 20.0::DOUBLE], v[2:]) FROM vectors)"
+
+
+@query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM copies x JOIN copies y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.93", VECTORS, _NEAR)
+def j8_near_copies(spark, sf_dir):
+    """Vectors beside copies with a changed component: pairs at a high threshold, in small cells, most of which need not meet."""
+    v = vectors(spark, sf_dir).select("vec_id", "v")
+    changed = F.concat(F.array(F.get("v", F.lit(0)) + 0.1 + (F.col("vec_id") % 7) / 20), F.slice("v", 2, 1 << 20))
+    copies = v.unionByName(v.select((F.col("vec_id") + 1_000_000).alias("vec_id"), changed.alias("v")))
+    return S.similar_pairs(copies, 0.93, block=64).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT id, section, coalesce(CASE section WHEN 'sec-1' THEN 11 WHEN 'sec-2' THEN 12 WHEN 'sec-3' THEN 13 END, 7) AS category_id FROM articles", ARTICLES)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsframe.functions import dates, text, urls
-from newsframe.operators import clustering, filters, graph, joins, vector_search, windows
+from newsframe.operators import clustering, filters, graph, joins, similarity, vector_search, windows
 from newsframe.streaming import monitor
 
 
@@ -365,6 +365,45 @@ def test_merged_groups_against_a_model(spark):
     assert {r["vec_id"]: r["group_id"] for r in got.collect()} == group and len(set(group.values())) < 15
 
 
+@pytest.mark.parametrize("kind", ["clusters", "uniform", "copies", "one cell"])
+def test_pairs_by_cells_are_all_pairs(spark, kind):
+    """Against all pairs, on vectors with and without clusters, with many copies, and near a single direction; links connect the same."""
+    import numpy as np
+
+    dice = np.random.default_rng(len(kind))
+    base = dice.normal(size=(30, 8))
+    v = {
+        "clusters": lambda: base[dice.integers(0, 30, 700)] + dice.normal(size=(700, 8)) * 0.15,
+        "uniform": lambda: dice.normal(size=(500, 8)),
+        "copies": lambda: np.concatenate([np.tile(base[0], (200, 1)), base[0] * dice.uniform(0.5, 3, (60, 1)), dice.normal(size=(200, 8)), np.zeros((5, 8))]),
+        "one cell": lambda: base[0] * 5 + dice.normal(size=(400, 8)) * 0.1,
+    }[kind]()
+    frame = spark.createDataFrame([*((i, x) for i, x in enumerate(v.tolist())), (None, v[0].tolist()), (9000, None), (9001, [])], "vec_id long, v array<double>").repartition(3)
+    unit = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    score = unit @ unit.T
+    for threshold in (0.93, 0.6, 0.0) if kind != "one cell" else (0.999,):
+        want = {(int(a), int(b)) for a, b in zip(*np.nonzero(score >= threshold - 1e-12), strict=True) if a < b}
+        sure = {(int(a), int(b)) for a, b in zip(*np.nonzero(score >= threshold + 1e-12), strict=True) if a < b}
+        got = [(r["a"], r["b"]) for r in similarity.similar_pairs(frame, threshold, block=24).collect()]
+        assert len(got) == len(set(got)) and sure <= set(got) <= want
+        if threshold > 0:
+            links = [(r["a"], r["b"]) for r in similarity.similar_links(frame, threshold, block=24).collect()]
+            root = list(range(len(v)))
+
+            def find(x, root=root):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for a, b in links:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+            groups = similarity._components(len(v), *(np.array([p[k] for p in got], np.int64) for k in (0, 1)))
+            assert [find(i) for i in range(len(v))] == groups.tolist()
+    if kind == "clusters":
+        work = similarity.similarity_work(frame, 0.93, block=24)
+        assert work["cells"] > 20 and work["compared"] < 0.3 * work["all"]
+
+
 def test_approximate_pairs_find_near_ones(spark):
     import numpy as np
 
@@ -372,7 +411,7 @@ def test_approximate_pairs_find_near_ones(spark):
     base = dice.normal(size=(40, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + dice.normal(size=base.shape) * 0.02]))]
     frame = spark.createDataFrame(rows, "vec_id long, v array<double>")
-    exact = {(r["a"], r["b"]) for r in joins.similar_pairs(frame, 0.95, block=16).collect()}
+    exact = {(r["a"], r["b"]) for r in similarity.similar_pairs(frame, 0.95, block=16).collect()}
     found = {(r["a"], r["b"]) for r in joins.approx_similar_pairs(frame, 0.95).collect()}
     assert found <= exact and len(found) >= 0.9 * len(exact) > 0
 
@@ -413,7 +452,7 @@ def test_urls_and_locations(spark):
 
 def test_empty_and_null_inputs(spark):
     empty = spark.createDataFrame([], "vec_id long, v array<double>")
-    assert joins.similar_pairs(empty, 0.5).count() == 0
+    assert similarity.similar_pairs(empty, 0.5).count() == 0
     assert clustering.similarity_clusters(empty, 0.5).count() == 0
     nulls = spark.createDataFrame([(None, None, None)], "headline string, published string, content string")
     assert nulls.select(filters.reject_reason(F.col("headline"), F.col("published"), F.col("content"))).first()[0] == "headline"
