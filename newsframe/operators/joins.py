@@ -2,59 +2,63 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
-from ..sources.checkpoints import cut
+from ..sources.checkpoints import cut, stored
 
-#: Keywords that a plan holds as literals, and that are broadcast.
+#: Keywords that a plan holds as literals.
 KEYWORD_BLOCK = 500
-MOST_KEYWORDS = 1_000_000
+#: Characters of the part of a keyword that articles are first asked for.
+GRAM = 3
 
 
 def keyword_matches(articles: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(keyword_id, article_id) for each active keyword that headline and content contain in lower case.
+    """(keyword_id, article_id) for each active keyword that headline and content contain in lower case; articles without an id take no part.
 
-    The keywords are the query set. Up to KEYWORD_BLOCK are literals of the plan; more, MOST_KEYWORDS at most, are broadcast and looked for together by an automaton.
-    Either way each article is looked through once and gives rows for its matches alone.
+    Up to KEYWORD_BLOCK keywords are literals of the plan and each article is looked through once; more are joined by their rarest part, see gram_matches().
     """
-    active = [(r["id"], r["keyword"]) for r in keywords.filter("is_active = 1").select("id", F.lower("keyword").alias("keyword")).limit(MOST_KEYWORDS + 1).collect()]
-    text = articles.select(F.col("id").alias("article_id"), F.lower(F.concat_ws(" ", "headline", "content")).alias("text"))
-    if len(active) > MOST_KEYWORDS:
-        raise ValueError(f"more than {MOST_KEYWORDS} keywords; match them in parts")
-    if len(active) > KEYWORD_BLOCK:
-        return _automaton_matches(text, active)
-    hits = F.array_compact(F.array(*(F.when(F.col("text").contains(k), F.lit(i)) for i, k in active))) if active else F.array().cast("array<bigint>")
+    active = keywords.filter("is_active = 1").select(F.col("id").alias("keyword_id"), F.lower("keyword").alias("keyword")).filter("keyword IS NOT NULL")
+    text = articles.select(F.col("id").alias("article_id"), F.lower(F.concat_ws(" ", "headline", "content")).alias("text")).filter("article_id IS NOT NULL")
+    few = active.limit(KEYWORD_BLOCK + 1).collect()
+    if len(few) > KEYWORD_BLOCK:
+        return gram_matches(text, active)
+    hits = F.array_compact(F.array(*(F.when(F.col("text").contains(k), F.lit(i)) for i, k in few))) if few else F.array().cast("array<bigint>")
     return text.select(F.explode(hits).alias("keyword_id"), "article_id")
 
 
-def _automaton_matches(text: DataFrame, keywords: list[tuple[int, str]]) -> DataFrame:
-    by_word: dict[str, list[int]] = {}
-    for i, word in keywords:
-        by_word.setdefault(word, []).append(i)
-    always = by_word.pop("", [])
-    sent = text.sparkSession.sparkContext.broadcast(by_word)
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of so many characters, in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for word, ids in sent.value.items():
-            automaton.add_word(word, ids)
-        automaton.make_automaton()
-        for batch in it:
-            found = [sorted({*always, *(i for _, ids in (automaton.iter(t) if sent.value else ()) for i in ids)}) for t in batch.column(1).to_pylist()]
-            ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), list(map(len, found)))
-            yield pa.RecordBatch.from_arrays([pa.array([i for f in found for i in f], pa.int64()), pa.array(ids)], names=["keyword_id", "article_id"])
+def gram_matches(text: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(keyword_id, article_id) where text (article_id, text) contains a keyword (keyword_id, keyword), both tables of any size.
 
-    return text.filter("article_id IS NOT NULL").mapInArrow(batches, "keyword_id long, article_id long")
+    Each keyword is known by one part of GRAM characters (shorter ones by the whole), the one that fewest keywords have. Articles give the parts that some keyword is known by, which are joined to the
+    keywords; an article gets its candidates as one list and is asked for each by contains(). Built-in expressions and equi-joins only; the empty keyword is in every text.
+    """
+    sized = keywords.withColumn("size", F.least(F.length("keyword"), F.lit(GRAM)))
+    sizes = sorted(r[0] for r in sized.select("size").distinct().collect())  # numbers up to GRAM
+    by_size = lambda column: F.coalesce(*(F.when(F.col("size") == n, _grams(column, n)) for n in sizes if n), F.array(F.lit("")))
+    parts = sized.filter("size > 0").select("keyword_id", "keyword", F.explode(by_size(F.col("keyword"))).alias("gram")) if any(sizes) else None
+    everywhere = sized.filter("size = 0").select("keyword_id")
+    all_texts = text.filter("text IS NOT NULL").join(everywhere.groupBy().agg(F.collect_set("keyword_id").alias("ids")), F.lit(True)).select(F.explode("ids").alias("keyword_id"), "article_id")
+    if parts is None:
+        return all_texts
+    shared = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    known = parts.join(shared, "gram").groupBy("keyword_id", "keyword").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    known = stored(known)
+    asked = text.select("article_id", F.explode(F.flatten(F.array(*(_grams(F.col("text"), n) for n in sizes if n)))).alias("gram")).distinct()
+    met = asked.join(known, "gram").groupBy("article_id").agg(F.collect_set(F.struct("keyword_id", "keyword")).alias("asked"))
+    both = text.join(met, "article_id").select("article_id", F.explode(F.filter("asked", lambda k: F.col("text").contains(k["keyword"]))).alias("k"))
+    return both.select("k.keyword_id", "article_id").unionByName(all_texts)
 
 
 def match_listing(matches: DataFrame, keywords: DataFrame, articles: DataFrame) -> DataFrame:

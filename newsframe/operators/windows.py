@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.checkpoints import cut
+from ..sources.checkpoints import cut, stored
+
+#: Pages that lie in one folder.
+PAGES_A_SPAN = 1000
 
 
 def best_per_key(rows: DataFrame, key: str, score: str, tie: str, least: float | None = None, limit: int | None = None) -> DataFrame:
@@ -80,12 +83,26 @@ def latest_of_each(rows: DataFrame, group: str, value: str, *order: str) -> Data
 
 
 def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    """Page `number` from 1, with the total and the number of pages beside each row."""
+    """Page `number` from 1, with the total and the number of pages beside each row. The rows up to it are the first of a sort; for pages far behind see pages()."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     own = rows.orderBy(*order).offset((number - 1) * size).limit(size)
     return own.join(F.broadcast(total), F.lit(True)).withColumn("pages", F.ceil(F.col("total") / size))
 
 
+def pages(rows: DataFrame, size: int, *order: Column) -> DataFrame:
+    """rows with `page`, from 1, and `number`, written once in a folder a range of pages: reading one page filters on `span` and reads that folder alone.
+
+    A listing that is read more than once is laid out so in one range partitioning; page k is filter((span == (k - 1) // PAGES_A_SPAN) & (page == k)), which page_of() writes.
+    """
+    ranked = numbered(rows, "number", *order)
+    paged = ranked.withColumn("page", F.floor((F.col("number") - 1) / size) + 1)
+    return stored(paged.withColumn("span", F.floor((F.col("page") - 1) / PAGES_A_SPAN)), "span")
+
+
+def page_of(listing: DataFrame, number: int) -> DataFrame:
+    return listing.filter((F.col("span") == (number - 1) // PAGES_A_SPAN) & (F.col("page") == number)).drop("span")
+
+
 def second_entity_best(scores: DataFrame) -> DataFrame:
     """(asset_id, a_id, a_score, b_id, b_score): of each asset the row best for A, and of its other rows the one best for B. Ties: the smaller vec_id."""
     first = scores.groupBy("asset_id").agg(F.min_by(F.struct("vec_id", "score_a"), F.struct(-F.col("score_a"), "vec_id")).alias("a"))

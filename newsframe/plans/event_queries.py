@@ -433,6 +433,18 @@ def t8_job_counters(spark, sf_dir):
     return counted.filter(F.col("batch") == last).select(T.job_counters(batch).columns)
 
 
+@query("""SELECT job, count(*) AS lines, count(*) FILTER (line LIKE 'Error%' OR line LIKE '✗%') AS errors, arg_max(regexp_extract(line, 'STATUS:([^:]+):', 1), (ts, event_id)) FILTER (line LIKE '[STATUS:%') AS state,
+  arg_max(regexp_extract(line, 'STATUS:[^:]+:(.+?)\\]', 1), (ts, event_id)) FILTER (line LIKE '[STATUS:%') AS detail, md5(string_agg(line, chr(10) ORDER BY ts, event_id) FILTER (rank <= 100)) AS tail
+  FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) AS rank FROM runs) GROUP BY 1""", RUNS)
+def t8_job_tails(spark, sf_dir):
+    """Latest state and last hundred lines of each job, kept over a stream."""
+    stream = T.read_files(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema, 1)
+    out = T.run_to_end(T.job_tails(as_runs(stream)), mode="update", state_store=T.ROCKS)
+    told = spark.read.schema("job string, lines long, errors long, state string, detail string, tail array<string>, batch int").option("basePath", out).parquet(out)
+    last = told.groupBy("job").agg(F.max_by(F.struct("lines", "errors", "state", "detail", F.md5(F.array_join("tail", "\n")).alias("tail")), "batch").alias("r"))
+    return last.select("job", "r.*")
+
+
 _RETRIES = """SELECT key, CASE WHEN f <= 10 THEN f ELSE least(n, 10) END::INTEGER AS attempts, CASE WHEN f <= 10 THEN 'success' WHEN n >= 10 THEN 'exhausted' ELSE 'retry' END AS state
   FROM (SELECT key, min(i) FILTER (ok) AS f, max(i) AS n FROM (SELECT key, ok, row_number() OVER (PARTITION BY key ORDER BY position) AS i FROM (SELECT 'u' || user_id AS key, event_id AS position, event_type = 'purchase' AS ok FROM events)) GROUP BY 1)"""
 

@@ -61,6 +61,14 @@ def j7_keyword_matches(spark, sf_dir):
     return _matches(spark, sf_dir)
 
 
+@query("SELECT keyword, id AS article_id FROM articles JOIN (SELECT DISTINCT unnest(string_split_regex(lower(text), '\\s+')) AS keyword FROM benchmark) ON keyword <> '' AND contains(lower(headline || ' ' || content), keyword)", ARTICLES)
+def j7_many_keywords(spark, sf_dir):
+    """Every word of the benchmark as a keyword, joined to the articles."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "\\s+")).alias("keyword")).filter("keyword <> ''").distinct()
+    text = articles(spark, sf_dir).select(F.col("id").alias("article_id"), F.lower(F.concat_ws(" ", "headline", "content")).alias("text"))
+    return J.gram_matches(text, words.select(F.xxhash64("keyword").alias("keyword_id"), "keyword")).join(words.select(F.xxhash64("keyword").alias("keyword_id"), "keyword"), "keyword_id").select("keyword", "article_id")
+
+
 @query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM vectors x JOIN vectors y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.35", VECTORS)
 def j8_similar_pairs(spark, sf_dir):
     return S.similar_pairs(vectors(spark, sf_dir), 0.35).withColumn("score", F.round("score", 6))
@@ -174,8 +182,7 @@ def w5_latest_state(spark, sf_dir):
 @query("SELECT label, n, row_number() OVER (ORDER BY n DESC, label) - 1 AS new_id FROM (SELECT label, count(*) AS n FROM vectors GROUP BY 1)", VECTORS)
 def w7_renumbered(spark, sf_dir):
     counts = vectors(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    ordered = counts.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "label", "n"))).alias("x")).select(F.posexplode("x").alias("new_id", "r"))
-    return ordered.select("r.label", "r.n", F.col("new_id").cast("long").alias("new_id"))
+    return W.numbered(counts, "number", F.desc("n"), F.asc("label")).select("label", "n", (F.col("number") - 1).alias("new_id"))
 
 
 @query("""SELECT s.asset_id, a.a_id, a.a_score, arg_min(vec_id, (-sb, vec_id)) AS b_id, max(sb) AS b_score FROM s JOIN (SELECT asset_id, arg_min(vec_id, (-sa, vec_id)) AS a_id, max(sa) AS a_score FROM s GROUP BY 1) a USING (asset_id) WHERE vec_id <> a_id GROUP BY ALL""",
@@ -192,6 +199,14 @@ def o1_page(spark, sf_dir):
     return W.page(articles(spark, sf_dir).select("id", "published_at"), 3, 25, F.desc("published_at"), F.desc("id"))
 
 
+@query("SELECT id, page, number FROM (SELECT id, (number - 1) // 25 + 1 AS page, number, max(number) OVER () AS n FROM (SELECT id, row_number() OVER (ORDER BY published_at DESC, id DESC) AS number FROM articles)) WHERE page = n // 50", ARTICLES)
+def o1_deep_page(spark, sf_dir):
+    """The page in the middle of the listing, which is laid out by pages."""
+    rows = articles(spark, sf_dir).select("id", "published_at")
+    listing = W.pages(rows, 25, F.desc("published_at"), F.desc("id"))
+    return W.page_of(listing, rows.count() // 50).select("id", "page", "number")
+
+
 @query("SELECT id, headline FROM articles ORDER BY id DESC LIMIT 200", ARTICLES)
 def o2_newest(spark, sf_dir):
     return articles(spark, sf_dir).select("id", "headline").orderBy(F.desc("id")).limit(200)

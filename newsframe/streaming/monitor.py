@@ -7,51 +7,84 @@ failure replaces what it wrote.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..functions.text import log_flags
+from ..functions.text import log_flags, status_detail, status_state
 from ..operators.joins import keyword_matches
 from ..sources.checkpoints import shared_folder
 
 
+#: Articles that one folder of matches is about, and folders that a micro-batch names to read no others.
+SPAN = 100_000
+MOST_SPANS = 10_000
+#: Lines of a job that are kept.
+TAIL = 100
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_files(spark: SparkSession, path: str, schema: StructType, files_a_trigger: int = 4) -> DataFrame:
     """A stream over the Parquet files of a folder, or over one file: as a pattern, a path may be either."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_end(stream: DataFrame, each_batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append", folder: str | None = None) -> str:
-    """Run a stream over what there is and return the folder of its results: batch=<n> below it for append, the last state for complete and update."""
+def run_to_end(stream: DataFrame, each_batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append", folder: str | None = None, state_store: str | None = None) -> str:
+    """Run a stream over what there is and return the folder of its results: batch=<n> below it for append, the last state for complete and update. state_store: a provider class for this stream."""
     spark = stream.sparkSession
     folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(each_batch or write).start()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    if state_store:
+        spark.conf.set(setting, state_store)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(each_batch or write).start()
+    finally:
+        if state_store and before is None:
+            spark.conf.unset(setting)
+        elif state_store:
+            spark.conf.set(setting, before)
     query.awaitTermination()
     return f"{folder}/out"
 
 
+def insert_ignore(rows: DataFrame, target: str, number: int, keys: Sequence[str], span: Column) -> None:
+    """Add the rows of a micro-batch to a folder, of equal keys one, without those that an earlier batch added.
+
+    The folder is laid out by batch and span (whole numbers that rows of one key share), and of what is there only the spans of the new rows are read. Nothing is kept between batches; a batch
+    that is done again replaces what it wrote and looks at earlier ones alone.
+    """
+    spark = rows.sparkSession
+    new = rows.dropDuplicates(list(keys)).withColumn("span", span.cast("long"))
+    if number:
+        known = spark.read.schema(new.schema.add("batch", "integer")).option("basePath", target).parquet(target).filter(F.col("batch") < number)
+        met = known.join(F.broadcast(new.select("span").distinct()), "span", "left_semi") if new.select("span").distinct().limit(MOST_SPANS + 1).count() <= MOST_SPANS else known
+        new = new.join(met, list(keys), "left_anti")
+    new.write.mode("overwrite").partitionBy("span").parquet(f"{target}/batch={number}")
+
+
 def monitor_keywords(articles: DataFrame, keywords: DataFrame, after: int = -1) -> DataFrame:
     """(keyword_id, article_id) of a stream of articles, each pair once, of ids past an offset. The streaming checkpoint is the offset from then on;
-    after=max(0, last - n) on a new checkpoint replays the last n."""
+    after=max(0, last - n) on a new checkpoint replays the last n. The stream keeps no state: a pair that was found before is not inserted again, as the table has it."""
     spark = articles.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     target = f"{folder}/out"
 
     def insert_new(batch: DataFrame, number: int) -> None:
-        keyword_matches(batch, keywords).distinct().write.mode("overwrite").parquet(f"{target}/batch={number}")
+        insert_ignore(keyword_matches(batch, keywords), target, number, ("keyword_id", "article_id"), F.floor(F.col("article_id") / SPAN))
 
-    # an article is matched once: the state holds the ids that were seen, not the matches
-    run_to_end(articles.filter(F.col("id") > after).dropDuplicates(["id"]), insert_new, folder=folder)
-    return spark.read.schema("keyword_id long, article_id long").parquet(f"{target}/batch=*")
+    run_to_end(articles.filter(F.col("id") > after), insert_new, folder=folder)
+    return spark.read.schema("keyword_id long, article_id long").option("basePath", target).parquet(target).select("keyword_id", "article_id")
 
 
 def backfill(articles: DataFrame, keywords: DataFrame, stored: DataFrame, n: int = 200) -> DataFrame:
@@ -101,6 +134,52 @@ def job_counters(rows: DataFrame) -> DataFrame:
     return told.groupBy("job").agg(F.count(F.lit(1)).alias("lines"), F.count_if("told.error").alias("errors"), F.sum("told.processed").alias("processed"), F.max(F.struct("ts", "event_id", "line"))["line"].alias("latest"))
 
 
+_TOLD = "lines long, errors long, processed long, state string, detail string, at timestamp, event_id long"
+_LINE = "ts timestamp, event_id long, line string"
+_TAILS = "job string, lines long, errors long, processed long, state string, detail string, tail array<string>"
+
+
+class _JobTail(StatefulProcessor):
+    """Of each job its counters, its latest state and its last lines: a value and a list of TAIL lines at most, both forgotten when the job is silent for the time to live."""
+
+    def __init__(self, tail: int, ttl_ms: int | None):
+        self.tail, self.ttl_ms = tail, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.told = handle.getValueState("told", _TOLD, self.ttl_ms)
+        self.kept = handle.getListState("kept", _LINE, self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        lines, errors, processed, state, detail, at, last = self.told.get() or (0, 0, 0, None, None, None, None)
+        kept = list(self.kept.get())
+        for frame in rows:
+            lines, errors, processed = lines + len(frame), errors + int(frame["errors"].sum()), processed + int(frame["processed"].sum())
+            stated = frame[frame["state"].notna()]
+            if len(stated):
+                row = stated.sort_values(["ts", "event_id"]).iloc[-1]
+                if at is None or (row["ts"].to_pydatetime(), int(row["event_id"])) > (at, last):
+                    state, detail, at, last = row["state"], row["detail"], row["ts"].to_pydatetime(), int(row["event_id"])
+            newest = frame.sort_values(["ts", "event_id"]).tail(self.tail)
+            kept += [(t.to_pydatetime(), int(i), line) for t, i, line in zip(newest["ts"], newest["event_id"], newest["line"], strict=True)]
+            kept = sorted(kept, key=lambda x: x[:2])[-self.tail :]
+        self.told.update((lines, errors, processed, state, detail, at, last))
+        self.kept.put(kept)
+        yield pd.DataFrame({"job": [key[0]], "lines": [lines], "errors": [errors], "processed": [processed], "state": [state], "detail": [detail], "tail": [[x[2] for x in kept]]})
+
+    def close(self) -> None:
+        pass
+
+
+def job_tails(stream: DataFrame, tail: int = TAIL, ttl_ms: int | None = None) -> DataFrame:
+    """By job, over a stream of (job, ts, event_id, line): lines, errors, processed articles, the latest state with its detail, and the last lines, oldest first; a row for each job of a micro-batch.
+
+    Latest and last are by (ts, event_id), whatever the order of arrival. Run it with state_store=ROCKS and mode="update".
+    """
+    told = log_flags(F.col("line"))
+    rows = stream.select("job", F.col("ts").cast("timestamp").alias("ts"), "event_id", "line", told["error"].cast("int").alias("errors"), told["processed"].alias("processed"), status_state(F.col("line")).alias("state"), status_detail(F.col("line")).alias("detail"))
+    return rows.groupBy("job").transformWithStateInPandas(_JobTail(tail, ttl_ms), _TAILS, "update", "processingTime" if ttl_ms else "none")
+
+
 _RETRY = "key string, attempts int, state string"
 
 

@@ -458,19 +458,78 @@ def test_empty_and_null_inputs(spark):
     assert nulls.select(filters.reject_reason(F.col("headline"), F.col("published"), F.col("content"))).first()[0] == "headline"
 
 
-def test_many_keywords_are_matched_in_one_pass(spark):
-    words = [f"k{i}" for i in range(joins.KEYWORD_BLOCK + 100)] + ["k1", "Head", ""]
+def test_many_keywords_are_joined_by_their_parts(spark):
+    """Keywords of all lengths against brute force; no Python in the plan, and nothing but sizes comes to the driver."""
+    import random
+
+    dice = random.Random(3)
+    letters = "abcdeé🙂 .*"
+    words = [f"k{i}" for i in range(joins.KEYWORD_BLOCK + 100)] + ["k1", "Head", "", "a", "É", "ab", ".*", "🙂🙂"] + ["".join(dice.choice(letters) for _ in range(dice.randrange(1, 9))) for _ in range(900)] + [None]
     keywords = spark.createDataFrame([(i, w, int(i % 50 != 3)) for i, w in enumerate(words)], "id long, keyword string, is_active int")
-    texts = [("head K12", "k300 k5"), (None, "xk1y"), ("none", None), (None, None)]
-    articles = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, headline string, content string")
-    got = {tuple(r) for r in joins.keyword_matches(articles, keywords).collect()}
-    want = {(k, i) for i, t in enumerate(texts) for k, w in enumerate(words) if k % 50 != 3 and w.lower() in " ".join(x for x in t if x is not None).lower()}
-    assert got == want and len(want) > 8
-    few = keywords.filter("id < 50 OR id > 599")
-    assert {tuple(r) for r in joins.keyword_matches(articles, few).collect()} == {(k, i) for k, i in want if k < 50 or k > 599}
+    texts = [("head K12", "k300 k5"), (None, "xk1y"), ("none", None), (None, None), ("", "")] + [("".join(dice.choice(letters) for _ in range(30)), "".join(dice.choice(letters).upper() for _ in range(dice.randrange(200)))) for _ in range(60)]
+    articles = spark.createDataFrame([*((i, *t) for i, t in enumerate(texts)), (1, "second k12", "version"), (None, "k1", "k1")], "id long, headline string, content string")
+    frame = joins.keyword_matches(articles, keywords)
+    got = [tuple(r) for r in frame.collect()]
+    rows = [*enumerate(texts), (1, ("second k12", "version"))]
+    want = [(k, i) for i, t in rows for k, w in enumerate(words) if w is not None and k % 50 != 3 and w.lower() in " ".join(x for x in t if x is not None).lower()]
+    assert sorted(got) == sorted(want) and len(want) > 1000
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    few = keywords.filter("id < 50 OR id > 1400")
+    assert sorted(tuple(r) for r in joins.keyword_matches(articles, few).collect()) == sorted((k, i) for k, i in want if k < 50 or k > 1400)
     assert joins.keyword_matches(articles, keywords.limit(0)).collect() == []
 
 
+def test_pages_laid_out_in_folders(spark, monkeypatch):
+    monkeypatch.setattr(windows, "PAGES_A_SPAN", 4)
+    frame = spark.createDataFrame([((i * 7919) % 1000, i) for i in range(1000)], "x int, id int").repartition(6)
+    listing = windows.pages(frame, 10, F.desc("x"), F.asc("id"))
+    for number in (1, 4, 5, 100):
+        assert sorted(r["x"] for r in windows.page_of(listing, number).collect()) == sorted(999 - k for k in range((number - 1) * 10, number * 10))
+    assert windows.page_of(listing, 101).collect() == []
+    scan = windows.page_of(listing, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(span" in scan
+
+
+def test_job_tails_over_micro_batches(spark, tmp_path):
+    """The stream's counters, states and tails equal those of the table, in whatever order lines arrive."""
+    import random
+
+    dice = random.Random(1)
+    lines = ["[STATUS:finding:a]", "[STATUS:extracting:b c]", "Error: x", "✓ Inserted new article", "plain", "✓ SUCCESS"]
+    rows = [(f"j{dice.choice([0, 0, 0, 1, 2])}", datetime(2024, 1, 1, 0, dice.randrange(60)), i, dice.choice(lines) + ("" if i % 3 else f" {i}")) for i in range(700)]
+    schema = "job string, ts timestamp, event_id long, line string"
+    dice.shuffle(rows)
+    for k in range(5):
+        spark.createDataFrame(rows[k * 140 : (k + 1) * 140], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame = spark.createDataFrame(rows, schema)
+    out = monitor.run_to_end(monitor.job_tails(monitor.read_files(spark, str(tmp_path / "in"), frame.schema, 1), 100), mode="update", state_store=monitor.ROCKS)
+    told = spark.read.option("basePath", out).parquet(out)
+    assert told.select("batch").distinct().count() == 5
+    got = {r["job"]: r["r"] for r in told.groupBy("job").agg(F.max_by(F.struct("lines", "errors", "processed", "state", "detail", "tail"), "batch").alias("r")).collect()}
+    counted = {r["job"]: r for r in monitor.job_counters(frame).collect()}
+    tails: dict = {}
+    for r in windows.last_n(frame, "job", 100, "ts", "event_id").collect():
+        tails.setdefault(r["job"], []).append((-r["rank"], r["line"]))
+    states = {r["job"]: r["state"] for r in windows.latest_of_each(frame.withColumn("state", text.status_state(F.col("line"))).filter("state IS NOT NULL"), "job", "state", "ts", "event_id").collect()}
+    assert set(got) == set(counted)
+    for job, r in got.items():
+        assert (r["lines"], r["errors"], r["processed"]) == (counted[job]["lines"], counted[job]["errors"], counted[job]["processed"])
+        assert r["state"] == states[job] and r["tail"] == [line for _, line in sorted(tails[job])]
+
+
+def test_monitor_keeps_no_state_and_inserts_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(monitor, "SPAN", 3)
+    keywords = spark.createDataFrame([(1, "alpha", 1), (2, "beta", 1)], "id long, keyword string, is_active int")
+    schema = "id long, headline string, content string"
+    files = [[(1, "alpha", ""), (2, "beta alpha", "")], [(1, "alpha", "again"), (5, "none", "")], [(2, "beta", "alpha"), (9, "beta", ""), (9, "beta", ""), (1, "beta", "a later version")], []]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = monitor.read_files(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+    got = monitor.monitor_keywords(stream, keywords)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 9)]
+
+
 def test_a_query_set_larger_than_a_plan_holds(spark):
     import numpy as np
 
