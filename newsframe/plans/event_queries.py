@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vectors import cosine
 from ..operators import clustering as C
+from ..operators import grouping as G
 from ..operators import joins as J
 from ..operators import reports as A
 from ..operators import similarity as P
@@ -295,13 +296,35 @@ def v14_groups(spark, sf_dir):
     return C.similarity_clusters(others, 0.35).select(F.col("article_id").alias("vec_id"), F.col("cluster_id").alias("group_id"))
 
 
+#: Vector after vector, with each one's group so far and the groups' sums: the cosines to the members before it, and of each group the larger one of mean and members.
+_IN_ORDER = """ordered AS (SELECT row_number() OVER (ORDER BY vec_id)::INTEGER AS n, vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM others),
+  every AS (SELECT list(v ORDER BY n) AS vs, list(vec_id ORDER BY n) AS ids FROM ordered),
+  steps AS (SELECT 1 AS n, [1] AS own, [v] AS sums FROM ordered WHERE n = 1 UNION ALL
+    SELECT n, CASE WHEN best >= 0.35 THEN list_append(own, list_position(scores, best)::INTEGER) ELSE list_append(own, (len(sums) + 1)::INTEGER) END,
+      CASE WHEN best >= 0.35 THEN list_transform(sums, lambda s, k: CASE WHEN k = list_position(scores, best) THEN list_transform(list_zip(s, v), lambda p: p[1] + p[2]) ELSE s END) ELSE list_append(sums, v) END
+    FROM (SELECT *, list_max(scores) AS best FROM (SELECT n, v, own, sums, list_transform(sums, lambda s, k: greatest(list_dot_product(s, v) / sqrt(list_dot_product(s, s)),
+        coalesce(list_max(list_transform(list_filter(list_zip(own, near), lambda p: p[1] = k), lambda p: p[2])), -1))) AS scores
+      FROM (SELECT o.n, o.v, own, sums, list_transform(vs[1:s.n], lambda m: list_dot_product(m, o.v)) AS near FROM steps s JOIN ordered o ON o.n = s.n + 1, every)))),
+  first AS (SELECT unnest(ids) AS vec_id, unnest(own) AS g FROM (SELECT own FROM steps ORDER BY n DESC LIMIT 1), every)"""
+
+
+def _others(spark, sf_dir, least):
+    q = F.array(*(F.lit(x) for x in _chosen(spark, sf_dir, "vec_id = 0")[0][0]))
+    return V.target_assets(vectors(spark, sf_dir), cosine(F.col("v"), q), least)
+
+
+@query("SELECT vec_id, min(vec_id) OVER (PARTITION BY g) AS group_id FROM first", VECTORS, _SCORED, _OTHERS, _IN_ORDER)
+def v14_in_order(spark, sf_dir):
+    """Each vector joins the nearest group so far, by mean or member, or starts one."""
+    return G.grouped_in_order(_others(spark, sf_dir, 0.2), 0.35)
+
+
 @query()
 def v14_merged_groups(spark, sf_dir):
-    """The groups after those with near mean vectors are joined (iterative; checked against a model in the tests)."""
-    q = F.array(*(F.lit(x) for x in _chosen(spark, sf_dir, "vec_id = 0")[0][0]))
-    others = V.target_assets(vectors(spark, sf_dir), cosine(F.col("v"), q), 0.0)
-    groups = C.similarity_clusters(others, 0.35).select(F.col("article_id").alias("vec_id"), F.col("cluster_id").alias("group_id"))
-    return V.merge_groups(groups.join(others.select("vec_id", "v"), "vec_id"), 0.5)
+    """The same groups after passes that merge those that have come near, in order (checked against a model in the tests)."""
+    others = _others(spark, sf_dir, 0.2)
+    groups = G.grouped_in_order(others, 0.35)
+    return G.merged_in_order(groups.join(others.select("vec_id", "v"), "vec_id"), 0.35)
 
 
 _ANY_OTHERS = "others AS (SELECT s.vec_id, s.asset_id, s.v, t.top AS target_score FROM scored s JOIN (SELECT asset_id, arg_min(vec_id, (-score, vec_id)) AS best, max(score) AS top FROM scored GROUP BY 1 HAVING max(score) >= 0.0) t USING (asset_id) WHERE s.vec_id <> t.best)"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsframe.functions import dates, text, urls
-from newsframe.operators import clustering, filters, graph, joins, similarity, vector_search, windows
+from newsframe.operators import clustering, filters, graph, grouping, joins, similarity, vector_search, windows
 from newsframe.streaming import monitor
 
 
@@ -342,6 +342,59 @@ def test_retry_stream_equals_table(spark, tmp_path):
     assert sorted(tuple(r)[:3] for r in spark.read.parquet(out).collect()) == want
 
 
+def plain_groups(v, threshold, merge=True):
+    """Groups of vectors of length 1 in their order, one step after another: lists of row numbers, oldest first."""
+    import numpy as np
+
+    unit = lambda x: x / (np.linalg.norm(x) or 1.0)
+    groups = []
+    for i in range(len(v)):
+        best, at = 0.0, -1
+        for k, g in enumerate(groups):
+            score = max(unit(v[g].mean(axis=0)) @ v[i], (v[g] @ v[i]).max())
+            if score > best:
+                best, at = score, k
+        if best >= threshold and at >= 0:
+            groups[at].append(i)
+        else:
+            groups.append([i])
+    merged = merge
+    while merged:
+        merged, i = False, 0
+        while i < len(groups):
+            j = i + 1
+            while j < len(groups):
+                a, b = v[groups[i]], v[groups[j]]
+                if unit(a.mean(axis=0)) @ unit(b.mean(axis=0)) >= threshold or (a @ b.T).max() >= threshold:
+                    groups[i] += groups.pop(j)
+                    merged = True
+                else:
+                    j += 1
+            i += 1
+    return groups
+
+
+@pytest.mark.parametrize(("seed", "threshold", "block"), [(1, 0.6, 2048), (2, 0.75, 64), (3, 0.45, 100), (4, 0.9, 50)])
+def test_groups_in_order_against_a_model(spark, seed, threshold, block):
+    """Vectors around moving means, lone ones, copies; in one block and over several."""
+    import numpy as np
+
+    dice = np.random.default_rng(seed)
+    base = dice.normal(size=(14, 7))
+    v = np.concatenate([base[dice.integers(0, 14, 380)] + dice.normal(size=(380, 7)) * dice.choice([0.2, 0.6, 1.0], (380, 1)), dice.normal(size=(120, 7))])
+    v = v[dice.permutation(500)]
+    v[40] = v[3]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    frame = spark.createDataFrame([(7 * i + 3, x) for i, x in enumerate(v.tolist())], "vec_id long, v array<double>").repartition(3)
+    first = {7 * i + 3: 7 * g[0] + 3 for g in plain_groups(v, threshold, merge=False) for i in g}
+    found = grouping.grouped_in_order(frame, threshold, block=block)
+    assert {r["vec_id"]: r["group_id"] for r in found.collect()} == first
+    merged = {7 * i + 3: 7 * g[0] + 3 for g in plain_groups(v, threshold) for i in g}
+    got = grouping.merged_in_order(found.join(frame, "vec_id"), threshold)
+    assert {r["vec_id"]: r["group_id"] for r in got.collect()} == merged
+    assert grouping.grouped_in_order(frame.limit(0)).collect() == []
+
+
 def test_merged_groups_against_a_model(spark):
     import numpy as np
 
