@@ -55,7 +55,7 @@ def gram_matches(text: DataFrame, keywords: DataFrame) -> DataFrame:
     shared = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     known = parts.join(shared, "gram").groupBy("keyword_id", "keyword").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     known = stored(known)
-    asked = text.select("article_id", F.explode(F.flatten(F.array(*(_grams(F.col("text"), n) for n in sizes if n)))).alias("gram")).distinct()
+    asked = text.select("article_id", F.explode(F.flatten(F.array(*(_grams(F.col("text"), n) for n in sizes if n)))).alias("gram"))
     met = asked.join(known, "gram").groupBy("article_id").agg(F.collect_set(F.struct("keyword_id", "keyword")).alias("asked"))
     both = text.join(met, "article_id").select("article_id", F.explode(F.filter("asked", lambda k: F.col("text").contains(k["keyword"]))).alias("k"))
     return both.select("k.keyword_id", "article_id").unionByName(all_texts)

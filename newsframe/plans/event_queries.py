@@ -308,6 +308,18 @@ _IN_ORDER = """ordered AS (SELECT row_number() OVER (ORDER BY vec_id)::INTEGER A
   first AS (SELECT unnest(ids) AS vec_id, unnest(own) AS g FROM (SELECT own FROM steps ORDER BY n DESC LIMIT 1), every)"""
 
 
+#: Passes over the groups: the next group that is near the one at hand is taken in, or the next one is at hand; over after a pass that took none in.
+_MERGED = """start AS (SELECT sums, list_transform(range(1, len(sums) + 1), lambda k: list_filter(range(1, len(own) + 1), lambda r: own[r] = k)) AS mem FROM (SELECT own, sums FROM steps ORDER BY n DESC LIMIT 1)),
+  passes AS (SELECT 0 AS step, 1::BIGINT AS i, 2::BIGINT AS j, false AS took, false AS over, sums, mem FROM start UNION ALL
+    SELECT step + 1, CASE WHEN hit IS NOT NULL THEN i WHEN i < len(sums) THEN i + 1 ELSE 1 END, CASE WHEN hit IS NOT NULL THEN hit WHEN i < len(sums) THEN i + 2 ELSE 2 END,
+      hit IS NOT NULL OR (i < len(sums) AND took), hit IS NULL AND i >= len(sums) AND NOT took,
+      CASE WHEN hit IS NULL THEN sums ELSE list_transform(list_filter(range(1, len(sums) + 1), lambda x: x <> hit), lambda x: CASE WHEN x = i THEN list_transform(list_zip(sums[i], sums[hit]), lambda p: p[1] + p[2]) ELSE sums[x] END) END,
+      CASE WHEN hit IS NULL THEN mem ELSE list_transform(list_filter(range(1, len(mem) + 1), lambda x: x <> hit), lambda x: CASE WHEN x = i THEN list_concat(mem[i], mem[hit]) ELSE mem[x] END) END
+    FROM (SELECT p.*, list_filter(range(j, len(sums) + 1), lambda x: list_cosine_similarity(sums[i], sums[x]) >= 0.35
+        OR list_max(flatten(list_transform(mem[i], lambda a: list_transform(mem[x], lambda b: list_dot_product(vs[a], vs[b]))))) >= 0.35)[1] AS hit FROM passes p, every WHERE NOT over)),
+  merged AS (SELECT ids[r] AS vec_id, min(ids[r]) OVER (PARTITION BY g) AS group_id FROM (SELECT unnest(m) AS r, g FROM (SELECT unnest(mem) AS m, unnest(range(1, len(mem) + 1)) AS g FROM passes WHERE over)), every)"""
+
+
 def _others(spark, sf_dir, least):
     q = F.array(*(F.lit(x) for x in _chosen(spark, sf_dir, "vec_id = 0")[0][0]))
     return V.target_assets(vectors(spark, sf_dir), cosine(F.col("v"), q), least)
@@ -319,12 +331,14 @@ def v14_in_order(spark, sf_dir):
     return G.grouped_in_order(_others(spark, sf_dir, 0.2), 0.35)
 
 
-@query()
+def _merged(others):
+    return G.merged_in_order(G.grouped_in_order(others, 0.35).join(others.select("vec_id", "v"), "vec_id"), 0.35)
+
+
+@query("SELECT vec_id, group_id FROM merged", VECTORS, _SCORED, _OTHERS, _IN_ORDER, _MERGED)
 def v14_merged_groups(spark, sf_dir):
-    """The same groups after passes that merge those that have come near, in order (checked against a model in the tests)."""
-    others = _others(spark, sf_dir, 0.2)
-    groups = G.grouped_in_order(others, 0.35)
-    return G.merged_in_order(groups.join(others.select("vec_id", "v"), "vec_id"), 0.35)
+    """The same groups after passes that merge those that have come near, in order."""
+    return _merged(_others(spark, sf_dir, 0.2))
 
 
 _ANY_OTHERS = "others AS (SELECT s.vec_id, s.asset_id, s.v, t.top AS target_score FROM scored s JOIN (SELECT asset_id, arg_min(vec_id, (-score, vec_id)) AS best, max(score) AS top FROM scored GROUP BY 1 HAVING max(score) >= 0.0) t USING (asset_id) WHERE s.vec_id <> t.best)"
@@ -345,6 +359,18 @@ def v15_co_occurrence(spark, sf_dir):
     return V.co_occurrence(others, groups, 0.3)
 
 
+@query("""SELECT g.group_id, count(*) AS n_assets, arg_min(vec_id, (-target_score, vec_id)) AS representative
+  FROM (SELECT group_id, arg_max(taken, n) AS taken FROM choices GROUP BY 1) g JOIN placed o USING (group_id) WHERE list_contains(taken, o.n) GROUP BY 1 HAVING count(*) >= 2""", VECTORS, _SCORED, _OTHERS, _IN_ORDER, _MERGED,
+       """placed AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY vec_id)::INTEGER AS n FROM (SELECT group_id, asset_id, min(vec_id) AS vec_id FROM merged JOIN others USING (vec_id) GROUP BY ALL) JOIN (SELECT vec_id, v, target_score FROM others) USING (vec_id)),
+  sides AS (SELECT x.group_id, x.n, list(list_cosine_similarity(x.v, y.v) ORDER BY y.n) AS score FROM placed x JOIN placed y USING (group_id) GROUP BY ALL),
+  choices AS (SELECT group_id, n, [1] AS taken FROM sides WHERE n = 1 UNION ALL
+    SELECT t.group_id, s.n, CASE WHEN list_max(list_transform(taken, lambda i: score[i])) > 0.3 THEN taken ELSE list_append(taken, s.n) END AS taken FROM choices t JOIN sides s ON s.group_id = t.group_id AND s.n = t.n + 1)""")
+def v15_merged_groups(spark, sf_dir):
+    """Co-occurrence over the merged groups, lone vectors among them."""
+    others = _others(spark, sf_dir, 0.2)
+    return V.co_occurrence(others, _merged(others), 0.3)
+
+
 @query("SELECT vec_id, max(s) AS score, CASE WHEN max(s) >= 0.2 THEN arg_min('L' || q, (-s, q)) END AS label FROM (SELECT x.vec_id, q.vec_id AS q, round(list_cosine_similarity(x.v, q.v), 4) AS s FROM vectors x, vectors q WHERE q.vec_id < 5) GROUP BY 1", VECTORS)
 def v16_nearest_label(spark, sf_dir):
     labels = [(f"L{i}", v) for i, (v, _) in enumerate(_chosen(spark, sf_dir, "vec_id < 5"))]
