@@ -122,6 +122,13 @@ def approx_similar_pairs(vectors: DataFrame, threshold: float, vec_id: str = "ve
     return pairs.filter((F.col("a") < F.col("b")) & (F.col("score") >= threshold))
 
 
+def band_masks(bits: int, below: int, together: int) -> list[int]:
+    """Bits of each choice of `together` of below - 1 + together bands: fingerprints of less than `below` bits apart agree in one of them at least."""
+    bands = below - 1 + together
+    edges = [bits * k // bands for k in range(bands + 1)]
+    return [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(bands), together)]
+
+
 def hamming_pairs(fingerprints: DataFrame, bits: int = 60, below: int = 6, key: str = "id", fingerprint: str = "fp", together: int | None = None) -> DataFrame:
     """(a, b, distance) with a < b and fewer than `below` bits apart.
 
@@ -134,9 +141,7 @@ def hamming_pairs(fingerprints: DataFrame, bits: int = 60, below: int = 6, key:
     if together is None:
         n = firsts.count()
         together = next((m for m in range(1, 5) if n < 100 << (bits * m // (below - 1 + m))), 5)
-    bands = below - 1 + together
-    edges = [bits * k // bands for k in range(bands + 1)]
-    masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(bands), together)]
+    masks = band_masks(bits, below, together)
     keyed = firsts.select("id", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("i", "band"))
     left, right = keyed.alias("l"), keyed.alias("r")
     distance = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp")))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions.vectors import cosine, unit
 from ..sources.checkpoints import cut, stored
 from .graph import components
 from .greedy import taken_greedily
-from .joins import keep_first_near
+from .joins import band_masks, keep_first_near
 from .similarity import BLOCK, similar_pairs
 from .windows import best_per_key, second_entity_best
 
+#: Bands whose agreement is one key of a stored index, and folders for the values of each.
+BANDS_TOGETHER, BAND_FOLDERS = 2, 16
 #: Queries of one search that the plan holds as literals.
 MOST_QUERIES = 1000
 
@@ -53,29 +58,27 @@ def fused_score(v: Column, queries: list[tuple[list[float], float]], method: str
     return {"average": average, "max": largest, "hybrid": 0.7 * average + 0.3 * largest}[method]
 
 
-def _unrolled_dot(a: Column, b: Column, length: int) -> Column:
-    """dot() of vectors of a known length as one compiled expression, a balanced sum; null where one is shorter."""
-    terms = [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(length)]
-    while len(terms) > 1:
-        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-    return terms[0]
+def _largest(asked: pa.Table, queries: pa.Table) -> pa.Table:
+    """(row, largest): of each row the largest cosine to one of the queries of a block."""
+    matrix = lambda t: np.array(t.column("v").to_pylist(), np.float64).reshape(t.num_rows, -1)
+    some = asked.num_rows and queries.num_rows
+    return pa.table({"row": asked.column("row") if some else pa.array([], pa.int64()), "largest": pa.array((matrix(asked) @ matrix(queries).T).max(axis=1) if some else [], pa.float64())})
 
 
 def set_scores(vectors: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
     """vectors with `score`: 0.7 of the cosine to the mean of all queries and 0.3 of the largest cosine to one of them; no rows without queries.
 
-    queries (v) are a table of any size: the mean is one row, and blocks of queries meet blocks of vectors in a join, of which the largest cosine of each row is kept by
-    partial aggregation. The work is the number of vectors by the number of distinct queries.
+    queries (v) are a table of any size: the mean is one row, and blocks of distinct queries meet blocks of vectors as matrix products, each of which gives a row a vector. The work is the
+    number of vectors by the number of distinct queries.
     """
     rows = cut(vectors.filter("v IS NOT NULL").withColumn("row", F.monotonically_increasing_id()))
-    asked = cut(queries.select("v").filter("v IS NOT NULL"))
-    distinct = cut(asked.distinct())
+    asked = stored(queries.select("v").filter("v IS NOT NULL"))
+    distinct = stored(asked.select(unit(F.col("v").cast("array<double>")).alias("v")).distinct())
     n, m = (max(1, -(-t.count() // block)) for t in (rows, distinct))
-    length = (distinct.select(F.max(F.size("v"))).first()[0]) or 1
     each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    dealt = rows.select("row", unit(F.col("v")).alias("v"), F.pmod(F.xxhash64("row"), F.lit(n)).alias("i")).withColumn("j", each(m))
-    met = distinct.select(unit(F.col("v")).alias("q"), F.pmod(F.xxhash64("v"), F.lit(m)).alias("j")).withColumn("i", each(n))
-    found = dealt.join(met.hint("merge"), ["i", "j"]).groupBy("row").agg(F.max(_unrolled_dot(F.col("v"), F.col("q"), length)).alias("largest"))
+    dealt = rows.select("row", unit(F.col("v").cast("array<double>")).alias("v"), F.pmod(F.xxhash64("row"), F.lit(n)).alias("i")).withColumn("j", each(m))
+    met = distinct.withColumn("j", F.pmod(F.xxhash64("v"), F.lit(m))).withColumn("i", each(n))
+    found = dealt.groupBy("i", "j").cogroup(met.groupBy("i", "j")).applyInArrow(_largest, "row long, largest double").groupBy("row").agg(F.max("largest").alias("largest"))
     scored = rows.join(found, "row").join(F.broadcast(mean_vector(asked)), F.lit(True))
     return scored.select(*vectors.columns, (0.7 * cosine(F.col("v"), F.col("mean")) + 0.3 * F.col("largest")).alias("score"))
 
@@ -151,3 +154,37 @@ def build_index(items: DataFrame, index: DataFrame, processed: DataFrame, below:
     one = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
     counts = one(new, "n_new").join(F.broadcast(one(added, "n_added")), F.lit(True)).join(F.broadcast(one(whole, "n_index")), F.lit(True))
     return whole, processed.select("id").unionByName(new.select("id")), counts.withColumn("n_skipped", F.col("n_new") - F.col("n_added"))
+
+
+_BANDS = "i int, part int, band long, id long, fp long"
+
+
+def _banded(items: DataFrame, below: int) -> DataFrame:
+    """(i, part, band, id, fp): the keys by which fingerprints of less than `below` bits apart meet, and the folder of each."""
+    masks = band_masks(60, below, BANDS_TOGETHER)
+    keyed = items.select("id", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("i", "band"))
+    return keyed.select("i", F.pmod(F.xxhash64("band"), F.lit(BAND_FOLDERS)).cast("int").alias("part"), "band", "id", "fp")
+
+
+def extend_index(folder: str, items: DataFrame, below: int = 6) -> DataFrame:
+    """(id, fp) of the items that are added to the index in folder: those of which neither one in the index nor an earlier added one is near. New ids are larger than those in the index.
+
+    The index lies on disk by bands: a table of keys in folders by band and part of its values. Only the new items' keys are made, and only the folders that they fall into are read,
+    so a build takes time with what is new and what it meets. What is added is appended.
+    """
+    spark = items.sparkSession
+    path = f"{folder}/bands"
+    new = stored(items.select("id", "fp").distinct())
+    try:
+        known = spark.read.schema(_BANDS).parquet(path)
+    except AnalysisException:  # the first build
+        known = spark.createDataFrame([], _BANDS)
+    asked = stored(_banded(new, below))
+    spots = asked.select("i", "part").distinct()  # of so many folders at most
+    inside = known.join(F.broadcast(spots), ["i", "part"], "left_semi")
+    old = inside.withColumnRenamed("fp", "old")
+    met = asked.join(old.select("i", "band", "old"), ["i", "band"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("old"))) < below)
+    fresh = stored(new.join(met.select("id").distinct(), "id", "left_anti"))
+    added = stored(fresh.join(keep_first_near(fresh, below=below).select("id"), "id", "left_semi"))
+    _banded(added, below).repartition("i", "part").write.mode("append").partitionBy("i", "part").parquet(path)
+    return added

@@ -52,8 +52,14 @@ def s5_sitemap(spark, sf_dir):
     i = F.col("page_id")
     day = F.date_format(F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, int(page_id))"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lastmod = F.when(i % 5 == 0, "<lastmod>soon</lastmod>").otherwise(F.concat(F.lit("<lastmod>"), day, F.lit("</lastmod>")))
-    xml = F.concat(F.lit("<urlset><url><loc>https://x.example/about</loc></url><url><loc>https://x.example/en/"), i.cast("string"), F.lit("</loc>"), lastmod, F.lit("</url></urlset>"))
-    return S.sitemap_entries(table(spark, sf_dir, "pages").select(xml.alias("xml")), F.expr("TIMESTAMP_NTZ '2024-01-02 00:00:00'"))
+    # every other page writes names with a prefix and the address as CDATA; one in three has a comment that holds an entry; a text that is no XML stands beside them
+    plain = F.concat(F.lit("<urlset><url><loc>https://x.example/about</loc></url><url><loc>https://x.example/en/"), i.cast("string"), F.lit("</loc>"), lastmod, F.lit("</url></urlset>"))
+    named = F.regexp_replace(F.regexp_replace(plain, r"<loc>(.*?)</loc>", r"<loc><![CDATA[$1]]></loc>"), r"<(/?)(urlset|url|loc|lastmod)>", r"<$1s:$2>")
+    named = F.regexp_replace(named, "^<s:urlset>", '<s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9">')
+    comment = F.when(i % 3 == 0, "<!-- <url><loc>https://x.example/en/1</loc></url> -->").otherwise("")
+    xml = F.regexp_replace(F.when(i % 2 == 0, named).otherwise(plain), "(?=</(?:s:)?urlset>)", comment)
+    pages = table(spark, sf_dir, "pages").select(xml.alias("xml"))
+    return S.sitemap_entries(pages.unionByName(spark.createDataFrame([("<urlset><url><loc>https://x.example/en/7",), (None,), ("",)], "xml string")), F.expr("TIMESTAMP_NTZ '2024-01-02 00:00:00'"))
 
 
 @query("SELECT 'story-' || event_id AS slug, date_trunc('millisecond', ts) AS published_at FROM events WHERE event_type <> 'error' AND ts > TIMESTAMP '2024-01-10'")
@@ -175,6 +181,30 @@ def v1_embedded(spark, sf_dir):
     return done.select("doc_id", F.size("embedding").alias("n"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), "text_hash")
 
 
+_VOWELS = "aeiou"
+
+
+def _letter_vectors(texts):
+    """An encoder: how often each vowel stands in a text, brought to length 1."""
+    out = []
+    for text in texts:
+        counts = [text.count(c) for c in _VOWELS]
+        length = sum(n * n for n in counts) ** 0.5 or 1.0
+        out.append([n / length for n in counts])
+    return out
+
+
+_COUNTS = "[" + ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in _VOWELS) + "]"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(c, lambda x: round(x / CASE WHEN list_dot_product(c, c) = 0 THEN 1 ELSE sqrt(list_dot_product(c, c)) END * 1000)::BIGINT), ' ') AS v, sha256(t) AS text_hash
+  FROM (SELECT doc_id, t, list_transform({_COUNTS}, lambda x: x::DOUBLE) AS c FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
+def v1_encoded(spark, sf_dir):
+    """The vectors of an encoder that the caller gives, in thousandths."""
+    done = C.embed_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), encoder=_letter_vectors)
+    return done.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x * 1000).cast("long").cast("string")), " ").alias("v"), "text_hash")
+
+
 @query("SELECT id, CASE WHEN id % 5 = 0 THEN 'new' ELSE 'changed' END AS why FROM articles WHERE id % 5 IN (0, 1)", ARTICLES)
 def v2_to_embed(spark, sf_dir):
     text = X.embedding_text(F.col("headline"), F.col("actual_headline"), F.col("content"))
@@ -411,6 +441,15 @@ def v18_index_counts(spark, sf_dir):
     return counts.join(F.broadcast(processed.agg(F.count(F.lit(1)).alias("n_processed"))), F.lit(True))
 
 
+@query("SELECT unnest(ids) AS id FROM steps WHERE n = (SELECT count(*) FROM numbered)", FINGERPRINTS, _GREEDY)
+def v18_index_in_steps(spark, sf_dir):
+    """The same by two builds over an index that lies on disk by bands: the second reads what it meets."""
+    folder, items = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", _fingerprints(spark, sf_dir)
+    half = F.lit(items.agg(F.max("id")).first()[0] // 2)
+    first = V.extend_index(folder, items.filter(F.col("id") <= half))
+    return first.unionByName(V.extend_index(folder, items.filter(F.col("id") > half))).select("id")
+
+
 def _article_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
     headline = F.substring(F.split("text", "\n", 2)[0], 1, 120)

@@ -29,16 +29,36 @@ def cycle_seconds(config: Column, scraper: Column, default: int = DEFAULT_CYCLE,
     return F.coalesce(F.try_element_at(read["scrapers"], scraper), read["global_cycle_time"], *own, F.lit(default))
 
 
-def sitemap_entries(documents: DataFrame, cutoff: Column | None = None, cap: int = 200) -> DataFrame:
-    """(url, lastmod) of sitemap XML texts (column xml): addresses that end in a slug and a number, not before the cutoff; no or no valid lastmod is kept; the newest `cap`."""
-    entry = F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1))).alias("e")
-    rows = documents.select(entry).select(F.trim(F.regexp_extract("e", r"(?is)<loc>(.*?)</loc>", 1)).alias("url"), F.try_to_timestamp(F.regexp_replace(F.substring(F.trim(F.regexp_extract("e", r"(?is)<lastmod>(.*?)</lastmod>", 1)), 1, 19), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("lastmod"))
-    kept = rows.filter(F.col("url").rlike(r"/[^/]+/[0-9]+$"))
+_URL = "loc string, lastmod string, _broken string"
+
+
+def _newest(rows: DataFrame, cutoff: Column | None, cap: int) -> DataFrame:
+    """(url, lastmod) of rows (loc, lastmod): addresses that end in a slug and a number, not before the cutoff; no or no valid lastmod is kept; the newest `cap`."""
+    at = F.try_to_timestamp(F.regexp_replace(F.substring(F.trim("lastmod"), 1, 19), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    kept = rows.select(F.trim("loc").alias("url"), at.alias("lastmod")).filter(F.col("url").rlike(r"/[^/]+/[0-9]+$"))
     if cutoff is not None:
         kept = kept.filter(F.col("lastmod").isNull() | (F.col("lastmod") >= cutoff))
     return kept.orderBy(F.desc_nulls_last("lastmod"), "url").limit(cap)
 
 
+def sitemap_entries(documents: DataFrame, cutoff: Column | None = None, cap: int = 200) -> DataFrame:
+    """The newest entries of sitemaps as texts (column xml), read as XML: entities, CDATA, comments and namespaces as they are meant. A text that is no XML gives none."""
+    plain = F.regexp_replace("xml", r"(<\s*/?\s*)[A-Za-z_][\w.-]*:", "$1")  # names without the prefix of their namespace
+    read = F.from_xml(plain, "url array<struct<loc: string, lastmod: string>>", {"mode": "PERMISSIVE"})
+    return _newest(documents.select(F.explode(read["url"]).alias("u")).select("u.loc", "u.lastmod"), cutoff, cap)
+
+
+def read_sitemaps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, broken) of sitemap files: loc and lastmod of each url element, and the text of what could not be read as one (with the loc that was, if any). A file is cut at its url elements, so a large one is many tasks."""
+    rows = spark.read.format("xml").option("rowTag", "url").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("ignoreNamespace", "true").schema(_URL).load(path)
+    # both ask for loc as well: Spark doesn't read what is broken alone
+    return rows.filter("_broken IS NULL AND loc IS NOT NULL").select("loc", "lastmod"), rows.filter("_broken IS NOT NULL AND coalesce(loc, '') <> '<'").select(F.col("_broken").alias("text"), "loc")
+
+
+def newest_of_sitemaps(spark: SparkSession, path: str, cutoff: Column | None = None, cap: int = 200) -> DataFrame:
+    return _newest(read_sitemaps(spark, path)[0], cutoff, cap)
+
+
 def collection_stories(payloads: DataFrame, after_ms: int, column: str = "payload") -> DataFrame:
     """(slug, published_at) of collection items of type story that have both and are later than a time in milliseconds."""
     items = payloads.select(F.explode(F.from_json(column, "items array<struct<type: string, story: struct<slug: string, `published-at`: bigint>>>")["items"]).alias("i"))

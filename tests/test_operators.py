@@ -206,6 +206,38 @@ def test_co_occurrence_against_a_model(spark):
     assert [r["n_assets"] for r in got] == sorted((r["n_assets"] for r in got), reverse=True)
 
 
+def test_index_on_disk_equals_a_whole_build(spark, tmp_path):
+    """Builds one after another over the stored bands; a build reads the folders that its keys fall into."""
+    import random
+
+    dice = random.Random(4)
+    fps = [dice.getrandbits(60) for _ in range(60)]
+    rows = [(i, fps[dice.randrange(60)] ^ sum(1 << dice.randrange(60) for _ in range(dice.randrange(5)))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, fp long")
+    kept = []
+    for i, fp in rows:
+        if all(bin(fp ^ k).count("1") >= 6 for _, k in kept):
+            kept.append((i, fp))
+    got = []
+    for a, z in ((0, 250), (250, 251), (251, 251), (251, 400)):
+        got += [tuple(r) for r in vector_search.extend_index(str(tmp_path / "index"), frame.filter(f"id >= {a} AND id < {z}")).collect()]
+    assert sorted(got) == kept and 60 <= len(kept) < 400
+
+
+def test_sitemap_files(spark, tmp_path):
+    from newsframe.sources import readers
+
+    (tmp_path / "a.xml").write_text('<?xml version="1.0"?><urlset xmlns="http://x/y">' + "".join(f"<url><loc><![CDATA[https://x.example/a&b/{i}]]></loc><lastmod>2024-01-{i % 28 + 1:02d}T00:00:00Z</lastmod></url>\n" for i in range(3000)) + "</urlset>")
+    (tmp_path / "b.xml").write_text('<s:urlset xmlns:s="u"><s:url><s:loc>https://x.example/c/1</s:loc></s:url></s:urlset>')
+    (tmp_path / "c.xml").write_text("<urlset><url><loc>https://x.example/d/1</loc></url>\n<url><loc>broken <b</url></urlset>")
+    entries, broken = readers.read_sitemaps(spark, str(tmp_path))
+    found = {r["loc"]: r["lastmod"] for r in entries.collect()}
+    assert len(found) == 3002 and found["https://x.example/a&b/5"] == "2024-01-06T00:00:00Z" and found["https://x.example/c/1"] is None
+    assert broken.count() == 1 and "broken" in broken.first()["text"]
+    newest = readers.newest_of_sitemaps(spark, str(tmp_path), F.expr("TIMESTAMP_NTZ '2024-01-28 00:00:00'"), 200).collect()
+    assert len(newest) == 109 and newest[0]["url"] == "https://x.example/a&b/1007"
+
+
 def test_index_is_built_in_steps(spark):
     rows = [(1, 0), (2, 0b111), (3, 0b1111111), (4, 127 << 40), (5, (127 << 40) + 3), (6, 0b11111111111111)]
     frame = spark.createDataFrame(rows, "id long, fp long")
