@@ -66,16 +66,22 @@ _DIALECTS = {
 }
 
 
+def _spoilt(text):
+    """Four of nine rows have no valid date: no digits, nothing, null, no year."""
+    kind = F.col("id") % 9
+    return F.when(kind == 0, F.regexp_replace(text, "[0-9০-৯]", "")).when(kind == 1, "").when(kind == 3, F.regexp_replace(text, "[0-9০-৯]{4}", "")).when(kind != 2, text)
+
+
 def _dialect(form, name, parse):
     def run(spark, sf_dir):
-        return articles(spark, sf_dir).select("id", parse(_written(form)).alias("parsed"))
+        return articles(spark, sf_dir).select("id", parse(_spoilt(_written(form))).alias("parsed"))
 
     run.__name__ = f"{form}_{name}_date"
     return run
 
 
 for _form, (_name, _parse, _sql) in _DIALECTS.items():
-    query(f"SELECT id, ({_sql})::TIMESTAMP AS parsed FROM articles", ARTICLES)(_dialect(_form, _name, _parse))
+    query(f"SELECT id, CASE WHEN id % 9 > 3 THEN ({_sql})::TIMESTAMP END AS parsed FROM articles", ARTICLES)(_dialect(_form, _name, _parse))
 
 
 @query("SELECT id, 37 * id AS n, month(published_at)::INTEGER AS m FROM articles", ARTICLES)
