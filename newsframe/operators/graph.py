@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.checkpoints import stored
+from ..sources.checkpoints import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).unionByName(least.select("a", F.col("root").alias("b")))
         small = stored(small.filter("a > b").distinct())
         done = small.count() == edges.count() and small.join(edges, ["a", "b"], "left_anti").isEmpty()
+        discard(edges)
         edges = small
         if done:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
-from ..sources.checkpoints import stored
+from ..sources.checkpoints import discard, stored
 from ..sources.workers import importable
 from .graph import components
 from .similarity import BLOCK, similar_pairs
@@ -130,9 +130,12 @@ def grouped_in_order(vectors: DataFrame, threshold: float = 0.35, place: str = "
             table = table.unionByName(part)
         settled = stored(table.groupBy().applyInArrow(_join_in_order(threshold), _STEP))
         new = settled.filter("kind = 'row'").select("id", "near")
+        before = done, groups, settled
         done = stored(done.unionByName(own.join(new, "id").select("id", "near", F.lit(k).cast("long").alias("block"), "v")))
         grown = settled.filter("kind = 'group'").select("near", "n", "v")
         groups = stored(groups.join(grown.select("near"), "near", "left_anti").unionByName(grown))
+        for old in before:  # all that is asked for from here on is in files of its own
+            discard(old)
     names = placed.select(F.col("id").alias("near"), F.col("vec_id").alias("group_id"))
     return placed.select("id", "vec_id").join(done.select("id", "near"), "id").join(names, "near").select("vec_id", "group_id")
 

@@ -30,4 +30,15 @@ def stored(df: DataFrame, *partitions: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*partitions).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.stored_at = path
+    return read
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that stored() gave, once everything made from it is written. Of other frames nothing is deleted."""
+    path = getattr(df, "stored_at", None)
+    if path is not None:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -168,6 +168,20 @@ def test_long_chains_are_settled_block_by_block(spark, monkeypatch, size, block)
     assert len(rounds) <= 3 + -(-size // block)
 
 
+def test_discarded_tables_leave_no_files(spark):
+    import os
+
+    from newsframe.sources import checkpoints
+
+    kept = checkpoints.stored(spark.range(5))
+    made = checkpoints.stored(kept.filter("id > 2"))
+    path = kept.stored_at.removeprefix("file:")
+    assert os.path.isdir(path)
+    checkpoints.discard(kept)
+    checkpoints.discard(made.filter("id > 3"))
+    assert not os.path.exists(path) and made.count() == 2
+
+
 def test_numbers_along_an_order(spark):
     rows = [(i % 3 if i % 5 else 0, (i * 37) % 101, i) for i in range(500)]
     frame = spark.createDataFrame(rows, "g int, x int, id int").repartition(7)
