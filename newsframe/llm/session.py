@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +32,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    prepare(spark)
-    df.write.parquet(path := f"{checkpoints.shared_folder(spark)}/{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+    """df written as Parquet to the shared folder and read again; checkpoints.discard() deletes it."""
+    prepare(df.sparkSession)
+    return checkpoints.stored(df)

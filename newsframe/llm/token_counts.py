@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .pretokens import find_pretokens
 from .session import prepare
-from .textarrays import chunks
+from .textarrays import chunks, giving_back
 
 #: Pre-tokens that a Python worker keeps with their counts; beyond, it starts anew.
 KEPT_WORDS = 1_000_000
@@ -151,12 +151,15 @@ def count_tokens(documents: DataFrame, path: str, text: str = "text", limit: int
     schema = frame.drop("__text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            texts, sizes, counts = batch.column(len(keep)), [], []
-            for first, last, _, offsets in chunks(texts):
-                sizes += np.diff(offsets).tolist()
-                counts += count_texts(texts.slice(first, last - first).to_pylist(), path)
-            counts = np.array(counts, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, pa.int64()), pa.array(counts), pa.array(counts > limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
-
-    return frame.mapInArrow(batches, schema)
+        try:
+            for batch in it:
+                texts, sizes, counts = batch.column(len(keep)), [], []
+                for first, last, _, offsets in chunks(texts):
+                    sizes += np.diff(offsets).tolist()
+                    counts += count_texts(texts.slice(first, last - first).to_pylist(), path)
+                counts = np.array(counts, np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, pa.int64()), pa.array(counts), pa.array(counts > limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
+        finally:
+            _table(path)[2].clear()  # the words of this task; the worker goes on to others
+
+    return frame.mapInArrow(giving_back(batches), schema)
