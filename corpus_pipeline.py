@@ -14,6 +14,7 @@ from newsframe.llm.ngram_join import jaccard_components
 from newsframe.llm.quality import fit_quality_model, score_quality
 from newsframe.llm.sampling import fold
 from newsframe.llm.session import prepare, stored
+from newsframe.sources.checkpoints import discard
 
 #: Bitmaps of kept rows that are broadcast.
 MOST_BITMAPS = 25_000
@@ -87,9 +88,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents after all stages; each stage's result is written to the shared folder and read again."""
+    """documents after all stages; each stage's result is written to the shared folder and read again, and deleted when the next one is written."""
     prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
