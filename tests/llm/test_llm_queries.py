@@ -5,6 +5,7 @@ import base64
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsframe.llm.catalog import ORACLES, QUERIES
@@ -76,6 +77,16 @@ def test_stages_take_empty_tables_and_nulls(spark, sf_dir):
                 assert out.columns == docs.columns
 
 
+def test_stages_take_extra_columns_with_clashing_names(spark, sf_dir):
+    """Columns beside those of documents change nothing, whatever they are called."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ("score", "predicted", "fits", "lang_pred", "key", "row", "file", "number", "bucket", "hot", "hashes", "ids", "n_tokens", "decoded", "given", "cleaned", "spans", "n_words", "component_id", "n_shingles", "label", "quality")
+    wide = docs.select("*", *(F.lit("extra").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        plain, other = (sorted((str(tuple(r)) for r in stage(spark, d, sf_dir).collect())) for d in (docs, wide))
+        assert plain == other, name
+
+
 @pytest.mark.parametrize("most_bitmaps, in_files", [(25_000, False), (25_000, True), (0, True)])
 def test_one_row_of_each_group_stays(spark, sf_dir, monkeypatch, tmp_path, most_bitmaps, in_files):
     monkeypatch.setattr(corpus_pipeline, "MOST_BITMAPS", most_bitmaps)

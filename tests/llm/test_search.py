@@ -438,6 +438,18 @@ def test_extra_columns_and_long_texts(spark):
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in sharding.shard_records(texts, [1.0] * 3).collect()} == {(1, len(long) + 8, zlib.crc32(long.encode())), (2, 8, 0)}
 
 
+def test_one_conversation_with_a_third_of_all_rows(spark):
+    import hashlib
+
+    rows = [(0, i, ("user", "assistant")[i % 2], f"turn {i % 700}") for i in range(3000)] + [(c, i, ("user", "assistant")[i % 2], f"turn {i if i < 5 else i * c}") for c in range(1, 601) for i in range(10)]
+    nodes, members = chat_format.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6))
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat_format.digests(chat_format.read_conversations(nodes, members)).collect()}
+    texts: dict = {}
+    for c, _, role, text in rows:
+        texts.setdefault(c, []).append(f"{role}\n{text}\n")
+    assert got == {c: (len(t), hashlib.sha256("".join(t).encode()).hexdigest()) for c, t in texts.items()}
+
+
 def test_shingles_of_odd_texts():
     sets = list(ngram_join.shingle_sets(pa.array(["a b c d e", "A B C D E f", "a b", "a b c d e a b c d e", None])))
     assert [len(s) for s in sets] == [1, 2, 1, 5, 0] and sets[0][0] in sets[1] and sets[0][0] in sets[3]
