@@ -185,7 +185,7 @@ def _rows(vectors: DataFrame, threshold: float, vec_id: str, v: str) -> DataFram
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, vec_id: str = "vec_id", v: str = "v", block: int = BLOCK) -> DataFrame:
-    """(a, b, score) with a < b and cosine >= threshold, all of them. A vector of zeros has cosine 0 with all. Ids are each once; null and empty vectors take no part."""
+    """(a, b, score) with a < b and cosine >= threshold, all of them. Vectors are of one length, ids each once. A vector of zeros has cosine 0 with all; null and empty vectors take no part."""
     cells = _Cells(_rows(vectors, threshold, vec_id, v), threshold, block)
     return cells.groups().groupBy("cell", "i", "j").applyInArrow(_pairs_of(threshold), "a long, b long, score double")
 
