@@ -74,7 +74,8 @@ def _spoilt(text):
 
 def _dialect(form, name, parse):
     def run(spark, sf_dir):
-        return articles(spark, sf_dir).select("id", parse(_spoilt(_written(form))).alias("parsed"))
+        texts = articles(spark, sf_dir).select("id", _spoilt(_written(form)).alias("raw"))  # a column of its own: the parsers ask for it many times
+        return texts.select("id", parse(F.col("raw")).alias("parsed"))
 
     run.__name__ = f"{form}_{name}_date"
     return run
