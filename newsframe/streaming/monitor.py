@@ -184,18 +184,23 @@ _RETRY = "key string, attempts int, state string"
 
 
 def retry_states(stream: DataFrame, most: int = 10) -> DataFrame:
-    """By key, over a stream of (key, position, ok): attempts up to the first success or to `most`, and success, retry or exhausted; success is final."""
+    """By key, over a stream of (key, position, ok): attempts up to the first success or to `most`, and success, retry or exhausted.
+
+    Attempts count by position, whatever the order in which files, micro-batches and parts of a key arrive: the state is the first `most` attempts by position, of which the rest follows.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, name = state.get if state.exists else (0, "retry")
+        first = list(zip(*state.get, strict=True)) if state.exists else []
         for frame in frames:
-            for ok in frame.sort_values("position")["ok"]:
-                if name == "retry":
-                    attempts, name = attempts + 1, "success" if ok else "exhausted" if attempts + 1 >= most else "retry"
-        state.update((attempts, name))
-        yield pd.DataFrame({"key": [key[0]], "attempts": [attempts], "state": [name]})
-
-    return stream.groupBy("key").applyInPandasWithState(step, _RETRY, "attempts int, state string", "update", GroupStateTimeout.NoTimeout)
+            early = frame.sort_values("position").head(most)
+            first += zip(early["position"].tolist(), early["ok"].tolist(), strict=True)
+            first = sorted(first, key=lambda x: x[0])[:most]
+        state.update(([p for p, _ in first], [ok is True for _, ok in first]))
+        good = next((i for i, (_, ok) in enumerate(first, 1) if ok is True), None)
+        name = "success" if good else "exhausted" if len(first) >= most else "retry"
+        yield pd.DataFrame({"key": [key[0]], "attempts": [good or len(first)], "state": [name]})
+
+    return stream.groupBy("key").applyInPandasWithState(step, _RETRY, "positions array<long>, oks array<boolean>", "update", GroupStateTimeout.NoTimeout)
 
 
 def retry_table(rows: DataFrame, most: int = 10) -> DataFrame:

@@ -388,6 +388,28 @@ def test_retry_stream_equals_table(spark, tmp_path):
     assert sorted(tuple(r)[:3] for r in spark.read.parquet(out).collect()) == want
 
 
+def test_retry_stream_takes_files_in_any_order(spark, tmp_path):
+    """Later attempts come in earlier files and micro-batches, and a key in many batches of Arrow."""
+    rows = [*(("a", i, i == 7) for i in range(1, 20)), *(("b", i, i == 30) for i in range(1, 40)), *(("c", i, False) for i in range(6)), *(("d", i, i in (3, 9)) for i in range(1, 12))]
+    frame = spark.createDataFrame(rows, "key string, position long, ok boolean")
+    want = sorted(tuple(r) for r in monitor.retry_table(frame).collect())
+    assert want == [("a", 7, "success"), ("b", 10, "exhausted"), ("c", 6, "retry"), ("d", 3, "success")]
+    for k in range(3):
+        part = spark.createDataFrame([r for r in rows if (r[1] + k) % 3 == 0][::-1], frame.schema)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for files in (1, 9):
+            stream = monitor.retry_states(monitor.read_files(spark, str(tmp_path / "in"), frame.schema, files))
+            out = monitor.run_to_end(stream, mode="update")
+            told = spark.read.schema("key string, attempts int, state string, batch int").option("basePath", out).parquet(f"{out}/batch=*")
+            last = told.groupBy("key").agg(F.max_by(F.struct("attempts", "state"), "batch").alias("r")).select("key", "r.*")
+            assert sorted(tuple(r) for r in last.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def plain_groups(v, threshold, merge=True):
     """Groups of vectors of length 1 in their order, one step after another: lists of row numbers, oldest first."""
     import numpy as np
