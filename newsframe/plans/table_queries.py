@@ -348,8 +348,10 @@ def m8_fan_out(spark, sf_dir):
 @query("""SELECT cluster_id, CASE WHEN cluster_id = t THEN n ELSE 0 END AS article_count, CASE WHEN cluster_id = t THEN 'active' ELSE 'merged' END AS status FROM two, (SELECT sum(article_count)::BIGINT AS n, arg_min(cluster_id, (-article_count, cluster_id)) AS t FROM two)""", CLUSTERS, "two AS (SELECT * FROM event_clusters ORDER BY article_count DESC, cluster_id LIMIT 2)")
 def m9_merge_clusters(spark, sf_dir):
     c, m = clusters(spark, sf_dir)
-    a, b = (r["cluster_id"] for r in c.orderBy(F.desc("article_count"), "cluster_id").limit(2).collect())
-    return M.merge_clusters(c, m, a, b)[0].filter(F.col("cluster_id").isin(a, b)).select("cluster_id", "article_count", "status")
+    largest = [r["cluster_id"] for r in c.orderBy(F.desc("article_count"), "cluster_id").limit(2).collect()]
+    if len(largest) == 2:  # one alone is merged with nothing
+        c, _ = M.merge_clusters(c, m, *largest)
+    return c.filter(F.col("cluster_id").isin(largest)).select("cluster_id", "article_count", "status")
 
 
 @query("SELECT cluster_id, CASE WHEN article_count = 2 THEN 'archived' ELSE status END AS status FROM event_clusters", CLUSTERS)
