@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsframe.catalog import ORACLES, QUERIES
+from newsframe.operators import similarity
 
 from .oracle import TABLES, connection, same
 
@@ -30,3 +31,46 @@ def test_largest_clusters_are_less_than_two(spark, tmp_path, sf_dir, clusters):
     name = "m9_merge_clusters"
     assert QUERIES[name](spark, folder).count() == clusters
     same(spark, connection(folder), QUERIES[name], ORACLES[name], folder)
+
+
+def uniform(spark, n, seed, dimensions=16):
+    import numpy as np
+
+    v = np.random.default_rng(seed).normal(size=(n, dimensions))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    return v, spark.createDataFrame([(i, i % 7, x) for i, x in enumerate(v.tolist())], "vec_id long, label long, v array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("n", [900, 2700])
+def test_rows_are_copied_no_more_often_as_tables_grow(spark, n):
+    """Vectors without clusters, in small cells and blocks."""
+    _, frame = uniform(spark, n, n)
+    for threshold in (0.4, 0.93):
+        cells = similarity._Cells(similarity._rows(frame, threshold, "vec_id", "v"), threshold, 16)
+        assert cells.groups().count() <= 24 * n
+
+
+def test_pairs_in_tiles_are_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    v, frame = uniform(spark, 500, 3, 5)
+    score = v @ v.T
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(score >= 0.8), strict=True) if a < b}
+    monkeypatch.setattr(similarity, "SPREAD", 1)  # one block, which a task goes through in tiles
+    monkeypatch.setattr(similarity, "TILE", 64)
+    cells = similarity._Cells(similarity._rows(frame, 0.8, "vec_id", "v"), 0.8, 1000)
+    got = [(r["a"], r["b"]) for r in cells.met(similarity._pairs_of(0.8), "a long, b long, score double").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_labels_and_nearest_earlier_against_all_pairs(spark):
+    import numpy as np
+
+    v, frame = uniform(spark, 400, 5, 4)
+    score = v @ v.T
+    i, j = np.nonzero(np.triu(score >= 0.99, 1))
+    got = [(r["x"], r["y"]) for r in similarity.similar_labels(frame, 0.99, "label", block=32).collect()]
+    assert sorted(got) == sorted({(min(a, b), max(a, b)) for a, b in zip((i % 7).tolist(), (j % 7).tolist(), strict=True) if a != b}) and 0 < len(got) < 21
+    score[np.triu_indices(400)] = -2
+    want = {k: int(score[k].argmax()) for k in range(400) if score[k].max() >= 0.9}
+    assert {r["id"]: r["earlier"] for r in similarity.nearest_earlier(frame, 0.9, block=32).collect()} == want
