@@ -5,21 +5,24 @@ The outcome depends on the order, as the groups' means move. Both steps are exac
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import unit
+from ..functions.vectors import dot, unit
 from ..sources.checkpoints import discard, stored
 from ..sources.workers import importable
 from .graph import components
-from .similarity import BLOCK, similar_pairs
+from .similarity import BLOCK, MOST_BYTES, SPREAD, TILE, nearest_earlier, similar_labels, similar_pairs
 from .windows import numbered
 
 
-def _matrix(column: list) -> np.ndarray:
-    return np.array(column, np.float64).reshape(len(column), -1)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(column) else np.zeros(0)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -27,28 +30,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / n if n > 0 else x
 
 
-_NEAR = "id long, near long, score double, of_mean boolean"
-
-
 def _near(threshold: float):
-    def meet(key: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
-        found = {"id": [], "near": [], "score": []}
-        if asked.num_rows and rows.num_rows:
-            score = _matrix(asked.column("v").to_pylist()) @ _matrix(rows.column("v").to_pylist()).T
-            i, j = np.nonzero(score >= threshold)
-            found = {"id": asked.column("id").to_numpy()[i], "near": rows.column("near").to_numpy()[j], "score": score[i, j]}
-        found["of_mean"] = [key[0].as_py() < 0] * len(found["id"])
-        return pa.table([pa.array(x, k) for x, k in zip(found.values(), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=list(found))
+    """(near): the groups with a mean near to one of the rows asked."""
+
+    def meet(asked: pa.Table, groups: pa.Table) -> pa.Table:
+        found = np.zeros(groups.num_rows, bool)
+        if asked.num_rows and groups.num_rows:
+            v, means = _matrix(asked.column("v")), _matrix(groups.column("v"))
+            for a in range(0, len(v), TILE):
+                for b in range(0, len(means), TILE):
+                    found[b : b + TILE] |= (v[a : a + TILE] @ means[b : b + TILE].T >= threshold).any(axis=0)
+        return groups.select(["near"]).filter(pa.array(found))
 
     return meet
 
 
-_STEP = "kind string, id long, near long, score double, n long, v array<double>"
+_STEP = "kind string, id long, near long, of long, n long, v array<double>"
 
 
 def _join_in_order(threshold: float):
-    """One block in its order. Rows of kind row (id: number, v), member (id, near: a group, score: the nearest of its members before the block) and group (near, n, v: the sum of its members).
-    Gives row (id, near: its group) and group for those that grew or are new; a group is named by the number of its first row."""
+    """One block in its order. Rows of kind row (id: number, of: the first row with that vector), member (id, of: the first row with the vector of a nearest earlier row, score, near: the oldest group
+    of that vector before the block, null if it comes in the block) and group (near, n, v: the sum of its members).
+    Gives row (id, of, near: its group) and group for those that grew or are new; a group is named by the number of its first row."""
 
     def step(table: pa.Table) -> pa.Table:
         kinds = np.array(table.column("kind").to_pylist())
@@ -56,27 +59,35 @@ def _join_in_order(threshold: float):
         rows, known, members = of("row").sort_by("id"), of("group").sort_by("near"), of("member")
         names: list[int] = known.column("near").to_pylist()
         place = {g: k for k, g in enumerate(names)}
-        v = _matrix(rows.column("v").to_pylist())
-        room = len(names) + len(v)
-        sums, counts = np.zeros((room, v.shape[1])), np.zeros(room, np.int64)
+        v = _matrix(rows.column("v"))
+        sums, counts = np.zeros((len(names) + 64, v.shape[1])), [*known.column("n").to_pylist()]
         if names:
-            sums[: len(names)], counts[: len(names)] = _matrix(known.column("v").to_pylist()), known.column("n").to_numpy()
+            sums[: len(names)] = _matrix(known.column("v"))
         means = np.array([_unit(s) for s in sums])
-        before: dict[int, list[tuple[int, float]]] = {}
-        for i, g, s in zip(members.column("id").to_pylist(), members.column("near").to_pylist(), members.column("score").to_pylist(), strict=True):
-            before.setdefault(i, []).append((place[g], s))
-        within, own = v @ v.T, np.zeros(len(v), np.int64)
-        numbers, grown = rows.column("id").to_pylist(), set()
+        nearest: dict[int, list[tuple[int, float]]] = {}
+        oldest: dict[int, int] = {}  # by vector
+        for i, first, g, s in zip(*(members.column(c).to_pylist() for c in ("id", "of", "near", "score")), strict=True):
+            nearest.setdefault(i, []).append((first, s))
+            if g is not None:
+                oldest[first] = place[g]
+        numbers, firsts, own, grown = rows.column("id").to_pylist(), rows.column("of").to_pylist(), [], set()
         for i, number in enumerate(numbers):
-            score = means[: len(names)] @ v[i]
-            for k, s in before.get(number, ()):
-                score[k] = max(score[k], s)
-            np.maximum.at(score, own[:i], within[i, :i])
-            k = int(score.argmax()) if len(names) else -1
-            if k < 0 or score[k] < threshold or score[k] <= 0:
+            k, best = -1, 0.0
+            if names:
+                score = means[: len(names)] @ v[i]
+                k = int(score.argmax())
+                best = score[k]
+            for first, s in nearest.get(number, ()):
+                if s > best or (s == best and oldest[first] < k):
+                    k, best = oldest[first], s
+            if k < 0 or best < threshold or best <= 0:
                 k = len(names)
                 names.append(number)
-            own[i] = k
+                counts.append(0)
+                if k == len(sums):
+                    sums, means = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, means))
+            own.append(k)
+            oldest[firsts[i]] = min(k, oldest.get(firsts[i], k))
             sums[k] += v[i]
             counts[k] += 1
             means[k] = _unit(sums[k])
@@ -86,11 +97,11 @@ def _join_in_order(threshold: float):
             "kind": ["row"] * len(v) + ["group"] * len(told),
             "id": [*numbers, *[None] * len(told)],
             "near": [*(names[k] for k in own), *(names[k] for k in told)],
-            "score": [None] * (len(v) + len(told)),
-            "n": [*[None] * len(v), *(int(counts[k]) for k in told)],
+            "of": [*firsts, *[None] * len(told)],
+            "n": [*[None] * len(v), *(counts[k] for k in told)],
             "v": [*[None] * len(v), *(sums[k].tolist() for k in told)],
         }
-        types = {"kind": pa.string(), "id": pa.int64(), "near": pa.int64(), "score": pa.float64(), "n": pa.int64(), "v": pa.list_(pa.float64())}
+        types = {"kind": pa.string(), "id": pa.int64(), "near": pa.int64(), "of": pa.int64(), "n": pa.int64(), "v": pa.list_(pa.float64())}
         return pa.table({name: pa.array(x, types[name]) for name, x in columns.items()})
 
     return step
@@ -100,38 +111,42 @@ def grouped_in_order(vectors: DataFrame, threshold: float = 0.35, place: str = "
     """(vec_id, group_id): going by place, a vector joins the group with the largest cosine to its mean or to one of its members (of equal ones the oldest), if that is at least threshold, else starts one.
     group_id is the vec_id of a group's first vector. Vectors that stay alone are groups.
 
-    Blocks of the order are settled one after another. A block meets the members of all earlier blocks and the groups' means in tasks of their own, which tell what reaches the threshold;
-    one task then goes through the block with the groups that were told, as no other can be joined in it. So a task holds a block and the groups near it.
+    Of a vector's cosines to members only the largest can decide, and which earlier vector that is doesn't depend on the groups; so the nearest earlier ones are found first, for all at once. Then blocks of
+    the order (`block` rows at least, SPREAD of them until they have MOST_BYTES) are settled one after another. A block meets the groups' means in tasks of their own, which tell what reaches the threshold;
+    one task goes through it with the groups that were told and those of the nearest earlier vectors, as no other can be joined in it. So a task holds a block and the groups near it.
     """
     importable(vectors.sparkSession)
     rows = vectors.select("vec_id", F.col(place).alias("place"), unit(F.col("v").cast("array<double>")).alias("v")).filter("size(v) > 0")
-    placed = numbered(rows, "id", F.col("place"), F.col("vec_id"))
-    placed = stored(placed.withColumn("block", F.floor((F.col("id") - 1) / block)), "block")
-    last = placed.agg(F.max("block")).first()[0]
-    empty = vectors.sparkSession.createDataFrame([], "id long, near long, block long, v array<double>")
-    done, groups = empty, empty.select("near", F.lit(0).cast("long").alias("n"), "v")
-    for k in range(0 if last is None else last + 1):
-        own = placed.filter(F.col("block") == k).select("id", "v")
-        parts = [own.select(F.lit("row").alias("kind"), "id", F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("n"), "v")]
+    placed = stored(numbered(rows, "id", F.col("place"), F.col("vec_id")))
+    n, dimensions = placed.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    block = max(block, min(-(-n // SPREAD), MOST_BYTES // (8 * (dimensions or 1))))
+    within = F.floor((F.col("id") - 1) / block).alias("block")
+    firsts = stored(placed.groupBy("v").agg(F.min("id").alias("of")))
+    nearest = nearest_earlier(firsts, threshold, "of", "v").filter("score > 0").withColumnRenamed("earlier", "of")
+    placed = stored(placed.join(firsts, "v").select("id", "vec_id", "of", "v", within), "block")
+    copies = placed.filter("id > of").select("id", "of", dot(F.col("v"), F.col("v")).alias("score")).filter("score > 0")
+    members = stored(nearest.select("id", "of", "score").unionByName(copies).select("*", within), "block")
+    empty = vectors.sparkSession.createDataFrame([], "id long, near long, of long, n long, v array<double>")
+    done, groups = empty.select("id", "of", "near"), empty.select("near", "n", "v")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    shape = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), *((F.col(c) if c in rows.columns else nothing(t)).alias(c) for c, t in (("id", "long"), ("near", "long"), ("of", "long"), ("score", "double"), ("n", "long"), ("v", "array<double>"))))
+    for k in range(-(-n // block)):
+        own = placed.filter(F.col("block") == k).select("id", "of", "v")
+        asked = members.filter(F.col("block") == k).select("id", "of", "score")
+        parts = [shape(own, "row")]
         if k:
+            asked = stored(asked.join(done.groupBy("of").agg(F.min("near").alias("near")), "of", "left"))
             packs = max(1, -(-groups.count() // block))
-            means = groups.select("near", unit(F.col("v")).alias("v"), (-1 - F.pmod(F.xxhash64("near"), F.lit(packs))).alias("with"))
-            met = done.select("near", "v", F.col("block").alias("with")).unionByName(means)
-            withs = F.explode(F.sequence(F.lit(-packs).cast("long"), F.lit(k - 1).cast("long"))).alias("with")
-            found = own.select("id", "v", withs).groupBy("with").cogroup(met.groupBy("with")).applyInArrow(_near(threshold), _NEAR)
-            told = stored(found.groupBy("id", "near", "of_mean").agg(F.max("score").alias("score")))
-            of_groups = groups.join(told.select("near").distinct(), "near", "left_semi")
-            nothing = lambda kind: F.lit(None).cast(kind)
-            members = told.filter("NOT of_mean")  # a mean only names its group: it may have moved by the time it counts
-            parts.append(members.select(F.lit("member").alias("kind"), "id", "near", "score", nothing("long").alias("n"), nothing("array<double>").alias("v")))
-            parts.append(of_groups.select(F.lit("group").alias("kind"), nothing("long").alias("id"), "near", nothing("double").alias("score"), "n", "v"))
-        table = parts[0]
-        for part in parts[1:]:
-            table = table.unionByName(part)
-        settled = stored(table.groupBy().applyInArrow(_join_in_order(threshold), _STEP))
-        new = settled.filter("kind = 'row'").select("id", "near")
-        before = done, groups, settled
-        done = stored(done.unionByName(own.join(new, "id").select("id", "near", F.lit(k).cast("long").alias("block"), "v")))
+            pieces = max(1, SPREAD // packs)
+            each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+            dealt = own.select("v", F.pmod(F.xxhash64("id"), F.lit(pieces)).alias("i")).withColumn("j", each(packs))
+            means = groups.select("near", unit(F.col("v")).alias("v"), F.pmod(F.xxhash64("near"), F.lit(packs)).alias("j")).withColumn("i", each(pieces))
+            near = dealt.groupBy("i", "j").cogroup(means.groupBy("i", "j")).applyInArrow(_near(threshold), "near long")
+            parts.append(shape(groups.join(near.unionByName(asked.select("near")).distinct(), "near", "left_semi"), "group"))
+        parts.append(shape(asked, "member"))
+        settled = stored(reduce(DataFrame.unionByName, parts).groupBy().applyInArrow(_join_in_order(threshold), _STEP))
+        before = done, groups, asked, settled
+        done = stored(done.unionByName(settled.filter("kind = 'row'").select("id", "of", "near")))
         grown = settled.filter("kind = 'group'").select("near", "n", "v")
         groups = stored(groups.join(grown.select("near"), "near", "left_anti").unionByName(grown))
         for old in before:  # all that is asked for from here on is in files of its own
@@ -150,7 +165,7 @@ def _merge_pass(threshold: float):
     def merge(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         root, ids, counts = table.column("root")[0].as_py(), table.column("id").to_pylist(), table.column("n").to_pylist()
-        sums = _matrix(table.column("v").to_pylist())
+        sums = _matrix(table.column("v")).copy()
         means = np.array([_unit(s) for s in sums])
         near = [set(x) for x in table.column("near").to_pylist()]
         alive, into = np.ones(len(ids), bool), list(range(len(ids)))
@@ -202,9 +217,8 @@ def merged_in_order(members: DataFrame, threshold: float = 0.35) -> DataFrame:
     importable(members.sparkSession)
     members = stored(members.select("vec_id", "group_id", unit(F.col("v").cast("array<double>")).alias("v")))
     names = members.select("vec_id", "group_id")
-    pairs = similar_pairs(members, threshold, "vec_id", "v").select("a", "b")
-    ends = pairs.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").filter("x <> y").select("x", "y").distinct()
-    both = stored(ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    ends = stored(similar_labels(members, threshold, "group_id"))  # pairs of groups, not of members
+    both = ends.unionByName(ends.select(F.col("y").alias("x"), F.col("x").alias("y")))
     near = both.groupBy(F.col("x").alias("id")).agg(F.collect_set("y").alias("near"))
     parts = members.select("group_id", F.posexplode("v").alias("i", "x")).groupBy("group_id", "i").agg(F.sum("x").alias("s"))
     sums = parts.groupBy(F.col("group_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("v"))

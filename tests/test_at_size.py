@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsframe.catalog import ORACLES, QUERIES
-from newsframe.operators import similarity
+from newsframe.operators import grouping, similarity
 
 from .oracle import TABLES, connection, same
 
@@ -74,3 +74,15 @@ def test_labels_and_nearest_earlier_against_all_pairs(spark):
     score[np.triu_indices(400)] = -2
     want = {k: int(score[k].argmax()) for k in range(400) if score[k].max() >= 0.9}
     assert {r["id"]: r["earlier"] for r in similarity.nearest_earlier(frame, 0.9, block=32).collect()} == want
+
+
+def test_groups_in_order_take_rounds_that_do_not_grow(spark, monkeypatch):
+    """Blocks grow with the table, and no round meets the members of the rounds before."""
+    _, frame = uniform(spark, 130, 8, 4)
+    rounds, step = [], grouping._join_in_order
+    monkeypatch.setattr(grouping, "SPREAD", 3)
+    monkeypatch.setattr(grouping, "_join_in_order", lambda threshold: rounds.append(1) or step(threshold))
+    whole = {r["vec_id"]: r["group_id"] for r in grouping.grouped_in_order(frame, 0.8, block=2048).collect()}
+    assert len(rounds) == 1
+    assert {r["vec_id"]: r["group_id"] for r in grouping.grouped_in_order(frame, 0.8, block=8).collect()} == whole
+    assert len(rounds) == 1 + 3
