@@ -41,6 +41,20 @@ def _grams(text: Column, size: int) -> Column:
 def gram_matches(text: DataFrame, keywords: DataFrame) -> DataFrame:
     """(keyword_id, article_id) where text (article_id, text) contains a keyword (keyword_id, keyword), both tables of any size.
 
+    A keyword without blanks stands within one word of a text, so such keywords are looked for in the distinct words of all texts, and the articles get what their words have. Others are looked for in the texts.
+    """
+    blank = F.col("keyword").rlike(r"\s") | (F.length("keyword") == 0)
+    word = text.withColumn("row", F.monotonically_increasing_id()).select("row", "article_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).filter("word <> ''")
+    words = stored(word.select("word").distinct())
+    inside = stored(_texts_with(words.select(F.col("word").alias("article_id"), F.col("word").alias("text")), keywords.filter(~blank)).withColumnRenamed("article_id", "word"))
+    found = word.join(inside, "word").select("row", "keyword_id", "article_id").distinct().drop("row")
+    rest = keywords.filter(blank)
+    return found if rest.isEmpty() else found.unionByName(_texts_with(text, rest))
+
+
+def _texts_with(text: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(keyword_id, article_id) where a text contains a keyword, by parts of it.
+
     Each keyword is known by one part of GRAM characters (shorter ones by the whole), the one that fewest keywords have. Articles give the parts that some keyword is known by, which are joined to the
     keywords; an article gets its candidates as one list and is asked for each by contains(). Built-in expressions and equi-joins only; the empty keyword is in every text.
     """

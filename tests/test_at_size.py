@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsframe.catalog import ORACLES, QUERIES
-from newsframe.operators import grouping, similarity
+from newsframe.operators import grouping, joins, similarity
 
 from .oracle import TABLES, connection, same
 
@@ -86,3 +86,16 @@ def test_groups_in_order_take_rounds_that_do_not_grow(spark, monkeypatch):
     assert len(rounds) == 1
     assert {r["vec_id"]: r["group_id"] for r in grouping.grouped_in_order(frame, 0.8, block=8).collect()} == whole
     assert len(rounds) == 1 + 3
+
+
+def test_keywords_without_blanks_are_looked_for_in_words(spark, monkeypatch):
+    """Within one word, over two, at the ends, with signs; whole texts are asked only for keywords with blanks."""
+    texts = [(1, "alpha beta\tgamma"), (2, "alphabet soup"), (3, ""), (4, None), (5, "a  b c++ (x.y)"), (6, "beta gamma beta\n")]
+    keys = ["a", "alpha", "bet", "beta gamma", "c++", "x.y", "(x", "a  b", "beta\tgamma", "soup", "nowhere", " ", ""]
+    asked, plain = [], joins._texts_with
+    monkeypatch.setattr(joins, "_texts_with", lambda text, keywords: asked.append([r["keyword"] for r in keywords.collect()]) or plain(text, keywords))
+    text = spark.createDataFrame(texts, "article_id long, text string")
+    keywords = spark.createDataFrame(list(enumerate(keys)), "keyword_id long, keyword string")
+    want = sorted((i, a) for i, k in enumerate(keys) for a, t in texts if t is not None and k in t)
+    assert sorted(tuple(r) for r in joins.gram_matches(text, keywords).collect()) == want
+    assert all(k == "" or k.isspace() or " " in k or "\t" in k for k in asked[1]) and len(asked) == 2
