@@ -21,8 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x / n)
+    """Of length 1. The length is the variable of a lambda, so that it is asked once, not again for each component."""
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x / n)), 1)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsframe.catalog import ORACLES, QUERIES
-from newsframe.operators import grouping, joins, similarity
+from newsframe.functions.vectors import unit
+from newsframe.operators import greedy, grouping, joins, similarity
 
 from .oracle import TABLES, connection, same
 
@@ -88,6 +89,44 @@ def test_groups_in_order_take_rounds_that_do_not_grow(spark, monkeypatch):
     assert len(rounds) == 1 + 3
 
 
+@pytest.mark.parametrize("n", [150, 600])
+def test_greedy_choices_take_rounds_that_do_not_grow(spark, monkeypatch, n):
+    """Blocks grow with the largest group; equal vectors with other words, of which the first taken counts, come in several blocks."""
+    import numpy as np
+
+    v, _ = uniform(spark, n, n, 4)
+    v[1::3] = v[np.arange(1, n, 3) % 40]
+    words = [[f"w{i % 5}", f"x{i % 2}"] for i in range(n)]
+    near = lambda score, overlap: score <= 0.8 or overlap >= 0.9
+    taken: list[int] = []
+    for i in range(n):
+        scores = np.round(v[taken] @ v[i], 9)  # equal ones are equal
+        best = int(scores.argmax()) if taken else 0
+        shared = len(set(words[i]) & set(words[taken[best]])) / len({*words[i], *words[taken[best]]}) if taken and scores[best] > 0 else 0.0
+        if not taken or near(max(0.0, scores[best]), shared):
+            taken.append(i)
+    frame = spark.createDataFrame([(k, i + 10_000 * k, i, x, w, i == 0) for k in range(2) for i, (x, w) in enumerate(zip(v.tolist(), words, strict=True))], "group long, id long, place long, v array<double>, words array<string>, forced boolean").repartition(3)
+    rounds, own = [], greedy.stored
+    monkeypatch.setattr(greedy, "stored", lambda frame, *by: rounds.append(1) or own(frame, *by))
+    monkeypatch.setattr(greedy, "SPREAD", 4)
+    monkeypatch.setattr(greedy, "STEP", 16)
+    got = sorted(r["id"] for r in greedy.taken_greedily(frame, near, 8).collect())
+    assert got == taken + [i + 10_000 for i in taken] and 20 < len(taken) < n
+    assert len(rounds) == 3 + 4
+
+
+def test_length_of_a_vector_is_asked_once(spark):
+    """Its square in components, as it was, takes minutes."""
+    import time
+
+    begun = time.time()
+    own = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: F.when(i % 2 == 0, 3.0).otherwise(0.0)).alias("v"))
+    (r,) = own.select(unit(F.col("v")).alias("v")).collect()
+    assert r["v"][:2] == [0.01, 0.0] and len(r["v"]) == 20_000 and time.time() - begun < 60
+    odd = spark.createDataFrame([(0, None), (1, []), (2, [0.0, 0.0]), (3, [3.0, 4.0]), (4, [None, 1.0])], "i int, v array<double>")
+    assert dict(odd.select("i", unit(F.col("v"))).collect()) == {0: None, 1: [], 2: [0.0, 0.0], 3: [0.6, 0.8], 4: [None, None]}
+
+
 def test_keywords_without_blanks_are_looked_for_in_words(spark, monkeypatch):
     """Within one word, over two, at the ends, with signs; whole texts are asked only for keywords with blanks."""
     texts = [(1, "alpha beta\tgamma"), (2, "alphabet soup"), (3, ""), (4, None), (5, "a  b c++ (x.y)"), (6, "beta gamma beta\n")]
