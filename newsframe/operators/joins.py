@@ -16,7 +16,11 @@ from ..sources.checkpoints import cut, stored
 #: Keywords that a plan holds as literals.
 KEYWORD_BLOCK = 500
 #: Characters of the part of a keyword that articles are first asked for.
-GRAM = 3
+GRAM = 5
+#: Bytes of the keywords that are broadcast at a time; more take another pass over the texts.
+PASS_BYTES = 16 << 20
+#: Characters of a text whose parts a task holds at once.
+PIECE = 1 << 18
 
 
 def keyword_matches(articles: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -39,40 +43,58 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def gram_matches(text: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(keyword_id, article_id) where text (article_id, text) contains a keyword (keyword_id, keyword), both tables of any size.
+    """(keyword_id, article_id) where text (article_id, text) contains a keyword (keyword_id, keyword), texts of any number, keywords in passes of PASS_BYTES.
 
-    A keyword without blanks stands within one word of a text, so such keywords are looked for in the distinct words of all texts, and the articles get what their words have. Others are looked for in the texts.
+    A keyword without blanks stands within one word of a text, so such keywords are looked for in the distinct words of a text, side by side. Others are looked for in the whole text.
     """
     blank = F.col("keyword").rlike(r"\s") | (F.length("keyword") == 0)
-    word = text.withColumn("row", F.monotonically_increasing_id()).select("row", "article_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).filter("word <> ''")
-    words = stored(word.select("word").distinct())
-    inside = stored(_texts_with(words.select(F.col("word").alias("article_id"), F.col("word").alias("text")), keywords.filter(~blank)).withColumnRenamed("article_id", "word"))
-    found = word.join(inside, "word").select("row", "keyword_id", "article_id").distinct().drop("row")
-    rest = keywords.filter(blank)
+    solid, rest = keywords.filter(~blank), keywords.filter(blank)
+    words = F.array_join(F.array_distinct(F.split("text", r"\s+")), " ").alias("text")
+    if solid.distinct().groupBy("keyword_id").count().filter("count > 1").isEmpty():
+        found = _texts_with(text.select("article_id", words), solid)
+    else:  # an id of several keywords is told once a row
+        row = F.struct(F.monotonically_increasing_id().alias("row"), "article_id").alias("article_id")
+        found = _texts_with(text.select(row, words), solid).distinct().select("keyword_id", "article_id.article_id")
     return found if rest.isEmpty() else found.unionByName(_texts_with(text, rest))
 
 
 def _texts_with(text: DataFrame, keywords: DataFrame) -> DataFrame:
     """(keyword_id, article_id) where a text contains a keyword, by parts of it.
 
-    Each keyword is known by one part of GRAM characters (shorter ones by the whole), the one that fewest keywords have. Articles give the parts that some keyword is known by, which are joined to the
-    keywords; an article gets its candidates as one list and is asked for each by contains(). Built-in expressions and equi-joins only; the empty keyword is in every text.
+    Each keyword is known by one part of GRAM characters (shorter ones by the whole), the one that fewest keywords have. Keywords are broadcast by that part and met by the distinct parts of a text, so
+    that a text meets a keyword once at most and is neither shuffled nor gathered again; longer keywords are asked for by contains(). Only of texts over PIECE, which are cut into pieces that overlap,
+    results are made distinct. Built-in expressions and equi-joins only; the empty keyword is in every text.
     """
     sized = keywords.withColumn("size", F.least(F.length("keyword"), F.lit(GRAM)))
     sizes = sorted(r[0] for r in sized.select("size").distinct().collect())  # numbers up to GRAM
-    by_size = lambda column: F.coalesce(*(F.when(F.col("size") == n, _grams(column, n)) for n in sizes if n), F.array(F.lit("")))
-    parts = sized.filter("size > 0").select("keyword_id", "keyword", F.explode(by_size(F.col("keyword"))).alias("gram")) if any(sizes) else None
     everywhere = sized.filter("size = 0").select("keyword_id")
     all_texts = text.filter("text IS NOT NULL").join(everywhere.groupBy().agg(F.collect_set("keyword_id").alias("ids")), F.lit(True)).select(F.explode("ids").alias("keyword_id"), "article_id")
-    if parts is None:
+    if not any(sizes):
         return all_texts
+    by_size = F.coalesce(*(F.when(F.col("size") == n, _grams(F.col("keyword"), n)) for n in sizes if n))
+    parts = sized.filter("size > 0").select("keyword_id", "keyword", F.explode(by_size).alias("gram"))
     shared = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     known = parts.join(shared, "gram").groupBy("keyword_id", "keyword").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    known = stored(known)
-    asked = text.select("article_id", F.explode(F.flatten(F.array(*(_grams(F.col("text"), n) for n in sizes if n)))).alias("gram"))
-    met = asked.join(known, "gram").groupBy("article_id").agg(F.collect_set(F.struct("keyword_id", "keyword")).alias("asked"))
-    both = text.join(met, "article_id").select("article_id", F.explode(F.filter("asked", lambda k: F.col("text").contains(k["keyword"]))).alias("k"))
-    return both.select("k.keyword_id", "article_id").unionByName(all_texts)
+    sure = (F.col("keyword") == F.col("gram")) & ~F.col("gram").contains(" ") & ~F.col("gram").contains("?")  # blanks are added below, and half a surrogate pair is read as ?
+    known = stored(known.withColumn("sure", sure))
+    longest, total = known.agg(F.max(F.length("keyword")), F.sum(F.octet_length("keyword") + 100)).first()
+    passes = -(-total // PASS_BYTES)
+    last, smaller = sizes[-1], [n for n in sizes[-2::-1] if n]
+
+    def met(texts: DataFrame, block: int) -> DataFrame:
+        mine = known if passes == 1 else known.filter(F.pmod(F.xxhash64("keyword"), F.lit(passes)) == block)
+        grams = texts.withColumn(f"grams{last}", F.when(F.length("text") < PIECE + longest, _grams(F.concat("text", F.lit(" " * (last - 1))), last)))
+        for n, more in zip(smaller, [last, *smaller], strict=False):  # the beginnings of longer parts
+            grams = grams.withColumn(f"grams{n}", F.array_distinct(F.transform(f"grams{more}", lambda g: F.left(g, F.lit(n)))))  # noqa: B023
+        gram = grams.select(*texts.columns, F.explode_outer(F.flatten(F.array(*(f"grams{n}" for n in (last, *smaller))))).alias("gram"))  # outer: else a filter is inferred that makes all parts twice
+        return gram.join(F.broadcast(mine), "gram").filter(F.col("sure") | F.col("text").contains(F.col("keyword")))
+
+    start = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE)), lambda k: (k * PIECE + 1).cast("int"))
+    cut_up = text.filter(F.length("text") >= PIECE + longest).withColumn("row", F.monotonically_increasing_id())
+    pieces = cut_up.select("row", "article_id", F.explode(F.transform(start, lambda k: F.substring("text", k, F.lit(PIECE + longest - 1)))).alias("text"))
+    own = [met(text, k).select("keyword_id", "article_id") for k in range(passes)]
+    long = [met(pieces, k).select("row", "keyword_id", "keyword", "article_id").distinct().select("keyword_id", "article_id") for k in range(passes)]
+    return reduce(DataFrame.unionByName, [*own, *long, *([all_texts] if 0 in sizes else [])])
 
 
 def match_listing(matches: DataFrame, keywords: DataFrame, articles: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def j7_many_keywords(spark, sf_dir):
     """Every word of the benchmark as a keyword, joined to the articles."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "\\s+")).alias("keyword")).filter("keyword <> ''").distinct()
     text = articles(spark, sf_dir).select(F.col("id").alias("article_id"), F.lower(F.concat_ws(" ", "headline", "content")).alias("text"))
-    return J.gram_matches(text, words.select(F.xxhash64("keyword").alias("keyword_id"), "keyword")).join(words.select(F.xxhash64("keyword").alias("keyword_id"), "keyword"), "keyword_id").select("keyword", "article_id")
+    return J.gram_matches(text, words.select(F.col("keyword").alias("keyword_id"), "keyword")).select(F.col("keyword_id").alias("keyword"), "article_id")
 
 
 @query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM vectors x JOIN vectors y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.35", VECTORS)

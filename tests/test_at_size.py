@@ -127,6 +127,28 @@ def test_length_of_a_vector_is_asked_once(spark):
     assert dict(odd.select("i", unit(F.col("v"))).collect()) == {0: None, 1: [], 2: [0.0, 0.0], 3: [0.6, 0.8], 4: [None, None]}
 
 
+def test_texts_are_not_shuffled_for_their_keywords(spark, monkeypatch):
+    """Matches stay beside their text; passes over the keywords, pieces of long texts, ids and texts that come twice against brute force."""
+    import random
+    import re
+
+    dice = random.Random(5)
+    texts = [(i % 40, "".join(dice.choice("abcé? \t🙂") for _ in range(dice.choice((0, 7, 60, 300))))) for i in range(60)] + [(7, None), (7, "abcabc abcab"), (7, "abcabc abcab")]
+    keys = [(i, "".join(dice.choice("abcé? 🙂") for _ in range(dice.randrange(1, 9)))) for i in range(150)] + [(200, "?"), (201, "é"), (202, "abcabc"), (203, "abcabca"), (204, ""), (205, " "), (206, None)]
+    text, keywords = spark.createDataFrame(texts, "article_id long, text string"), spark.createDataFrame(keys, "keyword_id long, keyword string")
+    want = sorted((i, a) for i, k in keys for a, t in texts if t is not None and k is not None and k in t)
+    plan = joins.gram_matches(text, keywords)._jdf.queryExecution().executedPlan().toString()
+    shuffles = re.findall(r"Exchange hashpartitioning\([^)]*", plan)
+    assert all(re.match(r"Exchange hashpartitioning\(row#\w+, keyword_id#\w+, keyword#", x) for x in shuffles), shuffles  # pieces of texts over PIECE only
+    assert sorted(tuple(r) for r in joins.gram_matches(text, keywords).collect()) == want
+    monkeypatch.setattr(joins, "PIECE", 16)
+    monkeypatch.setattr(joins, "PASS_BYTES", 8000)
+    assert sorted(tuple(r) for r in joins.gram_matches(text, keywords).collect()) == want
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "c")], "keyword_id long, keyword string")
+    told = sorted((i, a) for a, t in texts if t is not None for i, some in ((1, "ab"), (2, "c")) if any(k in t for k in some))
+    assert sorted(tuple(r) for r in joins.gram_matches(text, twice).collect()) == told
+
+
 def test_keywords_without_blanks_are_looked_for_in_words(spark, monkeypatch):
     """Within one word, over two, at the ends, with signs; whole texts are asked only for keywords with blanks."""
     texts = [(1, "alpha beta\tgamma"), (2, "alphabet soup"), (3, ""), (4, None), (5, "a  b c++ (x.y)"), (6, "beta gamma beta\n")]
